@@ -52,13 +52,6 @@ def spanning_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ends.where(F.col("_lo") < F.col("_hi")).select(*keys)
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def last_n(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), n)
 
@@ -74,11 +67,11 @@ class Timeline:
         self.keys = list(keys)
         self.order_names = list(order)
         self.blocked = has_hot_key(df if sizes_from is None else sizes_from, self.keys)
-        self.df = cut_into_blocks(df, self.keys, self.order) if self.blocked else df
+        self.df = cut_into_blocks(df, self.keys, self._order()) if self.blocked else df
 
-    @property
-    def order(self) -> list[Column]:
-        return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n).asc() for n in self.order_names]
+    def _order(self, back: bool = False) -> list[Column]:
+        down = [(n.lstrip("-"), n.startswith("-") != back) for n in self.order_names]
+        return [F.col(n).desc() if desc else F.col(n).asc() for n, desc in down]
 
     def _with(self, df: DataFrame) -> Timeline:
         other = object.__new__(Timeline)
@@ -102,18 +95,30 @@ class Timeline:
         first: dict[str, Column] | None = None,
         total: dict[str, Column] | None = None,
         tail: dict[str, tuple[Column, int]] | None = None,
+        lag: dict[str, tuple[Column, int]] | None = None,
+        back: bool = False,
     ) -> Timeline:
-        """Add columns that look back along the key.
+        """Add columns that look back along the key, or ahead with ``back=True``.
 
         prev   nearest earlier non-null value (this row excluded)
         upto   nearest non-null value, this row included
         first  value of the first row of the key
         total  running sum, this row included
         tail   array of the n preceding rows' values, oldest first; values must not be null
+        lag    value n rows before, null if the key has fewer rows
         """
         prev, upto, first, total, tail = prev or {}, upto or {}, first or {}, total or {}, tail or {}
+        lag = lag or {}
+        if self.blocked and lag:
+            rings = {f"_ring_{n}": (F.struct(e.alias("v")), k) for n, (e, k) in lag.items()}
+            ringed = self.scan(prev, upto, first, total, tail | rings, back=back)
+            values = {
+                n: F.when(F.size(f"_ring_{n}") == k, F.get(f"_ring_{n}", 0)["v"]) for n, (_, k) in lag.items()
+            }
+            return self._with(ringed.df.withColumns(values).drop(*rings))
         groups = self.keys + ([BLOCK] if self.blocked else [])
-        w = Window.partitionBy(*groups).orderBy(*self.order)
+        order = self._order(back)
+        w = Window.partitionBy(*groups).orderBy(*order)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         through = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         columns = {n: F.last(e, ignorenulls=True).over(before) for n, e in prev.items()}
@@ -121,10 +126,11 @@ class Timeline:
         columns |= {n: F.first(e).over(through) for n, e in first.items()}
         columns |= {n: F.sum(e).over(through) for n, e in total.items()}
         columns |= {n: F.collect_list(e).over(w.rowsBetween(-k, -1)) for n, (e, k) in tail.items()}
+        columns |= {n: F.lag(e, k).over(w) for n, (e, k) in lag.items()}
         if not self.blocked:
             return self._with(self.df.withColumns(columns))
 
-        carry = F.broadcast(self._carry(prev | upto, first, total, tail)).alias("c")
+        carry = F.broadcast(self._carry(prev | upto, first, total, tail, back)).alias("c")
         local = self.df.withColumns(columns).alias("r")
         match = F.col(f"r.{BLOCK}") == F.col(f"c.{BLOCK}")
         for key in self.keys:
@@ -144,14 +150,14 @@ class Timeline:
         added = [merged(n).alias(n) for n in columns]
         return self._with(local.join(carry, match, "left").select(*kept, *added))
 
-    def _carry(self, lasts, firsts, totals, tails) -> DataFrame:
+    def _carry(self, lasts, firsts, totals, tails, back) -> DataFrame:
         """For each block that continues a key: what the earlier blocks leave behind."""
         hot = F.broadcast(spanning_keys(self.df, self.keys)).alias("h")
         rows = self.df.alias("r").join(
             hot, [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in self.keys], "left_semi"
         )
         position = "_position"
-        inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order)
+        inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*self._order(back))
         rows = rows.withColumn(position, F.row_number().over(inside))
         for name, (expr, n) in tails.items():
             rows = rows.withColumn(f"_tail_{name}", F.collect_list(expr).over(inside.rowsBetween(1 - n, 0)))
@@ -161,7 +167,7 @@ class Timeline:
         aggregates += [F.max_by(f"_tail_{n}", position).alias(n) for n in tails]
         blocks = rows.groupBy(*self.keys, BLOCK).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
 
-        along = Window.partitionBy(*self.keys).orderBy(BLOCK)
+        along = Window.partitionBy(*self.keys).orderBy(F.col(BLOCK).desc() if back else F.col(BLOCK))
         before = along.rowsBetween(Window.unboundedPreceding, -1)
         columns = [F.last(n, ignorenulls=True).over(before).alias(n) for n in lasts]
         columns += [F.first(n).over(before)["v"].alias(n) for n in firsts]
@@ -172,3 +178,33 @@ class Timeline:
         ]
         seen = F.sum("_rows").over(before).alias("_seen")
         return blocks.select(*self.keys, BLOCK, *columns, seen).where(F.col("_seen").isNotNull()).drop("_seen")
+
+
+def trailing_count(log: Timeline, name: str, ts: str, seconds: float, id_columns: Sequence[str]) -> Timeline:
+    """Rows of the key in the last ``seconds`` before a row, the row itself included.
+
+    Counted as this row's position minus the rows that are already too old, which takes
+    one pass however many rows share a second.  ``id_columns`` identify a row.
+    """
+    width = int(seconds * 1_000_000)
+    if not log.blocked:
+        here = Window.partitionBy(*log.keys).orderBy(*log._order())
+        older = (
+            Window.partitionBy(*log.keys)
+            .orderBy(F.unix_micros(ts))
+            .rangeBetween(Window.unboundedPreceding, -width)
+        )
+        return log.columns(**{name: F.row_number().over(here) - F.count(F.lit(1)).over(older)})
+    id_columns = list(dict.fromkeys([*log.keys, *id_columns]))
+    rows = log.df.select(*id_columns, F.unix_micros(ts).alias("_at"), *[n.lstrip("-") for n in log.order_names])
+    rows = rows.select(*id_columns, "_at", F.struct(*[n.lstrip("-") for n in log.order_names]).alias("_place"))
+    both = rows.withColumn("_probe", F.lit(0)).unionByName(
+        rows.withColumn("_at", F.col("_at") - width).withColumn("_probe", F.lit(1))
+    )
+    counted = Timeline(both, log.keys, ["_at", "_probe", "_place"], sizes_from=both).scan(
+        total={"_n": F.when(F.col("_probe") == 0, 1).otherwise(0)}
+    )
+    sizes = counted.result().groupBy(*id_columns).agg(
+        (F.max(F.when(F.col("_probe") == 0, F.col("_n"))) - F.max(F.when(F.col("_probe") == 1, F.col("_n")))).alias(name)
+    )
+    return log._with(log.df.join(sizes, id_columns))
