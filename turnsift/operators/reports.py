@@ -72,8 +72,9 @@ def quality_score(clean: DataFrame, verbose: DataFrame, last: int | None = 20) -
     types = content_types(clean, last)
     counts = log_counts(clean, verbose)
     noise = noise_audit(clean).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("noise_hits"))
-    # Three single-row aggregates side by side.
-    one = types.join(counts).join(noise)
+    # Three single-row aggregates, put side by side by an aggregate over their union.
+    parts = types.unionByName(counts, allowMissingColumns=True).unionByName(noise, allowMissingColumns=True)
+    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     ratio = F.col("user_messages") / F.greatest(F.col("assistant_responses"), F.lit(1))
     rate = F.when(F.col("verbose") > 0, F.col("filtered") / F.col("verbose") * 100).otherwise(F.lit(0.0))
     scored = one.withColumns({"user_assistant_ratio": F.round(ratio, 4), "filter_rate": F.round(rate, 4)})

@@ -95,10 +95,11 @@ def read_test_report(spark: SparkSession, path: str) -> DataFrame:
 
 def report_messages(reports: DataFrame) -> DataFrame:
     """The embedded log lines of test reports, one message per row, tagged with their log."""
-    logs = [
-        F.transform(F.col(f"logs.{n}"), lambda line, n=n: F.struct(F.lit(n).alias("log"), line.alias("line")))
-        for n in ("chat", "verbose", "recent")
-    ]
+
+    def tagged(log: str) -> Column:
+        return F.transform(F.col(f"logs.{log}"), lambda line: F.struct(F.lit(log).alias("log"), line.alias("line")))
+
+    logs = [tagged(log) for log in ("chat", "verbose", "recent")]
     kept = [c for c in reports.columns if c != "logs"]
     rows = reports.select(*kept, F.explode(F.concat(*logs)).alias("entry"))
     parsed = rows.withColumn("doc", F.from_json("entry.line", schemas.STORED_MESSAGE))

@@ -19,6 +19,19 @@ ARTIFACT_CLASSES = {
 }
 
 
+# Named character references that occur in page text; the ampersand comes last.
+ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
+    ("&middot;", "\u00b7"), ("&amp;", "&"),
+]
+
+
+def decode_entities(text: Column) -> Column:
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
 def visible_text(html: Column) -> Column:
     """Text nodes outside hidden elements, without single button labels."""
     body = F.regexp_replace(html, "(?s)<!--.*?-->", "")
@@ -26,17 +39,32 @@ def visible_text(html: Column) -> Column:
         body = F.regexp_replace(body, f"(?is)<{element}(?:\\s[^>]*)?>.*?</{element}>", "")
     nodes = F.split(F.regexp_replace(body, "<[^>]*>", "\n<>\n"), "\n<>\n")
     shown = F.filter(nodes, lambda n: ~noise.ui_button_token(n))
-    return tx.norm_text(F.array_join(shown, ""))
+    return tx.norm_text(decode_entities(F.array_join(shown, "")))
+
+
+def absolute_link(href: Column, page_url: Column) -> Column:
+    """A link target as the browser resolves it against the page address."""
+    site = F.regexp_extract(page_url, "^https?://[^/?#]+", 0)
+    page = F.regexp_replace(page_url, "#.*", "")
+    folder = F.regexp_extract(page, "^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(page_url, "^https?:", 0), href))
+        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("#"), F.concat(page, href))
+        .otherwise(F.concat(folder, href))
+    )
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("page_text", visible_text(F.col(html)))
 
 
-def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Distinct http links of a page in order: href targets first, then links in the text."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1))
-    targets = F.filter(hrefs, lambda u: u.startswith("http"))
+    targets = F.filter(F.transform(hrefs, lambda h: absolute_link(h, F.col(url))), lambda u: u.startswith("http"))
     shown = F.regexp_replace(F.col(html), "<[^>]*>", " ")
     links = F.array_union(targets, tx.text_urls(shown, keep_navigation=True))
     kept = [c for c in pages.columns if c != html]
@@ -47,11 +75,13 @@ def page_artifacts(
     pages: DataFrame, html: str = "html", selectors: dict[str, str] | None = None, tag: str = "div"
 ) -> DataFrame:
     """Elements of the configured classes with more than ten characters, once per selector."""
-    found = []
-    for selector, pattern in (selectors or ARTIFACT_CLASSES).items():
+
+    def hits(selector: str, pattern: str) -> Column:
         element = f'(?s)(<{tag}\\s[^>]*class="{pattern}"[^>]*>.*?)</{tag}>'
-        hits = F.regexp_extract_all(F.col(html), F.lit(element), F.lit(1))
-        found.append(F.transform(hits, lambda h, s=selector: F.struct(F.lit(s).alias("selector"), h.alias("raw"))))
+        raw = F.regexp_extract_all(F.col(html), F.lit(element), F.lit(1))
+        return F.transform(raw, lambda h: F.struct(F.lit(selector).alias("selector"), h.alias("raw")))
+
+    found = [hits(selector, pattern) for selector, pattern in (selectors or ARTIFACT_CLASSES).items()]
     kept = [c for c in pages.columns if c != html]
     rows = pages.select(*kept, F.posexplode(F.concat(*found)).alias("pos", "hit"))
     language = F.nullif(F.regexp_extract("hit.raw", '^<[^>]*data-language="([^"]*)"', 1), F.lit(""))
