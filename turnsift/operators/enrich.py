@@ -32,9 +32,8 @@ def enrich_messages(messages: DataFrame) -> DataFrame:
 
 def filter_config(spark: SparkSession) -> DataFrame:
     """The echo settings as a table of three rows."""
-    return spark.createDataFrame(
-        MODEL_FILTERS, "model string, echo_chars bigint, allow_greetings boolean, temporal_window bigint"
-    )
+    rows = ", ".join(f"('{m}', {c}L, {str(g).lower()}, {w}L)" for m, c, g, w in MODEL_FILTERS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, echo_chars, allow_greetings, temporal_window)")
 
 
 def with_filter_config(messages: DataFrame, model: str = "model") -> DataFrame:
