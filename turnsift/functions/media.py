@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnsift.functions.text import contains_any, matches_any, strip, words
+from turnsift.functions.text import contains_any, let, matches_any, strip, words
 
 # Command keywords, media sites, phrases of samples and wrappers, file types.
 CUT_KEYWORDS = ["VOLUME:", "PLAY:", "OVERLAY:", "CAPTION:", "PAUSE:", "STOP:", "STOP ALL:", "SEQUENCE:"]
@@ -160,10 +162,11 @@ def _restore_prefix(url: Column) -> Column:
     for lost, whole in LOST_PREFIXES:
         fixed = F.concat(F.lit(whole), F.substr(url, F.lit(len(lost) + 1)))
         ladder = F.when(lower.startswith(lost), fixed) if ladder is None else ladder.when(lower.startswith(lost), fixed)
-    restored = ladder.otherwise(url)
-    return F.when(restored.contains("youtube"), F.replace(restored, F.lit("watchv"), F.lit("watch?v="))).otherwise(
-        restored
-    )
+
+    def video(u: Column) -> Column:
+        return F.when(u.contains("youtube"), F.replace(u, F.lit("watchv"), F.lit("watch?v="))).otherwise(u)
+
+    return let(ladder.otherwise(url), video)
 
 
 def _restore_mangled(url: Column) -> Column:
@@ -175,39 +178,58 @@ def _restore_mangled(url: Column) -> Column:
     )
 
 
-def repair_url(url: Column) -> Column:
-    """Undo typical damage to an address that lost punctuation in text extraction."""
-    fixed = F.when(lost_punctuation(url), _restore_mangled(url)).otherwise(url)
-    fixed = F.when(
-        fixed.startswith("http") & ~fixed.contains("://"), F.regexp_replace(fixed, "^(https?)", "$1://")
-    ).otherwise(fixed)
+def _unless(part: str, change) -> Callable[[Column], Column]:
+    return lambda u: F.when(u.contains(part), u).otherwise(change(u))
+
+
+def _restore_dots(url: Column) -> Column:
     for lost, whole in LOST_DOTS:
-        fixed = F.replace(fixed, F.lit(lost), F.lit(whole))
-    fixed = F.when(
-        ~fixed.contains("/wikipedia/commons"),
-        F.replace(fixed, F.lit("wikimedia.orgwikipedia"), F.lit("wikimedia.org/wikipedia")),
-    ).otherwise(fixed)
-    fixed = F.when(
-        ~fixed.contains("/commons/"), F.regexp_replace(fixed, "/commons([0-9a])", "/commons/$1")
-    ).otherwise(fixed)
-    fixed = F.when(
-        ~fixed.contains("/img/"),
-        F.replace(fixed, F.lit("httpstatusdogs.comimg"), F.lit("httpstatusdogs.com/img/")),
-    ).otherwise(fixed)
-    tail = F.right(fixed, F.lit(10))
-    dotted = F.when(matches_any(fixed, [f"\\{e}\\z" for e in WHOLE_ENDINGS]), fixed)
+        url = F.replace(url, F.lit(lost), F.lit(whole))
+    return url
+
+
+def _restore_ending(url: Column) -> Column:
+    tail = F.right(url, F.lit(10))
+    dotted = F.when(matches_any(url, [f"\\{e}\\z" for e in WHOLE_ENDINGS]), url)
     for kind in ("jpg", "png", "gif"):
-        dotted = dotted.when(tail.contains(kind), F.replace(fixed, F.lit(kind), F.lit(f".{kind}")))
-    return dotted.otherwise(fixed)
+        dotted = dotted.when(tail.contains(kind), F.replace(url, F.lit(kind), F.lit(f".{kind}")))
+    return dotted.otherwise(url)
+
+
+REPAIRS = [
+    lambda u: F.when(lost_punctuation(u), _restore_mangled(u)).otherwise(u),
+    _unless("://", lambda u: F.regexp_replace(u, "^(https?)", "$1://")),
+    _restore_dots,
+    _unless(
+        "/wikipedia/commons",
+        lambda u: F.replace(u, F.lit("wikimedia.orgwikipedia"), F.lit("wikimedia.org/wikipedia")),
+    ),
+    _unless("/commons/", lambda u: F.regexp_replace(u, "/commons([0-9a])", "/commons/$1")),
+    _unless("/img/", lambda u: F.replace(u, F.lit("httpstatusdogs.comimg"), F.lit("httpstatusdogs.com/img/"))),
+    _restore_ending,
+]
+
+
+def repair_url(url: Column) -> Column:
+    """Undo typical damage to an address that lost punctuation in text extraction."""
+    for repair in REPAIRS:
+        url = let(url, repair)
+    return url
 
 
 def best_url(url: Column) -> Column:
     """The address to use, repaired if that scores higher; null if none is good enough."""
-    score, repaired = url_confidence(url), repair_url(url)
-    better = (score < 0.6) & (repaired != url) & (url_confidence(repaired) > score)
-    chosen = F.when(better, repaired).otherwise(url)
-    good = is_valid_url(chosen) & (url_confidence(chosen) >= 0.3) & chosen.rlike("^(http://|https://|file://)")
-    return F.when(good, chosen)
+    scored = F.struct(url.alias("url"), url_confidence(url).alias("score"), repair_url(url).alias("repaired"))
+
+    def choose(s: Column) -> Column:
+        better = (s["score"] < 0.6) & (s["repaired"] != s["url"]) & (url_confidence(s["repaired"]) > s["score"])
+        return F.when(better, s["repaired"]).otherwise(s["url"])
+
+    def usable(chosen: Column) -> Column:
+        good = (chosen != "") & (url_confidence(chosen) >= 0.3) & chosen.rlike("^(http://|https://|file://)")
+        return F.when(good, chosen)
+
+    return let(let(scored, choose), usable)
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
@@ -272,14 +294,13 @@ def segment(url: Column, times: Column, caption: Column) -> Column:
 
 def play_url(rest: Column) -> Column:
     """Usable address of a PLAY text, null for samples and addresses beyond repair."""
-    url = clean_url(F.get(words(rest), 0))
-    return F.when(~is_placeholder_url(url), best_url(url))
+    first = clean_url(F.get(words(rest), 0))
+    return let(first, lambda url: F.when(~is_placeholder_url(url), best_url(url)))
 
 
 def play_segments(rest: Column) -> Column:
-    url = play_url(rest)
-    none = F.array().cast("array<struct<url:string,start:double,end:double,caption:string,volume:double,media_type:string>>")
-    return F.when(url.isNotNull(), F.array(segment(url, timing(rest), caption_of(rest)))).otherwise(none)
+    found = F.filter(F.array(play_url(rest)), lambda url: url.isNotNull())
+    return F.transform(found, lambda url: segment(url, timing(rest), caption_of(rest)))
 
 
 def sequence_segments(rest: Column) -> Column:
@@ -288,8 +309,7 @@ def sequence_segments(rest: Column) -> Column:
 
     def as_segment(item: Column) -> Column:
         name = strip(F.substring_index(item, "(", 1))
-        span = F.concat(F.lit("("), F.substr(item, F.instr(item, "(") + 1))
-        return segment(name, timing(span), F.lit(""))
+        return segment(name, timing(F.substr(item, F.instr(item, "("))), F.lit(""))
 
     return F.transform(items, as_segment)
 

@@ -43,6 +43,11 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def contains_any(text: Column, parts) -> Column:
     return any_of([text.contains(p) for p in parts])
 

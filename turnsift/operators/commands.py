@@ -73,15 +73,15 @@ def play_url_findall(messages: DataFrame) -> DataFrame:
 def repair_urls(urls: DataFrame, url: str = "url") -> DataFrame:
     """Score of each address before and after repair, and the address to use."""
     original = F.col(url)
-    return urls.withColumns({
+    scored = urls.withColumns({
         "clean": md.clean_url(original),
         "valid": md.is_valid_url(original),
         "confidence": md.url_confidence(original),
         "repaired": md.repair_url(original),
-        "repaired_confidence": md.url_confidence(md.repair_url(original)),
         "best": md.best_url(original),
         "media_type": md.media_type(original),
     })
+    return scored.withColumn("repaired_confidence", md.url_confidence(F.col("repaired")))
 
 
 def url_repair_audit(urls: DataFrame, url: str = "url") -> DataFrame:
