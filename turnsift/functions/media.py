@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnsift.functions.text import contains_any, let, matches_any, strip, words
+from turnsift.functions.text import SPACE, contains_any, let, matches_any, strip, words
 
 # Command keywords, media sites, phrases of samples and wrappers, file types.
 CUT_KEYWORDS = ["VOLUME:", "PLAY:", "OVERLAY:", "CAPTION:", "PAUSE:", "STOP:", "STOP ALL:", "SEQUENCE:"]
@@ -51,16 +52,15 @@ NUMBER = r"\d+(?:\.\d+)?"
 
 
 def has_command(content: Column) -> Column:
-    upper = F.upper(content)
-    leads = [upper.startswith(k) | upper.contains(f" {k}") for k in LEAD_KEYWORDS]
-    found = upper.contains("PLAY:")
-    for lead in leads:
-        found = found | lead
-    broken = (content.startswith(": https://") & content.contains("youtube.com")) | (
-        content.startswith(": http://") & contains_any(content, ["youtube", "vimeo", "archive"])
-    )
-    bare = content.rlike("^https?://") & contains_any(content, MEDIA_SITES)
-    return found | broken | bare
+    """A keyword at the start or after a space, PLAY: anywhere, or an address that lost its keyword."""
+    leads = "|".join(k for k in LEAD_KEYWORDS if k != "PLAY:")
+    sites = "|".join(re.escape(s) for s in MEDIA_SITES)
+    return matches_any(content, [
+        f"(?iu)PLAY:|(?:^{SPACE}*| )(?:{leads})",
+        rf"(?s)^{SPACE}*: https://.*youtube\.com",
+        rf"(?s)^{SPACE}*: http://.*(?:youtube|vimeo|archive)",
+        rf"(?s)^{SPACE}*https?://.*(?:{sites})",
+    ])
 
 
 def split_commands(content: Column) -> Column:

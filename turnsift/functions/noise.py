@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnsift.functions.text import contains_any, matches_any, strip, words
+from turnsift.functions.text import SPACE, contains_any, is_any, matches_any, mentions_any, strip, words
 
 # Fragments of style sheets.
 STYLE_PARTS = [
@@ -61,23 +61,32 @@ def has_sonnet_url(urls: Column) -> Column:
     return F.exists(urls, lambda u: F.lower(u).contains("sonnet"))
 
 
-def noise_checks(content: Column, urls: Column) -> dict[str, Column]:
-    """The content rules in order; the first that holds decides.  ``keep_*`` rules spare the row."""
+def ends_with_button(content: Column) -> Column:
+    """The button-ending patterns; the cheap test of the last word comes first."""
     plain = F.lower(strip(content))
-    size = F.size(words(content))
-    greeting = contains_any(plain, GREETINGS)
+    button = plain.rlike(r"\s(retry|share)\z") & matches_any(plain, BUTTON_ENDINGS[:2])
+    return button | content.rlike(f"(?iu)^{SPACE}*test\\s+message\\s+confirmation")
+
+
+def noise_checks(content: Column, urls: Column) -> dict[str, Column]:
+    """The content rules in order; the first that holds decides.  ``keep_*`` rules spare the row.
+
+    Each rule reads the raw text with one pattern, so nothing is computed twice when
+    Catalyst moves a filter on the rule below the projection.
+    """
+    greeting = mentions_any(content, GREETINGS)
     chat_url = F.exists(urls, lambda u: u.contains("claude.ai/chat/"))
     return {
         "N1": F.length(content) < 3,
         "N2": contains_any(content, STYLE_PARTS),
-        "keep_sonnet": greeting & has_sonnet_url(urls),
+        "keep_sonnet": has_sonnet_url(urls) & greeting,
         "N3": greeting,
-        "N4": plain.isin(LABELS) | contains_any(plain, LABEL_PARTS),
-        "N5": chat_url & (size <= 6),
-        "N6": (size == 1) & plain.isin(LABEL_WORDS),
-        "keep_okay": plain.rlike(r"^okay\d+\z"),
-        "N8": contains_any(plain, TITLE_PARTS),
-        "N9": matches_any(plain, BUTTON_ENDINGS),
+        "N4": is_any(content, LABELS) | mentions_any(content, LABEL_PARTS),
+        "N5": chat_url & (F.size(words(content)) <= 6),
+        "N6": is_any(content, LABEL_WORDS),
+        "keep_okay": content.rlike(f"(?iu)^{SPACE}*okay\\d+{SPACE}*\\z"),
+        "N8": mentions_any(content, TITLE_PARTS),
+        "N9": ends_with_button(content),
     }
 
 

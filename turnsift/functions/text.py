@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,8 +57,18 @@ def matches_any(text: Column, patterns) -> Column:
     return any_of([text.rlike(p) for p in patterns])
 
 
+def mentions_any(text: Column, parts) -> Column:
+    """Contains one of the parts in any case: one pass over the text instead of one per part."""
+    return text.rlike("(?iu)" + "|".join(re.escape(p) for p in parts))
+
+
+def is_any(text: Column, labels) -> Column:
+    """Is one of the labels, apart from case and surrounding whitespace."""
+    return text.rlike(f"(?iu)^{SPACE}*(?:" + "|".join(re.escape(p) for p in labels) + f"){SPACE}*\\z")
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\u00a0"))
 
 
 def words(text: Column) -> Column:

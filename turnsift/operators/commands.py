@@ -19,7 +19,7 @@ def command_candidates(messages: DataFrame, newest: int = 20) -> DataFrame:
     """
     last = Window.partitionBy("convo_id").orderBy(F.desc("ts"), F.desc("seq"))
     rows = messages.withColumn("age_rank", F.row_number().over(last)).where(F.col("age_rank") <= newest)
-    bearing = rows.where((F.col("role") == "assistant") & md.has_command(tx.strip(F.col("content"))))
+    bearing = rows.where((F.col("role") == "assistant") & md.has_command(F.col("content")))
     first = F.row_number().over(Window.partitionBy("convo_id").orderBy("age_rank"))
     return bearing.withColumn("pick", first).where(F.col("pick") == 1).drop("pick", "age_rank")
 
@@ -27,7 +27,7 @@ def command_candidates(messages: DataFrame, newest: int = 20) -> DataFrame:
 def split_command_rows(messages: DataFrame) -> DataFrame:
     """One row per command text of the command-bearing assistant rows."""
     content = tx.strip(F.col("content"))
-    bearing = messages.where((F.col("role") == "assistant") & md.has_command(content))
+    bearing = messages.where((F.col("role") == "assistant") & md.has_command(F.col("content")))
     return bearing.select(*ID, "ts", F.posexplode(md.split_commands(content)).alias("cmd_pos", "command_text"))
 
 
@@ -95,7 +95,7 @@ def url_repair_audit(urls: DataFrame, url: str = "url") -> DataFrame:
 def command_dedup(messages: DataFrame, seconds: int = 3) -> DataFrame:
     """Command-bearing rows; ``kept`` is false under ``seconds`` after a kept equal text."""
     content = tx.strip(F.col("content"))
-    bearing = messages.where((F.col("role") == "assistant") & md.has_command(content))
+    bearing = messages.where((F.col("role") == "assistant") & md.has_command(F.col("content")))
     rows = bearing.select(*ID, "ts", tx.digest(content).alias("digest"))
     return keep_if_quiet(rows, ["digest"], "ts", ID, F.lit(seconds), strict=True).drop("digest")
 

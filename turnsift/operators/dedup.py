@@ -14,7 +14,7 @@ from turnsift.functions import text as tx
 from turnsift.operators.enrich import with_filter_config
 from turnsift.plans.greedy import keep_if_quiet
 from turnsift.plans.relay import relay
-from turnsift.plans.timeline import Timeline
+from turnsift.plans.timeline import KeySizes, Timeline
 
 ID = ["convo_id", "seq"]
 CONVO_ORDER = ["ts", "seq"]
@@ -104,7 +104,8 @@ def user_echo_label(messages: DataFrame, scope: str = "convo") -> DataFrame:
     lowered = F.lower("content")
     entry = F.struct("ts", "role", tx.strip(F.col("content")).alias("text"), lowered.alias("lowered"))
     rows = messages.select(*ID, "ts", "platform", "role", "content", tx.digest(F.col("content")).alias("digest"))
-    log = Timeline(rows, scope_columns(scope), scope_order(scope)).scan(tail={"recent": (entry, 5)})
+    sizes = KeySizes(rows.drop("content"))
+    log = Timeline(rows, scope_columns(scope), scope_order(scope), sizes).scan(tail={"recent": (entry, 5)})
 
     def is_exact(e: Column) -> Column:
         return (seconds_since(e["ts"]) <= 10) & (e["text"] == tx.strip(F.col("content")))
@@ -118,7 +119,7 @@ def user_echo_label(messages: DataFrame, scope: str = "convo") -> DataFrame:
     labelled = log.columns(label=F.when(F.col("role") == "assistant", label)).result(
         *ID, "ts", "platform", "role", "digest", "label"
     )
-    seen = Timeline(labelled, [*scope_columns(scope), "role", "digest"], scope_order(scope), sizes_from=rows).scan(
+    seen = Timeline(labelled, [*scope_columns(scope), "role", "digest"], scope_order(scope), sizes).scan(
         prev={"seen": F.col("ts")}
     )
     known = F.col("seen").isNotNull() & (F.col("seen") != F.col("ts"))
@@ -197,49 +198,58 @@ def consecutive_dedup(messages: DataFrame) -> DataFrame:
     return log.where(~F.col("last").eqNullSafe(F.col("digest"))).result().drop("last", "digest")
 
 
-def leading_char_echo(messages: DataFrame, buffer: int = 20) -> DataFrame:
-    """Assistant rows with ``echo``: a user text of the last ``buffer`` behind 0..k characters.
+def echo_rows(messages: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+    """User and assistant rows with what the leading-character check needs, without their text.
 
-    ``k`` and the greeting exemption come from the row's ``model``.  Each assistant row
-    looks its k+1 shortened texts up as the last user row with that text: one ordered scan
-    per (conversation, text) instead of comparing pairs.
+    ``probes`` of an assistant row are the digests of its text without its first 0..k
+    characters, ``k`` and the greeting exemption coming from the row's ``model``.
     """
-    users = F.when(F.col("role") == "user", 1).otherwise(0)
-    rows = messages.where(F.col("role").isin("user", "assistant")).select(*ID, "ts", "role", "model", "content")
-    ranked = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(total={"users": users}).result()
-    said = ranked.where(F.col("role") == "user").select(
-        "convo_id", "seq", "ts", "users", F.lit(True).alias("said"), tx.digest(F.col("content")).alias("digest")
-    )
-    lower = F.lower("content")
+    text, lower = F.col("content"), F.lower("content")
+    rows = with_filter_config(messages.where(F.col("role").isin("user", "assistant")))
     greeting = tx.contains_any(lower, ["hello", "hi there", "how can i help"])
-    probes = with_filter_config(ranked.where(F.col("role") == "assistant"))
-    probes = probes.where(~(F.col("allow_greetings") & greeting))
-    shift = F.explode(F.sequence(F.lit(0), F.col("echo_chars").cast("int")))
-    probes = probes.withColumn("shift", shift).select(
-        "convo_id", "seq", "ts", "users", F.lit(False).alias("said"),
-        tx.digest(F.substr(F.col("content"), F.col("shift") + 1)).alias("digest"),
+    probed = (F.col("role") == "assistant") & ~(F.col("allow_greetings") & greeting)
+    shifts = F.sequence(F.lit(1), F.col("echo_chars").cast("int") + 1)
+    probes = F.when(probed, F.transform(shifts, lambda at: tx.digest(F.substr(text, at))))
+    return rows.select(
+        *ID, "ts", "platform", "role", "model", tx.digest(text).alias("digest"), probes.alias("probes"),
+        *[value.alias(name) for name, value in (flags or {}).items()],
     )
-    both = said.unionByName(probes)
-    asked = Timeline(both, ["convo_id", "digest"], CONVO_ORDER).scan(
+
+
+def leading_echo_ids(rows: DataFrame, sizes: KeySizes, buffer: int = 20) -> DataFrame:
+    """Identities of the assistant rows of ``echo_rows`` that echo one of the last user texts.
+
+    Each assistant row looks its shortened texts up as the last user row with that text:
+    one ordered scan per (conversation, text) instead of comparing pairs.
+    """
+    users = F.when(F.col("role") == "user", 1).otherwise(0)
+    ranked = Timeline(rows.select(*ID, "ts", "role", "digest", "probes"), ["convo_id"], CONVO_ORDER, sizes)
+    ranked = ranked.scan(total={"users": users}).result()
+    said = F.col("role") == "user"
+    texts = F.when(said, F.array("digest")).otherwise(F.col("probes"))
+    both = ranked.select(*ID, "ts", "users", said.alias("said"), F.explode(texts).alias("text_key"))
+    asked = Timeline(both, ["convo_id", "text_key"], [*CONVO_ORDER, "said"]).scan(
         prev={"match": F.when(F.col("said"), F.col("users"))}
     )
     hit = F.coalesce(F.col("users") - F.col("match") < buffer, F.lit(False))
-    hits = asked.columns(hit=hit).where(~F.col("said") & F.col("hit")).result("convo_id", "seq").distinct()
-    assistants = messages.where(F.col("role") == "assistant").select(*ID, "ts", "platform", "model")
-    return assistants.join(hits.withColumn("echo", F.lit(True)), ID, "left").fillna(False, ["echo"])
+    return asked.where(~F.col("said")).columns(hit=hit).where(F.col("hit")).result(*ID).distinct()
+
+
+def leading_char_echo(messages: DataFrame, buffer: int = 20) -> DataFrame:
+    """Assistant rows with ``echo``: a user text of the last ``buffer`` behind 0..k characters."""
+    rows = echo_rows(messages)
+    hits = leading_echo_ids(rows, KeySizes(rows), buffer).withColumn("echo", F.lit(True))
+    assistants = rows.where(F.col("role") == "assistant").select(*ID, "ts", "platform", "digest")
+    return assistants.join(hits, ID, "left").fillna(False, ["echo"])
 
 
 def first_sight_filter(messages: DataFrame, seconds: int = 30) -> DataFrame:
     """Assistant rows with ``passes``: user echoes never, repeats only close to the first sight."""
-    echoes = leading_char_echo(messages)
-    rows = messages.where(F.col("role") == "assistant").select(*ID, tx.digest(F.col("content")).alias("digest"))
-    rows = echoes.join(rows, ID)
-    log = Timeline(rows.where(~F.col("echo")), ["convo_id", "digest"], CONVO_ORDER, sizes_from=narrow(messages))
+    rows = leading_char_echo(messages)
+    log = Timeline(rows, ["convo_id", "digest", "echo"], CONVO_ORDER, KeySizes(narrow(messages)))
     log = log.scan(first={"first_ts": F.col("ts")})
-    passes = (F.col("first_ts") == F.col("ts")) | (seconds_since("first_ts") < seconds)
-    out = [*ID, "ts", "platform", "passes"]
-    blocked = rows.where("echo").withColumn("passes", F.lit(False)).select(*out)
-    return log.columns(passes=passes).result(*out).unionByName(blocked)
+    passes = ~F.col("echo") & (seconds_since("first_ts") < seconds)
+    return log.columns(passes=passes).result(*ID, "ts", "platform", "passes")
 
 
 def echo_filter_lab(messages: DataFrame) -> DataFrame:
@@ -259,11 +269,12 @@ def is_new_direct(messages: DataFrame) -> DataFrame:
     depend on their own text alone and are decided first; they set the user clock.
     """
     rows = narrow(messages).withColumn("at", F.unix_micros("ts"))
-    users = Timeline(rows.where(F.col("role") == "user"), ["convo_id", "digest"], CONVO_ORDER)
+    sizes = KeySizes(rows)
+    users = Timeline(rows.where(F.col("role") == "user"), ["convo_id", "digest"], CONVO_ORDER, sizes)
     users = users.scan(prev={"p": F.col("ts")}).columns(late=F.when(seconds_since("p") > 60, 1).otherwise(0))
     users = users.scan(total={"lates": F.col("late")}).columns(is_new=F.col("lates") == 0).result(*ID, "is_new")
     clocked = rows.join(users, ID, "left")
-    clock = Timeline(clocked, ["convo_id"], CONVO_ORDER, sizes_from=rows).scan(
+    clock = Timeline(clocked, ["convo_id"], CONVO_ORDER, sizes).scan(
         prev={"user_at": F.when(F.col("is_new"), F.col("at"))}
     ).result()
 
@@ -299,12 +310,13 @@ def repeat_policy(messages: DataFrame) -> DataFrame:
     rows = messages.select(
         *ID, "ts", "role", tx.digest(norm).alias("digest"), tx.is_musical_command(norm, "repeat").alias("musical")
     )
-    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(
+    sizes = KeySizes(rows)
+    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(
         first={"first_ts": F.col("ts"), "first_seq": F.col("seq")}
     )
     repeat = F.col("seq") != F.col("first_seq")
     seen = log.columns(repeat=repeat, age=seconds_since("first_ts")).result()
-    active = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes_from=rows).scan(
+    active = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes).scan(
         upto={"user_ts": F.when(F.col("repeat") & (F.col("role") == "user"), F.col("ts"))}
     )
     idle = seconds_since("user_ts")
@@ -321,7 +333,7 @@ def repeat_policy(messages: DataFrame) -> DataFrame:
     )
     blocked = ["historical_retransmission", "orphaned_assistant_response", "medium_term_duplicate"]
     decided = active.columns(reason=reason).columns(should_log=~F.col("reason").isin(blocked)).result()
-    counted = Timeline(decided, ["convo_id", "digest"], CONVO_ORDER, sizes_from=rows).scan(
+    counted = Timeline(decided, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(
         total={"repeat_count": F.when(F.col("should_log"), 1).otherwise(0)}
     )
     return counted.result(*ID, "ts", "role", "should_log", "reason", "repeat_count")
@@ -355,13 +367,14 @@ def genuine_response_fast(messages: DataFrame, earliest: float = 0.5, latest: fl
     """The first assistant row 0.5 to 15 s after the last user row, with its latency."""
     users = F.when(F.col("role") == "user", 1).otherwise(0)
     rows = messages.select(*ID, "ts", "platform", "role")
-    log = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(
+    sizes = KeySizes(rows)
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(
         prev={"user": F.when(F.col("role") == "user", F.struct("ts", "seq"))}, total={"exchange": users}
     )
     wait = seconds_since("user.ts")
     answers = log.columns(wait=wait).where((F.col("role") == "assistant") & F.col("wait").between(earliest, latest))
     answers = answers.result()
-    firsts = Timeline(answers, ["convo_id", "exchange"], CONVO_ORDER, sizes_from=rows.select("convo_id", F.col("seq").alias("exchange")))
+    firsts = Timeline(answers, ["convo_id", "exchange"], CONVO_ORDER, None if log.blocked else sizes)
     firsts = firsts.scan(prev={"earlier": F.col("seq")}).where(F.col("earlier").isNull())
     latency = (F.unix_millis("ts") - F.unix_millis("user.ts")).alias("latency_ms")
     return firsts.result().select(*ID, "ts", "platform", F.col("user.seq").alias("user_seq"), latency)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import noise
 from turnsift.functions import text as tx
-from turnsift.operators.dedup import CONVO_ORDER, ID, first_sight_filter, genuine_response_strict, narrow, seconds_since
+from turnsift.operators.dedup import (
+    CONVO_ORDER, ID, echo_rows, genuine_response_strict, leading_echo_ids, narrow, seconds_since,
+)
 from turnsift.operators.noise import baseline_exclude
-from turnsift.plans.timeline import Timeline, trailing_count
+from turnsift.plans.timeline import KeySizes, Timeline, trailing_count
+from turnsift.session import cut_lineage
 
 # Fixed values of the filters: counts and seconds.
 EXT = {"velocity": 25, "velocity_s": 1, "active_s": 120, "repeat_s": 30, "hashes": 20, "matches": 3}
@@ -25,12 +28,14 @@ def user_ts() -> Column:
     return F.when(F.col("role") == "user", F.col("ts"))
 
 
-def velocity_ext(messages: DataFrame, threshold: int = 25, seconds: float = 1, session: str = "convo_id") -> DataFrame:
+def velocity_ext(
+    messages: DataFrame, threshold: int = 25, seconds: float = 1, session: str = "convo_id", sizes: KeySizes | None = None
+) -> DataFrame:
     """``bulk``: more than ``threshold`` rows in the trailing window.
 
     That is the case exactly when the row ``threshold`` places back is still inside it.
     """
-    log = Timeline(messages, [session], CONVO_ORDER).scan(lag={"nth": (F.col("ts"), threshold)})
+    log = Timeline(messages, [session], CONVO_ORDER, sizes).scan(lag={"nth": (F.col("ts"), threshold)})
     bulk = F.coalesce(seconds_since("nth") < seconds, F.lit(False))
     return log.columns(bulk=bulk).result().drop("nth")
 
@@ -38,8 +43,9 @@ def velocity_ext(messages: DataFrame, threshold: int = 25, seconds: float = 1, s
 def velocity_lab(messages: DataFrame, threshold: int = 5, seconds: float = 1) -> DataFrame:
     """``velocity_bulk_dump``: more than ``threshold`` rows in the window, at least that many of the role."""
     rows = messages.select(*ID, "ts", "role")
-    log = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(lag={"nth": (F.col("ts"), threshold)}).result()
-    roles = Timeline(log, ["convo_id", "role"], CONVO_ORDER, sizes_from=rows)
+    sizes = KeySizes(rows)
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(lag={"nth": (F.col("ts"), threshold)}).result()
+    roles = Timeline(log, ["convo_id", "role"], CONVO_ORDER, sizes)
     roles = roles.scan(lag={"nth_role": (F.col("ts"), threshold - 1)})
     dump = (seconds_since("nth") < seconds) & (seconds_since("nth_role") < seconds)
     return roles.columns(reason=F.when(dump, "velocity_bulk_dump")).result(*ID, "ts", "role", "reason")
@@ -57,30 +63,37 @@ def temporal_ext(messages: DataFrame, baseline: DataFrame, seconds: int = 120) -
 def temporal_lab(messages: DataFrame) -> DataFrame:
     """``temporal_historical``: text last seen over five minutes ago, user idle over two."""
     rows = narrow(messages)
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
-    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes_from=rows).scan(prev={"user_ts": user_ts()})
+    sizes = KeySizes(rows)
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
+    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes).scan(prev={"user_ts": user_ts()})
     idle = F.coalesce(seconds_since("user_ts") > LAB["active_s"], F.lit(True))
     old = (seconds_since("seen") > LAB["conversation_s"]) & idle
     return log.columns(reason=F.when(old, "temporal_historical")).result(*ID, "ts", "role", "reason")
 
 
-def autocorr_ext(messages: DataFrame) -> DataFrame:
-    """``pattern``: the last three texts all occur in the older part of the last twenty."""
-    log = Timeline(narrow(messages), ["convo_id"], CONVO_ORDER)
+def with_pattern(rows: DataFrame, sizes: KeySizes | None = None) -> DataFrame:
+    """Add ``pattern``: the last three digests all occur in the older part of the last twenty."""
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes)
     log = log.scan(tail={"recent": (F.col("digest"), EXT["hashes"] - 1)})
     ring = F.concat("recent", F.array("digest"))
     older = F.slice(ring, 1, F.greatest(F.size(ring) - 3, F.lit(0)))
     last = F.slice(ring, F.greatest(F.size(ring) - 2, F.lit(1)), 3)
     log = log.columns(older=older, last=last)
     matches = F.size(F.filter("last", lambda h: F.array_contains("older", h)))
-    return log.columns(pattern=matches >= EXT["matches"]).result(*ID, "ts", "role", "pattern")
+    return log.columns(pattern=matches >= EXT["matches"]).result().drop("recent", "older", "last")
+
+
+def autocorr_ext(messages: DataFrame) -> DataFrame:
+    """``pattern``: the last three texts all occur in the older part of the last twenty."""
+    return with_pattern(narrow(messages)).select(*ID, "ts", "role", "pattern")
 
 
 def autocorr_lab(messages: DataFrame) -> DataFrame:
     """``autocorrelation_pattern``: a seen text while a run of three seen texts is among the last twenty."""
     rows = narrow(messages)
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
-    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes_from=rows)
+    sizes = KeySizes(rows)
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
+    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes)
     log = _with_historical_run(log.columns(historical=F.col("seen").isNotNull()))
     hit = F.col("historical") & (F.col("run") >= LAB["run"])
     return log.columns(reason=F.when(hit, "autocorrelation_pattern")).result(*ID, "ts", "role", "run", "reason")
@@ -123,10 +136,11 @@ def lab_signals(messages: DataFrame) -> DataFrame:
         F.length("content").alias("size"),
         tx.is_musical_command(F.col("content"), "lab").alias("musical"),
     )
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
-    roles = Timeline(seen, ["convo_id", "role"], CONVO_ORDER, sizes_from=rows)
+    sizes = KeySizes(rows)
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
+    roles = Timeline(seen, ["convo_id", "role"], CONVO_ORDER, sizes)
     roles = roles.scan(lag={"nth_role": (F.col("ts"), LAB["velocity"] - 1)}).result()
-    log = Timeline(roles, ["convo_id"], CONVO_ORDER, sizes_from=rows).columns(historical=F.col("seen").isNotNull())
+    log = Timeline(roles, ["convo_id"], CONVO_ORDER, sizes).columns(historical=F.col("seen").isNotNull())
     entry = F.struct("ts", "role", "stripped")
     log = log.scan(prev={"user_ts": user_ts()}, tail={"recent": (entry, 10)}, lag={"nth": (F.col("ts"), LAB["velocity"])})
     log = trailing_count(_with_historical_run(log), "velocity_size", "ts", LAB["velocity_s"], ID)
@@ -197,39 +211,42 @@ def model_pipeline(messages: DataFrame, baseline: DataFrame, pipeline: str) -> D
     """Assistant rows that pass the filters of one model's pipeline.
 
     The adapters stop at the first filter that fails, so the windows of a stage run on the
-    survivors of the stage before; user rows stay in as the clock of user activity.
+    survivors of the stage before; user rows stay in as the clock of user activity.  Texts
+    are reduced to digests and flags once; the stages work on that narrow table.
     """
     stages = {
         "sonnet-4": ["velocity", "temporal", "echo"],
         "opus-4.1": ["velocity", "temporal", "autocorr", "echo"],
         "generic": ["velocity", "echo"],
     }[pipeline]
-    users = messages.where(F.col("role") == "user")
-    alive = messages.where((F.col("role") == "assistant") & (F.length("content") >= 3))
-    context = Timeline(alive.unionByName(users).select(*ID, "ts", "role", "content"), ["convo_id"], CONVO_ORDER)
-    context = context.scan(prev={"user_ts": user_ts()}).where(F.col("role") == "assistant")
-    idle = seconds_since("user_ts")
-    marks = context.columns(idle=idle).result(*ID, "idle", "content")
-    known = baseline.select(tx.digest(F.col("content")).alias("digest"), F.lit(True).alias("in_baseline")).distinct()
-    marks = marks.withColumn("digest", tx.digest(F.col("content"))).join(known, "digest", "left")
-    marks = marks.fillna(False, ["in_baseline"]).drop("digest", "content")
-    alive = alive.join(marks, ID)
+    text = F.col("content")
+    shown = messages.where((F.col("role") == "user") | ((F.col("role") == "assistant") & (F.length(text) >= 3)))
+    rows = echo_rows(shown, {
+        "musical": tx.is_musical_command(text, "capture"), "sonnet": noise.sonnet_preserve(text),
+    })
+    known = baseline.select(tx.digest(text).alias("digest"), F.lit(True).alias("in_baseline")).distinct()
+    rows = cut_lineage(rows.join(known, "digest", "left").fillna(False, ["in_baseline"]))
+    sizes = KeySizes(rows)
+    clocked = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(prev={"user_ts": user_ts()})
+    clocked = clocked.columns(idle=seconds_since("user_ts")).result()
+    users = clocked.where(F.col("role") == "user")
+    alive = clocked.where(F.col("role") == "assistant")
     for stage in stages:
         if stage == "velocity":
-            alive = velocity_ext(alive, EXT["velocity"], EXT["velocity_s"]).where(~F.col("bulk")).drop("bulk")
+            alive = velocity_ext(alive, EXT["velocity"], EXT["velocity_s"], sizes=sizes).where(~F.col("bulk")).drop("bulk")
         elif stage == "temporal":
             alive = alive.where(F.col("idle").isNull() | (F.col("idle") <= EXT["active_s"]) | F.col("in_baseline"))
         elif stage == "autocorr":
-            flagged = autocorr_ext(alive).where("pattern").select(*ID)
-            alive = alive.join(flagged, ID, "left_anti")
+            alive = with_pattern(alive, sizes).where(~F.col("pattern")).drop("pattern")
         else:
-            passing = first_sight_filter(alive.drop("idle", "in_baseline").unionByName(users)).where("passes").select(*ID)
-            alive = alive.join(passing, ID, "left_semi")
-    text = F.col("content")
+            echoes = leading_echo_ids(alive.unionByName(users), sizes)
+            own = alive.join(echoes, ID, "left_anti")
+            own = Timeline(own, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(first={"first_ts": F.col("ts")})
+            alive = own.where(seconds_since("first_ts") < EXT["repeat_s"]).result()
     new = ~F.col("in_baseline") & F.coalesce(F.col("idle") < EXT["active_s"], F.lit(False))
-    preserved = tx.is_musical_command(text, "capture") | F.coalesce(F.col("idle") < EXT["repeat_s"], F.lit(False))
+    preserved = F.col("musical") | F.coalesce(F.col("idle") < EXT["repeat_s"], F.lit(False))
     accept = {
-        "sonnet-4": preserved | noise.sonnet_preserve(text) | new,
+        "sonnet-4": preserved | F.col("sonnet") | new,
         "opus-4.1": preserved | new,
         "generic": new,
     }[pipeline]

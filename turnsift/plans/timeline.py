@@ -33,6 +33,28 @@ def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
     return not sizes.where(F.col("rows") > limit).isEmpty()
 
 
+class KeySizes:
+    """Remembers which keys of a table are hot, so related scans check once.
+
+    A key without hot values stays so when columns are added to it or rows are removed.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.calm: list[set[str]] = []
+
+    def hot(self, keys: Sequence[str]) -> bool:
+        if any(known <= set(keys) for known in self.calm):
+            return False
+        # A key that is calm without some of its columns is calm with them.
+        present = [k for k in keys if k in self.df.columns]
+        for candidate in ([k for k in present if k == "convo_id"], present):
+            if candidate and not has_hot_key(self.df, candidate):
+                self.calm.append(set(candidate))
+                return False
+        return True
+
+
 def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by (keys, order) and record the partition of each row as ``_block``.
 
@@ -60,13 +82,14 @@ class Timeline:
     """A log with a key and a total order inside the key.
 
     ``order`` is a list of column names; a leading ``-`` means descending.  Together
-    with the keys it must identify a row.
+    with the keys it must identify a row.  ``sizes`` speaks for a table that has at least
+    as many rows per key.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes_from: DataFrame | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: KeySizes | None = None):
         self.keys = list(keys)
         self.order_names = list(order)
-        self.blocked = has_hot_key(df if sizes_from is None else sizes_from, self.keys)
+        self.blocked = (sizes or KeySizes(df)).hot(self.keys)
         self.df = cut_into_blocks(df, self.keys, self._order()) if self.blocked else df
 
     def _order(self, back: bool = False) -> list[Column]:
@@ -201,7 +224,7 @@ def trailing_count(log: Timeline, name: str, ts: str, seconds: float, id_columns
     both = rows.withColumn("_probe", F.lit(0)).unionByName(
         rows.withColumn("_at", F.col("_at") - width).withColumn("_probe", F.lit(1))
     )
-    counted = Timeline(both, log.keys, ["_at", "_probe", "_place"], sizes_from=both).scan(
+    counted = Timeline(both, log.keys, ["_at", "_probe", "_place"]).scan(
         total={"_n": F.when(F.col("_probe") == 0, 1).otherwise(0)}
     )
     sizes = counted.result().groupBy(*id_columns).agg(

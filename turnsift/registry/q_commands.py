@@ -43,9 +43,7 @@ def command_candidates(spark, sf_dir):
 
 @query("has_command", f"{LOG} SELECT convo_id, seq, {HAS_COMMAND} AS has_command FROM log")
 def has_command(spark, sf_dir):
-    from turnsift.functions.text import strip
-
-    return plain(spark, sf_dir).select(*ROW, md.has_command(strip(F.col("content"))).alias("has_command"))
+    return plain(spark, sf_dir).select(*ROW, md.has_command(F.col("content")).alias("has_command"))
 
 
 @query("split_commands", f"{LOG}, {SPLIT} SELECT convo_id, seq, cmd_pos, command_text FROM split")

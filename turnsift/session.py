@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "turnsift", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, for a table that several scans read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
