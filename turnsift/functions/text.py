@@ -77,7 +77,7 @@ def words(text: Column) -> Column:
 
 def norm_text(text: Column) -> Column:
     """Without zero-width spaces, runs of whitespace as one space, trimmed."""
-    visible = F.regexp_replace(F.coalesce(text, F.lit("")), "​", "")
+    visible = F.regexp_replace(F.coalesce(text, F.lit("")), "\u200b", "")
     return F.trim(F.regexp_replace(visible, f"{SPACE}+", " "))
 
 

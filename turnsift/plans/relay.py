@@ -20,81 +20,104 @@ from pyspark.sql import functions as F
 from turnsift.plans.timeline import BLOCK, cut_into_blocks, spanning_keys
 
 Step = Callable[[dict, dict], dict]
+ARROW = {
+    "boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()),
+    "array<bigint>": pa.list_(pa.int64()),
+}
+STATE = "_state"
 
 
-def _run(rows: list[dict], keys: list[str], state: str | None, step: Step) -> tuple[list[dict], dict]:
+def _run(rows: list[dict], keys: list[str], states: dict[tuple, str], step: Step) -> tuple[list[dict], list[str | None]]:
+    """Results per row, and per row the state of its key after it if it is the key's last row."""
     current, memory = None, {}
-    results = []
+    results, after = [], []
     for row in rows:
         key = tuple(row[k] for k in keys)
         if key != current:
-            memory = json.loads(state) if current is None and state else {}
+            if after:
+                after[-1] = json.dumps(memory, sort_keys=True)
+            memory = json.loads(states.get(key) or "{}")
             current = key
         results.append(step(memory, row))
-    return results, memory
+        after.append(None)
+    if after:
+        after[-1] = json.dumps(memory, sort_keys=True)
+    return results, after
+
+
+def _states(table: pa.Table, keys: list[str]) -> dict[tuple, str]:
+    return {tuple(r[k] for k in keys): r["_incoming"] for r in table.to_pylist()}
+
+
+def _own_columns(df: DataFrame) -> DataFrame:
+    """``df`` under new column identities, so that it can be cogrouped with its origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def relay(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, fields: dict[str, str]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    step: Step,
+    fields: dict[str, str],
+    initial: DataFrame | None = None,
+    keep_state: bool = False,
 ) -> DataFrame:
     """Add the columns ``fields`` (name to type) computed by ``step(state, row)`` in order.
 
     ``step`` changes ``state`` (a JSON-like dict, empty at the start of a key) in place
-    and returns the values of ``fields`` for the row.  Keys must not be null.
+    and returns the values of ``fields`` for the row.  Keys must not be null.  ``initial``
+    (keys and ``_state``) gives the state keys start from; with ``keep_state`` the result
+    has ``_state`` on the last row a key has in a block.
     """
     keys, order = list(keys), list(order)
     blocks = cut_into_blocks(df, keys, [F.col(c) for c in order])
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    where = [*keys, BLOCK]
+
+    def final_state(rows: pa.Table, incoming: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        _, after = _run(rows.to_pylist(), keys, _states(incoming, keys), step)
+        return incoming.select([*where, "_incoming"]).append_column("_outgoing", pa.array([after[-1]], pa.string()))
 
-    def final_state(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        rows = table.to_pylist()
-        _, memory = _run(rows, keys, rows[0]["_incoming"], step)
-        head = table.slice(0, 1).select([*keys, BLOCK, "_incoming"])
-        return head.append_column("_outgoing", pa.array([json.dumps(memory, sort_keys=True)]))
-
-    def decide(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in [*keys, *order]])
-        by_key: list[dict] = []
-        rows = table.to_pylist()
-        start = 0
-        while start < len(rows):
-            key = tuple(rows[start][k] for k in keys)
-            end = start
-            while end < len(rows) and tuple(rows[end][k] for k in keys) == key:
-                end += 1
-            results, _ = _run(rows[start:end], keys, rows[start]["_incoming"], step)
-            by_key.extend(results)
-            start = end
-        table = table.drop_columns([BLOCK, "_incoming"])
+    def decide(rows: pa.Table, incoming: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in [*keys, *order]])
+        results, after = _run(rows.to_pylist(), keys, _states(incoming, keys), step)
+        rows = rows.drop_columns([BLOCK])
         for name, kind in fields.items():
-            arrow = {"boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string()),
-                     "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64()}[kind]
-            table = table.append_column(name, pa.array([r[name] for r in by_key], arrow))
-        return table
+            rows = rows.append_column(name, pa.array([r[name] for r in results], ARROW[kind]))
+        return rows.append_column(STATE, pa.array(after, pa.string())) if keep_state else rows
 
     def outgoing(rows: DataFrame, incoming: DataFrame) -> DataFrame:
-        return (
-            rows.join(F.broadcast(incoming), [*keys, BLOCK])
-            .groupBy(*keys, BLOCK)
-            .applyInArrow(final_state, f"{key_ddl}, {BLOCK} int, _incoming string, _outgoing string")
+        # Only blocks with an entry in ``incoming`` run; the state travels once per block, not per row.
+        chosen = rows.join(F.broadcast(incoming.select(*where)), where, "left_semi")
+        return chosen.groupBy(*where).cogroup(_own_columns(incoming).groupBy(*where)).applyInArrow(
+            final_state, f"{key_ddl}, {BLOCK} int, _incoming string, _outgoing string"
         )
 
-    hot = blocks.join(F.broadcast(spanning_keys(blocks, keys)), keys, "left_semi")
-    pending = hot.select(*keys, BLOCK).distinct().withColumn("_incoming", F.lit(None).cast("string"))
+    starts = blocks.groupBy(*keys).agg(F.min(BLOCK).alias(BLOCK))
+    if initial is None:
+        starts = starts.withColumn("_incoming", F.lit(None).cast("string"))
+    else:
+        starts = starts.join(initial.select(*keys, F.col(STATE).alias("_incoming")), keys, "left")
+    spans = F.broadcast(spanning_keys(blocks, keys))
+    hot = blocks.join(spans, keys, "left_semi")
+    pending = hot.select(*where).distinct().join(starts.join(spans, keys, "left_semi"), where, "left")
     along = Window.partitionBy(*keys).orderBy(BLOCK)
     states = outgoing(hot, pending).checkpoint()
     while True:
         handed = states.withColumn("_handed", F.lag("_outgoing").over(along))
-        changed = handed.where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
-        changed = changed.select(*keys, BLOCK, F.col("_handed").alias("_incoming"))
+        changed = handed.where("_handed is not null").where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
+        changed = changed.select(*where, F.col("_handed").alias("_incoming"))
         if changed.isEmpty():
             break
         again = outgoing(hot, changed)
-        states = states.join(changed, [*keys, BLOCK], "left_anti").unionByName(again).checkpoint()
+        states = states.join(changed, where, "left_anti").unionByName(again).checkpoint()
 
-    incoming = F.broadcast(states.select(*keys, BLOCK, "_incoming"))
-    rows = blocks.join(incoming, [*keys, BLOCK], "left").select(*blocks.columns, "_incoming")
+    incoming = states.select(*where, "_incoming")
+    if initial is not None:
+        incoming = incoming.unionByName(starts.join(spans, keys, "left_anti").select(*where, "_incoming"))
+    incoming = incoming.where("_incoming is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema += "".join(f", `{n}` {t}" for n, t in fields.items())
-    return rows.groupBy(BLOCK).applyInArrow(decide, schema)
+    schema += "".join(f", `{n}` {t}" for n, t in fields.items()) + (f", {STATE} string" if keep_state else "")
+    return blocks.groupBy(BLOCK).cogroup(_own_columns(incoming).groupBy(BLOCK)).applyInArrow(decide, schema)

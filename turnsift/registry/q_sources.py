@@ -123,9 +123,9 @@ def upgrade_v1(spark, sf_dir):
 def rolling_retention(spark, sf_dir):
     sink = F.explode(F.array(F.lit("clean"), F.lit("recent"))).alias("sink")
     rows = message_log(spark, sf_dir).select("convo_id", "seq", "ts", "platform", sink)
-    limit = F.when(F.col("sink") == "recent", sinks.RETENTION["recent"]).otherwise(sinks.RETENTION["clean"])
     newest = [F.desc("ts"), F.desc("convo_id"), F.desc("seq")]
-    kept = sinks.rolling_retention(rows, ["sink", "platform"], newest, limit)
+    limits = {name: sinks.RETENTION[name] for name in ("clean", "recent")}
+    kept = sinks.rolling_retention(rows, ["sink", "platform"], newest, limits)
     return kept.select("sink", "platform", "convo_id", "seq", F.col("age_rank").cast("bigint").alias("age_rank"))
 
 

@@ -87,5 +87,7 @@ def velocity_stream(spark, sf_dir):
 
 @query("replay_stream", None)
 def replay_stream(spark, sf_dir):
-    decided = finish(spark, jobs.replay_stream(log_stream(spark, sf_dir)), "replay")
+    job = jobs.ReplayLog(fresh_folder(spark, "replay"))
+    job.start(log_stream(spark, sf_dir)).awaitTermination()
+    decided = spark.read.parquet(f"{job.folder}/data").drop("epoch")
     return rp.apply_removals(decided).select(*ROW, "action", F.array_join("reasons", ",").alias("reasons"))

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 RETENTION = {"clean": 100, "verbose": 100, "recent": 2, "diagnostic": 1000, "analytics": 2000}
 
 
-def rolling_retention(rows: DataFrame, sink: list[str], newest: list[Column], limit: Column | int) -> DataFrame:
-    """The newest ``limit`` rows of each sink.  Every map task cuts its own share first."""
+def rolling_retention(rows: DataFrame, sink: list[str], newest: list[Column], limits: dict[str, int] | int) -> DataFrame:
+    """The newest rows of each sink: the same number everywhere, or by the name in ``sink[0]``.
+
+    The largest number is a constant in the filter on the rank, so every map task cuts its
+    own rows to it before the shuffle and no task sees a whole sink.
+    """
     rank = F.row_number().over(Window.partitionBy(*sink).orderBy(*newest))
-    bound = F.lit(limit) if isinstance(limit, int) else limit
-    return rows.withColumn("age_rank", rank).where(F.col("age_rank") <= bound)
+    if isinstance(limits, int):
+        return rows.withColumn("age_rank", rank).where(F.col("age_rank") <= limits)
+    kept = rows.withColumn("age_rank", rank).where(F.col("age_rank") <= max(limits.values()))
+    bounds = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return kept.where(F.col("age_rank") <= bounds[F.col(sink[0])])
 
 
 def fan_out(decisions: DataFrame, folder: str) -> dict[str, str]:

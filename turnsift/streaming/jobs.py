@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnsift.operators.dedup import ID
 from turnsift.operators.noise import classify_noise
-from turnsift.operators.replay import prepare, replay_step
+from turnsift.operators.replay import FIELDS, prepare, replay_step
 from turnsift.plans.greedy import keep_if_quiet
+from turnsift.plans.relay import STATE, relay
+from turnsift.session import cut_lineage
 
 
 def start_files(rows: DataFrame, folder: str, partition_by: list[str] | None = None, continuous: str | None = None) -> StreamingQuery:
@@ -62,68 +59,78 @@ def velocity_stream(messages: DataFrame, threshold: int, delay: str, session: st
     return counts.where(F.col("rows") > threshold).select(session, F.col("window.start").alias("start"), "rows")
 
 
-class QuietDedup:
-    """Keep-if-quiet over micro-batches, as a ``foreachBatch`` function.
+class BatchJob:
+    """A job per micro-batch whose memory is a table, as a ``foreachBatch`` function.
 
-    Each batch is decided with the same blocked job as a table.  What it needs from before
-    are the rows kept within the last window, put in front of the batch as forced rows;
-    they are written per batch, so a repeated batch reads the same state and overwrites
-    its own output.  Batches must arrive in event order up to ``late_seconds``.
+    Every batch is decided with the same blocked job as a table, so a hot key is split here
+    as well.  The memory a batch leaves is written under its number and read by the next
+    one: a batch that runs again reads the same memory and overwrites its own output.
+    Batches must arrive in event order.
     """
 
-    def __init__(self, folder: str, keys: list[str], window: Column, longest: float, late_seconds: float = 0):
-        self.folder, self.keys, self.window = folder, keys, window
-        self.reach = longest + late_seconds
+    def __init__(self, folder: str):
+        self.folder = folder
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        columns = [*dict.fromkeys([*ID, "ts", *self.keys])]
-        rows = batch.select(*columns).withColumn("carried", F.lit(False))
-        before = self._state(spark, epoch - 1)
-        if before is not None:
-            rows = rows.unionByName(before.select(*columns).withColumn("carried", F.lit(True)))
-        decided = keep_if_quiet(rows, self.keys, "ts", ID, self.window, forced=F.col("carried"))
-        decided.where(~F.col("carried")).drop("carried").write.mode("overwrite").parquet(f"{self.folder}/data/epoch={epoch}")
-        kept = decided.where("kept").drop("kept", "carried")
-        newest = kept.agg(F.max("ts").alias("newest"))
-        # One row, so the broadcast is bounded.
-        recent = kept.join(F.broadcast(newest), F.unix_micros("ts") >= F.unix_micros("newest") - int(self.reach * 1_000_000))
-        recent.drop("newest").write.mode("overwrite").parquet(f"{self.folder}/state/epoch={epoch}")
-
-    def _state(self, spark: SparkSession, epoch: int) -> DataFrame | None:
+    def memory(self, spark: SparkSession, epoch: int) -> DataFrame | None:
         return spark.read.parquet(f"{self.folder}/state/epoch={epoch}") if epoch >= 0 else None
 
+    def write(self, name: str, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        raise NotImplementedError
+
     def start(self, stream: DataFrame) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/_checkpoint")
         return writer.trigger(availableNow=True).start()
 
 
-DECISION = "convo_id string, seq bigint, ts timestamp, action string, reasons array<string>, removed array<bigint>"
+class QuietDedup(BatchJob):
+    """Keep-if-quiet over micro-batches.
 
+    The memory is the rows kept within the last ``longest`` seconds; they are put in front
+    of the next batch as forced rows.
+    """
 
-def replay_stream(messages: DataFrame, idle_ms: int = 3_600_000, delay: str = "10 seconds") -> DataFrame:
-    """Strict replay decisions per conversation with its ring as keyed state.
+    def __init__(self, folder: str, keys: list[str], window: Column, longest: float):
+        super().__init__(folder)
+        self.keys, self.window, self.longest = keys, window, longest
 
-    A conversation's rows of one batch are handled in order; a batch is as large as the
-    source's rate limit.  The ring of a conversation is dropped once the watermark is
-    ``idle_ms`` past its last row.
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        columns = [*dict.fromkeys([*ID, "ts", *self.keys])]
+        rows = batch.select(*columns).withColumn("carried", F.lit(False))
+        before = self.memory(batch.sparkSession, epoch - 1)
+        if before is not None:
+            rows = rows.unionByName(before.select(*columns).withColumn("carried", F.lit(True)))
+        decided = keep_if_quiet(rows, self.keys, "ts", ID, self.window, forced=F.col("carried"))
+        decided = cut_lineage(decided)
+        self.write("data", decided.where(~F.col("carried")).drop("carried"), epoch)
+        newest = decided.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+        recent = decided.where(F.col("kept") & (F.unix_micros("ts") >= newest - int(self.longest * 1_000_000)))
+        self.write("state", recent.select(*columns), epoch)
+
+
+class ReplayLog(BatchJob):
+    """Strict replay decisions over micro-batches.
+
+    The memory is the ring of clean rows of every conversation, dropped ``idle_seconds``
+    after its last row.
     """
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        decisions = [replay_step(memory, row) for row in rows.to_dict("records")]
-        state.update((json.dumps(memory, default=int),))
-        last = int(rows["at"].max()) // 1000
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        out = rows[["convo_id", "seq", "ts"]].copy()
-        for column in ("action", "reasons", "removed"):
-            out[column] = [d[column] for d in decisions]
-        yield out
-
-    return prepare(messages.withWatermark("ts", delay)).groupBy("convo_id").applyInPandasWithState(
-        decide, DECISION, "memory string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def __init__(self, folder: str, idle_seconds: int = 3600):
+        super().__init__(folder)
+        self.idle = idle_seconds
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        before = self.memory(batch.sparkSession, epoch - 1)
+        rows = prepare(batch)
+        decided = relay(rows, ["convo_id"], ["ts", "seq"], replay_step, FIELDS, initial=before, keep_state=True)
+        decided = cut_lineage(decided.select(*ID, "ts", *FIELDS, STATE))
+        self.write("data", decided.drop(STATE), epoch)
+        last = decided.where(F.col(STATE).isNotNull()).groupBy("convo_id").agg(
+            F.max_by(STATE, F.struct("ts", "seq")).alias(STATE), F.max("ts").alias("last_ts")
+        )
+        if before is not None:
+            last = last.unionByName(before.join(last.select("convo_id"), "convo_id", "left_anti"))
+        newest = decided.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+        self.write("state", last.where(F.unix_micros("last_ts") >= newest - self.idle * 1_000_000), epoch)
