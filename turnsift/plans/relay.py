@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnsift.plans.timeline import BLOCK, cut_into_blocks, spanning_keys
+from turnsift.session import cut_lineage
 
 Step = Callable[[dict, dict], dict]
 ARROW = {
@@ -104,7 +105,7 @@ def relay(
     hot = blocks.join(spans, keys, "left_semi")
     pending = hot.select(*where).distinct().join(starts.join(spans, keys, "left_semi"), where, "left")
     along = Window.partitionBy(*keys).orderBy(BLOCK)
-    states = outgoing(hot, pending).checkpoint()
+    states = cut_lineage(outgoing(hot, pending))
     while True:
         handed = states.withColumn("_handed", F.lag("_outgoing").over(along))
         changed = handed.where("_handed is not null").where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
@@ -112,7 +113,7 @@ def relay(
         if changed.isEmpty():
             break
         again = outgoing(hot, changed)
-        states = states.join(changed, where, "left_anti").unionByName(again).checkpoint()
+        states = cut_lineage(states.join(changed, where, "left_anti").unionByName(again))
 
     incoming = states.select(*where, "_incoming")
     if initial is not None:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnsift.session import shared_dir
+from turnsift.session import cut_lineage
 
 BLOCK = "_block"
 MAX_ROWS_PER_KEY = "spark.turnsift.maxRowsPerKey"
@@ -58,14 +58,13 @@ class KeySizes:
 def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by (keys, order) and record the partition of each row as ``_block``.
 
-    The range bounds come from a sample, so the result is written to the shared
-    checkpoint folder once: every later read sees the same cut, also after a lost executor.
+    The range bounds come from a sample, so the result is written to the shared folder
+    once: every later read sees the same cut, also after a lost executor.
     """
-    shared_dir(df.sparkSession)
     by = [F.col(k) for k in keys] + list(order)
     count = df.sparkSession.conf.get(BLOCKS, None)
     ranged = df.repartitionByRange(int(count), *by) if count else df.repartitionByRange(*by)
-    return ranged.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    return cut_lineage(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def spanning_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

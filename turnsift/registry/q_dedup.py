@@ -9,6 +9,7 @@ from turnsift.operators import replay as rp
 from turnsift.registry import query
 from turnsift.registry.base import LOG, conv_number, kind, message_log, sql_norm, sql_any, sql_strip, turn
 from turnsift.registry.q_enrich import CLEAN
+from turnsift.registry.q_noise import NOISE
 from turnsift.functions import text as tx
 
 ROW = ["convo_id", "seq"]
@@ -135,7 +136,42 @@ def name_prefix_echo_block(spark, sf_dir):
     return ops.name_prefix_echo(plain(spark, sf_dir)).select(*ROW, "blocked")
 
 
-@query("replay_dedup", None)
+# The strict replay, one row per step; ``ring`` holds the clean rows as structs.  A conversation
+# has one platform, so platforms need not be compared.
+_ITEM = "{'seq': r.seq, 'ms': r.ms, 'role': r.role, 'content': r.content}"
+_SAME = "list_filter(g.ring[-50:], lambda x: x.role = r.role AND x.content = r.content)"
+_EXACT_X = f"(r.ms - x.ms <= 10000 AND {sql_strip('x.content')} = {sql_strip('r.content')})"
+_HITS = f"list_filter(g.ring[-50:][-5:], lambda x: x.role = 'user' AND ({_EXACT_X} OR (r.ms - x.ms <= 30000 AND contains(lower(r.content), lower(x.content)))))"
+REPLAY = (
+    f"{NOISE}, y AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS rn, (role = 'user' AND starts_with(content, 'J') AND length(content) > 10 "
+    f"AND {sql_any('substr(content, 2)', ['testmessage', 'respond'])}) AS blocked FROM noise), "
+    "steps AS (SELECT DISTINCT convo_id, 0::BIGINT AS rn, 0::BIGINT AS seq, '' AS action, '' AS reasons, []::BIGINT[] AS removed, "
+    "[]::STRUCT(seq BIGINT, ms BIGINT, role VARCHAR, content VARCHAR)[] AS ring FROM y UNION ALL "
+    "SELECT convo_id, rn, seq, action, CASE WHEN action = 'drop' THEN reason WHEN action = 'verbose_only' THEN concat_ws(',', CASE WHEN echo THEN 'user_input_echo' END, CASE WHEN noise THEN noise_rule END) ELSE '' END, "
+    "removed, CASE WHEN action = 'keep' THEN list_append(ring2, item)[-100:] ELSE ring2 END FROM ("
+    "SELECT *, CASE WHEN reason <> '' THEN 'drop' WHEN echo OR noise THEN 'verbose_only' ELSE 'keep' END AS action, "
+    "list_concat(CASE WHEN sup THEN [ring0[-1].seq] ELSE [] END, CASE WHEN early = '' AND frag IS NOT NULL THEN list_transform(list_filter(ring1, lambda x: x.ms = frag.ms AND x.content = frag.content), lambda x: x.seq) ELSE [] END) AS removed FROM ("
+    "SELECT *, CASE WHEN early <> '' THEN early WHEN role = 'assistant' AND platform = 'claude' AND len(list_filter(ring2[-10:], lambda x: x.role = 'user' AND item.ms - x.ms BETWEEN 0 AND 30000 "
+    "AND length(x.content) >= 10 AND substr(item.content, 2) = x.content)) > 0 THEN 'name_prefix_echo' ELSE '' END AS reason FROM ("
+    "SELECT *, CASE WHEN early = '' AND frag IS NOT NULL THEN list_filter(ring1, lambda x: NOT (x.ms = frag.ms AND x.content = frag.content)) ELSE ring1 END AS ring2 FROM ("
+    "SELECT *, CASE WHEN role = 'assistant' THEN list_filter(ring1[-20:], lambda x: x.role = 'assistant' AND item.ms - x.ms > 0 AND item.ms - x.ms <= 5000 AND length(x.content) >= 3 "
+    "AND length(x.content) < length(item.content) AND starts_with(item.content, x.content))[1] END AS frag, "
+    "coalesce(role = 'assistant' AND NOT known AND hit_exact, false) AS echo FROM ("
+    "SELECT *, CASE WHEN sup THEN ring0[:-2] ELSE ring0 END AS ring1, CASE WHEN first_drop <> '' THEN first_drop WHEN known AND item.ms - same[1].ms < 10000 THEN 'fast_repeat' ELSE '' END AS early FROM ("
+    "SELECT *, first_drop = '' AND role = 'user' AND len(ring0) > 0 AND ring0[-1].role = 'user' AND starts_with(ring0[-1].content, 'J') AND substr(ring0[-1].content, 2) = item.content AS sup FROM ("
+    "SELECT r.convo_id, r.rn, r.seq, r.role, r.platform, r.noise, r.noise_rule, g.ring AS ring0, "
+    f"{_ITEM} AS item, {_SAME} AS same, len({_SAME}) > 0 AND {_SAME}[1].ms <> r.ms AS known, "
+    f"CASE WHEN len({_HITS}) > 0 THEN r.ms - {_HITS}[1].ms <= 10000 AND {sql_strip(_HITS + '[1].content')} = {sql_strip('r.content')} END AS hit_exact, "
+    f"CASE WHEN len(list_filter({_SAME}, lambda x: r.ms - x.ms <= CASE WHEN r.role = 'assistant' THEN 2000 ELSE 5000 END)) > 0 THEN 'duplicate_window' "
+    f"WHEN r.role = 'assistant' AND len(list_filter({_SAME}, lambda x: r.ms - x.ms <= 30000)) > 0 THEN 'assistant_repeat' "
+    "WHEN r.blocked AND len(g.ring) > 0 THEN 'prefix_block' ELSE '' END AS first_drop FROM steps g JOIN y r ON r.convo_id = g.convo_id AND r.rn = g.rn + 1)))))))), "
+    "gone AS (SELECT DISTINCT convo_id, unnest(removed) AS seq FROM steps), "
+    "replayed AS (SELECT s.convo_id, s.seq, CASE WHEN s.action = 'keep' AND gone.seq IS NOT NULL THEN 'superseded' ELSE s.action END AS action, s.reasons "
+    "FROM steps s LEFT JOIN gone ON gone.convo_id = s.convo_id AND gone.seq = s.seq WHERE s.rn > 0)"
+)
+
+
+@query("replay_dedup", f"{LOG}, {REPLAY} SELECT * FROM replayed")
 def replay_dedup(spark, sf_dir):
     return rp.replay_dedup(plain(spark, sf_dir)).select(*ROW, "action", F.array_join("reasons", ",").alias("reasons"))
 
@@ -299,7 +335,28 @@ def exchange_events(spark, sf_dir):
     return rows.unionByName(sends)
 
 
-@query("genuine_response_strict", None)
+# One row per event; a row number 0 per conversation holds the state at the start.
+_OPEN = "g.open AND r.ms - g.sent <= 15000"
+_X = (
+    "x0 AS (SELECT convo_id, seq, ms, role AS event, content, CASE WHEN role = 'user' AND seq % 3 = 0 THEN ms - 20000 END AS marked FROM log WHERE role <> 'system' "
+    "UNION ALL SELECT convo_id, seq - 64000000, ms - 300, 'send', content, NULL FROM log WHERE role = 'user' AND kind = 0), "
+    "x1 AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS rn FROM x0), "
+    "exchange AS (SELECT DISTINCT convo_id, 0::BIGINT AS rn, 0::BIGINT AS seq, '' AS event, false AS genuine, false AS open, '' AS said, 0::BIGINT AS sent, false AS seen, false AS done FROM x1 "
+    "UNION ALL SELECT convo_id, rn, seq, event, (mark OR (uhit AND ms - sent0 <= 5000) OR ahit), "
+    "CASE WHEN snd OR mark THEN true WHEN ahit THEN false ELSE open0 END, CASE WHEN snd OR mark THEN content ELSE said0 END, "
+    "CASE WHEN snd OR mark THEN ms ELSE sent0 END, CASE WHEN snd THEN false WHEN mark OR uhit THEN true ELSE seen0 END, "
+    "CASE WHEN snd OR mark THEN false WHEN ahit THEN true ELSE done0 END FROM ("
+    "SELECT r.convo_id, r.rn, r.seq, r.event, r.ms, r.content, g.open AS open0, g.said AS said0, g.sent AS sent0, g.seen AS seen0, g.done AS done0, "
+    "(r.event = 'send' AND NOT (g.open AND r.ms - g.sent < 1000)) AS snd, "
+    "(r.event = 'user' AND r.marked IS NOT NULL AND r.ms - r.marked < 30000) AS mark, "
+    f"(r.event = 'user' AND NOT (r.marked IS NOT NULL AND r.ms - r.marked < 30000) AND {_OPEN} AND r.content = g.said AND NOT g.seen) AS uhit, "
+    f"(r.event = 'assistant' AND {_OPEN} AND g.seen AND NOT g.done AND r.ms - g.sent >= 500) AS ahit "
+    "FROM exchange g JOIN x1 r ON r.convo_id = g.convo_id AND r.rn = g.rn + 1))"
+)
+STRICT = f"{_X}, strict AS (SELECT convo_id, seq, event, genuine FROM exchange WHERE rn > 0)"
+
+
+@query("genuine_response_strict", f"{LOG}, {STRICT} SELECT * FROM strict")
 def genuine_response_strict(spark, sf_dir):
     return ops.genuine_response_strict(exchange_events(spark, sf_dir)).select(*ROW, "event", "genuine")
 

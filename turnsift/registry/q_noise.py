@@ -100,10 +100,19 @@ for _name, (_column, _check) in _FLAGS.items():
     _flag(_name, _column, _check)
 
 
-@query(
-    "container_noise",
-    None,
+# The elements of ``q_sources.diagnostic_lines`` in SQL.
+DIAGNOSTIC = (
+    "diag AS (SELECT convo_id, seq, platform, ms AS ts_ms, CASE WHEN seq % 3 <> 0 THEN 'raw_transmission' ELSE 'diagnostic' END AS type, "
+    "CASE WHEN seq % 2 = 0 THEN 'add' ELSE 'mutation' END AS transmission_type, "
+    "(['DIV', 'P', 'BUTTON', 'NAV', 'ARTICLE', 'SPAN'])[seq % 6 + 1] AS tag, "
+    "(['markdown prose', 'chat-message', 'sidebar item', 'font-claude-response', 'toolbar', 'conversation-turn'])[(seq % 6 + seq // 64) % 6 + 1] AS classes, "
+    "length(content)::BIGINT AS text_length, left(content, 100) AS preview, CASE WHEN seq % 4 = 0 THEN role END AS element_role FROM log)"
 )
+_CONTENT_BOX = f"({sql_any('classes', rules.CONTENT_CLASSES)} AND platform = 'chatgpt')"
+_CHROME = f"(lower(tag) IN ('button', 'nav', 'header') OR {sql_any('classes', rules.CHROME_CLASSES)})"
+
+
+@query("container_noise", f"{LOG}, {DIAGNOSTIC} SELECT convo_id, seq, NOT {_CONTENT_BOX} AND {_CHROME} AS container_noise FROM diag")
 def container_noise(spark, sf_dir):
     from turnsift.registry.q_sources import diagnostic_events
 
@@ -112,7 +121,15 @@ def container_noise(spark, sf_dir):
     return rows.select(*ROW, flag.alias("container_noise"))
 
 
-@query("is_conversation_element", None)
+_SHOWN = sql_strip("preview")
+
+
+@query(
+    "is_conversation_element",
+    f"{LOG}, {DIAGNOSTIC} SELECT convo_id, seq, length({_SHOWN}) >= 3 AND (element_role IS NOT NULL OR (length({_SHOWN}) > 10 "
+    f"AND ({sql_any(_SHOWN, ['okay', 'testmessage', 'respond'])} OR regexp_matches({_SHOWN}, '^[A-Z]')) "
+    f"AND {sql_any('classes', ['chat', 'message', 'conversation'])})) AS is_conversation FROM diag",
+)
 def is_conversation_element(spark, sf_dir):
     from turnsift.registry.q_sources import diagnostic_events
 

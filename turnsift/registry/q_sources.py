@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from turnsift import schemas
 from turnsift.operators import noise as noise_ops
 from turnsift.registry import query
 from turnsift.registry.base import LOG, LABEL_TEXTS, S, kind, message_log, read, sql_norm, sql_strip
-from turnsift.registry.q_noise import NOISE
-from turnsift.session import shared_dir
+from turnsift.registry.q_noise import DIAGNOSTIC, NOISE
+from turnsift.session import fresh_folder
 from turnsift.sources import events as ev
 from turnsift.sources import messages as ms
 from turnsift.sources import pages as pg
@@ -21,10 +19,6 @@ def ts_ms():
     return F.unix_millis("ts").alias("ts_ms")
 
 
-def fresh_folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("read_message_log", f"{LOG} SELECT ms AS ts_ms, platform, role, content, len(urls)::BIGINT AS n_urls FROM log")
 def read_message_log(spark, sf_dir):
     folder = fresh_folder(spark, "log")
@@ -242,15 +236,6 @@ def diagnostic_lines(spark, sf_dir):
     return log.select("convo_id", "seq", "platform", doc.alias("value"))
 
 
-_TAG = "(" + str(TAGS) + ")[seq % 6 + 1]"
-_CLASS = "(" + str(CLASSES) + ")[(seq % 6 + seq // 64) % 6 + 1]"
-DIAGNOSTIC = (
-    f"diag AS (SELECT convo_id, seq, platform, ms AS ts_ms, CASE WHEN seq % 3 <> 0 THEN 'raw_transmission' ELSE 'diagnostic' END AS type, "
-    f"CASE WHEN seq % 2 = 0 THEN 'add' ELSE 'mutation' END AS transmission_type, {_TAG} AS tag, {_CLASS} AS classes, "
-    "length(content)::BIGINT AS text_length, left(content, 100) AS preview, CASE WHEN seq % 4 = 0 THEN role END AS element_role FROM log)"
-)
-
-
 def diagnostic_events(spark, sf_dir):
     rows = ev.ingest_diagnostic(diagnostic_lines(spark, sf_dir))
     mark = F.get(F.filter("element.dataAttrs", lambda a: a.startswith("data-message-author-role=")), 0)

@@ -8,9 +8,10 @@ from turnsift.functions import text as tx
 from turnsift.operators import replay as rp
 from turnsift.registry import query
 from turnsift.registry.base import LOG, message_log, turn
-from turnsift.registry.q_dedup import _BURSTS, greedy_sql
+from turnsift.registry.q_dedup import _BURSTS, REPLAY, greedy_sql
 from turnsift.registry.q_noise import NOISE
-from turnsift.registry.q_sources import fresh_folder, ts_ms
+from turnsift.registry.q_sources import ts_ms
+from turnsift.session import fresh_folder
 from turnsift.sources import messages as ms
 from turnsift.streaming import jobs
 
@@ -85,7 +86,7 @@ def velocity_stream(spark, sf_dir):
     return finish(spark, rows, "velocity").select("convo_id", F.unix_millis("start").alias("start_ms"), "rows")
 
 
-@query("replay_stream", None)
+@query("replay_stream", f"{LOG}, {REPLAY} SELECT * FROM replayed")
 def replay_stream(spark, sf_dir):
     job = jobs.ReplayLog(fresh_folder(spark, "replay"))
     job.start(log_stream(spark, sf_dir)).awaitTermination()

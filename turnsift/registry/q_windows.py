@@ -10,7 +10,7 @@ from turnsift.operators import dedup as dd
 from turnsift.operators import windows as ops
 from turnsift.registry import query
 from turnsift.registry.base import BASELINE, LOG, baseline, message_log, read, sql_any, sql_strip
-from turnsift.registry.q_dedup import GENUINE, LEADING, exchange_events, greedy_sql, plain, with_model
+from turnsift.registry.q_dedup import GENUINE, LEADING, STRICT, exchange_events, greedy_sql, plain, with_model
 
 ROW = ["convo_id", "seq"]
 _W = "(PARTITION BY convo_id ORDER BY ms, seq)"
@@ -141,7 +141,12 @@ def signal_decisions_lab(spark, sf_dir):
     )
 
 
-@query("signal_decisions_genuine", None)
+@query(
+    "signal_decisions_genuine",
+    f"{LOG}, {_SIGNALS}, {STRICT} SELECT lab.convo_id, lab.seq, lab.filtered AND NOT coalesce(s.genuine, false) AS filtered, "
+    "CASE WHEN coalesce(s.genuine, false) THEN '' ELSE lab.filtered_by END AS filtered_by, coalesce(s.genuine, false) AS is_genuine_response, "
+    "coalesce(s.genuine, false) AND lab.role = 'user' AS is_genuine_user_input FROM lab LEFT JOIN strict s USING (convo_id, seq)",
+)
 def signal_decisions_genuine(spark, sf_dir):
     rows = ops.signal_pipeline_genuine(plain(spark, sf_dir), exchange_events(spark, sf_dir))
     return rows.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local[...] session without that setting gets a folder of its own.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="turnsift-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, for a table that several scans read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written once to the shared folder.
+
+    Later scans read only the columns they need, see the same rows however often they run,
+    and survive lost executors.
+    """
+    path = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
