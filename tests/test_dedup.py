@@ -156,3 +156,13 @@ def test_debounce(log, mode):
 def test_input_cleared(log, mode):
     rows = log([(0, "user", "he"), (1, "user", "hello"), (2, "user", "h"), (3, "user", ""), (4, "user", "")])
     assert [r.content for r in dedup.input_cleared_sends(rows).collect()] == ["hello"]
+
+
+def test_states_that_outlive_blocks(log, mode):
+    """A text that is too late for good, and a ring that whole blocks leave alone."""
+    times = [0, 10, 100] + [101 + i for i in range(30)]
+    rows = log([(t, "assistant", "same reply") for t in times])
+    got = {r.seq for r in dedup.is_new_direct(rows).where("is_new").collect()}
+    assert got == {0, 1}
+    rows = log([(i, "assistant", f"reply {i % 3}") for i in range(40)])
+    assert {r.seq for r in dedup.recent_history_dedup(rows).where("kept").collect()} == {0, 1, 2}

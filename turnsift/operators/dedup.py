@@ -187,7 +187,13 @@ def recent_history_dedup(messages: DataFrame, rows_back: int = 20) -> DataFrame:
         del ring[:-rows_back]
         return {"kept": True}
 
-    return relay(rows, ["convo_id"], CONVO_ORDER, step, {"kept": "boolean"}).drop("text_key")
+    def only_known(state: dict, texts: list | None) -> bool:
+        return texts is not None and set(texts) <= set(state.get("ring", []))
+
+    kept = relay(
+        rows, ["convo_id"], CONVO_ORDER, step, {"kept": "boolean"}, unchanged=only_known, values_of="text_key"
+    )
+    return kept.drop("text_key")
 
 
 def consecutive_dedup(messages: DataFrame) -> DataFrame:
@@ -284,6 +290,8 @@ def is_new_direct(messages: DataFrame) -> DataFrame:
         if gap is not None and gap < 30_000_000:
             new = True
         elif gap is not None and gap > 60_000_000:
+            # The memory of the text stays as it is, so every later row is too late as well.
+            state["final"] = True
             new = False
         else:
             new = not (row["role"] == "assistant" and silent)
@@ -292,9 +300,11 @@ def is_new_direct(messages: DataFrame) -> DataFrame:
         return {"is_new": new}
 
     keyed = clock.drop("is_new")
-    return relay(keyed, ["convo_id", "digest"], CONVO_ORDER, step, {"is_new": "boolean"}).select(
-        *ID, "ts", "role", "is_new"
+    decided = relay(
+        keyed, ["convo_id", "digest"], CONVO_ORDER, step, {"is_new": "boolean"},
+        unchanged=lambda state, _: state.get("final", False),
     )
+    return decided.select(*ID, "ts", "role", "is_new")
 
 
 def is_new_production(messages: DataFrame) -> DataFrame:
@@ -381,21 +391,26 @@ def genuine_response_fast(messages: DataFrame, earliest: float = 0.5, latest: fl
 
 
 def genuine_exchange_step(state: dict, row: dict) -> dict:
-    """One event of the user-send / reply tracking; ``event`` is send, user or assistant."""
+    """One event of the user-send / reply tracking; ``event`` is send, user or assistant.
+
+    The state is empty unless a reply is awaited, so it does not outlive its fifteen seconds.
+    """
     at, genuine = row["at"], False
+    if state and at - state["sent"] > 15_000_000:
+        state.clear()
     if row["event"] == "send":
-        if not (state.get("open") and at - state["sent"] < 1_000_000):
-            state.update(open=True, text=row["digest"], sent=at, seen=False, done=False)
+        if not (state and at - state["sent"] < 1_000_000):
+            state.update(text=row["digest"], sent=at, seen=False)
     elif row["event"] == "user" and row["marked_at"] is not None and at - row["marked_at"] < 30_000_000:
-        state.update(open=True, text=row["digest"], sent=at, seen=True, done=False)
+        state.update(text=row["digest"], sent=at, seen=True)
         genuine = True
-    elif state.get("open") and at - state["sent"] <= 15_000_000:
+    elif state:
         wait = at - state["sent"]
         if row["event"] == "user" and row["digest"] == state["text"] and not state["seen"]:
             state["seen"] = True
             genuine = wait <= 5_000_000
-        elif row["event"] == "assistant" and state["seen"] and not state["done"] and wait >= 500_000:
-            state.update(done=True, open=False)
+        elif row["event"] == "assistant" and state["seen"] and wait >= 500_000:
+            state.clear()
             genuine = True
     return {"genuine": genuine}
 

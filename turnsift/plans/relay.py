@@ -5,7 +5,8 @@ exchange).  Every block is run on its own; a block that continues a key starts f
 state the previous block left.  That state is first taken as empty, then corrected: only
 blocks whose incoming state changed run again, until none does.  The result equals one
 sequential pass, and such states usually settle after two or three rounds because they
-forget old rows.
+forget old rows.  Where a state can outlive whole blocks, ``unchanged`` says when a block
+hands it on as it came, so that it reaches all those blocks in one round.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnsift.plans.timeline import BLOCK, cut_into_blocks, spanning_keys
 from turnsift.session import cut_lineage
 
 Step = Callable[[dict, dict], dict]
+Unchanged = Callable[[dict, list | None], bool]
+MOST_VALUES = 64
 ARROW = {
     "boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()),
     "array<bigint>": pa.list_(pa.int64()),
@@ -50,6 +55,23 @@ def _states(table: pa.Table, keys: list[str]) -> dict[tuple, str]:
     return {tuple(r[k] for k in keys): r["_incoming"] for r in table.to_pylist()}
 
 
+def _values(rows: pa.Table, column: str | None) -> str:
+    """The distinct values of a column as JSON, ``null`` if there are many."""
+    found = pc.unique(rows[column]).to_pylist() if column else None
+    return json.dumps(found if found is not None and len(found) <= MOST_VALUES else None)
+
+
+def _hand_on(pdf: pd.DataFrame, unchanged: Unchanged) -> pd.DataFrame:
+    """Incoming state of each block of one key, given what the blocks did last time they ran."""
+    pdf = pdf.sort_values(BLOCK)
+    current, handed = pdf["_incoming"].iloc[0], []
+    for incoming, outgoing, values in zip(pdf["_incoming"], pdf["_outgoing"], pdf["_values"]):
+        handed.append(current)
+        if not unchanged(json.loads(current or "{}"), json.loads(values)):
+            current = outgoing
+    return pdf.assign(_handed=handed)
+
+
 def _own_columns(df: DataFrame) -> DataFrame:
     """``df`` under new column identities, so that it can be cogrouped with its origin."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -63,23 +85,30 @@ def relay(
     fields: dict[str, str],
     initial: DataFrame | None = None,
     keep_state: bool = False,
+    unchanged: Unchanged = lambda state, values: False,
+    values_of: str | None = None,
 ) -> DataFrame:
     """Add the columns ``fields`` (name to type) computed by ``step(state, row)`` in order.
 
     ``step`` changes ``state`` (a JSON-like dict, empty at the start of a key) in place
     and returns the values of ``fields`` for the row.  Keys must not be null.  ``initial``
     (keys and ``_state``) gives the state keys start from; with ``keep_state`` the result
-    has ``_state`` on the last row a key has in a block.
+    has ``_state`` on the last row a key has in a block.  ``unchanged(state, values)`` may
+    say that a block would leave ``state`` as it is, given the distinct values of the
+    column ``values_of`` in it (None if there are many).
     """
     keys, order = list(keys), list(order)
     blocks = cut_into_blocks(df, keys, [F.col(c) for c in order])
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    state_ddl = f"{BLOCK} int, _incoming string, _outgoing string, _values string"
     where = [*keys, BLOCK]
 
     def final_state(rows: pa.Table, incoming: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in order])
         _, after = _run(rows.to_pylist(), keys, _states(incoming, keys), step)
-        return incoming.select([*where, "_incoming"]).append_column("_outgoing", pa.array([after[-1]], pa.string()))
+        head = incoming.select([*where, "_incoming"])
+        head = head.append_column("_outgoing", pa.array([after[-1]], pa.string()))
+        return head.append_column("_values", pa.array([_values(rows, values_of)], pa.string()))
 
     def decide(rows: pa.Table, incoming: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in [*keys, *order]])
@@ -93,7 +122,7 @@ def relay(
         # Only blocks with an entry in ``incoming`` run; the state travels once per block, not per row.
         chosen = rows.join(F.broadcast(incoming.select(*where)), where, "left_semi")
         return chosen.groupBy(*where).cogroup(_own_columns(incoming).groupBy(*where)).applyInArrow(
-            final_state, f"{key_ddl}, {BLOCK} int, _incoming string, _outgoing string"
+            final_state, f"{key_ddl}, {state_ddl}"
         )
 
     starts = blocks.groupBy(*keys).agg(F.min(BLOCK).alias(BLOCK))
@@ -104,11 +133,13 @@ def relay(
     spans = F.broadcast(spanning_keys(blocks, keys))
     hot = blocks.join(spans, keys, "left_semi")
     pending = hot.select(*where).distinct().join(starts.join(spans, keys, "left_semi"), where, "left")
-    along = Window.partitionBy(*keys).orderBy(BLOCK)
     states = cut_lineage(outgoing(hot, pending))
     while True:
-        handed = states.withColumn("_handed", F.lag("_outgoing").over(along))
-        changed = handed.where("_handed is not null").where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
+        # One row per block a hot key has, so a key's rows here are few.
+        handed = states.groupBy(*keys).applyInPandas(
+            lambda pdf: _hand_on(pdf, unchanged), f"{key_ddl}, {state_ddl}, _handed string"
+        )
+        changed = handed.where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
         changed = changed.select(*where, F.col("_handed").alias("_incoming"))
         if changed.isEmpty():
             break
