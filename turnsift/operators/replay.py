@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import noise as rules
 from turnsift.plans.relay import relay
+from turnsift.session import cut_lineage
 
 # Rows and seconds each rule looks back.
 RING, FRAGMENT_ROWS, NAME_ROWS, ECHO_ROWS = 50, 20, 10, 5
@@ -127,5 +128,6 @@ def apply_removals(decided: DataFrame) -> DataFrame:
 def replay_dedup(messages: DataFrame, historical: Column | None = None, signal_noise: Column | None = None) -> DataFrame:
     """DECISION table: ``action`` (keep, drop, verbose_only, superseded) and ``reasons``."""
     rows = prepare(messages, historical, signal_noise)
-    decided = relay(rows, ["convo_id"], ["ts", "seq"], replay_step, FIELDS)
+    # The decisions are read twice, for the rows and for what they remove.
+    decided = cut_lineage(relay(rows, ["convo_id"], ["ts", "seq"], replay_step, FIELDS))
     return apply_removals(decided).select("convo_id", "seq", "ts", "platform", "role", "content", "action", "reasons")

@@ -106,6 +106,21 @@ def _decide(table: pa.Table, keys: list[str], ties: list[str]) -> pa.Table:
     return table.append_column("kept", pa.array(kept)).drop_columns(["_t", "_width", "_before", "_forced", BLOCK])
 
 
+def _kept_before(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Last kept time before each block of the keys that lie in several."""
+    key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    narrow = blocks.select(*keys, BLOCK, "_t", "_width", "_forced")
+    steps = (
+        narrow.join(F.broadcast(spans), keys, "left_semi")
+        .groupBy(*keys, BLOCK)
+        .applyInPandas(
+            lambda pdf: _step_function(pdf, keys),
+            f"{key_ddl}, {BLOCK} int, _width bigint, bounds array<bigint>, exits array<bigint>",
+        )
+    )
+    return steps.groupBy(*keys).applyInPandas(lambda pdf: _chain(pdf, keys), f"{key_ddl}, {BLOCK} int, _before bigint")
+
+
 def keep_if_quiet(
     df: DataFrame,
     keys: Sequence[str],
@@ -129,21 +144,12 @@ def keep_if_quiet(
         "_forced": F.lit(False) if forced is None else F.coalesce(forced, F.lit(False)),
     })
     blocks = cut_into_blocks(timed, keys, [F.col("_t"), *map(F.col, ties)])
-    hot = F.broadcast(spanning_keys(blocks, keys))
-    narrow = blocks.select(*keys, BLOCK, "_t", "_width", "_forced")
-    key_fields = [blocks.schema[k] for k in keys]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    steps = (
-        narrow.join(hot, keys, "left_semi")
-        .groupBy(*keys, BLOCK)
-        .applyInPandas(
-            lambda pdf: _step_function(pdf, keys),
-            f"{key_ddl}, {BLOCK} int, _width bigint, bounds array<bigint>, exits array<bigint>",
-        )
-    )
-    before = steps.groupBy(*keys).applyInPandas(lambda pdf: _chain(pdf, keys), f"{key_ddl}, {BLOCK} int, _before bigint")
-    rows = blocks.join(F.broadcast(before), [*keys, BLOCK], "left").fillna(NOTHING_KEPT, ["_before"])
-    rows = rows.select(*blocks.columns, "_before")
+    spans = spanning_keys(blocks, keys)
+    if spans.isEmpty():
+        rows = blocks.withColumn("_before", F.lit(NOTHING_KEPT))
+    else:
+        rows = blocks.join(F.broadcast(_kept_before(blocks, spans, keys)), [*keys, BLOCK], "left")
+        rows = rows.fillna(NOTHING_KEPT, ["_before"]).select(*blocks.columns, "_before")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return rows.groupBy(BLOCK).applyInArrow(lambda table: _decide(table, keys, ties), f"{fields}, kept boolean").select(
         *df.columns, "kept"

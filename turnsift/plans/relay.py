@@ -130,25 +130,25 @@ def relay(
         starts = starts.withColumn("_incoming", F.lit(None).cast("string"))
     else:
         starts = starts.join(initial.select(*keys, F.col(STATE).alias("_incoming")), keys, "left")
-    spans = F.broadcast(spanning_keys(blocks, keys))
-    hot = blocks.join(spans, keys, "left_semi")
-    pending = hot.select(*where).distinct().join(starts.join(spans, keys, "left_semi"), where, "left")
-    states = cut_lineage(outgoing(hot, pending))
-    while True:
-        # One row per block a hot key has, so a key's rows here are few.
-        handed = states.groupBy(*keys).applyInPandas(
-            lambda pdf: _hand_on(pdf, unchanged), f"{key_ddl}, {state_ddl}, _handed string"
-        )
-        changed = handed.where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
-        changed = changed.select(*where, F.col("_handed").alias("_incoming"))
-        if changed.isEmpty():
-            break
-        again = outgoing(hot, changed)
-        states = cut_lineage(states.join(changed, where, "left_anti").unionByName(again))
-
-    incoming = states.select(*where, "_incoming")
-    if initial is not None:
-        incoming = incoming.unionByName(starts.join(spans, keys, "left_anti").select(*where, "_incoming"))
+    spans = spanning_keys(blocks, keys)
+    incoming = starts.select(*where, "_incoming")
+    if not spans.isEmpty():
+        hot = blocks.join(F.broadcast(spans), keys, "left_semi")
+        hot_starts = starts.join(F.broadcast(spans), keys, "left_semi")
+        states = cut_lineage(outgoing(hot, hot.select(*where).distinct().join(hot_starts, where, "left")))
+        while True:
+            # One row per block a hot key has, so a key's rows here are few.
+            handed = states.groupBy(*keys).applyInPandas(
+                lambda pdf: _hand_on(pdf, unchanged), f"{key_ddl}, {state_ddl}, _handed string"
+            )
+            changed = handed.where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
+            changed = cut_lineage(changed.select(*where, F.col("_handed").alias("_incoming")))
+            if changed.isEmpty():
+                break
+            again = outgoing(hot, changed)
+            states = cut_lineage(states.join(changed, where, "left_anti").unionByName(again))
+        calm = incoming.join(F.broadcast(spans), keys, "left_anti")
+        incoming = calm.unionByName(states.select(*where, "_incoming"))
     incoming = incoming.where("_incoming is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     schema += "".join(f", `{n}` {t}" for n, t in fields.items()) + (f", {STATE} string" if keep_state else "")

@@ -68,9 +68,9 @@ def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 
 def spanning_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys with rows in several blocks: at most one per block boundary."""
+    """Keys with rows in several blocks: at most one per block boundary.  Kept as a table."""
     ends = df.groupBy(*keys).agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi"))
-    return ends.where(F.col("_lo") < F.col("_hi")).select(*keys)
+    return cut_lineage(ends.where(F.col("_lo") < F.col("_hi")).select(*keys))
 
 
 def last_n(array: Column, n: int) -> Column:
@@ -90,6 +90,7 @@ class Timeline:
         self.order_names = list(order)
         self.blocked = (sizes or KeySizes(df)).hot(self.keys)
         self.df = cut_into_blocks(df, self.keys, self._order()) if self.blocked else df
+        self.spans = spanning_keys(self.df, self.keys) if self.blocked else None
 
     def _order(self, back: bool = False) -> list[Column]:
         down = [(n.lstrip("-"), n.startswith("-") != back) for n in self.order_names]
@@ -174,7 +175,7 @@ class Timeline:
 
     def _carry(self, lasts, firsts, totals, tails, back) -> DataFrame:
         """For each block that continues a key: what the earlier blocks leave behind."""
-        hot = F.broadcast(spanning_keys(self.df, self.keys)).alias("h")
+        hot = F.broadcast(self.spans).alias("h")
         rows = self.df.alias("r").join(
             hot, [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in self.keys], "left_semi"
         )
