@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnsift.llm import decontaminate as dc
+from turnsift.llm import quality as ql
 from turnsift.llm import sql
 from turnsift.registry import query
+from turnsift.session import cut_lineage
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,3 +23,13 @@ def op1_decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op2_quality", sql.QUALITY)
+def op2_quality(spark, sf_dir):
+    facts = ql.text_facts(ql.with_stratum(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+    facts = cut_lineage(facts.select("doc_id", "stratum", *ql.FACTS))
+    cutoffs = cut_lineage(ql.certified_cutoffs(facts, read(spark, sf_dir, "labels")))
+    return ql.judge(facts, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -23,3 +23,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_SHARES = {
+    "symbols": ("n_symbols", "n_words"), "capitals": ("n_capitals", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
+}
+_CUTOFFS = "[10, 20, 30, 50, 75]"
+_TESTS = " UNION ALL ".join(
+    f"SELECT stratum, '{rule}' AS rule, cutoff, count(*) FILTER (quality = 1) AS n, "
+    f"count(*) FILTER (quality = 0) AS n_bad, count(*) FILTER (quality = 1 AND 100 * {a} > cutoff * {b}) AS k, "
+    f"count(*) FILTER (quality = 0 AND 100 * {a} > cutoff * {b}) AS k_bad "
+    f"FROM rated, (SELECT unnest({_CUTOFFS}) AS cutoff) GROUP BY ALL"
+    for rule, (a, b) in _SHARES.items()
+)
+_FAILS = " OR ".join(
+    f"EXISTS (SELECT 1 FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{rule}' AND 100 * {a} > c.cutoff * {b})"
+    for rule, (a, b) in _SHARES.items()
+)
+QUALITY = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+windows AS (SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS run
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w WHERE len(w) >= 8)),
+again AS (SELECT doc_id, run FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+             FROM (SELECT doc_id, unnest(range(p, p + 8)) AS place FROM windows JOIN again USING (doc_id, run)) GROUP BY 1),
+facts AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals,
+    len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts),
+rated AS (SELECT judged.*, quality FROM judged JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
+tests AS ({_TESTS}),
+tails AS (SELECT *,
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))
+     FROM (SELECT unnest(range(k + 1)) AS j)) AS p FROM tests),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p, stratum, rule, cutoff) AS place, count(*) OVER () AS m FROM tails),
+certified AS (SELECT *, max((p > 0.05 / (m - place + 1))::INT) OVER (ORDER BY place) AS stopped FROM ranked),
+chosen AS (SELECT stratum, rule, arg_max(cutoff, (k_bad * n - k * n_bad, cutoff)) AS cutoff
+           FROM certified WHERE stopped = 0 AND k_bad * n > k * n_bad GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({_FAILS}) AS kept
+FROM judged f
+"""
