@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from turnsift.llm import decontaminate as dc
 from turnsift.llm import quality as ql
 from turnsift.llm import sql
+from turnsift.llm import token_files as tf
 from turnsift.registry import query
-from turnsift.session import cut_lineage
+from turnsift.session import cut_lineage, fresh_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,3 +34,13 @@ def op2_quality(spark, sf_dir):
     return ql.judge(facts, cutoffs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op3_token_files")
+def op3_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    folder = fresh_folder(spark, "tokens")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tf.write_tokens(read(spark, sf_dir, "documents"), folder, path, vocabulary=50_257)
+    return tf.token_digests(tf.read_blocks(spark, folder))
