@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
 from turnsift.llm import quality as ql
 from turnsift.llm import sql
@@ -44,3 +45,13 @@ def op3_token_files(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tf.write_tokens(read(spark, sf_dir, "documents"), folder, path, vocabulary=50_257)
     return tf.token_digests(tf.read_blocks(spark, folder))
+
+
+@query("op4_chat_format", sql.CHAT)
+def op4_chat_format(spark, sf_dir):
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return ch.conversation_digests(cut_lineage(ch.format_conversations(turns)))

@@ -68,3 +68,15 @@ SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines,
        NOT base_failed AND NOT ({_FAILS}) AS kept
 FROM judged f
 """
+
+_ESCAPE = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
