@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
+from turnsift.llm import licenses as lc
 from turnsift.llm import quality as ql
 from turnsift.llm import sql
 from turnsift.llm import token_files as tf
@@ -55,3 +56,20 @@ def op4_chat_format(spark, sf_dir):
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return ch.conversation_digests(cut_lineage(ch.format_conversations(turns)))
+
+
+@query("op6_licenses")
+def op6_licenses(spark, sf_dir):
+    found = lc.scan_licenses(read(spark, sf_dir, "documents"))
+    base = F.filter("detections", lambda d: d.base)
+
+    def labels(detections):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(detections, lambda d: d.label))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda d: d.first_word)).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d.first_word)).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("detections")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d.weight)), F.lit(0.0)).alias("score"),
+    )
