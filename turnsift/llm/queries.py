@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
 from turnsift.llm import licenses as lc
+from turnsift.llm import pieces as sp
 from turnsift.llm import quality as ql
 from turnsift.llm import sql
 from turnsift.llm import token_files as tf
@@ -73,3 +74,20 @@ def op6_licenses(spark, sf_dir):
         labels(base).alias("base_labels"), labels(F.col("detections")).alias("labels"),
         F.coalesce(F.array_max(F.transform("detections", lambda d: d.weight)), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sp.encode_pieces(documents, model)
+    rows = sp.decode_pieces(encoded.withColumnRenamed("text", "source_text"), model)
+    ids = F.array_join("ids", ",")
+    return rows.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
+        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("ids_sha256"), "score",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("source_text")).alias("round_trip"),
+    )
