@@ -10,6 +10,7 @@ from turnsift.llm import decontaminate as dc
 from turnsift.llm import licenses as lc
 from turnsift.llm import pieces as sp
 from turnsift.llm import quality as ql
+from turnsift.llm import simhash as sh
 from turnsift.llm import sql
 from turnsift.llm import token_files as tf
 from turnsift.registry import query
@@ -91,3 +92,8 @@ def op8_sentencepiece(spark, sf_dir):
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"),
         F.col("text").eqNullSafe(F.col("source_text")).alias("round_trip"),
     )
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    return sh.near_duplicates(read(spark, sf_dir, "documents"))
