@@ -12,6 +12,7 @@ from turnsift.llm import pieces as sp
 from turnsift.llm import quality as ql
 from turnsift.llm import simhash as sh
 from turnsift.llm import sql
+from turnsift.llm import suffixes as sx
 from turnsift.llm import token_files as tf
 from turnsift.registry import query
 from turnsift.session import cut_lineage, fresh_folder
@@ -97,3 +98,8 @@ def op8_sentencepiece(spark, sf_dir):
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     return sh.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return sx.repeat_digests(read(spark, sf_dir, "documents"))
