@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
+from turnsift.llm import language_model as lm
 from turnsift.llm import licenses as lc
 from turnsift.llm import pieces as sp
 from turnsift.llm import quality as ql
@@ -103,3 +104,8 @@ def op5_simhash(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return sx.repeat_digests(read(spark, sf_dir, "documents"))
+
+
+@query("op7_language_model")
+def op7_language_model(spark, sf_dir):
+    return lm.score(read(spark, sf_dir, "documents"))
