@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
+from turnsift.llm import language_id as li
 from turnsift.llm import language_model as lm
 from turnsift.llm import licenses as lc
 from turnsift.llm import pieces as sp
@@ -85,15 +86,7 @@ def op8_sentencepiece(spark, sf_dir):
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sp.encode_pieces(documents, model)
-    rows = sp.decode_pieces(encoded.withColumnRenamed("text", "source_text"), model)
-    ids = F.array_join("ids", ",")
-    return rows.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
-        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("ids_sha256"), "score",
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"),
-        F.col("text").eqNullSafe(F.col("source_text")).alias("round_trip"),
-    )
+    return sp.piece_digests(sp.encode_pieces(documents, model), model)
 
 
 @query("op5_simhash")
@@ -109,3 +102,8 @@ def op10_suffix_dedup(spark, sf_dir):
 @query("op7_language_model")
 def op7_language_model(spark, sf_dir):
     return lm.score(read(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    return li.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
