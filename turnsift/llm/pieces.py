@@ -17,7 +17,9 @@ columns pass through, and a column called ``ids`` or ``score`` is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from turnsift.llm.words import map_arrow
 
-KEPT = 500_000
+KEPT = 400_000
 LONGEST_KEPT = 48
 SPACE = "▁"
 _RUNS = re.compile(r" *[^ ]+| +")
@@ -78,19 +80,22 @@ class PieceModel:
     def path(self, text: str) -> bytes:
         """Ids of the best path as little-endian 32-bit integers."""
         n = len(text)
+        lowest = self.fallback
+        costs = [lowest] * n if text.isascii() else [lowest * len(c.encode()) for c in text]
         best = [0.0] * (n + 1)
         piece = [-1] * (n + 1)
         came = list(range(-1, n))
         opened = 0
         for end, (number, length, score) in self.automaton.iter(text):
             while opened <= end:
-                best[opened + 1] = best[opened] + self.fallback * len(text[opened].encode())
+                best[opened + 1] = best[opened] + costs[opened]
                 opened += 1
-            score += best[end + 1 - length]
-            if score > best[end + 1]:
-                best[end + 1] = score
-                piece[end + 1] = number
-                came[end + 1] = end + 1 - length
+            begin = opened - length
+            score += best[begin]
+            if score > best[opened]:
+                best[opened] = score
+                piece[opened] = number
+                came[opened] = begin
         ids: list[int] = []
         at = n
         while at:
@@ -133,8 +138,8 @@ class PieceModel:
                 out += self._line(line)
         return np.frombuffer(b"".join(out), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.content.__getitem__, ids))[1:].decode()
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.content.__getitem__, ids.tolist()))[1:].decode()
 
 
 @cache
@@ -150,8 +155,8 @@ def _with(schema: StructType, **columns) -> StructType:
     return out
 
 
-def encode_pieces(documents: DataFrame, model: str) -> DataFrame:
-    """Adds ``ids`` (array<int>) and ``score``, the sum of the scores of the pieces."""
+def encode_pieces(documents: DataFrame, model: str, verify: bool = False) -> DataFrame:
+    """Adds ``ids`` (array<int>) and ``score``, the sum of the scores of the pieces; ``verify`` decodes each text again."""
     rows = documents.withColumn("text", F.col("text").cast("string"))
     rows = rows.drop("ids", "score")
     schema = _with(rows.schema, ids=ArrayType(IntegerType()), score=DoubleType())
@@ -160,6 +165,8 @@ def encode_pieces(documents: DataFrame, model: str) -> DataFrame:
         pieces = model_at(model)
         texts = batch.column("text").to_pylist()
         codes = [pieces.encode(t or "") for t in texts]
+        if verify and any(pieces.decode(c) != (t or "") for c, t in zip(codes, texts)):
+            raise ValueError("a text does not decode to itself")
         missing = np.array([t is None for t in texts], bool)
         offsets = np.append(0, np.cumsum([len(c) for c in codes])).astype(np.int32)
         values = np.concatenate([*codes, np.empty(0, "<i4")])
@@ -173,6 +180,14 @@ def encode_pieces(documents: DataFrame, model: str) -> DataFrame:
     return map_arrow(rows, run, schema)
 
 
+def _id_arrays(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The ids of each row, without a Python object per id."""
+    values = column.values.to_numpy()
+    offsets = column.offsets.to_pylist()
+    for a, b, valid in zip(offsets, offsets[1:], column.is_valid().to_pylist()):
+        yield values[a:b] if valid else None
+
+
 def decode_pieces(encoded: DataFrame, model: str, column: str = "text") -> DataFrame:
     """Replaces or adds ``column`` with the texts of ``ids``."""
     rows = encoded.drop(column)
@@ -180,8 +195,35 @@ def decode_pieces(encoded: DataFrame, model: str, column: str = "text") -> DataF
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pieces = model_at(model)
-        texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
+        texts = [None if ids is None else pieces.decode(ids) for ids in _id_arrays(batch.column("ids"))]
         columns = [batch.column(f.name) for f in schema.fields[:-1]]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema.names)
 
     return map_arrow(rows, run, schema)
+
+
+def piece_digests(encoded: DataFrame, model: str) -> DataFrame:
+    """Per row ``n_pieces``, ``ids_crc32`` of the ids as 32-bit integers, ``score``, and what decoding them gives."""
+    rows = encoded.select("doc_id", "text", "ids", "score")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pieces = model_at(model)
+        out = []
+        for ids, text in zip(_id_arrays(batch.column("ids")), batch.column("text")):
+            if ids is None:
+                out.append((0, 0, hashlib.sha256().hexdigest(), True))
+            else:
+                back = pieces.decode(ids)
+                own = np.ascontiguousarray(ids, "<i4").tobytes()
+                out.append((len(ids), zlib.crc32(own), hashlib.sha256(back.encode()).hexdigest(), back == text.as_py()))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        n, crc, sha, same = (pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), n, crc, batch.column("score"), sha, same],
+            ["doc_id", "n_pieces", "ids_crc32", "score", "decoded_sha256", "round_trip"],
+        )
+
+    return map_arrow(rows, run, (
+        f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, score double, decoded_sha256 string, round_trip boolean"
+    ))
