@@ -185,15 +185,16 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 
 def contamination(
-    documents: DataFrame, items: DataFrame, window: int = 13, block_words: int = 500_000, keep_text: bool = False
+    documents: DataFrame, items: DataFrame, window: int = 13, block_words: int = 500_000, keep_text: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """The words of each document that item windows hit.
 
-    Gives ``doc_id``, ``text`` if asked for, ``n_words``, ``spans`` (pairs of first and last hit word, disjoint and
+    Gives ``doc_id``, the columns ``carry``, ``text`` if asked for, ``n_words``, ``spans`` (pairs of first and last hit word, disjoint and
     ascending) and ``items`` (the ids of items with an occurring window, sorted as strings).
     """
     found = documents.select(
-        "doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("bigint").alias("n_words"),
+        "doc_id", *carry, F.col("text").cast("string").alias("text"), F.lit(None).cast("bigint").alias("n_words"),
         F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
     )
     blocks = item_blocks(items, block_words)
