@@ -166,3 +166,31 @@ def test_states_that_outlive_blocks(log, mode):
     assert got == {0, 1}
     rows = log([(i, "assistant", f"reply {i % 3}") for i in range(40)])
     assert {r.seq for r in dedup.recent_history_dedup(rows).where("kept").collect()} == {0, 1, 2}
+
+
+def test_null_keys_are_one_key(log, mode):
+    rows = [(0, "user", "same", {"platform": None}), (1, "user", "same", {"platform": None}), (2, "user", "same", {"platform": None}),
+            (3, None, None, {"platform": None}), (3.5, None, None, {"platform": None}), (20, "user", "same", {"platform": None})]
+    assert {r.seq for r in dedup.dedup_window_role(log(rows)).where("kept").collect()} == {0, 3, 5}
+
+
+def test_seen_texts_come_before_the_echo_test(log, mode):
+    """Assistant X, user X, assistant X: the repeat is let through by its age; an echo alone is not."""
+    rows = log([(0, "assistant", "what a day"), (5, "user", "what a day"), (10, "assistant", "what a day"), (12, "user", "and now"),
+                (13, "assistant", "and now"), (31, "assistant", "what a day")]).withColumn("model", F.lit("opus-4.1"))
+    got = {r.seq: r.passes for r in dedup.first_sight_filter(rows).collect()}
+    assert got == {0: True, 2: True, 4: False, 5: False}
+
+
+def test_user_clock_shares_the_memory_of_texts(log, mode):
+    rows = log([(0, "user", "hello you"), (50, "assistant", "hello you"), (100, "user", "hello you"), (180, "assistant", "new text")])
+    assert {r.seq for r in dedup.is_new_direct(rows).where("is_new").collect()} == {0, 1, 2, 3}
+
+
+def test_direct_memory_forgets_old_texts(log, mode):
+    """Beyond a hundred texts those older than ten minutes go, so the first text is new again."""
+    rows = [(0, "user", "first")] + [(1 + i, "user", f"text {i}") for i in range(99)]
+    late = [(900, "user", "other"), (901, "user", "first"), (902, "user", "text 5")]
+    assert [r.is_new for r in dedup.is_new_direct(log(rows + late)).orderBy("seq").collect()[-3:]] == [True, True, True]
+    few = [(0, "user", "first"), (900, "user", "other"), (901, "user", "first")]
+    assert [r.is_new for r in dedup.is_new_direct(log(few)).orderBy("seq").collect()] == [True, True, False]

@@ -249,13 +249,22 @@ def leading_char_echo(messages: DataFrame, buffer: int = 20) -> DataFrame:
     return assistants.join(hits, ID, "left").fillna(False, ["echo"])
 
 
+def near_first_sight(rows: DataFrame, sizes: KeySizes | None = None, seconds: int = 30) -> Timeline:
+    """``rows`` with ``passes``: close enough to the first sight of their text that was no ``echo``.
+
+    The seen texts are looked at first: a repeat of a text already let through is judged by its age alone, and only
+    a text not seen yet is tested for an echo.  An echo is not remembered.
+    """
+    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes)
+    log = log.scan(total={"fresh": F.when(F.col("echo"), 0).otherwise(1)})
+    log = log.scan(upto={"first_ts": F.when(~F.col("echo") & (F.col("fresh") == 1), F.col("ts"))})
+    return log.columns(passes=F.coalesce(seconds_since("first_ts") < seconds, F.lit(False)))
+
+
 def first_sight_filter(messages: DataFrame, seconds: int = 30) -> DataFrame:
-    """Assistant rows with ``passes``: user echoes never, repeats only close to the first sight."""
+    """Assistant rows with ``passes``: repeats close to the first sight, and texts not seen yet unless they echo a user."""
     rows = leading_char_echo(messages)
-    log = Timeline(rows, ["convo_id", "digest", "echo"], CONVO_ORDER, KeySizes(narrow(messages)))
-    log = log.scan(first={"first_ts": F.col("ts")})
-    passes = ~F.col("echo") & (seconds_since("first_ts") < seconds)
-    return log.columns(passes=passes).result(*ID, "ts", "platform", "passes")
+    return near_first_sight(rows, KeySizes(narrow(messages)), seconds).result(*ID, "ts", "platform", "passes")
 
 
 def echo_filter_lab(messages: DataFrame) -> DataFrame:
@@ -271,39 +280,30 @@ def echo_filter_lab(messages: DataFrame) -> DataFrame:
 def is_new_direct(messages: DataFrame) -> DataFrame:
     """``is_new``: repeats under 30 s pass, over 60 s do not, assistants need a user within 120 s.
 
-    Only rows that pass refresh the memory of a text, so it is relayed per text.  User rows
-    depend on their own text alone and are decided first; they set the user clock.
+    One ordered state per conversation, as users and assistants share the memory of texts: when each text was last let
+    through, and when a user row was.  Beyond a hundred texts, those older than ten minutes are forgotten.
     """
     rows = narrow(messages).withColumn("at", F.unix_micros("ts"))
-    sizes = KeySizes(rows)
-    users = Timeline(rows.where(F.col("role") == "user"), ["convo_id", "digest"], CONVO_ORDER, sizes)
-    users = users.scan(prev={"p": F.col("ts")}).columns(late=F.when(seconds_since("p") > 60, 1).otherwise(0))
-    users = users.scan(total={"lates": F.col("late")}).columns(is_new=F.col("lates") == 0).result(*ID, "is_new")
-    clocked = rows.join(users, ID, "left")
-    clock = Timeline(clocked, ["convo_id"], CONVO_ORDER, sizes).scan(
-        prev={"user_at": F.when(F.col("is_new"), F.col("at"))}
-    ).result()
+    second = 1_000_000
 
     def step(state: dict, row: dict) -> dict:
-        gap = row["at"] - state["at"] if "at" in state else None
-        silent = row["user_at"] is not None and row["at"] - row["user_at"] > 120_000_000
-        if gap is not None and gap < 30_000_000:
+        seen, at = state.setdefault("seen", {}), row["at"]
+        gap = at - seen[row["digest"]] if row["digest"] in seen else None
+        if gap is not None and gap < 30 * second:
             new = True
-        elif gap is not None and gap > 60_000_000:
-            # The memory of the text stays as it is, so every later row is too late as well.
-            state["final"] = True
+        elif gap is not None and gap > 60 * second:
             new = False
         else:
-            new = not (row["role"] == "assistant" and silent)
+            new = row["role"] != "assistant" or "user" not in state or at - state["user"] <= 120 * second
         if new:
-            state["at"] = row["at"]
+            seen[row["digest"]] = at
+            if len(seen) > 100:
+                state["seen"] = {k: t for k, t in seen.items() if t >= at - 600 * second}
+            if row["role"] == "user":
+                state["user"] = at
         return {"is_new": new}
 
-    keyed = clock.drop("is_new")
-    decided = relay(
-        keyed, ["convo_id", "digest"], CONVO_ORDER, step, {"is_new": "boolean"},
-        unchanged=lambda state, _: state.get("final", False),
-    )
+    decided = relay(rows, ["convo_id"], CONVO_ORDER, step, {"is_new": "boolean"})
     return decided.select(*ID, "ts", "role", "is_new")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from turnsift.functions import noise
 from turnsift.functions import text as tx
 from turnsift.operators.dedup import (
-    CONVO_ORDER, ID, echo_rows, genuine_response_strict, leading_echo_ids, narrow, seconds_since,
+    CONVO_ORDER, ID, echo_rows, genuine_response_strict, leading_echo_ids, narrow, near_first_sight, seconds_since,
 )
 from turnsift.operators.noise import baseline_exclude
 from turnsift.plans.timeline import KeySizes, Timeline, trailing_count
@@ -239,10 +239,9 @@ def model_pipeline(messages: DataFrame, baseline: DataFrame, pipeline: str) -> D
         elif stage == "autocorr":
             alive = with_pattern(alive, sizes).where(~F.col("pattern")).drop("pattern")
         else:
-            echoes = leading_echo_ids(alive.unionByName(users), sizes)
-            own = alive.join(echoes, ID, "left_anti")
-            own = Timeline(own, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(first={"first_ts": F.col("ts")})
-            alive = own.where(seconds_since("first_ts") < EXT["repeat_s"]).result()
+            echoes = leading_echo_ids(alive.unionByName(users), sizes).withColumn("echo", F.lit(True))
+            own = alive.join(echoes, ID, "left").fillna(False, ["echo"])
+            alive = near_first_sight(own, sizes, EXT["repeat_s"]).where(F.col("passes")).result()
     new = ~F.col("in_baseline") & F.coalesce(F.col("idle") < EXT["active_s"], F.lit(False))
     preserved = F.col("musical") | F.coalesce(F.col("idle") < EXT["repeat_s"], F.lit(False))
     accept = {

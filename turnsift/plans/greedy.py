@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnsift.plans.timeline import BLOCK, cut_into_blocks, spanning_keys
+from turnsift.plans.timeline import BLOCK, cut_into_blocks, same, spanning_keys
 
 NOTHING_KEPT = -(2**62)
 
@@ -85,7 +85,8 @@ def _decide(table: pa.Table, keys: list[str], ties: list[str]) -> pa.Table:
     if count:
         fresh[0] = True
     for key in keys:
-        codes = table[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        # A null is a value of its own, equal to itself.
+        codes = table[key].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
         fresh[1:] |= codes[1:] != codes[:-1]
     start = fresh.copy()
     start[1:] |= (times[1:] - times[:-1] > width[1:]) | forced[1:]
@@ -111,7 +112,7 @@ def _kept_before(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
     narrow = blocks.select(*keys, BLOCK, "_t", "_width", "_forced")
     steps = (
-        narrow.join(F.broadcast(spans), keys, "left_semi")
+        narrow.alias("r").join(F.broadcast(spans).alias("h"), same("r", "h", keys), "left_semi")
         .groupBy(*keys, BLOCK)
         .applyInPandas(
             lambda pdf: _step_function(pdf, keys),
@@ -148,8 +149,9 @@ def keep_if_quiet(
     if spans.isEmpty():
         rows = blocks.withColumn("_before", F.lit(NOTHING_KEPT))
     else:
-        rows = blocks.join(F.broadcast(_kept_before(blocks, spans, keys)), [*keys, BLOCK], "left")
-        rows = rows.fillna(NOTHING_KEPT, ["_before"]).select(*blocks.columns, "_before")
+        before = F.broadcast(_kept_before(blocks, spans, keys)).alias("b")
+        rows = blocks.alias("r").join(before, same("r", "b", [*keys, BLOCK]), "left")
+        rows = rows.select("r.*", F.coalesce("b._before", F.lit(NOTHING_KEPT)).alias("_before"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return rows.groupBy(BLOCK).applyInArrow(lambda table: _decide(table, keys, ties), f"{fields}, kept boolean").select(
         *df.columns, "kept"

@@ -73,6 +73,14 @@ def spanning_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cut_lineage(ends.where(F.col("_lo") < F.col("_hi")).select(*keys))
 
 
+def same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Join condition between two aliases: equal keys, nulls included."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return condition
+
+
 def last_n(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), n)
 
@@ -155,9 +163,7 @@ class Timeline:
 
         carry = F.broadcast(self._carry(prev | upto, first, total, tail, back)).alias("c")
         local = self.df.withColumns(columns).alias("r")
-        match = F.col(f"r.{BLOCK}") == F.col(f"c.{BLOCK}")
-        for key in self.keys:
-            match = match & F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))
+        match = same("r", "c", [*self.keys, BLOCK])
 
         def merged(name: str) -> Column:
             here, there = F.col(f"r.{name}"), F.col(f"c.{name}")
@@ -176,9 +182,7 @@ class Timeline:
     def _carry(self, lasts, firsts, totals, tails, back) -> DataFrame:
         """For each block that continues a key: what the earlier blocks leave behind."""
         hot = F.broadcast(self.spans).alias("h")
-        rows = self.df.alias("r").join(
-            hot, [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in self.keys], "left_semi"
-        )
+        rows = self.df.alias("r").join(hot, same("r", "h", self.keys), "left_semi")
         position = "_position"
         inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*self._order(back))
         rows = rows.withColumn(position, F.row_number().over(inside))

@@ -215,8 +215,8 @@ def user_echo_leading_chars(spark, sf_dir):
 
 @query(
     "echo_filter_ext",
-    f"{LOG}, {LEADING}, f AS (SELECT *, min(ms) OVER (PARTITION BY convo_id, content, echo) AS first_ms FROM lead_echo) "
-    "SELECT convo_id, seq, NOT echo AND (ms = first_ms OR ms - first_ms < 30000) AS passes FROM f",
+    f"{LOG}, {LEADING} SELECT a.convo_id, a.seq, coalesce(a.ms - (SELECT min(b.ms) FROM lead_echo b WHERE b.convo_id = a.convo_id "
+    "AND b.content = a.content AND NOT b.echo AND (b.ms, b.seq) <= (a.ms, a.seq)) < 30000, false) AS passes FROM lead_echo a",
 )
 def echo_filter_ext(spark, sf_dir):
     return ops.first_sight_filter(with_model(spark, sf_dir)).select(*ROW, "passes")
@@ -237,17 +237,14 @@ _GAPS = "gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY convo_id, content{ro
 
 @query(
     "is_new_message_direct",
-    f"{LOG}, {_GAPS.format(role='', where=' WHERE role = ' + chr(39) + 'user' + chr(39))}, "
-    "nu AS (SELECT convo_id, seq, sum(CASE WHEN gap > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY convo_id, content ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) = 0 AS is_new FROM gaps), "
-    "c AS (SELECT l.*, last_value(CASE WHEN nu.is_new THEN ms END IGNORE NULLS) OVER (PARTITION BY l.convo_id ORDER BY ms, l.seq "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_ms FROM log l LEFT JOIN nu ON nu.convo_id = l.convo_id AND nu.seq = l.seq), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY convo_id, content ORDER BY ms, seq) AS rn, "
-    "(role = 'assistant' AND user_ms IS NOT NULL AND ms - user_ms > 120000) AS silent FROM c), "
-    "w AS (SELECT convo_id, content, rn, seq, NOT silent AS is_new, CASE WHEN NOT silent THEN ms END AS last FROM r WHERE rn = 1 UNION ALL "
-    "SELECT r.convo_id, r.content, r.rn, r.seq, "
-    "CASE WHEN r.ms - w.last < 30000 THEN true WHEN r.ms - w.last > 60000 THEN false ELSE NOT r.silent END, "
-    "CASE WHEN CASE WHEN r.ms - w.last < 30000 THEN true WHEN r.ms - w.last > 60000 THEN false ELSE NOT r.silent END THEN r.ms ELSE w.last END "
-    "FROM w JOIN r ON r.convo_id = w.convo_id AND r.content = w.content AND r.rn = w.rn + 1) SELECT convo_id, seq, is_new FROM w",
+    f"{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS n FROM log), "
+    "w AS (SELECT convo_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS user_ms, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, NULL::BOOLEAN AS is_new "
+    "FROM r WHERE n = 1 UNION ALL SELECT convo_id, n, seq, CASE WHEN new AND role = 'user' THEN ms ELSE user_ms END, "
+    "CASE WHEN NOT new THEN seen WHEN cardinality(added) > 100 THEN map_from_entries(list_filter(map_entries(added), lambda e: e.value >= ms - 600000)) "
+    "ELSE added END, new FROM (SELECT *, CASE WHEN gap < 30000 THEN true WHEN gap > 60000 THEN false "
+    "ELSE role <> 'assistant' OR user_ms IS NULL OR ms - user_ms <= 120000 END AS new, map_concat(seen, MAP([content], [ms])) AS added "
+    "FROM (SELECT r.convo_id, r.n, r.seq, r.role, r.ms, r.content, w.user_ms, w.seen, r.ms - w.seen[r.content] AS gap "
+    "FROM w JOIN r ON r.convo_id = w.convo_id AND r.n = w.n + 1))) SELECT convo_id, seq, is_new FROM w WHERE n > 0",
 )
 def is_new_message_direct(spark, sf_dir):
     return ops.is_new_direct(plain(spark, sf_dir)).select(*ROW, "is_new")

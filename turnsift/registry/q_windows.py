@@ -181,10 +181,12 @@ def _model_sql(label: str) -> str:
         last = "s3"
     parts.append(LEADING)
     parts.append(
-        f"s4a AS (SELECT s.*, min(s.ms) OVER (PARTITION BY s.convo_id, s.content) AS first_ms FROM {last} s JOIN lead_echo e "
-        "ON e.convo_id = s.convo_id AND e.seq = s.seq WHERE NOT e.echo)"
+        f"s4a AS (SELECT s.*, e.echo FROM {last} s JOIN lead_echo e ON e.convo_id = s.convo_id AND e.seq = s.seq)"
+    )
+    parts.append(
+        "s4 AS (SELECT * FROM s4a a WHERE a.ms - (SELECT min(b.ms) FROM s4a b WHERE b.convo_id = a.convo_id AND b.content = a.content "
+        "AND NOT b.echo AND (b.ms, b.seq) <= (a.ms, a.seq)) < 30000)"
     )
-    parts.append("s4 AS (SELECT * FROM s4a WHERE ms = first_ms OR ms - first_ms < 30000)")
     new = "(NOT based AND coalesce(idle < 120000, false))"
     kept = f"({_MUSICAL} OR coalesce(idle < 30000, false))"
     sonnet = f"({sql_any('lower(content)', rules.SONNET_PHRASES)} OR length(content) > 50)"
