@@ -35,3 +35,31 @@ def test_replay_stream_equals_batch_after_restart(spark, log, mode, tmp_path):
     got = replay.apply_removals(spark.read.parquet(f"{out}/data").drop("epoch"))
     want = replay.replay_dedup(rows)
     assert {r.seq: r.action for r in got.collect()} == {r.seq: r.action for r in want.collect()}
+
+
+def test_late_rows_and_rows_from_the_future(spark, log, tmp_path):
+    rows = log([(0, "user", "a"), (2, "user", "a"), (4_000_000_000, "user", "z"), (9, "user", "a"), (3, "user", "a"), (11, "user", "a")])
+    rows = rows.withColumn("digest", tx.digest(F.col("content"))).drop("urls", "historical", "t")
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for part in ([0, 1, 2], [3, 4], [5]):
+        write(rows.where(F.col("seq").isin(part)), source)
+        stream = spark.readStream.schema(rows.schema).parquet(str(source))
+        jobs.QuietDedup(out, ["platform", "role", "digest"], F.lit(5), 5, delay=5).start(stream).awaitTermination()
+    # The row from the year 2150 moves the watermark to the time of processing at most, which is past all others.
+    got = {r.seq: r.kept for r in spark.read.parquet(f"{out}/data").collect()}
+    late = {r.seq for r in spark.read.parquet(f"{out}/late").collect()}
+    assert got == {0: True, 1: False, 2: True} and late == {3, 4, 5}
+
+
+def test_overlapping_batches_within_the_delay(spark, log, tmp_path):
+    rows = log([(0, "user", "a"), (10, "user", "a"), (7, "user", "a"), (4, "user", "a"), (16, "user", "a"), (2, "user", "a")])
+    rows = rows.withColumn("digest", tx.digest(F.col("content"))).drop("urls", "historical", "t")
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for part in ([0, 1], [2, 3], [4, 5]):
+        write(rows.where(F.col("seq").isin(part)), source)
+        stream = spark.readStream.schema(rows.schema).parquet(str(source))
+        jobs.QuietDedup(out, ["platform", "role", "digest"], F.lit(5), 5, delay=7).start(stream).awaitTermination()
+    # The row of second 2 comes when the watermark is at 3; that of second 7 stands behind 0 with 5 s of silence.
+    assert {r.seq: r.kept for r in spark.read.parquet(f"{out}/data").collect()} == {0: True, 1: True, 2: True, 3: False, 4: True}
+    assert {r.seq for r in spark.read.parquet(f"{out}/late").collect()} == {5}
+    assert len(list((tmp_path / "out" / "state").iterdir())) == 2

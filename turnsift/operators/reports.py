@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnsift.functions import text as tx
@@ -17,29 +17,30 @@ AUDIT_PATTERNS = [
 ]
 
 
-def log_counts(clean: DataFrame, verbose: DataFrame) -> DataFrame:
-    """Rows per log and their difference."""
-    both = clean.select(F.lit(1).alias("c"), F.lit(0).alias("v")).unionAll(
-        verbose.select(F.lit(0).alias("c"), F.lit(1).alias("v"))
-    )
-    total = both.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("clean"), F.coalesce(F.sum("v"), F.lit(0)).alias("verbose"))
+def log_counts(ruled: DataFrame) -> DataFrame:
+    """Rows of the clean and the verbose log and their difference, from one pass over the classified log."""
+    total = ruled.agg(F.count_if(~F.col("noise")).alias("clean"), F.count(F.lit(1)).alias("verbose"))
     return total.withColumn("filtered", F.col("verbose") - F.col("clean"))
 
 
+def _type_counts() -> dict[str, Column]:
+    role, text = F.col("role"), F.col("content")
+    okay = text.rlike(r"^okay\d+\z")
+    test_user = (role == "user") & tx.contains_any(text, ["testmessage", "VERIFICATION_TEST"])
+    return {
+        "user_messages": role == "user",
+        "assistant_responses": role == "assistant",
+        "system_messages": role == "system",
+        "test_messages": test_user | ((role == "assistant") & okay),
+        "legitimate_content": (role == "assistant") & ~okay & ~text.contains("Extension loaded"),
+    }
+
+
 def content_types(messages: DataFrame, last: int | None = 20) -> DataFrame:
     """Authors and test texts among the newest rows, or all rows without ``last``."""
     newest = messages.select(*ID, "ts", "role", "content").orderBy(F.desc("ts"), F.desc("convo_id"), F.desc("seq"))
     rows = newest.limit(last) if last else messages
-    role, text = F.col("role"), F.col("content")
-    okay = text.rlike(r"^okay\d+\z")
-    test_user = (role == "user") & tx.contains_any(text, ["testmessage", "VERIFICATION_TEST"])
-    return rows.agg(
-        F.count_if(role == "user").alias("user_messages"),
-        F.count_if(role == "assistant").alias("assistant_responses"),
-        F.count_if(role == "system").alias("system_messages"),
-        F.count_if(test_user | ((role == "assistant") & okay)).alias("test_messages"),
-        F.count_if((role == "assistant") & ~okay & ~text.contains("Extension loaded")).alias("legitimate_content"),
-    )
+    return rows.agg(*[F.count_if(c).alias(name) for name, c in _type_counts().items()])
 
 
 def noise_audit(messages: DataFrame) -> DataFrame:
@@ -50,31 +51,33 @@ def noise_audit(messages: DataFrame) -> DataFrame:
     return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def filtered_out(verbose: DataFrame, clean: DataFrame, seconds: float = 1) -> DataFrame:
-    """Verbose rows without a clean row of the same text less than ``seconds`` apart.
+def filtered_out(ruled: DataFrame, seconds: float = 1) -> DataFrame:
+    """Rows of the classified log without a clean row of the same text less than ``seconds`` apart.
 
     The nearest clean rows before and after come from one ordered scan per text, so a text
     that fills a third of the log is neither joined pairwise nor sent to one task.
     """
-    def keyed(rows: DataFrame, is_clean: bool) -> DataFrame:
-        return rows.select(*ID, "ts", "role", tx.digest(F.col("content")).alias("digest"), F.lit(is_clean).alias("clean"))
-
-    both = keyed(verbose, False).unionByName(keyed(clean, True))
-    clean_ts = F.when(F.col("clean"), F.col("ts"))
-    log = Timeline(both, ["digest"], ["ts", "convo_id", "seq", "clean"])
+    rows = ruled.select(*ID, "ts", "role", tx.digest(F.col("content")).alias("digest"), "noise")
+    clean_ts = F.when(~F.col("noise"), F.col("ts"))
+    log = Timeline(rows, ["digest"], ["ts", "convo_id", "seq"])
     log = log.scan(prev={"before": clean_ts}).scan(prev={"after": clean_ts}, back=True)
     near = (seconds_since("before") < seconds) | (seconds_since("ts", "after") < seconds)
-    return log.where(~F.col("clean") & ~F.coalesce(near, F.lit(False))).result(*ID, "ts", "role", "digest")
+    return log.where(F.col("noise") & ~F.coalesce(near, F.lit(False))).result(*ID, "ts", "role", "digest")
+
 
+def quality_score(ruled: DataFrame) -> DataFrame:
+    """Balance, filter rate and a 0 to 100 score with its grade, from one pass over the whole classified log.
 
-def quality_score(clean: DataFrame, verbose: DataFrame, last: int | None = 20) -> DataFrame:
-    """Balance, filter rate and a 0 to 100 score with its grade."""
-    types = content_types(clean, last)
-    counts = log_counts(clean, verbose)
-    noise = noise_audit(clean).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("noise_hits"))
-    # Three single-row aggregates, put side by side by an aggregate over their union.
-    parts = types.unionByName(counts, allowMissingColumns=True).unionByName(noise, allowMissingColumns=True)
-    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    ``content_types`` with its ``last`` rows is the report on the newest rows; the score never depends on them alone.
+    """
+    clean = ~F.col("noise")
+    lowered = F.lower("content")
+    hits = [F.count_if(clean & lowered.contains(p.lower())) for p in AUDIT_PATTERNS]
+    types = {name: F.count_if(clean & c).alias(name) for name, c in _type_counts().items()}
+    one = ruled.agg(
+        F.count_if(clean).alias("clean"), F.count(F.lit(1)).alias("verbose"), sum(hits[1:], hits[0]).alias("noise_hits"),
+        types["user_messages"], types["assistant_responses"], types["test_messages"],
+    ).withColumn("filtered", F.col("verbose") - F.col("clean"))
     ratio = F.col("user_messages") / F.greatest(F.col("assistant_responses"), F.lit(1))
     rate = F.when(F.col("verbose") > 0, F.col("filtered") / F.col("verbose") * 100).otherwise(F.lit(0.0))
     scored = one.withColumns({"user_assistant_ratio": F.round(ratio, 4), "filter_rate": F.round(rate, 4)})
@@ -107,14 +110,33 @@ def dup_rate(messages: DataFrame) -> DataFrame:
 
 
 def phase_summary(events: DataFrame) -> DataFrame:
-    """Events, repeats, start, end and length of each test phase of a session."""
+    """Transmissions, repeats, start, end and length of each test phase of a session.
+
+    A phase begins with its last ``test_start`` and ends with the last ``test_end`` from there on; a phase that was not
+    started or is still running has no end and no length.
+    """
     kind = F.col("type")
-    return events.where(F.col("test_phase").isNotNull()).groupBy("conversation_id", "test_phase").agg(
+    start, end = (F.unix_millis(F.max(F.when(kind == k, F.col("ts")))) for k in ("test_start", "test_end"))
+    phases = events.where(F.col("test_phase").isNotNull()).groupBy("conversation_id", "test_phase").agg(
         F.count_if(kind == "transmission").alias("transmissions"),
         F.count_if(kind == "duplicate_detected").alias("duplicates"),
-        F.unix_millis(F.min("ts")).alias("start_ms"),
-        F.unix_millis(F.max("ts")).alias("end_ms"),
-    ).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+        start.alias("start_ms"),
+        end.alias("end_ms"),
+    )
+    phases = phases.withColumn("end_ms", F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms")))
+    return phases.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+
+
+def session_totals(events: DataFrame) -> DataFrame:
+    """Length and counts over all events, in one pass."""
+    kind = F.col("type")
+    return events.agg(
+        (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("duration_ms"),
+        F.count_if(kind == "transmission").alias("transmissions"),
+        F.count_if(kind == "duplicate_detected").alias("duplicates"),
+        F.count_if(kind == "test_start").alias("tests"),
+        F.count(F.lit(1)).alias("events"),
+    )
 
 
 def detection_method_counts(messages: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ from turnsift.session import cut_lineage
 
 Step = Callable[[dict, dict], dict]
 Unchanged = Callable[[dict, list | None], bool]
-MOST_VALUES = 64
 ARROW = {
     "boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()),
     "array<bigint>": pa.list_(pa.int64()),
@@ -56,9 +55,8 @@ def _states(table: pa.Table, keys: list[str]) -> dict[tuple, str]:
 
 
 def _values(rows: pa.Table, column: str | None) -> str:
-    """The distinct values of a column as JSON, ``null`` if there are many."""
-    found = pc.unique(rows[column]).to_pylist() if column else None
-    return json.dumps(found if found is not None and len(found) <= MOST_VALUES else None)
+    """The distinct values of a column as JSON."""
+    return json.dumps(pc.unique(rows[column]).to_pylist() if column else None)
 
 
 def _hand_on(pdf: pd.DataFrame, unchanged: Unchanged) -> pd.DataFrame:
@@ -95,7 +93,7 @@ def relay(
     (keys and ``_state``) gives the state keys start from; with ``keep_state`` the result
     has ``_state`` on the last row a key has in a block.  ``unchanged(state, values)`` may
     say that a block would leave ``state`` as it is, given the distinct values of the
-    column ``values_of`` in it (None if there are many).
+    column ``values_of`` in it.
     """
     keys, order = list(keys), list(order)
     blocks = cut_into_blocks(df, keys, [F.col(c) for c in order])

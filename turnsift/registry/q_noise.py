@@ -106,7 +106,7 @@ DIAGNOSTIC = (
     "CASE WHEN seq % 2 = 0 THEN 'add' ELSE 'mutation' END AS transmission_type, "
     "(['DIV', 'P', 'BUTTON', 'NAV', 'ARTICLE', 'SPAN'])[seq % 6 + 1] AS tag, "
     "(['markdown prose', 'chat-message', 'sidebar item', 'font-claude-response', 'toolbar', 'conversation-turn'])[(seq % 6 + seq // 64) % 6 + 1] AS classes, "
-    "length(content)::BIGINT AS text_length, left(content, 100) AS preview, CASE WHEN seq % 4 = 0 THEN role END AS element_role FROM log)"
+    "length(content)::BIGINT AS text_length, content, CASE WHEN seq % 4 = 0 THEN role END AS element_role FROM log)"
 )
 _CONTENT_BOX = f"({sql_any('classes', rules.CONTENT_CLASSES)} AND platform = 'chatgpt')"
 _CHROME = f"(lower(tag) IN ('button', 'nav', 'header') OR {sql_any('classes', rules.CHROME_CLASSES)})"
@@ -121,7 +121,7 @@ def container_noise(spark, sf_dir):
     return rows.select(*ROW, flag.alias("container_noise"))
 
 
-_SHOWN = sql_strip("preview")
+_SHOWN = sql_strip("content")
 
 
 @query(
@@ -135,7 +135,7 @@ def is_conversation_element(spark, sf_dir):
 
     rows = diagnostic_events(spark, sf_dir)
     flag = rules.is_conversation_element(
-        F.col("element.textPreview"), F.col("element_role"), F.col("element.classes")
+        F.col("content"), F.col("element_role"), F.col("element.classes")
     )
     return rows.select(*ROW, flag.alias("is_conversation"))
 

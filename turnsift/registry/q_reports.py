@@ -16,9 +16,12 @@ from turnsift.registry.q_sources import ANALYTICS, analytics_events
 ROW = ["convo_id", "seq"]
 
 
-def clean_and_verbose(spark, sf_dir):
-    ruled = noise_ops.classify_noise(message_log(spark, sf_dir))
-    return ruled.where(~F.col("noise")), ruled
+def classified(spark, sf_dir):
+    return noise_ops.classify_noise(message_log(spark, sf_dir))
+
+
+def clean_log(spark, sf_dir):
+    return classified(spark, sf_dir).where(~F.col("noise"))
 
 
 _CLEAN = f"{NOISE}, clean AS (SELECT * FROM noise WHERE NOT noise)"
@@ -26,7 +29,7 @@ _CLEAN = f"{NOISE}, clean AS (SELECT * FROM noise WHERE NOT noise)"
 
 @query("log_counts", f"{LOG}, {_CLEAN} SELECT (SELECT count(*) FROM clean) AS clean, count(*) AS verbose, count(*) - (SELECT count(*) FROM clean) AS filtered FROM noise")
 def log_counts(spark, sf_dir):
-    return ops.log_counts(*clean_and_verbose(spark, sf_dir))
+    return ops.log_counts(classified(spark, sf_dir))
 
 
 _OKAY = r"regexp_matches(content, '^okay\d+\z')"
@@ -46,12 +49,12 @@ _LAST = "(SELECT * FROM clean ORDER BY ms DESC, convo_id DESC, seq DESC LIMIT 20
 
 @query("content_type_breakdown", f"{LOG}, {_CLEAN}, {_types(_LAST)} SELECT * FROM types")
 def content_type_breakdown(spark, sf_dir):
-    return ops.content_types(clean_and_verbose(spark, sf_dir)[0])
+    return ops.content_types(clean_log(spark, sf_dir))
 
 
 @query("content_type_breakdown_all", f"{LOG}, {_CLEAN}, {_types('clean')} SELECT * FROM types")
 def content_type_breakdown_all(spark, sf_dir):
-    return ops.content_types(clean_and_verbose(spark, sf_dir)[0], last=None)
+    return ops.content_types(clean_log(spark, sf_dir), last=None)
 
 
 def _audit(source: str) -> str:
@@ -69,13 +72,12 @@ def noise_audit(spark, sf_dir):
     f"{LOG}, {_CLEAN} SELECT v.convo_id, v.seq FROM noise v WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.content = v.content AND abs(c.ms - v.ms) < 1000)",
 )
 def filtered_out(spark, sf_dir):
-    clean, verbose = clean_and_verbose(spark, sf_dir)
-    return ops.filtered_out(verbose, clean).select(*ROW)
+    return ops.filtered_out(classified(spark, sf_dir)).select(*ROW)
 
 
 @query(
     "quality_score",
-    f"{LOG}, {_CLEAN}, {_types(_LAST)}, {_audit('clean')}, q AS (SELECT (SELECT count(*) FROM clean) AS clean, (SELECT count(*) FROM noise) AS verbose, "
+    f"{LOG}, {_CLEAN}, {_types('clean')}, {_audit('clean')}, q AS (SELECT (SELECT count(*) FROM clean) AS clean, (SELECT count(*) FROM noise) AS verbose, "
     "(SELECT coalesce(sum(hits), 0) FROM audit)::BIGINT AS noise_hits, round(user_messages / greatest(assistant_responses, 1), 4) AS user_assistant_ratio, test_messages FROM types), "
     'r AS (SELECT *, "verbose" - clean AS filtered, round(("verbose" - clean) / "verbose" * 100, 4) AS filter_rate FROM q), '
     "s AS (SELECT *, (CASE WHEN noise_hits = 0 THEN 25 ELSE 0 END + CASE WHEN user_assistant_ratio > 0.5 AND user_assistant_ratio < 2 THEN 25 ELSE 0 END "
@@ -84,7 +86,7 @@ def filtered_out(spark, sf_dir):
     "CASE WHEN score >= 75 THEN 'excellent' WHEN score >= 50 THEN 'good' ELSE 'needs work' END AS grade FROM s",
 )
 def quality_score(spark, sf_dir):
-    return ops.quality_score(*clean_and_verbose(spark, sf_dir))
+    return ops.quality_score(classified(spark, sf_dir))
 
 
 @query(
@@ -98,8 +100,11 @@ def dup_rate(spark, sf_dir):
 
 @query(
     "phase_summary",
-    f"WITH {ANALYTICS} SELECT conversation_id, test_phase, count(*) FILTER (type = 'transmission') AS transmissions, count(*) FILTER (type = 'duplicate_detected') AS duplicates, "
-    "min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, max(ts_ms) - min(ts_ms) AS duration_ms FROM analytics WHERE test_phase IS NOT NULL GROUP BY 1, 2",
+    f"WITH {ANALYTICS}, p AS (SELECT conversation_id, test_phase, count(*) FILTER (type = 'transmission') AS transmissions, "
+    "count(*) FILTER (type = 'duplicate_detected') AS duplicates, max(ts_ms) FILTER (type = 'test_start') AS start_ms, "
+    "max(ts_ms) FILTER (type = 'test_end') AS last_end FROM analytics WHERE test_phase IS NOT NULL GROUP BY 1, 2) "
+    "SELECT conversation_id, test_phase, transmissions, duplicates, start_ms, CASE WHEN last_end >= start_ms THEN last_end END AS end_ms, "
+    "CASE WHEN last_end >= start_ms THEN last_end - start_ms END AS duration_ms FROM p",
 )
 def phase_summary(spark, sf_dir):
     return ops.phase_summary(analytics_events(spark, sf_dir))
@@ -111,15 +116,7 @@ def phase_summary(spark, sf_dir):
     "count(*) FILTER (type = 'duplicate_detected') AS duplicates, count(*) FILTER (type = 'test_start') AS tests, count(*) AS events FROM analytics",
 )
 def session_summary(spark, sf_dir):
-    from turnsift.sources.sinks import session_summary_documents
-
-    one = analytics_events(spark, sf_dir).withColumn("conversation_id", F.lit("all"))
-    doc = session_summary_documents(one)
-    total = analytics_events(spark, sf_dir).agg(F.count(F.lit(1)).alias("events")).withColumn("conversation_id", F.lit("all"))
-    return doc.join(total, "conversation_id").select(
-        F.col("sessionDuration").alias("duration_ms"), F.col("totalTransmissions").alias("transmissions"),
-        F.col("totalDuplicates").alias("duplicates"), F.col("totalTests").alias("tests"), "events",
-    )
+    return ops.session_totals(analytics_events(spark, sf_dir))
 
 
 @query(

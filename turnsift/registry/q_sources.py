@@ -217,7 +217,7 @@ CLASSES = ["markdown prose", "chat-message", "sidebar item", "font-claude-respon
 
 
 def diagnostic_lines(spark, sf_dir):
-    """The message log as posted element events."""
+    """The message log as posted element events; ``content`` is the whole text of the element, which is not posted."""
     log = message_log(spark, sf_dir)
     number = F.col("seq") % 6
     element = F.struct(
@@ -233,7 +233,7 @@ def diagnostic_lines(spark, sf_dir):
         element.alias("elementSignature"), F.lit("{}").alias("conversationContext"),
         F.when(F.col("seq") % 2 == 0, "add").otherwise("mutation").alias("transmissionType"),
     ))
-    return log.select("convo_id", "seq", "platform", doc.alias("value"))
+    return log.select("convo_id", "seq", "platform", "content", doc.alias("value"))
 
 
 def diagnostic_events(spark, sf_dir):
@@ -260,21 +260,27 @@ def ingest_diagnostic(spark, sf_dir):
     "OR (x.log = 'recent' AND seq % 64 < 2)",
 )
 def read_test_report(spark, sf_dir):
-    """One report document per turn: at most forty lines by construction."""
+    """One report file per conversation: an array with one report per turn, at most forty lines each by construction."""
     line = F.to_json(F.struct("ts", "platform", "role", "content"))
     lines = message_log(spark, sf_dir).select("convo_id", F.floor(F.col("seq") / 64).alias("turn"), "role", kind().alias("kind"), line.alias("line"))
-    docs = lines.groupBy("convo_id", "turn").agg(
+    reports = lines.groupBy("convo_id", "turn").agg(
         F.to_json(F.struct(
+            F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("timestamp"),
             F.lit(True).alias("success"),
             F.struct(
                 F.collect_list(F.when(F.col("role") != "system", F.col("line"))).alias("chat"),
                 F.collect_list("line").alias("verbose"),
                 F.collect_list(F.when(F.col("kind") < 2, F.col("line"))).alias("recent"),
             ).alias("logs"),
-        )).alias("value")
+        )).alias("report")
     )
-    reports = docs.withColumn("doc", F.from_json("value", schemas.TEST_REPORT)).select("convo_id", "turn", "doc.logs")
-    return ms.report_messages(reports).select("convo_id", "turn", "log", ts_ms(), "role", "content")
+    files = reports.groupBy("convo_id").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("report"), ",\n"), F.lit("\n]")).alias("value")
+    )
+    folder = fresh_folder(spark, "reports")
+    files.write.partitionBy("convo_id").text(folder)
+    read_back = ms.read_test_report(spark, folder).withColumn("turn", F.substring("timestamp", 6, 20).cast("bigint"))
+    return ms.report_messages(read_back).select("convo_id", "turn", "log", ts_ms(), "role", "content")
 
 
 @query(

@@ -11,19 +11,31 @@ from turnsift.registry.base import LOG, message_log, turn
 from turnsift.registry.q_dedup import _BURSTS, REPLAY, greedy_sql
 from turnsift.registry.q_noise import NOISE
 from turnsift.registry.q_sources import ts_ms
-from turnsift.session import fresh_folder
+from turnsift.session import cut_lineage, fresh_folder
 from turnsift.sources import messages as ms
 from turnsift.streaming import jobs
 
 ROW = ["convo_id", "seq"]
 
 
-def log_stream(spark, sf_dir):
-    """The message log as a stream of the files it was written to."""
+FILES = 2
+
+
+def log_stream(spark, sf_dir, closing=False):
+    """The message log as a stream of files that arrive in event order, as three micro-batches.
+
+    ``closing`` adds a last row a day later, which lets the watermark pass everything before it.
+    """
     folder = fresh_folder(spark, "arriving")
-    log = message_log(spark, sf_dir)
-    log.write.parquet(folder)
-    return spark.readStream.schema(log.schema).parquet(folder)
+    log = cut_lineage(message_log(spark, sf_dir))
+    at = F.unix_millis("ts")
+    low, high = log.select(at.alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01)
+    for part in (at <= low, (at > low) & (at <= high), at > high):
+        log.where(part).repartition(FILES).write.mode("append").parquet(folder)
+    if closing:
+        end = log.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).withColumn("convo_id", F.lit("end of input"))
+        end.select(*[F.col(c) if c in end.columns else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns]).write.mode("append").parquet(folder)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def finish(spark, rows, name, partition_by=None):
@@ -48,10 +60,10 @@ def fan_out_stream(spark, sf_dir):
 
 @query(
     "debounce_stream",
-    f"{LOG}, {_BURSTS} SELECT convo_id, turn_no, role, content, emit_ms, updates FROM bursts WHERE emit_ms <= (SELECT max(ms) - 2000 FROM log)",
+    f"{LOG}, {_BURSTS} SELECT convo_id, turn_no, role, content, emit_ms, updates FROM bursts",
 )
 def debounce_stream(spark, sf_dir):
-    updates = log_stream(spark, sf_dir).withColumn("turn_no", turn())
+    updates = log_stream(spark, sf_dir, closing=True).withColumn("turn_no", turn())
     rows = jobs.debounce_stream(updates, ["convo_id", "turn_no", "role"], "1 second", "2 seconds")
     out = finish(spark, rows, "debounced")
     return out.select("convo_id", "turn_no", "role", "content", F.unix_millis("emit_ts").alias("emit_ms"), "updates")
@@ -79,10 +91,10 @@ def first_seen_stream(spark, sf_dir):
 @query(
     "velocity_stream",
     f"{LOG}, slots AS (SELECT convo_id, (ms // 200) * 200 - 200 * s.i AS start_ms, ms FROM log, range(5) s(i)) "
-    "SELECT convo_id, start_ms, count(*) AS rows FROM slots GROUP BY 1, 2 HAVING count(*) > 5 AND start_ms + 1000 <= (SELECT max(ms) - 2000 FROM log)",
+    "SELECT convo_id, start_ms, count(*) AS rows FROM slots GROUP BY 1, 2 HAVING count(*) > 5",
 )
 def velocity_stream(spark, sf_dir):
-    rows = jobs.velocity_stream(log_stream(spark, sf_dir).select(*ROW, "ts"), 5, "2 seconds")
+    rows = jobs.velocity_stream(log_stream(spark, sf_dir, closing=True).select(*ROW, "ts"), 5, "2 seconds")
     return finish(spark, rows, "velocity").select("convo_id", F.unix_millis("start").alias("start_ms"), "rows")
 
 

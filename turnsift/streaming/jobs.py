@@ -64,12 +64,16 @@ class BatchJob:
 
     Every batch is decided with the same blocked job as a table, so a hot key is split here
     as well.  The memory a batch leaves is written under its number and read by the next
-    one: a batch that runs again reads the same memory and overwrites its own output.
-    Batches must arrive in event order.
+    one: a batch that runs again reads the same memory and overwrites its own output.  Memories
+    that no batch can need again are removed.
+
+    Batches may overlap by ``delay`` seconds of event time.  The watermark is the newest time seen, or the
+    time of processing if that is earlier, less the delay: a row dated into the future cannot move it ahead.
+    Rows older than the watermark that a batch finds are not decided; they go to the folder ``late``.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, delay: float):
+        self.folder, self.delay = folder, int(delay * 1_000_000)
 
     def memory(self, spark: SparkSession, epoch: int) -> DataFrame | None:
         return spark.read.parquet(f"{self.folder}/state/epoch={epoch}") if epoch >= 0 else None
@@ -77,9 +81,35 @@ class BatchJob:
     def write(self, name: str, rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
+    def remove(self, spark: SparkSession, name: str, epoch: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/epoch={epoch}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def watermark(self, spark: SparkSession, epoch: int) -> int | None:
+        """Microseconds, as a batch left it; null as long as no row was seen."""
+        return spark.read.parquet(f"{self.folder}/watermark/epoch={epoch}").first()[0] if epoch >= 0 else None
+
+    def decide(self, batch: DataFrame, before: DataFrame | None, epoch: int) -> None:
         raise NotImplementedError
 
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(batch)
+        mark, at = self.watermark(spark, epoch - 1), F.unix_micros("ts")
+        if mark is not None:
+            self.write("late", rows.where(at < mark), epoch)
+            rows = rows.where(at >= mark)
+        newest = F.least(F.max(at), F.unix_micros(F.current_timestamp())) - self.delay
+        self.write("watermark", rows.agg(F.greatest(newest, F.lit(mark).cast("bigint")).alias("at")), epoch)
+        self.decide(rows, self.memory(spark, epoch - 1), epoch)
+        for name in ("state", "watermark"):
+            self.remove(spark, name, epoch - 2)
+
+    def recent(self, spark: SparkSession, epoch: int, ts: str, seconds: float) -> Column:
+        """Rows that a row not yet late can still look back to."""
+        mark = self.watermark(spark, epoch)
+        return F.lit(True) if mark is None else F.unix_micros(ts) >= mark - int(seconds * 1_000_000)
+
     def start(self, stream: DataFrame) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/_checkpoint")
         return writer.trigger(availableNow=True).start()
@@ -88,41 +118,38 @@ class BatchJob:
 class QuietDedup(BatchJob):
     """Keep-if-quiet over micro-batches.
 
-    The memory is the rows kept within the last ``longest`` seconds; they are put in front
-    of the next batch as forced rows.
+    The memory is the kept rows that a later row may look back to, ``longest`` seconds at most; they are put in
+    front of the next batch as forced rows.
     """
 
-    def __init__(self, folder: str, keys: list[str], window: Column, longest: float):
-        super().__init__(folder)
+    def __init__(self, folder: str, keys: list[str], window: Column, longest: float, delay: float = 3600):
+        super().__init__(folder, delay)
         self.keys, self.window, self.longest = keys, window, longest
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
+    def decide(self, batch: DataFrame, before: DataFrame | None, epoch: int) -> None:
         columns = [*dict.fromkeys([*ID, "ts", *self.keys])]
         rows = batch.select(*columns).withColumn("carried", F.lit(False))
-        before = self.memory(batch.sparkSession, epoch - 1)
         if before is not None:
             rows = rows.unionByName(before.select(*columns).withColumn("carried", F.lit(True)))
         decided = keep_if_quiet(rows, self.keys, "ts", ID, self.window, forced=F.col("carried"))
         decided = cut_lineage(decided)
         self.write("data", decided.where(~F.col("carried")).drop("carried"), epoch)
-        newest = decided.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
-        recent = decided.where(F.col("kept") & (F.unix_micros("ts") >= newest - int(self.longest * 1_000_000)))
-        self.write("state", recent.select(*columns), epoch)
+        recent = self.recent(batch.sparkSession, epoch, "ts", self.longest)
+        self.write("state", decided.where(F.col("kept") & recent).select(*columns), epoch)
 
 
 class ReplayLog(BatchJob):
     """Strict replay decisions over micro-batches.
 
-    The memory is the ring of clean rows of every conversation, dropped ``idle_seconds``
-    after its last row.
+    The memory is the ring of clean rows of every conversation.  A conversation is forgotten once its last row is
+    ``idle_seconds`` older than the watermark; batches must not overlap inside a conversation.
     """
 
-    def __init__(self, folder: str, idle_seconds: int = 3600):
-        super().__init__(folder)
+    def __init__(self, folder: str, idle_seconds: float = 86_400, delay: float = 3600):
+        super().__init__(folder, delay)
         self.idle = idle_seconds
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        before = self.memory(batch.sparkSession, epoch - 1)
+    def decide(self, batch: DataFrame, before: DataFrame | None, epoch: int) -> None:
         rows = prepare(batch)
         decided = relay(rows, ["convo_id"], ["ts", "seq"], replay_step, FIELDS, initial=before, keep_state=True)
         decided = cut_lineage(decided.select(*ID, "ts", *FIELDS, STATE))
@@ -132,5 +159,4 @@ class ReplayLog(BatchJob):
         )
         if before is not None:
             last = last.unionByName(before.join(last.select("convo_id"), "convo_id", "left_anti"))
-        newest = decided.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
-        self.write("state", last.where(F.unix_micros("last_ts") >= newest - self.idle * 1_000_000), epoch)
+        self.write("state", last.where(self.recent(batch.sparkSession, epoch, "last_ts", self.idle)), epoch)
