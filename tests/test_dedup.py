@@ -194,3 +194,11 @@ def test_direct_memory_forgets_old_texts(log, mode):
     assert [r.is_new for r in dedup.is_new_direct(log(rows + late)).orderBy("seq").collect()[-3:]] == [True, True, True]
     few = [(0, "user", "first"), (900, "user", "other"), (901, "user", "first")]
     assert [r.is_new for r in dedup.is_new_direct(log(few)).orderBy("seq").collect()] == [True, True, False]
+
+
+def test_a_reply_ends_the_waiting(log, mode):
+    rows = log([(0, "user", "one"), (0.3, "assistant", "old"), (1, "user", "two"), (1.2, "assistant", "reply"), (1.5, "user", "three"),
+                (1.9, "user", "four"), (9, "user", "four"), (20, "user", " ")])
+    got = {r.seq: r.accepted for r in dedup.user_send_dedup(rows).collect()}
+    # "two" is refused, the reply to "one" ends the waiting, "three" counts at once and "four" comes too early.
+    assert got == {0: True, 2: False, 4: True, 5: False, 6: False}

@@ -50,3 +50,28 @@ def test_retention(log):
     rows = log([(i, "user", str(i)) for i in range(10)])
     kept = sinks.rolling_retention(rows, ["platform"], [F.desc("ts"), F.desc("seq")], 2)
     assert sorted(r.content for r in kept.collect()) == ["8", "9"]
+
+
+def test_nested_and_hidden_page_parts():
+    from turnsift.sources import pages
+
+    page = """<html><head><title>t</title><style>p{}</style></head><body><nav>a<nav>b</nav>c</nav>
+    <div>one <button>Send</button><span role="button">x<b>y</b></span><span class="icon">i</span><p style="display: none">gone</p>
+    <div class="toolbar"><p>tools</p></div><i data-testid="message-actions"><u>act</u></i><p>Copy</p><p>two &amp; <br>three</p>
+    <div style="visibility:hidden"><p>dark</p><p style="visibility:visible">light</p></div><a aria-label="a button">z</a>
+    <script>if (a < b) { "</p>" }</script><div class="my-controls"><div>k</div></div>four</div></body></html>"""
+    assert pages.shown_text(page).split() == ["one", "two", "&", "three", "light", "four"]
+
+
+def test_artifacts_are_whole(spark):
+    from turnsift.sources import pages
+
+    page = """<div class="artifact-container" data-language="py">first <div>inner <div>deep</div></div> last words</div>
+    <section data-testid="the-artifact-1"><pre class="code-block">print("hello, world")</pre></section><p class="artifact">short</p>"""
+    rows = pages.page_artifacts(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")).collect()
+    assert [(r.page_id, r.selector, " ".join(r.content.split()), r.language) for r in rows] == [
+        (1, '[data-testid*="artifact"]', 'print("hello, world")', "unknown"),
+        (1, ".artifact-container", "first inner deep last words", "py"),
+        (1, '[class*="artifact"]', "first inner deep last words", "py"),
+        (1, ".code-block", 'print("hello, world")', "unknown"),
+    ]

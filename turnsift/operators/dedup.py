@@ -349,20 +349,35 @@ def repeat_policy(messages: DataFrame) -> DataFrame:
     return counted.result(*ID, "ts", "role", "should_log", "reason", "repeat_count")
 
 
-def user_send_dedup(sends: DataFrame, session: str = "convo_id", content_grace: int = 10, any_grace: int = 2) -> DataFrame:
-    """Send events with ``accepted``: no equal send within 10 s, no accepted send within 2 s.
+def user_send_dedup(
+    events: DataFrame, session: str = "convo_id", content_grace: int = 10, any_grace: int = 2, reply_after: float = 0.5
+) -> DataFrame:
+    """User rows with ``accepted``: no equal send processed within 10 s, no send within 2 s of one that awaits its reply.
 
-    The last processed text is always the text of the row before, so the first rule is a
-    keep-if-quiet fold that restarts whenever the text changes.
+    An assistant row ``reply_after`` seconds or more after an accepted send ends the waiting, so the next send counts at
+    once.  A send that is refused for being early has been processed all the same.
     """
-    rows = sends.where(tx.strip(F.col("content")) != "").select(session, "seq", "ts", tx.digest(F.col("content")).alias("digest"))
-    runs = Timeline(rows, [session], CONVO_ORDER).scan(prev={"p": F.col("digest")})
-    runs = runs.columns(changed=~F.col("p").eqNullSafe(F.col("digest"))).result().drop("p")
-    first = keep_if_quiet(runs, [session], "ts", ["seq"], F.lit(content_grace), strict=True, forced=F.col("changed"))
-    first = first.withColumnRenamed("kept", "passed").drop("changed", "digest")
-    second = keep_if_quiet(first.where("passed"), [session], "ts", ["seq"], F.lit(any_grace), strict=True)
-    rest = first.where(~F.col("passed")).withColumn("kept", F.lit(False))
-    return second.unionByName(rest).select(session, "seq", "ts", F.col("kept").alias("accepted"))
+    text = tx.strip(F.col("content"))
+    rows = events.where(((F.col("role") == "user") & (text != "")) | (F.col("role") == "assistant"))
+    rows = rows.select(session, "seq", "ts", "role", tx.digest(F.col("content")).alias("digest"), F.unix_micros("ts").alias("at"))
+    second = 1_000_000
+
+    def step(state: dict, row: dict) -> dict:
+        at = row["at"]
+        if row["role"] == "assistant":
+            if state.get("awaiting") and at - state["sent"] >= reply_after * second:
+                state["awaiting"] = False
+            return {"accepted": None}
+        if row["digest"] == state.get("text") and at - state["processed"] < content_grace * second:
+            return {"accepted": False}
+        state["text"], state["processed"] = row["digest"], at
+        if state.get("awaiting") and at - state["sent"] < any_grace * second:
+            return {"accepted": False}
+        state["awaiting"], state["sent"] = True, at
+        return {"accepted": True}
+
+    decided = relay(rows, [session], CONVO_ORDER, step, {"accepted": "boolean"})
+    return decided.where(F.col("role") == "user").select(session, "seq", "ts", "accepted")
 
 
 def consecutive_window_dedup(messages: DataFrame, seconds: int = 5) -> DataFrame:

@@ -287,13 +287,19 @@ _SENDS = "sends AS (SELECT *, (content IS DISTINCT FROM lag(content) OVER (PARTI
 
 @query(
     "user_send_dedup",
-    f"{LOG}, {_SENDS}, " + greedy_sql("sends", "convo_id", "10000", ">=", "r.changed", "g1")
-    + ", passed AS (SELECT l.* FROM log l JOIN g1 ON g1.convo_id = l.convo_id AND g1.seq = l.seq AND g1.kept), "
-    + greedy_sql("passed", "convo_id", "2000", ">=", name="g2")
-    + " SELECT g1.convo_id, g1.seq, coalesce(g2.kept, false) AS accepted FROM g1 LEFT JOIN g2 USING (convo_id, seq)",
+    f"{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS n FROM log "
+    f"WHERE role = 'assistant' OR (role = 'user' AND {sql_strip('content')} <> '')), "
+    "w AS (SELECT convo_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS last, NULL::BIGINT AS last_ms, NULL::BIGINT AS sent_ms, "
+    "false AS waits, NULL::BOOLEAN AS accepted FROM r WHERE n = 1 UNION ALL "
+    "SELECT convo_id, n, seq, CASE WHEN fresh THEN content ELSE last END, CASE WHEN fresh THEN ms ELSE last_ms END, "
+    "CASE WHEN counts THEN ms ELSE sent_ms END, CASE WHEN said THEN waits AND ms - sent_ms < 500 ELSE waits OR counts END, "
+    "CASE WHEN NOT said THEN counts END FROM (SELECT *, fresh AND NOT (waits AND ms - sent_ms < 2000) AS counts "
+    "FROM (SELECT r.convo_id, r.n, r.seq, r.ms, r.content, w.last, w.last_ms, w.sent_ms, w.waits, r.role = 'assistant' AS said, "
+    "r.role = 'user' AND NOT coalesce(r.content = w.last AND r.ms - w.last_ms < 10000, false) AS fresh "
+    "FROM w JOIN r ON r.convo_id = w.convo_id AND r.n = w.n + 1))) SELECT convo_id, seq, accepted FROM w WHERE accepted IS NOT NULL",
 )
 def user_send_dedup(spark, sf_dir):
-    return ops.user_send_dedup(plain(spark, sf_dir).where(F.col("role") == "user")).select(*ROW, "accepted")
+    return ops.user_send_dedup(plain(spark, sf_dir)).select(*ROW, "accepted")
 
 
 @query(

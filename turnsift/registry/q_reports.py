@@ -211,6 +211,6 @@ def tool_usage(spark, sf_dir):
 def artifact_usage(spark, sf_dir):
     from turnsift.sources.pages import page_artifacts
 
-    rows = page_artifacts(read(spark, sf_dir, "pages"), selectors={".ad": "ad"})
+    rows = page_artifacts(read(spark, sf_dir, "pages"), selectors=[".ad"])
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")
     return rows.groupBy(host).agg(F.count(F.lit(1)).alias("artifacts"))

@@ -313,15 +313,16 @@ def messages_from_conversations(spark, sf_dir):
 
 
 def _sql_page_body() -> str:
+    """Markup without comments and unseen or skipped elements; the pages nest none of them."""
     body = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for element in pg.HIDDEN_ELEMENTS:
+    for element in ("script", "style", "title", "nav", "header", "button", "svg"):
         body = rf"regexp_replace({body}, '(?is)<{element}(?:\s[^>]*)?>.*?</{element}>', '', 'g')"
     return body
 
 
 def _sql_entities(e: str) -> str:
-    for name, character in pg.ENTITIES:
-        e = f"replace({e}, '{name}', chr({ord(character)}))"
+    for name, code in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
+        e = f"replace({e}, '&{name};', chr({code}))"
     return e
 
 
@@ -353,6 +354,5 @@ def page_link_extract(spark, sf_dir):
     SELECT page_id, content, 'unknown' AS language, s.selector FROM texts, (VALUES ('.ad'), ('[class*="ad"]')) s(selector) WHERE length(content) > 10""",
 )
 def page_artifact_extract(spark, sf_dir):
-    selectors = {".ad": "ad", '[class*="ad"]': '[^"]*ad[^"]*'}
-    rows = pg.page_artifacts(read(spark, sf_dir, "pages"), selectors=selectors)
+    rows = pg.page_artifacts(read(spark, sf_dir, "pages"), selectors=[".ad", '[class*="ad"]'])
     return rows.select("page_id", "content", "language", "selector")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = fresh_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed on them.
+
+    Not needed if the package is installed everywhere or its folder is on every worker's ``PYTHONPATH``.
+    """
+    package = Path(__file__).parent
+    # The driver serves the archive for as long as the session lasts.
+    archive = Path(tempfile.mkdtemp(prefix="turnsift-package-"), "turnsift.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))

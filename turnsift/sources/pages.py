@@ -2,44 +2,147 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnsift.functions import noise
 from turnsift.functions import text as tx
 
-# Elements whose text is not conversation.
-HIDDEN_ELEMENTS = ["script", "style", "title", "nav", "header", "button", "svg"]
-# Classes that mark an artifact, as published selectors and the pattern they stand for.
-ARTIFACT_CLASSES = {
-    ".artifact-container": r"(?:[^\"]* )?artifact-container(?: [^\"]*)?",
-    "[class*=\"artifact\"]": r"[^\"]*artifact[^\"]*",
-    ".code-block": r"(?:[^\"]* )?code-block(?: [^\"]*)?",
-    ".preview-container": r"(?:[^\"]* )?preview-container(?: [^\"]*)?",
-}
-
-
-# Named character references that occur in page text; the ampersand comes last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
-    ("&middot;", "\u00b7"), ("&amp;", "&"),
+# Elements that browsers do not show, and selectors of elements whose text is not conversation.
+UNSEEN_ELEMENTS = ["script", "style", "title"]
+# The element around a text itself.
+SKIPPED_PARENTS = [
+    "button", "svg", '[role="button"]', ".icon", '[class*="icon"]', '[data-testid*="button"]', '[aria-label*="button"]',
 ]
-
-
-def decode_entities(text: Column) -> Column:
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
-
-
-def visible_text(html: Column) -> Column:
-    """Text nodes outside hidden elements, without single button labels."""
-    body = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for element in HIDDEN_ELEMENTS:
-        body = F.regexp_replace(body, f"(?is)<{element}(?:\\s[^>]*)?>.*?</{element}>", "")
-    nodes = F.split(F.regexp_replace(body, "<[^>]*>", "\n<>\n"), "\n<>\n")
-    shown = F.filter(nodes, lambda n: ~noise.ui_button_token(n))
-    return tx.norm_text(decode_entities(F.array_join(shown, "")))
+# That element or any around it.
+SKIPPED_REGIONS = [
+    "button", '[role="button"]', '[data-testid*="action"]', '[class*="action-"]', '[class*="toolbar"]', "nav", "header",
+    '[class*="controls"]',
+]
+# Selectors that mark an artifact.
+ARTIFACT_SELECTORS = [
+    '[data-testid*="artifact"]', ".artifact-container", '[class*="artifact"]', ".code-block", ".preview-container",
+]
+# Elements without content.
+VOID_ELEMENTS = frozenset(
+    "area base br col embed hr img input link meta param source track wbr".split()
+)
+_TOKEN = re.compile(
+    r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^>]*>|([^<]+|<)", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_SELECTOR = re.compile(r"""([a-z]*)(?:\.([\w-]+)|\[([\w-]+)(\*?)=["']?([^"'\]]*)["']?\])?""")
+_BUTTON = re.compile(r"(?i)(Write|Strategize|Create|Learn|From\s+Drive|Publish|Share|Copy|Edit|Delete)")
+
+
+class Element:
+    """An open element: its name, attributes, and what holds for the texts inside."""
+
+    def __init__(self, name: str, source: str) -> None:
+        self.name = name
+        self.source = source
+        self.found: dict[str, str] | None = None
+
+    @property
+    def attributes(self) -> dict[str, str]:
+        if self.found is None:
+            self.found = {}
+            for key, *values in _ATTRIBUTE.findall(self.source):
+                self.found.setdefault(key.lower(), unescape("".join(values)))
+        return self.found
+
+    def matches(self, selector: str) -> bool:
+        """Selectors of one part: a name, ``.class``, ``[attribute="value"]`` or ``[attribute*="part"]``."""
+        name, own_class, attribute, part, value = _SELECTOR.fullmatch(selector).groups()
+        if name and name != self.name:
+            return False
+        if own_class:
+            return own_class in self.attributes.get("class", "").split()
+        if attribute:
+            held = self.attributes.get(attribute)
+            return held is not None and (value in held if part else held == value)
+        return True
+
+    def any_of(self, selectors: list[str]) -> bool:
+        return any((s == self.name) if s.isalpha() else bool(self.source) and self.matches(s) for s in selectors)
+
+    def style(self, name: str) -> str:
+        styles = dict(p.split(":", 1) for p in self.attributes.get("style", "").lower().split(";") if ":" in p) if self.source else {}
+        return {k.strip(): v.strip() for k, v in styles.items()}.get(name, "")
+
+
+def elements(html: str) -> Iterator[tuple[str, Element | str]]:
+    """``open`` and ``close`` with the element, ``text`` with a text node; an end tag closes what is open inside it."""
+    stack: list[Element] = []
+    raw = ""
+    for found in _TOKEN.finditer(html):
+        closing, name, source, text = found.groups()
+        if raw and not (closing and name.lower() == raw):
+            continue
+        if text is not None:
+            yield "text", text
+        elif name is None:
+            continue
+        elif closing:
+            if any(e.name == name.lower() for e in stack):
+                while stack:
+                    element = stack.pop()
+                    yield "close", element
+                    if element.name == name.lower():
+                        break
+            raw = ""
+        else:
+            element = Element(name.lower(), source.strip())
+            yield "open", element
+            if element.name in VOID_ELEMENTS or source.endswith("/"):
+                yield "close", element
+            else:
+                stack.append(element)
+                raw = element.name if element.name in UNSEEN_ELEMENTS else ""
+    for element in reversed(stack):
+        yield "close", element
+
+
+def shown_text(html: str) -> str:
+    """Text nodes that are visible conversation text, one after the other."""
+    # Of each open element: whether it skips its own texts, whether it skips all texts inside, whether it is invisible.
+    state: list[tuple[bool, bool, bool]] = [(False, False, False)]
+    out = []
+    for kind, what in elements(html):
+        if kind == "open":
+            _, region, unseen = state[-1]
+            own = what.any_of(SKIPPED_PARENTS) or what.name in UNSEEN_ELEMENTS or what.style("display") == "none"
+            visibility = what.style("visibility")
+            unseen = visibility == "hidden" if visibility else unseen
+            state.append((own, region or what.any_of(SKIPPED_REGIONS), unseen))
+        elif kind == "close":
+            state.pop()
+        elif not any(state[-1]) and not _BUTTON.fullmatch(what.strip()):
+            out.append(unescape(what))
+    return "".join(out)
+
+
+def artifacts(html: str, selectors: list[str]) -> list[tuple[str, str, str]]:
+    """Selector, whole text and language of each matching element, in the order of the selectors."""
+    texts: list[str] = []
+    opened: dict[int, tuple[int, int]] = {}
+    hits: list[tuple[int, int, str, str]] = []
+    for place, (kind, what) in enumerate(elements(html)):
+        if kind == "text":
+            texts.append(what)
+        elif kind == "open":
+            opened[id(what)] = (place, len(texts))
+        else:
+            begin, first = opened.pop(id(what))
+            for k, selector in enumerate(selectors):
+                if what.matches(selector):
+                    content = unescape("".join(texts[first:])).strip()
+                    hits.append((k, begin, content, what.attributes.get("data-language") or "unknown"))
+    return [(selectors[k], content, language) for k, _, content, language in sorted(hits)]
 
 
 def absolute_link(href: Column, page_url: Column) -> Column:
@@ -58,7 +161,13 @@ def absolute_link(href: Column, page_url: Column) -> Column:
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("page_text", visible_text(F.col(html)))
+    """Adds ``page_text``.  Nesting is followed by a small parser per page; Arrow batches carry only the markup."""
+
+    @F.pandas_udf("string")
+    def shown(markup: pd.Series) -> pd.Series:
+        return markup.map(shown_text, na_action="ignore")
+
+    return pages.withColumn("page_text", tx.norm_text(shown(F.col(html))))
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -71,25 +180,22 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     return pages.select(*kept, F.posexplode(links).alias("pos", "link"))
 
 
-def page_artifacts(
-    pages: DataFrame, html: str = "html", selectors: dict[str, str] | None = None, tag: str = "div"
-) -> DataFrame:
-    """Elements of the configured classes with more than ten characters, once per selector."""
+def page_artifacts(pages: DataFrame, html: str = "html", selectors: list[str] | None = None) -> DataFrame:
+    """Elements that match a selector and hold more than ten characters, once per selector; nested elements are whole."""
+    wanted = selectors or ARTIFACT_SELECTORS
 
-    def hits(selector: str, pattern: str) -> Column:
-        element = f'(?s)(<{tag}\\s[^>]*class="{pattern}"[^>]*>.*?)</{tag}>'
-        raw = F.regexp_extract_all(F.col(html), F.lit(element), F.lit(1))
-        return F.transform(raw, lambda h: F.struct(F.lit(selector).alias("selector"), h.alias("raw")))
+    @F.pandas_udf("array<struct<selector:string,content:string,language:string>>")
+    def found(markup: pd.Series) -> pd.Series:
+        names = ("selector", "content", "language")
+        return markup.map(lambda page: [dict(zip(names, hit)) for hit in artifacts(page, wanted)] if page else [])
 
-    found = [hits(selector, pattern) for selector, pattern in (selectors or ARTIFACT_CLASSES).items()]
     kept = [c for c in pages.columns if c != html]
-    rows = pages.select(*kept, F.posexplode(F.concat(*found)).alias("pos", "hit"))
-    language = F.nullif(F.regexp_extract("hit.raw", '^<[^>]*data-language="([^"]*)"', 1), F.lit(""))
+    rows = pages.select(*kept, F.posexplode(found(F.col(html))).alias("pos", "hit"))
     return rows.select(
         *kept,
         "pos",
         F.lit("artifact").alias("type"),
-        tx.strip(F.regexp_replace("hit.raw", "<[^>]*>", "")).alias("content"),
-        F.coalesce(language, F.lit("unknown")).alias("language"),
+        tx.strip(F.col("hit.content")).alias("content"),
+        F.col("hit.language").alias("language"),
         F.col("hit.selector").alias("selector"),
     ).where(F.length("content") > 10)
