@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from turnsift.plans.timeline import BLOCKS, MAX_ROWS_PER_KEY  # noqa: E402
+from turnsift.plans.timeline import BLOCKS  # noqa: E402
 from turnsift.session import build_session  # noqa: E402
 
 
@@ -26,12 +26,9 @@ def spark():
 
 @pytest.fixture(params=["plain", "blocked"])
 def mode(request, spark):
-    """Run a test with plain windows and with every key cut into blocks."""
-    if request.param == "blocked":
-        spark.conf.set(MAX_ROWS_PER_KEY, "2")
-        spark.conf.set(BLOCKS, "7")
+    """Run a test in one block and with every key cut into blocks."""
+    spark.conf.set(BLOCKS, "7" if request.param == "blocked" else "1")
     yield request.param
-    spark.conf.unset(MAX_ROWS_PER_KEY)
     spark.conf.unset(BLOCKS)
 
 

@@ -123,3 +123,20 @@ def test_result_does_not_depend_on_input_order(spark, mode):
         for r in (rows, shuffled)
     ]
     assert results[0] == results[1]
+
+
+def test_blocks_follow_the_input(spark, tmp_path):
+    from turnsift.plans.timeline import BLOCK_BYTES, block_count
+
+    spark.range(20_000).selectExpr("id", "uuid() as u").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert block_count(rows) == 1
+    spark.conf.set(BLOCK_BYTES, "100000")
+    try:
+        one = block_count(rows)
+        assert one > 3
+        # What stands between the files and the scan does not matter, a second scan does.
+        assert block_count(rows.groupBy("id").count()) == one
+        assert block_count(rows.join(rows.withColumnRenamed("u", "v"), "id")) in (2 * one, 2 * one - 1)
+    finally:
+        spark.conf.unset(BLOCK_BYTES)

@@ -14,7 +14,7 @@ from turnsift.functions import text as tx
 from turnsift.operators.enrich import with_filter_config
 from turnsift.plans.greedy import keep_if_quiet
 from turnsift.plans.relay import relay
-from turnsift.plans.timeline import KeySizes, Timeline
+from turnsift.plans.timeline import Timeline
 
 ID = ["convo_id", "seq"]
 CONVO_ORDER = ["ts", "seq"]
@@ -104,8 +104,7 @@ def user_echo_label(messages: DataFrame, scope: str = "convo") -> DataFrame:
     lowered = F.lower("content")
     entry = F.struct("ts", "role", tx.strip(F.col("content")).alias("text"), lowered.alias("lowered"))
     rows = messages.select(*ID, "ts", "platform", "role", "content", tx.digest(F.col("content")).alias("digest"))
-    sizes = KeySizes(rows.drop("content"))
-    log = Timeline(rows, scope_columns(scope), scope_order(scope), sizes).scan(tail={"recent": (entry, 5)})
+    log = Timeline(rows, scope_columns(scope), scope_order(scope)).scan(tail={"recent": (entry, 5)})
 
     def is_exact(e: Column) -> Column:
         return (seconds_since(e["ts"]) <= 10) & (e["text"] == tx.strip(F.col("content")))
@@ -119,7 +118,7 @@ def user_echo_label(messages: DataFrame, scope: str = "convo") -> DataFrame:
     labelled = log.columns(label=F.when(F.col("role") == "assistant", label)).result(
         *ID, "ts", "platform", "role", "digest", "label"
     )
-    seen = Timeline(labelled, [*scope_columns(scope), "role", "digest"], scope_order(scope), sizes).scan(
+    seen = Timeline(labelled, [*scope_columns(scope), "role", "digest"], scope_order(scope)).scan(
         prev={"seen": F.col("ts")}
     )
     known = F.col("seen").isNotNull() & (F.col("seen") != F.col("ts"))
@@ -222,14 +221,14 @@ def echo_rows(messages: DataFrame, flags: dict[str, Column] | None = None) -> Da
     )
 
 
-def leading_echo_ids(rows: DataFrame, sizes: KeySizes, buffer: int = 20) -> DataFrame:
+def leading_echo_ids(rows: DataFrame, buffer: int = 20) -> DataFrame:
     """Identities of the assistant rows of ``echo_rows`` that echo one of the last user texts.
 
     Each assistant row looks its shortened texts up as the last user row with that text:
     one ordered scan per (conversation, text) instead of comparing pairs.
     """
     users = F.when(F.col("role") == "user", 1).otherwise(0)
-    ranked = Timeline(rows.select(*ID, "ts", "role", "digest", "probes"), ["convo_id"], CONVO_ORDER, sizes)
+    ranked = Timeline(rows.select(*ID, "ts", "role", "digest", "probes"), ["convo_id"], CONVO_ORDER)
     ranked = ranked.scan(total={"users": users}).result()
     said = F.col("role") == "user"
     texts = F.when(said, F.array("digest")).otherwise(F.col("probes"))
@@ -244,18 +243,18 @@ def leading_echo_ids(rows: DataFrame, sizes: KeySizes, buffer: int = 20) -> Data
 def leading_char_echo(messages: DataFrame, buffer: int = 20) -> DataFrame:
     """Assistant rows with ``echo``: a user text of the last ``buffer`` behind 0..k characters."""
     rows = echo_rows(messages)
-    hits = leading_echo_ids(rows, KeySizes(rows), buffer).withColumn("echo", F.lit(True))
+    hits = leading_echo_ids(rows, buffer).withColumn("echo", F.lit(True))
     assistants = rows.where(F.col("role") == "assistant").select(*ID, "ts", "platform", "digest")
     return assistants.join(hits, ID, "left").fillna(False, ["echo"])
 
 
-def near_first_sight(rows: DataFrame, sizes: KeySizes | None = None, seconds: int = 30) -> Timeline:
+def near_first_sight(rows: DataFrame, seconds: int = 30) -> Timeline:
     """``rows`` with ``passes``: close enough to the first sight of their text that was no ``echo``.
 
     The seen texts are looked at first: a repeat of a text already let through is judged by its age alone, and only
     a text not seen yet is tested for an echo.  An echo is not remembered.
     """
-    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes)
+    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER)
     log = log.scan(total={"fresh": F.when(F.col("echo"), 0).otherwise(1)})
     log = log.scan(upto={"first_ts": F.when(~F.col("echo") & (F.col("fresh") == 1), F.col("ts"))})
     return log.columns(passes=F.coalesce(seconds_since("first_ts") < seconds, F.lit(False)))
@@ -264,7 +263,7 @@ def near_first_sight(rows: DataFrame, sizes: KeySizes | None = None, seconds: in
 def first_sight_filter(messages: DataFrame, seconds: int = 30) -> DataFrame:
     """Assistant rows with ``passes``: repeats close to the first sight, and texts not seen yet unless they echo a user."""
     rows = leading_char_echo(messages)
-    return near_first_sight(rows, KeySizes(narrow(messages)), seconds).result(*ID, "ts", "platform", "passes")
+    return near_first_sight(rows, seconds).result(*ID, "ts", "platform", "passes")
 
 
 def echo_filter_lab(messages: DataFrame) -> DataFrame:
@@ -320,13 +319,12 @@ def repeat_policy(messages: DataFrame) -> DataFrame:
     rows = messages.select(
         *ID, "ts", "role", tx.digest(norm).alias("digest"), tx.is_musical_command(norm, "repeat").alias("musical")
     )
-    sizes = KeySizes(rows)
-    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(
+    log = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(
         first={"first_ts": F.col("ts"), "first_seq": F.col("seq")}
     )
     repeat = F.col("seq") != F.col("first_seq")
     seen = log.columns(repeat=repeat, age=seconds_since("first_ts")).result()
-    active = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes).scan(
+    active = Timeline(seen, ["convo_id"], CONVO_ORDER).scan(
         upto={"user_ts": F.when(F.col("repeat") & (F.col("role") == "user"), F.col("ts"))}
     )
     idle = seconds_since("user_ts")
@@ -343,7 +341,7 @@ def repeat_policy(messages: DataFrame) -> DataFrame:
     )
     blocked = ["historical_retransmission", "orphaned_assistant_response", "medium_term_duplicate"]
     decided = active.columns(reason=reason).columns(should_log=~F.col("reason").isin(blocked)).result()
-    counted = Timeline(decided, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(
+    counted = Timeline(decided, ["convo_id", "digest"], CONVO_ORDER).scan(
         total={"repeat_count": F.when(F.col("should_log"), 1).otherwise(0)}
     )
     return counted.result(*ID, "ts", "role", "should_log", "reason", "repeat_count")
@@ -392,14 +390,13 @@ def genuine_response_fast(messages: DataFrame, earliest: float = 0.5, latest: fl
     """The first assistant row 0.5 to 15 s after the last user row, with its latency."""
     users = F.when(F.col("role") == "user", 1).otherwise(0)
     rows = messages.select(*ID, "ts", "platform", "role")
-    sizes = KeySizes(rows)
-    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(
         prev={"user": F.when(F.col("role") == "user", F.struct("ts", "seq"))}, total={"exchange": users}
     )
     wait = seconds_since("user.ts")
     answers = log.columns(wait=wait).where((F.col("role") == "assistant") & F.col("wait").between(earliest, latest))
     answers = answers.result()
-    firsts = Timeline(answers, ["convo_id", "exchange"], CONVO_ORDER, None if log.blocked else sizes)
+    firsts = Timeline(answers, ["convo_id", "exchange"], CONVO_ORDER)
     firsts = firsts.scan(prev={"earlier": F.col("seq")}).where(F.col("earlier").isNull())
     latency = (F.unix_millis("ts") - F.unix_millis("user.ts")).alias("latency_ms")
     return firsts.result().select(*ID, "ts", "platform", F.col("user.seq").alias("user_seq"), latency)

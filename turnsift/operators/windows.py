@@ -15,7 +15,7 @@ from turnsift.operators.dedup import (
     CONVO_ORDER, ID, echo_rows, genuine_response_strict, leading_echo_ids, narrow, near_first_sight, seconds_since,
 )
 from turnsift.operators.noise import baseline_exclude
-from turnsift.plans.timeline import KeySizes, Timeline, trailing_count
+from turnsift.plans.timeline import Timeline, trailing_count
 from turnsift.session import cut_lineage
 
 # Fixed values of the filters: counts and seconds.
@@ -29,13 +29,13 @@ def user_ts() -> Column:
 
 
 def velocity_ext(
-    messages: DataFrame, threshold: int = 25, seconds: float = 1, session: str = "convo_id", sizes: KeySizes | None = None
+    messages: DataFrame, threshold: int = 25, seconds: float = 1, session: str = "convo_id"
 ) -> DataFrame:
     """``bulk``: more than ``threshold`` rows in the trailing window.
 
     That is the case exactly when the row ``threshold`` places back is still inside it.
     """
-    log = Timeline(messages, [session], CONVO_ORDER, sizes).scan(lag={"nth": (F.col("ts"), threshold)})
+    log = Timeline(messages, [session], CONVO_ORDER).scan(lag={"nth": (F.col("ts"), threshold)})
     bulk = F.coalesce(seconds_since("nth") < seconds, F.lit(False))
     return log.columns(bulk=bulk).result().drop("nth")
 
@@ -43,9 +43,8 @@ def velocity_ext(
 def velocity_lab(messages: DataFrame, threshold: int = 5, seconds: float = 1) -> DataFrame:
     """``velocity_bulk_dump``: more than ``threshold`` rows in the window, at least that many of the role."""
     rows = messages.select(*ID, "ts", "role")
-    sizes = KeySizes(rows)
-    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(lag={"nth": (F.col("ts"), threshold)}).result()
-    roles = Timeline(log, ["convo_id", "role"], CONVO_ORDER, sizes)
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(lag={"nth": (F.col("ts"), threshold)}).result()
+    roles = Timeline(log, ["convo_id", "role"], CONVO_ORDER)
     roles = roles.scan(lag={"nth_role": (F.col("ts"), threshold - 1)})
     dump = (seconds_since("nth") < seconds) & (seconds_since("nth_role") < seconds)
     return roles.columns(reason=F.when(dump, "velocity_bulk_dump")).result(*ID, "ts", "role", "reason")
@@ -63,17 +62,16 @@ def temporal_ext(messages: DataFrame, baseline: DataFrame, seconds: int = 120) -
 def temporal_lab(messages: DataFrame) -> DataFrame:
     """``temporal_historical``: text last seen over five minutes ago, user idle over two."""
     rows = narrow(messages)
-    sizes = KeySizes(rows)
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
-    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes).scan(prev={"user_ts": user_ts()})
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
+    log = Timeline(seen, ["convo_id"], CONVO_ORDER).scan(prev={"user_ts": user_ts()})
     idle = F.coalesce(seconds_since("user_ts") > LAB["active_s"], F.lit(True))
     old = (seconds_since("seen") > LAB["conversation_s"]) & idle
     return log.columns(reason=F.when(old, "temporal_historical")).result(*ID, "ts", "role", "reason")
 
 
-def with_pattern(rows: DataFrame, sizes: KeySizes | None = None) -> DataFrame:
+def with_pattern(rows: DataFrame) -> DataFrame:
     """Add ``pattern``: the last three digests all occur in the older part of the last twenty."""
-    log = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes)
+    log = Timeline(rows, ["convo_id"], CONVO_ORDER)
     log = log.scan(tail={"recent": (F.col("digest"), EXT["hashes"] - 1)})
     ring = F.concat("recent", F.array("digest"))
     older = F.slice(ring, 1, F.greatest(F.size(ring) - 3, F.lit(0)))
@@ -91,9 +89,8 @@ def autocorr_ext(messages: DataFrame) -> DataFrame:
 def autocorr_lab(messages: DataFrame) -> DataFrame:
     """``autocorrelation_pattern``: a seen text while a run of three seen texts is among the last twenty."""
     rows = narrow(messages)
-    sizes = KeySizes(rows)
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
-    log = Timeline(seen, ["convo_id"], CONVO_ORDER, sizes)
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
+    log = Timeline(seen, ["convo_id"], CONVO_ORDER)
     log = _with_historical_run(log.columns(historical=F.col("seen").isNotNull()))
     hit = F.col("historical") & (F.col("run") >= LAB["run"])
     return log.columns(reason=F.when(hit, "autocorrelation_pattern")).result(*ID, "ts", "role", "run", "reason")
@@ -136,11 +133,10 @@ def lab_signals(messages: DataFrame) -> DataFrame:
         F.length("content").alias("size"),
         tx.is_musical_command(F.col("content"), "lab").alias("musical"),
     )
-    sizes = KeySizes(rows)
-    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER, sizes).scan(prev={"seen": F.col("ts")}).result()
-    roles = Timeline(seen, ["convo_id", "role"], CONVO_ORDER, sizes)
+    seen = Timeline(rows, ["convo_id", "digest"], CONVO_ORDER).scan(prev={"seen": F.col("ts")}).result()
+    roles = Timeline(seen, ["convo_id", "role"], CONVO_ORDER)
     roles = roles.scan(lag={"nth_role": (F.col("ts"), LAB["velocity"] - 1)}).result()
-    log = Timeline(roles, ["convo_id"], CONVO_ORDER, sizes).columns(historical=F.col("seen").isNotNull())
+    log = Timeline(roles, ["convo_id"], CONVO_ORDER).columns(historical=F.col("seen").isNotNull())
     entry = F.struct("ts", "role", "stripped")
     log = log.scan(prev={"user_ts": user_ts()}, tail={"recent": (entry, 10)}, lag={"nth": (F.col("ts"), LAB["velocity"])})
     log = trailing_count(_with_historical_run(log), "velocity_size", "ts", LAB["velocity_s"], ID)
@@ -226,22 +222,21 @@ def model_pipeline(messages: DataFrame, baseline: DataFrame, pipeline: str) -> D
     })
     known = baseline.select(tx.digest(text).alias("digest"), F.lit(True).alias("in_baseline")).distinct()
     rows = cut_lineage(rows.join(known, "digest", "left").fillna(False, ["in_baseline"]))
-    sizes = KeySizes(rows)
-    clocked = Timeline(rows, ["convo_id"], CONVO_ORDER, sizes).scan(prev={"user_ts": user_ts()})
+    clocked = Timeline(rows, ["convo_id"], CONVO_ORDER).scan(prev={"user_ts": user_ts()})
     clocked = clocked.columns(idle=seconds_since("user_ts")).result()
     users = clocked.where(F.col("role") == "user")
     alive = clocked.where(F.col("role") == "assistant")
     for stage in stages:
         if stage == "velocity":
-            alive = velocity_ext(alive, EXT["velocity"], EXT["velocity_s"], sizes=sizes).where(~F.col("bulk")).drop("bulk")
+            alive = velocity_ext(alive, EXT["velocity"], EXT["velocity_s"]).where(~F.col("bulk")).drop("bulk")
         elif stage == "temporal":
             alive = alive.where(F.col("idle").isNull() | (F.col("idle") <= EXT["active_s"]) | F.col("in_baseline"))
         elif stage == "autocorr":
-            alive = with_pattern(alive, sizes).where(~F.col("pattern")).drop("pattern")
+            alive = with_pattern(alive).where(~F.col("pattern")).drop("pattern")
         else:
-            echoes = leading_echo_ids(alive.unionByName(users), sizes).withColumn("echo", F.lit(True))
+            echoes = leading_echo_ids(alive.unionByName(users)).withColumn("echo", F.lit(True))
             own = alive.join(echoes, ID, "left").fillna(False, ["echo"])
-            alive = near_first_sight(own, sizes, EXT["repeat_s"]).where(F.col("passes")).result()
+            alive = near_first_sight(own, EXT["repeat_s"]).where(F.col("passes")).result()
     new = ~F.col("in_baseline") & F.coalesce(F.col("idle") < EXT["active_s"], F.lit(False))
     preserved = F.col("musical") | F.coalesce(F.col("idle") < EXT["repeat_s"], F.lit(False))
     accept = {

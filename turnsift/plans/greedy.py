@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnsift.plans.timeline import BLOCK, cut_into_blocks, same, spanning_keys
+from turnsift.plans.timeline import BLOCK, block_count, cut_into_blocks, same, spanning_keys
 
 NOTHING_KEPT = -(2**62)
 
@@ -144,9 +144,10 @@ def keep_if_quiet(
         "_width": width,
         "_forced": F.lit(False) if forced is None else F.coalesce(forced, F.lit(False)),
     })
-    blocks = cut_into_blocks(timed, keys, [F.col("_t"), *map(F.col, ties)])
-    spans = spanning_keys(blocks, keys)
-    if spans.isEmpty():
+    count = block_count(timed)
+    blocks = cut_into_blocks(timed, keys, [F.col("_t"), *map(F.col, ties)], count)
+    spans = spanning_keys(blocks, keys) if count > 1 else None
+    if spans is None or spans.isEmpty():
         rows = blocks.withColumn("_before", F.lit(NOTHING_KEPT))
     else:
         before = F.broadcast(_kept_before(blocks, spans, keys)).alias("b")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnsift.plans.timeline import BLOCK, cut_into_blocks, spanning_keys
+from turnsift.plans.timeline import BLOCK, block_count, cut_into_blocks, spanning_keys
 from turnsift.session import cut_lineage
 
 Step = Callable[[dict, dict], dict]
@@ -96,7 +96,8 @@ def relay(
     column ``values_of`` in it.
     """
     keys, order = list(keys), list(order)
-    blocks = cut_into_blocks(df, keys, [F.col(c) for c in order])
+    count = block_count(df)
+    blocks = cut_into_blocks(df, keys, [F.col(c) for c in order], count)
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
     state_ddl = f"{BLOCK} int, _incoming string, _outgoing string, _values string"
     where = [*keys, BLOCK]
@@ -123,14 +124,19 @@ def relay(
             final_state, f"{key_ddl}, {state_ddl}"
         )
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema += "".join(f", `{n}` {t}" for n, t in fields.items()) + (f", {STATE} string" if keep_state else "")
+    if count == 1 and initial is None:
+        nothing = pa.table({"_incoming": pa.array([], pa.string())})
+        return blocks.groupBy(BLOCK).applyInArrow(lambda rows: decide(rows, nothing), schema)
     starts = blocks.groupBy(*keys).agg(F.min(BLOCK).alias(BLOCK))
     if initial is None:
         starts = starts.withColumn("_incoming", F.lit(None).cast("string"))
     else:
         starts = starts.join(initial.select(*keys, F.col(STATE).alias("_incoming")), keys, "left")
-    spans = spanning_keys(blocks, keys)
+    spans = spanning_keys(blocks, keys) if count > 1 else None
     incoming = starts.select(*where, "_incoming")
-    if not spans.isEmpty():
+    if spans is not None and not spans.isEmpty():
         hot = blocks.join(F.broadcast(spans), keys, "left_semi")
         hot_starts = starts.join(F.broadcast(spans), keys, "left_semi")
         states = cut_lineage(outgoing(hot, hot.select(*where).distinct().join(hot_starts, where, "left")))
@@ -148,6 +154,4 @@ def relay(
         calm = incoming.join(F.broadcast(spans), keys, "left_anti")
         incoming = calm.unionByName(states.select(*where, "_incoming"))
     incoming = incoming.where("_incoming is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema += "".join(f", `{n}` {t}" for n, t in fields.items()) + (f", {STATE} string" if keep_state else "")
     return blocks.groupBy(BLOCK).cogroup(_own_columns(incoming).groupBy(BLOCK)).applyInArrow(decide, schema)

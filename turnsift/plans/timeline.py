@@ -1,13 +1,13 @@
 """Ordered scans over keyed logs that stay balanced when one key is hot.
 
-A plain ``Window.partitionBy(key)`` puts all rows of a key into one task.  That is
-the right plan while every key is small, and ``Timeline`` uses it after checking
-the key sizes with a map-side combined count.  When a key exceeds the limit, the log
-is range-partitioned by (key, order) instead, so that a hot key is cut into several
-consecutive blocks of ordinary size.  Windows then run per (key, block), and what a
+A plain ``Window.partitionBy(key)`` puts all rows of a key into one task, however large the key is.  A log is
+therefore cut into blocks first: range-partitioned by (key, order), so that a hot key becomes several consecutive
+blocks of ordinary size.  How many blocks there are follows from the bytes of the input files, which Spark knows
+without running anything.  Windows run per (key, block), and what a
 row needs from earlier blocks (the last value seen, a running sum, the last n rows)
 comes from one small summary row per block boundary.  There are never more
-of those than blocks, so they can be broadcast whatever the data looks like.
+of those than blocks, so they can be broadcast whatever the data looks like.  An input of one block
+needs no cut, and nothing is written or counted for it.
 """
 
 from __future__ import annotations
@@ -20,51 +20,37 @@ from pyspark.sql import functions as F
 from turnsift.session import cut_lineage
 
 BLOCK = "_block"
-MAX_ROWS_PER_KEY = "spark.turnsift.maxRowsPerKey"
 BLOCKS = "spark.turnsift.blocks"
-DEFAULT_MAX_ROWS_PER_KEY = 1_000_000
+BLOCK_BYTES = "spark.turnsift.blockBytes"
+DEFAULT_BLOCK_BYTES = 4 << 20
+UNKNOWN = 1 << 62
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True if some key holds more rows than one task should sort."""
-    spark = df.sparkSession
-    limit = int(spark.conf.get(MAX_ROWS_PER_KEY, str(DEFAULT_MAX_ROWS_PER_KEY)))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return not sizes.where(F.col("rows") > limit).isEmpty()
+def block_count(df: DataFrame) -> int:
+    """Blocks of about ``spark.turnsift.blockBytes`` bytes of input files; ``spark.turnsift.blocks`` sets the number itself.
 
-
-class KeySizes:
-    """Remembers which keys of a table are hot, so related scans check once.
-
-    A key without hot values stays so when columns are added to it or rows are removed.
+    Counts what the scans below ``df`` read.  Sources of unknown size count as one block per shuffle partition.
     """
-
-    def __init__(self, df: DataFrame):
-        self.df = df
-        self.calm: list[set[str]] = []
-
-    def hot(self, keys: Sequence[str]) -> bool:
-        if any(known <= set(keys) for known in self.calm):
-            return False
-        # A key that is calm without some of its columns is calm with them.
-        present = [k for k in keys if k in self.df.columns]
-        for candidate in ([k for k in present if k == "convo_id"], present):
-            if candidate and not has_hot_key(self.df, candidate):
-                self.calm.append(set(candidate))
-                return False
-        return True
+    conf = df.sparkSession.conf
+    if fixed := conf.get(BLOCKS, None):
+        return int(fixed)
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(size >= UNKNOWN for size in sizes):
+        return int(conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-sum(sizes) // int(conf.get(BLOCK_BYTES, str(DEFAULT_BLOCK_BYTES)))))
 
 
-def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int) -> DataFrame:
     """Range-partition by (keys, order) and record the partition of each row as ``_block``.
 
     The range bounds come from a sample, so the result is written to the shared folder
-    once: every later read sees the same cut, also after a lost executor.
+    once: every later read sees the same cut, also after a lost executor.  A single block is left as it is.
     """
+    if count == 1:
+        return df.withColumn(BLOCK, F.lit(0))
     by = [F.col(k) for k in keys] + list(order)
-    count = df.sparkSession.conf.get(BLOCKS, None)
-    ranged = df.repartitionByRange(int(count), *by) if count else df.repartitionByRange(*by)
-    return cut_lineage(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    return cut_lineage(df.repartitionByRange(count, *by).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def spanning_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,15 +75,15 @@ class Timeline:
     """A log with a key and a total order inside the key.
 
     ``order`` is a list of column names; a leading ``-`` means descending.  Together
-    with the keys it must identify a row.  ``sizes`` speaks for a table that has at least
-    as many rows per key.
+    with the keys it must identify a row.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: KeySizes | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
         self.order_names = list(order)
-        self.blocked = (sizes or KeySizes(df)).hot(self.keys)
-        self.df = cut_into_blocks(df, self.keys, self._order()) if self.blocked else df
+        count = block_count(df)
+        self.blocked = count > 1
+        self.df = cut_into_blocks(df, self.keys, self._order(), count) if self.blocked else df
         self.spans = spanning_keys(self.df, self.keys) if self.blocked else None
 
     def _order(self, back: bool = False) -> list[Column]:

@@ -8,6 +8,8 @@ from turnsift.functions import noise as rules
 from turnsift.functions import text as tx
 from turnsift.operators import dedup as dd
 from turnsift.operators import windows as ops
+from turnsift.plans.greedy import keep_if_quiet
+from turnsift.plans.timeline import BLOCKS, Timeline
 from turnsift.registry import query
 from turnsift.registry.base import BASELINE, LOG, baseline, message_log, read, sql_any, sql_strip
 from turnsift.registry.q_dedup import GENUINE, LEADING, STRICT, exchange_events, greedy_sql, plain, with_model
@@ -220,3 +222,33 @@ def response_latency(spark, sf_dir):
 def history_ttl(spark, sf_dir):
     """Entries expire after thirty seconds."""
     return ops.history_ttl(plain(spark, sf_dir), 30 / 3600).select(*ROW, "first_occurrence")
+
+
+def _in_blocks(spark, blocks, job):
+    """Run ``job`` with its input cut into ``blocks``, whatever its size."""
+    spark.conf.set(BLOCKS, str(blocks))
+    try:
+        return job()
+    finally:
+        spark.conf.unset(BLOCKS)
+
+
+@query(
+    "hot_key_scan",
+    f"{LOG} SELECT convo_id, seq, lag(role) OVER w AS role_before, sum(length(content)) OVER w AS characters, "
+    "row_number() OVER w AS place FROM log WINDOW w AS (PARTITION BY platform ORDER BY ms, convo_id, seq)",
+)
+def hot_key_scan(spark, sf_dir):
+    """Two platforms hold the whole log: each is several blocks."""
+    rows = plain(spark, sf_dir).select(*ROW, "ts", "platform", "role", F.length("content").cast("bigint").alias("size"))
+    log = _in_blocks(spark, 5, lambda: Timeline(rows, ["platform"], ["ts", "convo_id", "seq"]).scan(
+        prev={"role_before": F.col("role")}, total={"characters": F.col("size"), "place": F.lit(1)}
+    ))
+    return log.result(*ROW, "role_before", "characters", "place")
+
+
+@query("hot_key_quiet", f"{LOG}, " + greedy_sql("log", "platform", "60000") + " SELECT convo_id, seq, kept FROM greedy")
+def hot_key_quiet(spark, sf_dir):
+    rows = plain(spark, sf_dir).select(*ROW, "ts", "platform")
+    kept = _in_blocks(spark, 5, lambda: keep_if_quiet(rows, ["platform"], "ts", ["convo_id", "seq"], F.lit(60)))
+    return kept.select(*ROW, "kept")
