@@ -112,7 +112,7 @@ def _kept_before(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
     narrow = blocks.select(*keys, BLOCK, "_t", "_width", "_forced")
     steps = (
-        narrow.alias("r").join(F.broadcast(spans).alias("h"), same("r", "h", keys), "left_semi")
+        narrow.alias("r").join(spans.alias("h"), same("r", "h", keys), "left_semi")
         .groupBy(*keys, BLOCK)
         .applyInPandas(
             lambda pdf: _step_function(pdf, keys),
@@ -144,13 +144,13 @@ def keep_if_quiet(
         "_width": width,
         "_forced": F.lit(False) if forced is None else F.coalesce(forced, F.lit(False)),
     })
-    count = block_count(timed)
+    count = block_count(timed, share=4)
     blocks = cut_into_blocks(timed, keys, [F.col("_t"), *map(F.col, ties)], count)
     spans = spanning_keys(blocks, keys) if count > 1 else None
     if spans is None or spans.isEmpty():
         rows = blocks.withColumn("_before", F.lit(NOTHING_KEPT))
     else:
-        before = F.broadcast(_kept_before(blocks, spans, keys)).alias("b")
+        before = _kept_before(blocks, spans, keys).alias("b")
         rows = blocks.alias("r").join(before, same("r", "b", [*keys, BLOCK]), "left")
         rows = rows.select("r.*", F.coalesce("b._before", F.lit(NOTHING_KEPT)).alias("_before"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -96,7 +96,7 @@ def relay(
     column ``values_of`` in it.
     """
     keys, order = list(keys), list(order)
-    count = block_count(df)
+    count = block_count(df, share=8)
     blocks = cut_into_blocks(df, keys, [F.col(c) for c in order], count)
     key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
     state_ddl = f"{BLOCK} int, _incoming string, _outgoing string, _values string"
@@ -119,7 +119,7 @@ def relay(
 
     def outgoing(rows: DataFrame, incoming: DataFrame) -> DataFrame:
         # Only blocks with an entry in ``incoming`` run; the state travels once per block, not per row.
-        chosen = rows.join(F.broadcast(incoming.select(*where)), where, "left_semi")
+        chosen = rows.join(incoming.select(*where), where, "left_semi")
         return chosen.groupBy(*where).cogroup(_own_columns(incoming).groupBy(*where)).applyInArrow(
             final_state, f"{key_ddl}, {state_ddl}"
         )
@@ -137,8 +137,8 @@ def relay(
     spans = spanning_keys(blocks, keys) if count > 1 else None
     incoming = starts.select(*where, "_incoming")
     if spans is not None and not spans.isEmpty():
-        hot = blocks.join(F.broadcast(spans), keys, "left_semi")
-        hot_starts = starts.join(F.broadcast(spans), keys, "left_semi")
+        hot = blocks.join(spans, keys, "left_semi")
+        hot_starts = starts.join(spans, keys, "left_semi")
         states = cut_lineage(outgoing(hot, hot.select(*where).distinct().join(hot_starts, where, "left")))
         while True:
             # One row per block a hot key has, so a key's rows here are few.
@@ -151,7 +151,7 @@ def relay(
                 break
             again = outgoing(hot, changed)
             states = cut_lineage(states.join(changed, where, "left_anti").unionByName(again))
-        calm = incoming.join(F.broadcast(spans), keys, "left_anti")
+        calm = incoming.join(spans, keys, "left_anti")
         incoming = calm.unionByName(states.select(*where, "_incoming"))
     incoming = incoming.where("_incoming is not null")
     return blocks.groupBy(BLOCK).cogroup(_own_columns(incoming).groupBy(BLOCK)).applyInArrow(decide, schema)

@@ -5,9 +5,9 @@ therefore cut into blocks first: range-partitioned by (key, order), so that a ho
 blocks of ordinary size.  How many blocks there are follows from the bytes of the input files, which Spark knows
 without running anything.  Windows run per (key, block), and what a
 row needs from earlier blocks (the last value seen, a running sum, the last n rows)
-comes from one small summary row per block boundary.  There are never more
-of those than blocks, so they can be broadcast whatever the data looks like.  An input of one block
-needs no cut, and nothing is written or counted for it.
+comes from one summary row per block boundary.  There are never more of those than blocks; whether they are
+broadcast or joined by (key, block), as the rows already lie, is left to Spark, which knows their size.  An input of one
+block needs no cut, and nothing is written or counted for it.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from turnsift.session import cut_lineage
 BLOCK = "_block"
 BLOCKS = "spark.turnsift.blocks"
 BLOCK_BYTES = "spark.turnsift.blockBytes"
-DEFAULT_BLOCK_BYTES = 4 << 20
+DEFAULT_BLOCK_BYTES = 32 << 20
 UNKNOWN = 1 << 62
 
 
-def block_count(df: DataFrame) -> int:
+def block_count(df: DataFrame, share: int = 1) -> int:
     """Blocks of about ``spark.turnsift.blockBytes`` bytes of input files; ``spark.turnsift.blocks`` sets the number itself.
 
-    Counts what the scans below ``df`` read.  Sources of unknown size count as one block per shuffle partition.
+    Jobs that take a block into Python ask for blocks of a ``share`` of that size.  Counts what the scans below ``df`` read.  Sources of unknown size count as one block per shuffle partition.
     """
     conf = df.sparkSession.conf
     if fixed := conf.get(BLOCKS, None):
@@ -38,7 +38,7 @@ def block_count(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     if any(size >= UNKNOWN for size in sizes):
         return int(conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-sum(sizes) // int(conf.get(BLOCK_BYTES, str(DEFAULT_BLOCK_BYTES)))))
+    return max(1, -(-sum(sizes) * share // int(conf.get(BLOCK_BYTES, str(DEFAULT_BLOCK_BYTES)))))
 
 
 def cut_into_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int) -> DataFrame:
@@ -147,7 +147,7 @@ class Timeline:
         if not self.blocked:
             return self._with(self.df.withColumns(columns))
 
-        carry = F.broadcast(self._carry(prev | upto, first, total, tail, back)).alias("c")
+        carry = self._carry(prev | upto, first, total, tail, back).alias("c")
         local = self.df.withColumns(columns).alias("r")
         match = same("r", "c", [*self.keys, BLOCK])
 
@@ -167,7 +167,7 @@ class Timeline:
 
     def _carry(self, lasts, firsts, totals, tails, back) -> DataFrame:
         """For each block that continues a key: what the earlier blocks leave behind."""
-        hot = F.broadcast(self.spans).alias("h")
+        hot = self.spans.alias("h")
         rows = self.df.alias("r").join(hot, same("r", "h", self.keys), "left_semi")
         position = "_position"
         inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*self._order(back))

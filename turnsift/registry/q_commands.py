@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import media as md
 from turnsift.operators import commands as ops
+from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import LOG, S, message_log, read, sql_any, sql_match, sql_strip
+from turnsift.registry.base import LOG, S, read, sql_any, sql_match, sql_strip
 from turnsift.registry.q_dedup import greedy_sql, plain
 
 ROW = ["convo_id", "seq"]
 _T = sql_strip("content")
 _UP = f"upper({_T})"
-_LEADS = " OR ".join(f"starts_with({_UP}, '{k}') OR contains({_UP}, ' {k}')" for k in md.LEAD_KEYWORDS)
-_BARE = f"(regexp_matches(x, '^https?://') AND {sql_any('x', md.MEDIA_SITES)})"
+_LEADS = " OR ".join(f"starts_with({_UP}, '{k}') OR contains({_UP}, ' {k}')" for k in ex.LEAD_KEYWORDS)
+_BARE = f"(regexp_matches(x, '^https?://') AND {sql_any('x', ex.MEDIA_SITES)})"
 HAS_COMMAND = (
     f"({_LEADS} OR contains({_UP}, 'PLAY:') OR (starts_with({_T}, ': https://') AND contains({_T}, 'youtube.com')) OR "
     f"(starts_with({_T}, ': http://') AND {sql_any(_T, ['youtube', 'vimeo', 'archive'])}) OR "
-    f"(regexp_matches({_T}, '^https?://') AND {sql_any(_T, md.MEDIA_SITES)}))"
+    f"(regexp_matches({_T}, '^https?://') AND {sql_any(_T, ex.MEDIA_SITES)}))"
 )
-_KEYS = "|".join(md.CUT_KEYWORDS)
+_KEYS = "|".join(ex.CUT_KEYWORDS)
 SPLIT = (
     f"c0 AS (SELECT convo_id, seq, ms, {_T} AS x FROM log WHERE role = 'assistant' AND {HAS_COMMAND}), "
     f"c1 AS (SELECT *, CASE WHEN regexp_matches(x, '^: https?://') THEN 'PLAY' || x WHEN {_BARE} THEN 'PLAY: ' || x ELSE x END AS w FROM c0), "
@@ -69,8 +70,8 @@ def _labelled(keyword: str, sample: str) -> str:
 
 
 _SKIP = (
-    f"({sql_any('lower(cmd)', md.SAMPLE_PHRASES)} OR (length(cmd) > 50 AND NOT {sql_any('upper(cmd)', ['PLAY:', 'SEQUENCE:', 'VOLUME:', 'PAUSE', 'STOP'])} "
-    f"AND {sql_any('lower(cmd)', md.WRAPPER_PHRASES)}))"
+    f"({sql_any('lower(cmd)', ex.SAMPLE_PHRASES)} OR (length(cmd) > 50 AND NOT {sql_any('upper(cmd)', ['PLAY:', 'SEQUENCE:', 'VOLUME:', 'PAUSE', 'STOP'])} "
+    f"AND {sql_any('lower(cmd)', ex.WRAPPER_PHRASES)}))"
 )
 COMMANDS = (
     f"{SPLIT}, k0 AS (SELECT convo_id, seq, ms, cmd_pos, {_unwrap('command_text')} AS cmd FROM split), "
@@ -118,9 +119,9 @@ def _score(u: str) -> str:
     low = f"lower({u})"
     points = (
         f"(CASE WHEN regexp_matches({u}, '^https?://') THEN 0.4::DOUBLE WHEN starts_with({u}, 'http') THEN 0.1 ELSE 0 END "
-        f"+ CASE WHEN contains({u}, '.') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN {sql_any(low, md.KNOWN_SITES)} THEN 0.2::DOUBLE ELSE 0 END "
+        f"+ CASE WHEN contains({u}, '.') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN {sql_any(low, ex.KNOWN_SITES)} THEN 0.2::DOUBLE ELSE 0 END "
         f"+ CASE WHEN contains({low}, 'youtube') AND contains({u}, 'watch?v=') THEN 0.3::DOUBLE WHEN contains({low}, 'youtube') AND contains({u}, 'watchv') THEN 0.1 ELSE 0 END "
-        f"+ CASE WHEN {sql_any(low, md.MEDIA_ENDINGS)} THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN length({u}) > 500 THEN 0.2::DOUBLE ELSE 0 END "
+        f"+ CASE WHEN {sql_any(low, ex.MEDIA_ENDINGS)} THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN length({u}) > 500 THEN 0.2::DOUBLE ELSE 0 END "
         f"- CASE WHEN length({u}) - length(replace({u}, 'http', '')) > 4 THEN 0.3::DOUBLE ELSE 0 END)"
     )
     floored = f"CASE WHEN {_lost(u)} THEN greatest(0.1::DOUBLE, {points}) ELSE {points} END"
@@ -137,18 +138,18 @@ def _media(u: str) -> str:
         return f"{_ext(u)} IN ({', '.join(repr(k) for k in kinds)})"
 
     return (
-        f"CASE WHEN {sql_any(u, ['youtube.com/watch', 'youtu.be/'])} THEN 'youtube' WHEN {among(md.VIDEO)} THEN 'video' WHEN {among(md.AUDIO)} THEN 'audio' "
-        f"WHEN {among(md.IMAGE)} THEN 'image' WHEN starts_with({u}, 'file:') THEN 'file' WHEN {u} IS NOT NULL THEN 'web' ELSE 'web' END"
+        f"CASE WHEN {sql_any(u, ['youtube.com/watch', 'youtu.be/'])} THEN 'youtube' WHEN {among(ex.VIDEO)} THEN 'video' WHEN {among(ex.AUDIO)} THEN 'audio' "
+        f"WHEN {among(ex.IMAGE)} THEN 'image' WHEN starts_with({u}, 'file:') THEN 'file' WHEN {u} IS NOT NULL THEN 'web' ELSE 'web' END"
     )
 
 
 def repair_ctes(source: str, url: str, out: str) -> str:
     """CTE ``out``: ``source`` with ``url`` scored, repaired (``repaired``) and chosen (``best``)."""
-    prefix = "CASE " + " ".join(f"WHEN starts_with(lower(u), '{a}') THEN '{b}' || substr(u, {len(a) + 1})" for a, b in md.LOST_PREFIXES) + " ELSE u END"
+    prefix = "CASE " + " ".join(f"WHEN starts_with(lower(u), '{a}') THEN '{b}' || substr(u, {len(a) + 1})" for a, b in ex.LOST_PREFIXES) + " ELSE u END"
     dots = "r2"
-    for a, b in md.LOST_DOTS:
+    for a, b in ex.LOST_DOTS:
         dots = f"replace({dots}, '{a}', '{b}')"
-    endings = sql_match("r7", [f"\\{e}\\z" for e in md.WHOLE_ENDINGS])
+    endings = sql_match("r7", [f"\\{e}\\z" for e in ex.WHOLE_ENDINGS])
     dotted = "CASE WHEN " + endings + " THEN r7 " + " ".join(f"WHEN contains(right(r7, 10), '{k}') THEN replace(r7, '{k}', '.{k}')" for k in ("jpg", "png", "gif")) + " ELSE r7 END"
     o = out
     return (
@@ -214,7 +215,7 @@ _FINAL = _unwrap("'PLAY: ' || url")
     "url_repair_audit",
     f"WITH {_URLS}, {repair_ctes('raw', 'url', 'fixed')}, firsts AS (SELECT page_id, {_clean('list_filter(regexp_split_to_array(url, ' + chr(39) + S + '+' + chr(39) + '), lambda w: w <> ' + chr(39) * 2 + ')[1]')} AS first FROM raw), "
     f"{repair_ctes('firsts', 'first', 'final')} SELECT page_id, fixed.confidence, fixed.repaired, fixed.repaired_confidence, "
-    f"CASE WHEN NOT {sql_any('lower(' + _FINAL.replace('url', 'fixed.url') + ')', md.SAMPLE_PHRASES)} AND NOT {sql_any('lower(first)', md.PLACEHOLDER_URLS)} THEN final.best END AS final_url "
+    f"CASE WHEN NOT {sql_any('lower(' + _FINAL.replace('url', 'fixed.url') + ')', ex.SAMPLE_PHRASES)} AND NOT {sql_any('lower(first)', ex.PLACEHOLDER_URLS)} THEN final.best END AS final_url "
     "FROM fixed JOIN final USING (page_id)",
 )
 def url_repair_audit(spark, sf_dir):
@@ -222,7 +223,7 @@ def url_repair_audit(spark, sf_dir):
     return rows.select("page_id", "confidence", "repaired", "repaired_confidence", "final_url")
 
 
-_NUM = md.NUMBER
+_NUM = ex.NUMBER
 _SPAN = rf"\(({_NUM})\s*-\s*({_NUM})\s*s?\)"
 _CLOCK = r"^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)?"
 _CSV = rf",({_NUM}),({_NUM})"
@@ -249,7 +250,7 @@ _FIRST = f"list_filter(regexp_split_to_array(rest, '{S}+'), lambda w: w <> '')[1
 _PLAY = (
     f"p0 AS (SELECT *, {sql_strip('substr(cmd, 6)')} AS rest FROM cmds WHERE action = 'PLAY'), p1 AS (SELECT *, {_clean(_FIRST)} AS first FROM p0), "
     + repair_ctes("p1", "first", "pu")
-    + f", plays AS (SELECT * FROM pu WHERE best IS NOT NULL AND NOT {sql_any('lower(first)', md.PLACEHOLDER_URLS)})"
+    + f", plays AS (SELECT * FROM pu WHERE best IS NOT NULL AND NOT {sql_any('lower(first)', ex.PLACEHOLDER_URLS)})"
 )
 
 

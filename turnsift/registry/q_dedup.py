@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from turnsift.operators import dedup as ops
 from turnsift.operators import replay as rp
+from turnsift.registry import expected as ex
 from turnsift.registry import query
 from turnsift.registry.base import LOG, conv_number, kind, message_log, sql_norm, sql_any, sql_strip, turn
 from turnsift.registry.q_enrich import CLEAN
 from turnsift.registry.q_noise import NOISE
-from turnsift.functions import text as tx
 
 ROW = ["convo_id", "seq"]
 
@@ -264,7 +264,7 @@ _POLICY = (
     "row_number() OVER w > 1 AS rep FROM p0 WINDOW w AS (PARTITION BY convo_id, t ORDER BY ms, seq)), "
     "p2 AS (SELECT *, ms - first_ms AS age, ms - last_value(CASE WHEN rep AND role = 'user' THEN ms END IGNORE NULLS) OVER (PARTITION BY convo_id ORDER BY ms, seq "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS idle FROM p1), "
-    f"p3 AS (SELECT *, CASE WHEN NOT rep THEN 'first_occurrence' WHEN {sql_any('upper(t)', tx.MUSICAL_SETS['repeat'])} AND age < 60000 THEN 'legitimate_musical_repeat' "
+    f"p3 AS (SELECT *, CASE WHEN NOT rep THEN 'first_occurrence' WHEN {sql_any('upper(t)', ex.MUSICAL_SETS['repeat'])} AND age < 60000 THEN 'legitimate_musical_repeat' "
     "WHEN age < 30000 AND coalesce(idle < 120000, false) THEN 'conversational_flow' "
     "WHEN age > 300000 AND NOT coalesce(idle < 120000, false) THEN 'historical_retransmission' "
     "WHEN role = 'assistant' AND coalesce(idle > 120000, true) THEN 'orphaned_assistant_response' "

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import text as tx
 from turnsift.operators import enrich as ops
+from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import LOG, S, message_log, read, sql_any, sql_match, sql_norm, sql_strip
+from turnsift.registry.base import LOG, message_log, read, sql_any, sql_match, sql_norm, sql_strip
 
 ROW = ["convo_id", "seq"]
 
@@ -17,7 +18,7 @@ def norm_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.norm_text(F.col("text")).alias("norm"))
 
 
-_NAV = sql_match("u", tx.NAVIGATION_LINKS)
+_NAV = sql_match("u", ex.NAVIGATION_LINKS)
 _FOUND = rf"regexp_extract_all(content, 'https?://[^\s\x{{00A0}}]+')"
 
 
@@ -96,8 +97,8 @@ def platform_from_host(spark, sf_dir):
 
 
 def _sql_tools() -> str:
-    named = [f"nullif(regexp_extract(content, '(?i){p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in tx.TOOL_MENTIONS]
-    for platform, tools in tx.PLATFORM_TOOLS.items():
+    named = [f"nullif(regexp_extract(content, '(?i){p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in ex.TOOL_MENTIONS]
+    for platform, tools in ex.PLATFORM_TOOLS.items():
         named += [f"CASE WHEN platform = '{platform}' AND contains(lower(content), '{t}') THEN '{t}' END" for t in tools]
     return "[" + ", ".join(named) + "]"
 
@@ -250,9 +251,9 @@ def preview(spark, sf_dir):
 @query(
     "is_musical_command",
     f"{LOG} SELECT convo_id, seq, "
-    + ", ".join(f"{sql_any('upper(content)', words)} AS {name}_set" for name, words in tx.MUSICAL_SETS.items())
+    + ", ".join(f"{sql_any('upper(content)', words)} AS {name}_set" for name, words in ex.MUSICAL_SETS.items())
     + " FROM log",
 )
 def is_musical_command(spark, sf_dir):
-    sets = [tx.is_musical_command(F.col("content"), name).alias(f"{name}_set") for name in tx.MUSICAL_SETS]
+    sets = [tx.is_musical_command(F.col("content"), name).alias(f"{name}_set") for name in ex.MUSICAL_SETS]
     return message_log(spark, sf_dir).select(*ROW, *sets)

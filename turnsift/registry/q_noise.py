@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import noise as rules
 from turnsift.operators import noise as ops
+from turnsift.registry import expected as ex
 from turnsift.registry import query
 from turnsift.registry.base import (
     BASELINE, LOG, S, baseline, message_log, sql_any, sql_match, sql_strip,
@@ -22,15 +23,15 @@ _CHAT = "len(list_filter(urls, lambda u: contains(u, 'claude.ai/chat/'))) > 0"
 _SONNET = "len(list_filter(urls, lambda u: contains(lower(u), 'sonnet'))) > 0"
 CHECKS = {
     "N1": "length(content) < 3",
-    "N2": sql_any("content", rules.STYLE_PARTS),
-    "keep_sonnet": f"({sql_any(_PLAIN, rules.GREETINGS)} AND {_SONNET})",
-    "N3": sql_any(_PLAIN, rules.GREETINGS),
-    "N4": f"({_PLAIN} IN ({_quoted(rules.LABELS)}) OR {sql_any(_PLAIN, rules.LABEL_PARTS)})",
+    "N2": sql_any("content", ex.STYLE_PARTS),
+    "keep_sonnet": f"({sql_any(_PLAIN, ex.GREETINGS)} AND {_SONNET})",
+    "N3": sql_any(_PLAIN, ex.GREETINGS),
+    "N4": f"({_PLAIN} IN ({_quoted(ex.LABELS)}) OR {sql_any(_PLAIN, ex.LABEL_PARTS)})",
     "N5": f"({_CHAT} AND {_WORDS} <= 6)",
-    "N6": f"({_WORDS} = 1 AND {_PLAIN} IN ({_quoted(rules.LABEL_WORDS)}))",
+    "N6": f"({_WORDS} = 1 AND {_PLAIN} IN ({_quoted(ex.LABEL_WORDS)}))",
     "keep_okay": rf"regexp_matches({_PLAIN}, '^okay\d+\z')",
-    "N8": sql_any(_PLAIN, rules.TITLE_PARTS),
-    "N9": sql_match(_PLAIN, rules.BUTTON_ENDINGS),
+    "N8": sql_any(_PLAIN, ex.TITLE_PARTS),
+    "N9": sql_match(_PLAIN, ex.BUTTON_ENDINGS),
 }
 _RULE = "CASE " + " ".join(f"WHEN {check} THEN '{name}'" for name, check in CHECKS.items()) + " END"
 NOISE = (
@@ -76,17 +77,17 @@ def keep_sonnet_greeting(spark, sf_dir):
 
 _TEXT = sql_strip("content")
 _FLAGS = {
-    "chatgpt_ui_noise": ("chatgpt_ui", sql_match("content", rules.CHATGPT_LABELS)),
-    "thinking_noise": ("thinking", sql_match(_TEXT, rules.THINKING)),
-    "echo_phrase_noise": ("echo_phrase", sql_match(_TEXT, rules.ECHO_PHRASES)),
-    "feedback_noise": ("feedback", sql_match(_TEXT, rules.FEEDBACK)),
+    "chatgpt_ui_noise": ("chatgpt_ui", sql_match("content", ex.CHATGPT_LABELS)),
+    "thinking_noise": ("thinking", sql_match(_TEXT, ex.THINKING)),
+    "echo_phrase_noise": ("echo_phrase", sql_match(_TEXT, ex.ECHO_PHRASES)),
+    "feedback_noise": ("feedback", sql_match(_TEXT, ex.FEEDBACK)),
     "incomplete_placeholder": ("placeholder", f"ends_with({_TEXT}, 'ChatGPT said:')"),
     "claude_ui_noise": (
         "claude_ui",
-        rf"(NOT (length(content) < 10 AND regexp_matches(content, '(?i)^okay\d+\z')) AND {sql_match('content', rules.CLAUDE_LABELS)})",
+        rf"(NOT (length(content) < 10 AND regexp_matches(content, '(?i)^okay\d+\z')) AND {sql_match('content', ex.CLAUDE_LABELS)})",
     ),
-    "ui_button_token": ("button", sql_match(_TEXT, [rules.BUTTON_TOKEN])),
-    "sonnet_preserve": ("sonnet_keep", f"({sql_any('lower(content)', rules.SONNET_PHRASES)} OR length(content) > 50)"),
+    "ui_button_token": ("button", sql_match(_TEXT, [ex.BUTTON_TOKEN])),
+    "sonnet_preserve": ("sonnet_keep", f"({sql_any('lower(content)', ex.SONNET_PHRASES)} OR length(content) > 50)"),
 }
 
 
@@ -108,8 +109,8 @@ DIAGNOSTIC = (
     "(['markdown prose', 'chat-message', 'sidebar item', 'font-claude-response', 'toolbar', 'conversation-turn'])[(seq % 6 + seq // 64) % 6 + 1] AS classes, "
     "length(content)::BIGINT AS text_length, content, CASE WHEN seq % 4 = 0 THEN role END AS element_role FROM log)"
 )
-_CONTENT_BOX = f"({sql_any('classes', rules.CONTENT_CLASSES)} AND platform = 'chatgpt')"
-_CHROME = f"(lower(tag) IN ('button', 'nav', 'header') OR {sql_any('classes', rules.CHROME_CLASSES)})"
+_CONTENT_BOX = f"({sql_any('classes', ex.CONTENT_CLASSES)} AND platform = 'chatgpt')"
+_CHROME = f"(lower(tag) IN ('button', 'nav', 'header') OR {sql_any('classes', ex.CHROME_CLASSES)})"
 
 
 @query("container_noise", f"{LOG}, {DIAGNOSTIC} SELECT convo_id, seq, NOT {_CONTENT_BOX} AND {_CHROME} AS container_noise FROM diag")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from turnsift.operators import noise as noise_ops
 from turnsift.operators import reports as ops
+from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import LOG, message_log, read, sql_any, sql_norm
+from turnsift.registry.base import LOG, message_log, read, sql_norm
 from turnsift.registry.q_dedup import plain
 from turnsift.registry.q_enrich import RECENCY, TOOLS
 from turnsift.registry.q_noise import NOISE, _marked
@@ -58,7 +59,7 @@ def content_type_breakdown_all(spark, sf_dir):
 
 
 def _audit(source: str) -> str:
-    values = ", ".join(f"('{p}')" for p in ops.AUDIT_PATTERNS)
+    values = ", ".join(f"('{p}')" for p in ex.AUDIT_PATTERNS)
     return f"audit AS (SELECT pattern, count(*) AS hits FROM {source}, (VALUES {values}) p(pattern) WHERE contains(lower(content), lower(pattern)) GROUP BY 1)"
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnsift import schemas
 from turnsift.operators import noise as noise_ops
 from turnsift.registry import query
-from turnsift.registry.base import LOG, LABEL_TEXTS, S, kind, message_log, read, sql_norm, sql_strip
+from turnsift.registry.base import LOG, kind, message_log, read, sql_norm, sql_strip
 from turnsift.registry.q_noise import DIAGNOSTIC, NOISE
 from turnsift.session import fresh_folder
 from turnsift.sources import events as ev

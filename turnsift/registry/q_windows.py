@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnsift.functions import noise as rules
-from turnsift.functions import text as tx
 from turnsift.operators import dedup as dd
 from turnsift.operators import windows as ops
 from turnsift.plans.greedy import keep_if_quiet
 from turnsift.plans.timeline import BLOCKS, Timeline
+from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import BASELINE, LOG, baseline, message_log, read, sql_any, sql_strip
+from turnsift.registry.base import BASELINE, LOG, baseline, read, sql_any, sql_strip
 from turnsift.registry.q_dedup import GENUINE, LEADING, STRICT, exchange_events, greedy_sql, plain, with_model
 
 ROW = ["convo_id", "seq"]
@@ -93,7 +92,7 @@ def autocorr_lab(spark, sf_dir):
     return ops.autocorr_lab(plain(spark, sf_dir)).select(*ROW, "run", "reason")
 
 
-_MUSICAL = sql_any("upper(content)", tx.MUSICAL_SETS["capture"])
+_MUSICAL = sql_any("upper(content)", ex.MUSICAL_SETS["capture"])
 
 
 @query("context_preserve_ext", f"{LOG}, {_USER} SELECT convo_id, seq, {_MUSICAL} OR coalesce(idle < 30000, false) AS preserved FROM u")
@@ -106,7 +105,7 @@ def is_new_message_ext(spark, sf_dir):
     return ops.is_new_ext(plain(spark, sf_dir), baseline(spark, sf_dir)).select(*ROW)
 
 
-_LAB_SET = sql_any("upper(content)", tx.MUSICAL_SETS["lab"])
+_LAB_SET = sql_any("upper(content)", ex.MUSICAL_SETS["lab"])
 _SIGNALS = (
     f"{_RUNS}, v AS (SELECT *, row_number() OVER w AS n, ms - lag(ms, 5) OVER w AS d, ms - lag(ms, 4) OVER (PARTITION BY convo_id, role ORDER BY ms, seq) AS dr "
     "FROM runs WINDOW w AS (PARTITION BY convo_id ORDER BY ms, seq)), "
@@ -191,7 +190,7 @@ def _model_sql(label: str) -> str:
     )
     new = "(NOT based AND coalesce(idle < 120000, false))"
     kept = f"({_MUSICAL} OR coalesce(idle < 30000, false))"
-    sonnet = f"({sql_any('lower(content)', rules.SONNET_PHRASES)} OR length(content) > 50)"
+    sonnet = f"({sql_any('lower(content)', ex.SONNET_PHRASES)} OR length(content) > 50)"
     accept = {"sonnet-4": f"{kept} OR {sonnet} OR {new}", "opus-4.1": f"{kept} OR {new}", "generic": new}[label]
     return ", ".join(parts) + f" SELECT convo_id, seq FROM s4 WHERE {accept}"
 
