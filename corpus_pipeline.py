@@ -18,16 +18,25 @@ ORACLE_SQL = None
 
 
 def _packed(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id``, ``text``, the columns ``more``, and all columns in ``_row``, so that no name can clash."""
-    return docs.select("doc_id", "text", *more, F.struct(*docs.columns).alias("_row"))
+    """``doc_id``, ``text``, the columns ``more``, and all columns but the text in ``_row``, so that no name can clash.
+
+    ``_was`` is a hash of the text, which tells later whether it was cut.
+    """
+    own = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", *more, F.xxhash64("text").alias("_was"), F.struct(*own).alias("_row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the texts that ``rows`` have now."""
-    text = F.col("text").cast(docs.schema["text"].dataType)
-    length = F.when(text.eqNullSafe(F.col("_row.text")), F.col("_row.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
-    own = {"text": text, "n_chars": length}
-    return rows.select(*[own.get(c, F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+    def column(name: str):
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.when(F.xxhash64("text") == F.col("_was"), F.col("_row.n_chars")).otherwise(F.length("text"))
+        return F.col("_row").getField(name)
+
+    return rows.select(*[column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the contamination limit, without the spans of a window or more that test items share."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(_packed(docs), items, keep_text=True, carry=("_row",))
+    found = decontaminate.contamination(_packed(docs), items, keep_text=True, carry=("_was", "_row"))
     clean = decontaminate.judged(found).where("not contaminated")
     return _unpacked(decontaminate.cut_spans(clean), docs)
 

@@ -42,6 +42,7 @@ def test_against_every_window(spark, documents, block_words):
     r = random.Random(1)
     items = [(k, " ".join(r.choice("abc") for _ in range(r.choice([1, 2, 5, 12, 13, 14, 30])))) for k in range(25)]
     rows = [(d, " ".join(r.choice("abcX,") for _ in range(r.randrange(0, 120)))) for d in range(120)]
+    items.append((90, " ".join(r.choice("abc") for _ in range(200))))  # longer than a small block
     rows += [(500 + k, f"zz {t.upper()} yy") for k, t in items] + [(900, items[6][1] + " " + items[6][1])]
     got = found(documents(rows), spark.createDataFrame(items, "item_id bigint, text string"), block_words=block_words)
     assert got == brute(rows, items)

@@ -87,5 +87,8 @@ def test_components_of_chains_and_stars(spark):
 
 def test_one_row_of_each_group_stays(documents):
     rows = [(3, "same text of many words here"), (2, "same text of many words here"), (2, "same text of many words here"), (7, "other")]
-    kept = sh.one_per_group(documents(rows)).collect()
-    assert sorted((r.doc_id, r.source) for r in kept) == [(2, "s"), (7, "s")]
+    rows += [(None, "same text of many words here"), (None, "all alone"), (None, "alone too"), (None, "alone too"), (9, "other thing")]
+    kept = sh.one_per_group(documents(rows, clashing=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(2, "same text of many words here"), (7, "other"), (9, "other thing"), (None, "all alone"), (None, "alone too")], key=repr
+    )

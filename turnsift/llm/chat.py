@@ -8,8 +8,9 @@ A batch of turns is laid out at once: the lengths of all segments, their cumulat
 copies headers and contents into a single preallocated buffer, which becomes the Arrow column as it is.
 
 Conversations are written in parts of bounded size (``part_bytes``): each part holds consecutive turns of one
-conversation and the byte spans of the texts that count for the loss.  A conversation of any length therefore never has
-to fit into memory; its parts are numbered and read in order.
+conversation and the byte spans of the texts that count for the loss.  Turns are range-partitioned by conversation and
+turn, so a conversation of any length is spread over tasks and never has to fit into memory; the numbers of its parts
+ascend.  Only a hash over a whole conversation has to read its parts one after the other, part by part.
 
 Null roles and texts are empty, turns without a conversation form one of their own.  Turns are ordered by ``turn`` (nulls first), equal turns by role and text; repeated rows
 stay.  An empty table gives an empty output, other columns are ignored.
@@ -77,7 +78,7 @@ def _parts(batch: pa.RecordBatch, numbers: dict[int | None, int], part_bytes: in
     roles = pc.fill_null(batch.column("role").cast(pa.large_string()), "")
     texts = escape(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
     data, turn_at, text_at = assemble(escape(roles), texts)
-    names = batch.column("conv_id")
+    names, shard = batch.column("conv_id"), batch.column("shard")[0].as_py()
     conv, missing = pc.fill_null(names, 0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False)
     n = len(conv)
     new = np.append(True, (conv[1:] != conv[:-1]) | (missing[1:] != missing[:-1]))
@@ -87,7 +88,7 @@ def _parts(batch: pa.RecordBatch, numbers: dict[int | None, int], part_bytes: in
     after = np.append(first[1:], n)
     parts = []
     for c in names.take(pa.array(first)).to_pylist():
-        at = numbers.get(c, 0)
+        at = numbers.get(c, shard << 32)
         numbers.clear()  # sorted rows: only the last conversation can go on in the next batch
         numbers[c] = at + 1
         parts.append(at)
@@ -118,7 +119,8 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE, part_byte
     """Formatted conversations in parts; ``loss`` gives byte spans of the texts by ``loss_role`` as they stand there."""
     rows = turns.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.withColumn("conv_id", F.col("conv_id").cast("bigint"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.select("conv_id", "role", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[int | None, int] = {}
@@ -126,7 +128,7 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE, part_byte
             if batch.num_rows:
                 yield _parts(batch, numbers, part_bytes, loss_role)
 
-    return rows.select("conv_id", "role", "text").mapInArrow(run, PARTS)
+    return rows.mapInArrow(run, PARTS)
 
 
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:

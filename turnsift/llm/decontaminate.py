@@ -167,19 +167,23 @@ def _joined(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return spans
 
 
-def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with words, in blocks of about ``block_words`` words."""
+def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items with words, in blocks of about ``block_words`` words.
+
+    A longer item is cut into stretches that share all but one word of a window, so each of its windows lies in one.
+    """
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in rows.where("text is not null").toLocalIterator():
         words = alnum_words(row.text.encode())
-        if words:
-            block.append((row.item_id or "", words))
-            size += len(words)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
+        for at in range(0, max(len(words) - window + 1, min(len(words), 1)), block_words):
+            part = words[at : at + block_words + window - 1]
+            block.append((row.item_id or "", part))
+            size += len(part)
+            if size >= block_words:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -197,7 +201,7 @@ def contamination(
         "doc_id", *carry, F.col("text").cast("string").alias("text"), F.lit(None).cast("bigint").alias("n_words"),
         F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
     )
-    blocks = item_blocks(items, block_words)
+    blocks = item_blocks(items, window, block_words)
     block, after = next(blocks, []), next(blocks, None)
     while block is not None:
         found = _scan(found, Automaton(window).build(block), keep_text or after is not None)

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnsift.llm.components import connected_components
@@ -57,14 +57,18 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` as a signed 64-bit integer."""
+    """``doc_id``, ``row`` (a hash of id and text) and ``fingerprint`` as a signed 64-bit integer."""
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prints = pa.array([fingerprint(t) for t in byte_texts(batch.column("text"))], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], ["doc_id", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), prints], ["doc_id", "row", "fingerprint"])
 
-    rows = documents.select("doc_id", F.col("text").cast("string"))
-    return map_arrow(rows, scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint bigint")
+    rows = documents.select("doc_id", F.col("text").cast("string"), row_hash().alias("row"))
+    return map_arrow(rows, scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row bigint, fingerprint bigint")
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
 def _byte_mask(positions: tuple[int, ...]) -> int:
@@ -192,23 +196,35 @@ def links(prints: DataFrame) -> DataFrame:
     return posted.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest ``doc_id`` reachable."""
+def _grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``fingerprint, root`` of the distinct ones."""
     prints = cut_lineage(fingerprints(documents))
-    firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(prints)).withColumnRenamed("node", "fingerprint")
-    classes = firsts.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    classes = cut_lineage(classes)
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    own = prints.select("fingerprint").distinct().join(roots, "fingerprint", "left")
+    return prints, cut_lineage(own.select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def _per_group(prints: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """``root, least``: the smallest value over all rows of each group, copies first combined by fingerprint."""
+    firsts = prints.groupBy("fingerprint").agg(F.min(least).alias("least"))
+    return firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("least").alias("least"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest ``doc_id`` reachable."""
+    prints, roots = _grouped(documents)
+    classes = roots.join(_per_group(prints, roots, F.col("doc_id")), "root")
+    return prints.join(classes.drop("root"), "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` with the smallest id of each group; of rows with the same id one stays."""
-    groups = cut_lineage(near_duplicates(documents))
-    kept = documents.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: that with the smallest id; a row without an id only if no other has one."""
+    prints, roots = _grouped(documents)
+    least = _per_group(prints, roots, F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    chosen = least.select(F.col("least.doc_id").alias("_id"), F.col("least.row").alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept"))
+    kept = documents.withColumn("_hash", row_hash()).join(chosen, same, "left_semi")
+    copies = prints.groupBy("doc_id", "row").count().where("count > 1")
+    return (kept if copies.isEmpty() else kept.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
