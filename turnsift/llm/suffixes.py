@@ -304,13 +304,11 @@ def _halved(tuples: DataFrame, cells: int) -> DataFrame:
 def repeated_windows(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """Intervals ``first`` to ``last`` of window starts, per ``doc_id`` and ``text_hash``, that occur elsewhere too."""
     rows = identified(documents.select("doc_id", "text")).withColumn("doc_id", _document())
-    who = F.struct("doc_id", "text_hash")
-    counted = _counted(_names(rows), F.col("n"), who)
-    whole = _names(rows).join(counted.where("n > 1").select("key", "name"), ["key", "name"])
-    chosen = counted.where("variants > 1").select("chosen.*", "key", "name", "variants")
-    needs = whole.select("doc_id", "text_hash", "key", "name", F.lit(True).alias("whole"), F.lit(0).cast("bigint").alias("variants"))
-    needs = needs.unionByName(chosen.withColumn("whole", F.lit(False)))
-    placed = cut_lineage(_placed(rows, needs))
+    counted = _counted(_names(rows), F.col("n"), F.col("text_hash"))
+    named = _names(rows).drop("n").join(counted, ["key", "name"])
+    open_ = F.when(F.col("text_hash") == F.col("chosen"), F.col("variants")).otherwise(F.lit(0)).alias("variants")
+    needs = named.select("doc_id", "text_hash", "key", "name", (F.col("n") > 1).alias("whole"), open_)
+    placed = cut_lineage(_placed(rows, needs.where("whole or variants > 1")))
     parts = [placed.where("context is null").select("doc_id", "text_hash", "first", "last")]
     open_ = placed.where("context is not null")
     cells = 1
