@@ -84,7 +84,8 @@ def quiet_dedup_stream(spark, sf_dir):
 
 @query("first_seen_stream", f"{LOG} SELECT DISTINCT convo_id, role, content FROM log")
 def first_seen_stream(spark, sf_dir):
-    rows = jobs.first_seen_stream(log_stream(spark, sf_dir), ["convo_id", "role", "content"], "24 hours")
+    messages = log_stream(spark, sf_dir).withColumn("digest", tx.digest(F.col("content")))
+    rows = jobs.first_seen_stream(messages, ["convo_id", "role", "digest"], "24 hours")
     return finish(spark, rows, "first").select("convo_id", "role", "content")
 
 
@@ -104,3 +105,17 @@ def replay_stream(spark, sf_dir):
     job.start(log_stream(spark, sf_dir)).awaitTermination()
     decided = spark.read.parquet(f"{job.folder}/data").drop("epoch")
     return rp.apply_removals(decided).select(*ROW, "action", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "growth_stream",
+    f"{LOG} SELECT platform, count(*) AS added, count(*) AS entries, 3::BIGINT AS changes FROM log GROUP BY 1",
+)
+def growth_stream(spark, sf_dir):
+    """The count after each of three micro-batches; what they add must give the last count."""
+    job = jobs.GrowthMonitor(fresh_folder(spark, "growth"))
+    job.start(log_stream(spark, sf_dir)).awaitTermination()
+    return spark.read.parquet(f"{job.folder}/data").groupBy("platform").agg(
+        F.sum(F.col("entries") - F.col("before")).alias("added"), F.max("entries").alias("entries"),
+        F.count(F.lit(1)).alias("changes"),
+    )

@@ -47,7 +47,8 @@ def first_seen_stream(messages: DataFrame, key: list[str], memory: str) -> DataF
     """First sight of each key, forgotten after ``memory``.
 
     This drops by time since the first sight, not since the last kept row, so it is an
-    approximation of the keep-if-quiet rule with constant state per key.
+    approximation of the keep-if-quiet rule with constant state per key.  Pass a digest for a text: the state
+    holds the key.
     """
     return messages.withWatermark("ts", memory).dropDuplicatesWithinWatermark(key)
 
@@ -69,9 +70,12 @@ class BatchJob:
 
     Batches may overlap by ``delay`` seconds of event time.  The watermark is the newest time seen, or the
     time of processing if that is earlier, less the delay: a row dated into the future cannot move it ahead.
-    Rows older than the watermark that a batch finds are not decided; they go to the folder ``late``.
+    Rows older than the watermark that a batch finds are not decided; they go to the folder ``late``, unless the
+    job ``admits_late`` rows because their order does not matter to it.
     """
 
+    admits_late = False
+
     def __init__(self, folder: str, delay: float):
         self.folder, self.delay = folder, int(delay * 1_000_000)
 
@@ -96,7 +100,7 @@ class BatchJob:
         spark = batch.sparkSession
         rows = cut_lineage(batch)
         mark, at = self.watermark(spark, epoch - 1), F.unix_micros("ts")
-        if mark is not None:
+        if mark is not None and not self.admits_late:
             self.write("late", rows.where(at < mark), epoch)
             rows = rows.where(at >= mark)
         newest = F.least(F.max(at), F.unix_micros(F.current_timestamp())) - self.delay
@@ -160,3 +164,21 @@ class ReplayLog(BatchJob):
         if before is not None:
             last = last.unionByName(before.join(last.select("convo_id"), "convo_id", "left_anti"))
         self.write("state", last.where(self.recent(batch.sparkSession, epoch, "last_ts", self.idle)), epoch)
+
+
+class GrowthMonitor(BatchJob):
+    """Rows per platform after every micro-batch that brought some: ``platform, before, entries``."""
+
+    admits_late = True
+
+    def __init__(self, folder: str):
+        super().__init__(folder, 0)
+
+    def decide(self, batch: DataFrame, before: DataFrame | None, epoch: int) -> None:
+        added = batch.select("platform", F.lit(0).cast("bigint").alias("before"), F.lit(1).cast("bigint").alias("added"))
+        if before is not None:
+            added = added.unionByName(before.select("platform", F.col("entries").alias("before"), F.lit(0).cast("bigint").alias("added")))
+        sums = added.groupBy("platform").agg(F.sum("before").alias("before"), F.sum("added").alias("added"))
+        sums = cut_lineage(sums.select("platform", "before", (F.col("before") + F.col("added")).alias("entries")))
+        self.write("data", sums.where("entries > before"), epoch)
+        self.write("state", sums.select("platform", "entries"), epoch)
