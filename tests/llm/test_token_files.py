@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,10 +29,12 @@ def test_bits():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 1,.'!\n\t\x1c\x85\xa0　é日s")), max_size=60))
+@given(st.text(alphabet=st.sampled_from(list("ab  1,.'!\n\t\x1c\x85\xa0　é日s")), max_size=60))
 def test_pieces_encode_like_the_whole_text(text):
     whole = tf._tokenizer(PATH).encode(text, add_special_tokens=False).ids
-    assert tf._encoder(PATH).encode([text, "x " + text])[0].tolist() == whole
+    coded = tf._encoder(PATH).encode(pa.array([text, "x " + text, ""]), 7)
+    assert coded[0].tolist() == [*whole, 7] and coded[2].tolist() == [7]
+    assert coded[1].tolist() == [*tf._tokenizer(PATH).encode("x " + text, add_special_tokens=False).ids, 7]
 
 
 def test_round_trip(spark, documents, odd_texts, monkeypatch):

@@ -7,11 +7,11 @@ A token file is a folder of two Parquet tables:
   block and where each begins in it (one offset more than documents); ``shard`` and ``first`` place the block.
 * ``shards``: per shard its first document, its number of ids and ``start``, the ids of all shards before it.
 
-Ids are read back by one gather of 64-bit words per block; any id of a block is found by its bit address alone, and a
+Ids are read back by vector shifts of 64-bit words, 64 ids at a time; any id of a block is found by its bit address alone, and a
 document by the minimum and maximum ``doc_id`` that Parquet keeps of each block.
 
 A document longer than a block has a block of its own.  Null texts are empty and get the end id only.  Rows that share
-a ``doc_id`` follow each other in the order of their texts.  An empty table gives empty files.
+a ``doc_id`` follow each other in the order of their texts, rows without one come first.  An empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -23,13 +23,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnsift.llm.words import byte_texts, map_arrow
+from turnsift.llm.words import map_arrow
 
 BLOCK_IDS = 1 << 18
-PIECES = 700_000
+PIECES = 1_000_000
+STRETCH = 8 << 20
+#: A space next to other white space, for the pattern library of Arrow.
+UNSAFE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 BLOCKS = (
     "shard int, block int, first bigint, bits int, min_doc bigint, max_doc bigint, n_ids bigint, payload binary, "
     "doc_ids array<bigint>, offsets array<bigint>"
@@ -41,28 +45,50 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def _lanes(bits: int) -> Iterator[tuple[int, int, int]]:
+    """64 ids fill ``bits`` words: of each the word it begins in, its shift there, and the bits it leaves over."""
+    for lane in range(64):
+        word, shift = divmod(lane * bits, 64)
+        yield word, shift, max(0, shift + bits - 64)
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` at ``bits`` bits each in little-endian 64-bit words, and one word more so that reads may overshoot."""
-    at = np.arange(len(ids), dtype=np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    out = np.zeros((len(ids) * bits + 63) // 64 + 1, np.uint64)
-    values = ids.astype(np.uint64)
-    starts = np.flatnonzero(np.diff(word, prepend=-1))
-    if len(ids):
-        out[word[starts]] = np.bitwise_or.reduceat(values << shift, starts)
-        over = shift + np.uint64(bits) > np.uint64(64)
-        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-    return out.astype("<u8").tobytes()
+    rows = -(-len(ids) // 64)
+    lanes = np.zeros((rows, 64), np.uint64)
+    lanes.reshape(-1)[: len(ids)] = ids
+    lanes = np.ascontiguousarray(lanes.T)
+    words = np.zeros((bits + 1, rows), np.uint64)
+    for values, (word, shift, over) in zip(lanes, _lanes(bits)):
+        words[word] |= values << np.uint64(shift)
+        if over:
+            words[word + 1] |= values >> np.uint64(bits - over)
+    used = (len(ids) * bits + 63) // 64
+    return np.append(words[:bits].T.reshape(-1)[:used], np.uint64(0)).astype("<u8").tobytes()
 
 
 def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
-    """Ids ``first`` to ``first + count`` of a payload."""
+    """Ids ``first`` to ``first + count`` of a payload; whole groups of 64 are taken apart lane by lane."""
+    mask = np.uint64((1 << bits) - 1)
+    if first % 64 == 0 and count >= 4096:
+        rows = -(-count // 64)
+        words = np.zeros(rows * bits, np.uint64)
+        some = np.frombuffer(payload, "<u8")[first * bits // 64 :][: len(words)]
+        words[: len(some)] = some
+        words = np.ascontiguousarray(words.reshape(rows, bits).T)
+        out = np.empty((64, rows), np.uint32)
+        for lane, (word, shift, over) in enumerate(_lanes(bits)):
+            values = words[word] >> np.uint64(shift)
+            if over:
+                values = values | (words[word + 1] << np.uint64(bits - over))
+            out[lane] = values & mask
+        return out.T.reshape(-1)[:count]
     words = np.frombuffer(payload, "<u8")
     at = np.arange(first, first + count, dtype=np.uint64) * np.uint64(bits)
     word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
     low = words[word] >> shift
     high = np.where(shift > 0, words[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-    return (low | high) & np.uint64((1 << bits) - 1)
+    return ((low | high) & mask).astype(np.uint32)
 
 
 @cache
@@ -86,34 +112,86 @@ class PieceEncoder:
         self.tokenizer = _tokenizer(path)
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
-        self.double = re.compile(r"\s\s")
+        self.unsafe = re.compile(r"\s | \s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.tail = re.compile(r"(.*[a-zA-Z])([!#$%&*,.:;?|]+)", re.S)
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(code.ids, "<u4").tobytes() for code in codes]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces without the space that stands before each."""
-        whole = [p for p in pieces if not p or " " in p]
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces without the space that stands before each; marks behind a letter are always tokens of their own."""
+        marked = {p: found.groups() for p in pieces if (found := self.tail.fullmatch(p)) and " " not in p}
+        new = {*pieces.difference(marked), *(core for core, _ in marked.values())}.difference(self.known)
+        whole = [p for p in new if not p or " " in p]
         self.known.update(zip(whole, self._library([" " + p for p in whole])))
-        single = [p for p in pieces if p and " " not in p]
+        single = [p for p in new if p and " " not in p]
         for at in range(0, len(single), 2000):
             some = single[at : at + 2000]
             codes = self._library([" " + " ".join(some)])[0]
             starts = (np.flatnonzero(self.spaced[np.frombuffer(codes, "<u4")]) * 4).tolist()
             self.known.update(zip(some, (codes[a:b] for a, b in zip(starts, [*starts[1:], len(codes)]))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > PIECES:
+        marks = list({mark for _, mark in marked.values()}.difference(self.tails))
+        self.tails.update(zip(marks, self._library(marks)))
+        for piece, (core, mark) in marked.items():
+            self.known[piece] = self.known[core] + self.tails[mark]
+
+    def _codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that stand behind a space."""
+        if len(self.known) + len(self.tails) > PIECES:
             self.known.clear()
-        cut = [self.cut.split(t) if self.double.search(t) else t.split(" ") for t in texts]
-        new = {p for pieces in cut for p in pieces[1:]}.difference(self.known)
-        self._learn(list(new))
-        find = self.known.__getitem__
-        first = self._library([pieces[0] for pieces in cut])
-        return [np.frombuffer(b"".join([head, *map(find, pieces[1:])]), "<u4") for head, pieces in zip(first, cut)]
+            self.tails.clear()
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self._learn({piece for piece, code in zip(pieces, found) if code is None})
+            found = list(map(self.known.__getitem__, pieces))
+        return found
+
+    def _head_codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin a text."""
+        if len(self.heads) > PIECES // 10:
+            self.heads.clear()
+        new = [piece for piece in pieces if piece not in self.heads]
+        self.heads.update(zip(new, self._library(new)))
+        return list(map(self.heads.__getitem__, pieces))
+
+    def _with_odd_spaces(self, text: str) -> bytes:
+        first, *rest = self.cut.split(text)
+        return b"".join([*self._library([first]), *self._codes(rest)])
+
+    def _gathered(self, texts: pa.StringArray, end_id: int) -> list[np.ndarray]:
+        """Texts whose spaces all stand between non-spaces: distinct pieces are looked up once and copied by index."""
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        piece, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads, head = np.unique(piece[first], return_inverse=True)
+        codes = [*self._codes(names), *self._head_codes([names[k] for k in heads])]
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        piece = piece.astype(np.int64)
+        piece[first] = len(names) + head
+        size, begin = sizes[piece], (np.cumsum(sizes) - sizes)[piece]
+        at = np.cumsum(size) - size
+        body = flat[np.arange(int(size.sum())) + np.repeat(begin - at, size)]
+        ends = np.append(at[first[1:]], len(body))
+        out = np.insert(body, ends, end_id)
+        return np.split(out, (ends + np.arange(1, len(ends) + 1))[:-1])
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """Ids of each text, followed by ``end_id``."""
+        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        gathered = iter(self._gathered(plain, end_id) if len(plain) else ())
+        rest = iter(texts.filter(pa.array(odd)).to_pylist())
+        return [
+            np.append(np.frombuffer(self._with_odd_spaces(next(rest)), "<u4"), np.uint32(end_id)) if o else next(gathered)
+            for o in odd.tolist()
+        ]
 
 
 @cache
@@ -121,6 +199,17 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _stretches(texts: pa.Array) -> Iterator[slice]:
+    """Rows that hold about ``STRETCH`` bytes together, or one longer text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + STRETCH, "right")))
+        yield slice(at, to)
+        at = to
+
+
 def _blocks(shard: int, bits: int, documents: Iterator[tuple[int, np.ndarray]]) -> Iterator[dict]:
     ids: list[np.ndarray] = []
     names: list[int] = []
@@ -128,8 +217,9 @@ def _blocks(shard: int, bits: int, documents: Iterator[tuple[int, np.ndarray]])
 
     def made() -> dict:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        known = [name for name in names if name is not None] or [None]
         return {
-            "shard": shard, "block": block, "first": first, "bits": bits, "min_doc": names[0], "max_doc": names[-1],
+            "shard": shard, "block": block, "first": first, "bits": bits, "min_doc": known[0], "max_doc": known[-1],
             "n_ids": size, "payload": pack(np.concatenate(ids), bits), "doc_ids": names, "offsets": offsets.tolist(),
         }
 
@@ -163,10 +253,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, vocabulary:
             for batch in batches:
                 shards[:] = batch.column("shard")[:1].to_pylist()
                 names = batch.column("doc_id").to_pylist()
-                texts = [t.decode() for t in byte_texts(batch.column("text"))]
-                for at in range(0, len(names), 256):
-                    for name, codes in zip(names[at : at + 256], encoder.encode(texts[at : at + 256])):
-                        yield name, np.append(codes, np.uint32(end_id))
+                texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+                for some in _stretches(texts):
+                    yield from zip(names[some], encoder.encode(texts[some], end_id))
 
         for block in _blocks(0, bits, coded()):
             block["shard"] = shards[0]
@@ -195,7 +284,7 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_ids(block: dict) -> Iterator[tuple[int, int, np.ndarray]]:
     """``doc_id``, offset in the block and ids of each document of a block."""
-    ids = unpack(block["payload"], block["bits"], 0, block["n_ids"]).astype("<u4")
+    ids = unpack(block["payload"], block["bits"], 0, block["n_ids"]).astype("<u4", copy=False)
     offsets = block["offsets"]
     for name, a, b in zip(block["doc_ids"], offsets, offsets[1:]):
         yield name, a, ids[a:b]
