@@ -2,7 +2,7 @@
 
 Texts are reduced to lower-cased words joined by single spaces.  A rule is a hand-written pattern over such words with
 a label, a weight and keywords; it runs only on texts in which a word begins one of its keywords.  Rules are ordered: base phrases come
-first, then full grants, tagged identifiers, and plain names.  Detections of a rule that lie inside a
+first, then statements, SPDX identifiers, names in a grant, signatures, and names in weaker phrases.  Detections of a rule that lie inside a
 detection of an earlier rule are suppressed, equal spans included, so "gnu lesser general public license version 3" is
 not also a "general public license".  Base phrases are never suppressed, and all their places are counted.
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnsift.llm.license_signatures import SIGNATURES, SPDX
 from turnsift.llm.words import alnum_words, byte_texts, map_arrow
 
 #: Base phrases, whose places are reported.  Fixed values.
@@ -88,7 +89,6 @@ NAMES = [
 FAMILIES = [
     ("grant", r"(?:is|are|was|be|been)? ?(?:re)?(?:licensed|released|distributed|available|published|provided|redistributed) "
               r"(?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})", 1.0),
-    ("tag", r"spdx licen[cs]e identifier (?:{name})(?: (?:only|or later))?", 1.0),
     ("terms", r"(?:under|subject to|governed by|accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})", 0.9),
     ("file", r"(?:see|read|copy of) (?:the )?(?:file )?(?:{name})", 0.7),
     ("name", r"(?:{name})", 0.6),
@@ -122,8 +122,21 @@ def _whole_words(pattern: str) -> re.Pattern[bytes]:
     return re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])".encode())
 
 
+def _identifiers() -> list[tuple[str, str]]:
+    """Label and pattern of every SPDX identifier, the longest first, anywhere in an expression; its span is that of ``id``."""
+    plain = [(label, b" ".join(alnum_words(name.encode())).decode()) for label, names in SPDX for name in names.split()]
+    plain.sort(key=lambda x: (-len(x[1]), x[1]))
+    after = "(?: only| or later)?"
+    # What stands between two operators: an identifier of the list, an exception, or one that is not listed.
+    other = rf"(?:(?:{'|'.join(name for _, name in plain)}){after}|(?:[a-z0-9]+ ){{0,4}}exception(?: [0-9]+){{0,3}}|licenseref(?: [a-z0-9]+){{1,4}}?)"
+    return [
+        (label, rf"spdx license identifier (?:{other} (?:or|and|with) )*(?P<id>{name}{after})") for label, name in plain
+    ]
+
+
 @cache
 def rules() -> list[Rule]:
+    """All rules: the hand-written ones, and each name in each phrase family, which adds weight but no label."""
     made: list[Rule] = []
 
     def add(label: str, pattern: str, keywords: str, weight: float, base: bool = False) -> None:
@@ -134,9 +147,17 @@ def rules() -> list[Rule]:
         add(label, phrase, phrase, 1.0, True)
     for label, pattern, keywords, weight in STATEMENTS:
         add(label, pattern, keywords, weight)
-    for _, family, weight in FAMILIES:
-        for label, name, keywords in NAMES:
-            add(label, family.format(name=name), keywords, weight)
+    def names(families: list[tuple[str, str, float]]) -> None:
+        for _, family, weight in families:
+            for label, name, keywords in NAMES:
+                add(label, family.format(name=name), keywords, weight)
+
+    for label, pattern in _identifiers():
+        add(label, pattern, "spdx license", 1.0)
+    names(FAMILIES[:1])
+    for label, pattern, keywords, weight, _ in SIGNATURES:
+        add(label, pattern, keywords, weight)
+    names(FAMILIES[1:])
     return made
 
 
@@ -154,7 +175,7 @@ def _places(rule: Rule, text: bytes) -> Iterator[tuple[int, int]]:
     """Spans of all matches; a base phrase is also found where it overlaps itself."""
     found = rule.pattern.search(text)
     while found:
-        yield found.span()
+        yield found.span("id") if "id" in rule.pattern.groupindex else found.span()
         found = rule.pattern.search(text, found.start() + 1 if rule.base else max(found.end(), found.start() + 1))
 
 
