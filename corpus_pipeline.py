@@ -40,9 +40,9 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and every certified cutoff."""
+    """Documents that pass the base rule and the certified rule set of their language."""
     facts = cut_lineage(quality.text_facts(quality.with_stratum(_packed(docs, "lang"))))
-    cutoffs = cut_lineage(quality.certified_cutoffs(facts, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    cutoffs = cut_lineage(quality.certified_rule_sets(facts, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return _unpacked(quality.judge(facts, cutoffs).where("kept"), docs)
 
 

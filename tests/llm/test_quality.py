@@ -64,3 +64,31 @@ def test_verdicts(spark, documents, odd_texts):
     # Without labels only the base rule rejects.
     judged = ql.judge(ql.text_facts(ql.with_stratum(documents(rows))), ql.certified_cutoffs(facts_, labels.limit(0)))
     assert {r.doc_id: r.kept for r in judged.collect()}[2]
+
+
+def test_rule_sets_need_few_labels(spark):
+    """311 good labels certify a set at 2 %, in each of four strata; single cutoffs at half a percent need 1,500."""
+    facts_, labels = holdout(spark, [0] * 311, [40] * 33)
+    assert ql.certified_cutoffs(facts_, labels).count() == 0
+    four = facts_
+    for k, stratum in enumerate(("de", "fr", "es"), 1):
+        more = facts_.withColumn("doc_id", F.col("doc_id") + 10_000 * k).withColumn("stratum", F.lit(stratum))
+        four, labels = four.unionByName(more), labels.unionByName(labels.where("doc_id < 10000").withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    got = ql.certified_rule_sets(four, labels).collect()
+    assert sorted(map(tuple, got)) == [(x, 30, None, None, None) for x in ("de", "en", "es", "fr")]
+
+
+def test_rule_sets_keep_the_promise(spark):
+    def symbols(good, bad):
+        found = ql.certified_rule_sets(*holdout(spark, good, bad)).collect()
+        return found[0]["_symbols"] if found else None
+
+    assert symbols([0] * 200, [40] * 50) is None and symbols([0] * 2000, []) is None
+    # One in fifty good documents is rejected below 40: not shown to be less than 2 %.
+    assert symbols([0] * 4900 + [40] * 100, [40] * 50 + [60] * 10) == 50
+    # Each of two rules rejects 1.4 % of the good documents, both together more than 2 %: never both.
+    facts_, labels = holdout(spark, [40] * 70 + [0] * 4930, [40] * 30 + [0] * 30)
+    part = F.col("doc_id").between(70, 139) | (F.col("doc_id") >= 5030)
+    facts_ = facts_.withColumn("n_dup_lines", F.when(part, 4).otherwise(0))
+    row = ql.certified_rule_sets(facts_, labels).first()
+    assert sorted([row["_symbols"] or 0, row["_dup_lines"] or 0]) == [0, 30]

@@ -165,6 +165,66 @@ def certified_cutoffs(
     )
 
 
+def certified_rule_sets(
+    facts: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR,
+    cutoffs: tuple[int, ...] = CUTOFFS,
+) -> DataFrame:
+    """Like ``certified_cutoffs``, but sets of rules are tested whole, so a stratum needs far fewer labels.
+
+    A stratum has one sequence of sets per rule: that rule alone from its mildest cutoff down, then with it all others, from
+    their mildest cutoff down.  Each set rejects what the set before it rejects, so a sequence is tested in order at one price, and
+    its tests end by themselves where the false rejection of the whole set is not shown to be below ``max_false_rejection``.  The
+    sequences of all strata share ``error`` evenly; strata that could pass no test at any number of strata, or have no bad
+    documents, take no part.  The set that separates bad from good best is used, with every rule at the mildest cutoff that
+    rejects the same labelled documents: a milder set keeps the promise of the set it is part of.
+    """
+    rated = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
+    holdout = facts.where(~base_failed()).join(rated, "doc_id")
+    good = F.col("good")
+    falling = sorted(cutoffs, reverse=True)
+    alone = [{rule: c} for rule in RULES for c in falling]
+    joined = [{rule: falling[-1]} | {other: c for other in RULES if other != rule} for rule in RULES for c in falling]
+
+    def rejects(rules: dict[str, int]) -> Column:
+        fails = F.lit(False)
+        for rule, c in rules.items():
+            fails = fails | _exceeds(rule, F.lit(c))
+        return fails
+
+    sets = alone + joined
+    counted = holdout.groupBy("stratum").agg(
+        F.count_if(good).alias("n"), F.count_if(~good).alias("n_bad"),
+        *[F.count_if(good & rejects(x)).alias(f"k_{i}") for i, x in enumerate(sets)],
+        *[F.count_if(~good & rejects(x)).alias(f"bad_{i}") for i, x in enumerate(sets)],
+    )
+    least = math.log(error / len(RULES)) / math.log1p(-max_false_rejection)
+    counted = counted.where((F.col("n_bad") > 0) & (F.col("n") >= least)).withColumn("strata", F.expr("count(*) over ()"))
+
+    def mildest(rule: str, c: int) -> Column:
+        """The mildest cutoff with the counts of ``c``; as sets are nested, equal counts are equal sets."""
+        at = {x: alone.index({rule: x}) for x in falling}
+        chosen = F.when((F.col(f"k_{at[c]}") == 0) & (F.col(f"bad_{at[c]}") == 0), F.lit(None).cast("int"))
+        for x in falling:
+            same = (F.col(f"k_{at[x]}") == F.col(f"k_{at[c]}")) & (F.col(f"bad_{at[x]}") == F.col(f"bad_{at[c]}"))
+            chosen = chosen.when(same, F.lit(x))
+        return chosen
+
+    tests = counted.select("stratum", "n", "n_bad", "strata", F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("place"), F.col(f"k_{i}").alias("k"), F.col(f"bad_{i}").alias("k_bad"),
+            *[(mildest(r, x[r]) if r in x else F.lit(None).cast("int")).alias(f"_{r}") for r in RULES],
+        )
+        for i, x in enumerate(sets)
+    ])))
+    # The p values of a sequence never fall, so one that passes has passed all before it.
+    passed = binomial_tail(F.col("n"), F.col("k"), max_false_rejection) <= error / (len(RULES) * F.col("strata"))
+    gain = F.col("k_bad") * F.col("n") - F.col("k") * F.col("n_bad")
+    best = tests.where(passed & (gain > 0)).groupBy("stratum").agg(
+        F.max_by(F.struct(*[f"_{r}" for r in RULES]), F.struct(gain, -F.col("place"))).alias("best")
+    )
+    return best.select("stratum", "best.*")
+
+
 def with_stratum(documents: DataFrame) -> DataFrame:
     return documents.withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit("")))
 
