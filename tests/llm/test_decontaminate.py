@@ -71,3 +71,11 @@ def test_limits(spark, documents):
     judged = dc.judged(dc.contamination(documents(rows), spark.createDataFrame([(1, item)], "item_id bigint, text string")))
     assert {r.doc_id: r.contaminated for r in judged.collect()} == {1: True, 2: False, 3: False}
     assert judged.where(F.col("contaminated")).count() == 1
+
+
+def test_one_automaton_at_a_time(spark, documents):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(5)], "item_id bigint, text string")
+    rows = documents([(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(6)])
+    made = dc.contamination(rows, items, block_words=30)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r["items"]) for r in made.collect()) == [(k, [str(k)] if k < 5 else []) for k in range(6)]

@@ -6,7 +6,8 @@ the window length, every word of it lies in an item window.
 
 * Items shorter than the window count only as a whole.
 * The items come to the driver in blocks of ``block_words`` words.  Each block is a broadcast of bounded size and a
-  narrow pass over the documents that adds to what the passes before it found; nothing is shuffled.
+  narrow pass over the documents that adds to what the passes before it found; nothing is shuffled.  All passes but the
+  last are written and their broadcasts released, so memory does not grow with the number of blocks.
 * Words that no pair of neighbouring item words can cover are skipped before the walk, which changes no match.
 
 Nulls and empty texts have no words and are never contaminated.  Rows that share a ``doc_id`` are judged
@@ -21,10 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnsift.llm.words import ALNUM, alnum_words, byte_texts, map_arrow
+from turnsift.session import cut_lineage
 
 PAIR_BITS = 22
 
@@ -204,13 +207,17 @@ def contamination(
     blocks = item_blocks(items, window, block_words)
     block, after = next(blocks, []), next(blocks, None)
     while block is not None:
-        found = _scan(found, Automaton(window).build(block), keep_text or after is not None)
+        shared = documents.sparkSession.sparkContext.broadcast(Automaton(window).build(block))
+        found = _scan(found, shared, keep_text or after is not None)
+        if after is not None:
+            # Written, so that no task holds the automata of two blocks.
+            found = cut_lineage(found)
+            shared.destroy()
         block, after = after, next(blocks, None)
     return found
 
 
-def _scan(found: DataFrame, automaton: Automaton, keep_text: bool) -> DataFrame:
-    shared = found.sparkSession.sparkContext.broadcast(automaton)
+def _scan(found: DataFrame, shared: Broadcast, keep_text: bool) -> DataFrame:
     after = found if keep_text else found.drop("text")
     columns = after.columns
 
