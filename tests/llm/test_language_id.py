@@ -66,3 +66,15 @@ def test_empty_tables(spark, labelled):
     pages = spark.createDataFrame([(1, "http://a.b", "<p>x</p>", None)], PAGES)
     assert li.identify(pages.limit(0), labelled).count() == 0
     assert [r.lang for r in li.identify(pages, labelled.limit(0)).collect()] == [None]
+
+
+def test_more_languages_than_one_table(spark):
+    """The last languages have the fewest texts; each page is in one of them and says so."""
+    n = li.LANGUAGES + 3
+    text = [" ".join(chr(97 + k % 26) + chr(97 + k // 26) * 2 + x for x in "qwertyuiop") for k in range(n)]
+    names = [f"l{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    data = [(k, " ".join([text[k]] * (2 + n - k)), names[k]) for k in range(n)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    pages = [(k, f"http://h{k}.example/", f"<html lang={names[k]}><p>{text[k]}</p>") for k in range(n)]
+    got = li.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), docs).collect()
+    assert sorted((r.page_id, r.text_lang, r.declared) for r in got) == [(k, names[k], names[k]) for k in range(n)]

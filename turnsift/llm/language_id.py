@@ -11,7 +11,8 @@ For each language the log posterior of a page is the sum of
 
 What is declared, which suffix and which host goes with which language is counted over all pages with the language of
 their text alone, as grouped aggregates; a page's own vote is taken out before it is judged.  Trigrams are hashed into
-``BUCKETS`` counts, and at most ``LANGUAGES`` languages (the most frequent) are told apart, so the model is bounded.
+``BUCKETS`` counts.  All languages present are told apart: ``LANGUAGES`` of them make one table, and the pages are read once per
+table, so the driver and a task hold one table at a time.
 
 Null or empty pages have no text evidence and follow their host, a null or broken address has the empty host.  Ties
 go to the first language in alphabetical order.  Rows are judged one by one; without labelled documents the language is null.
@@ -27,6 +28,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ from turnsift.llm.words import byte_texts, map_arrow
 from turnsift.session import cut_lineage
 
 BUCKETS = 1 << 14
+#: Languages of one table.
 LANGUAGES = 64
 TEMPER = 6.0
 STRENGTH = 4.0
@@ -94,28 +97,59 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def likelihoods(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each bucket."""
+def likelihoods(counts: DataFrame) -> tuple[list[str], Iterator[np.ndarray]]:
+    """All languages, and in tables of ``LANGUAGES`` their log probabilities of each bucket."""
     counts = cut_lineage(counts)
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    names = sorted(row.lang for row in sizes.collect())
-    table = np.ones((len(names), BUCKETS))
-    for row in counts.where(F.col("lang").isin(names)).toLocalIterator():  # at most LANGUAGES times BUCKETS rows
-        table[names.index(row.lang), row.bucket] += row.n
-    return names, np.log(table / table.sum(axis=1, keepdims=True))
+    names = sorted(row.lang for row in counts.select("lang").distinct().collect())
 
+    def tables() -> Iterator[np.ndarray]:
+        for at in range(0, len(names), LANGUAGES):
+            place = {name: k for k, name in enumerate(names[at : at + LANGUAGES])}
+            table = np.ones((len(place), BUCKETS))
+            for row in counts.where(F.col("lang").isin(*place)).toLocalIterator():  # at most LANGUAGES times BUCKETS rows
+                table[place[row.lang], row.bucket] += row.n
+            yield np.log(table / table.sum(axis=1, keepdims=True))
 
-def _evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+    return names, tables()
+
+
+def _with_likelihoods(pages: DataFrame, shared: Broadcast) -> DataFrame:
+    """``pages`` whose ``likelihoods`` go on with the languages of one table."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        place = batch.schema.get_field_index("likelihoods")
+        out = []
+        for page, before in zip(batch.column("html").to_pylist(), batch.column("likelihoods").to_pylist()):
+            found = buckets(visible_text(page or "").encode("utf-8", "ignore"))
+            out.append(before + (shared.value[:, found].sum(axis=1) / TEMPER).tolist())
+        field = batch.schema.field(place)
+        yield batch.set_column(place, field, pa.array(out, field.type))
+
+    return map_arrow(pages, run, pages.schema)
+
+
+def _evidence(pages: DataFrame, names: list[str], tables: Iterator[np.ndarray]) -> DataFrame:
     """Per page its host parts, declared language, and text likelihoods; ``vote`` is the language of the text alone."""
-    shared = pages.sparkSession.sparkContext.broadcast(table)
+    rows = pages.select(
+        "page_id", F.col("url").cast("string"), F.col("html").cast("string"), F.array().cast("array<double>").alias("likelihoods")
+    )
+    context = pages.sparkSession.sparkContext
+    table, after = next(tables, np.ones((0, BUCKETS))), next(tables, None)
+    while after is not None:
+        passed = context.broadcast(table)
+        rows = cut_lineage(_with_likelihoods(rows, passed))
+        passed.destroy()
+        table, after = after, next(tables, None)
+    shared = context.broadcast(table)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model = shared.value
         out = []
-        for page, address in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
+        columns = [batch.column(c).to_pylist() for c in ("html", "url", "likelihoods")]
+        for page, address, before in zip(*columns):
             page = page or ""
             found = buckets(visible_text(page).encode("utf-8", "ignore"))
-            text = model[:, found].sum(axis=1) / TEMPER
+            text = np.append(before, model[:, found].sum(axis=1) / TEMPER)
             host = host_of(address)
             said = declared_language(page)
             out.append({
@@ -131,7 +165,6 @@ def _evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFram
         ("host", pa.string()), ("domain", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("n_grams", pa.int64()),
         ("likelihoods", pa.list_(pa.float64())), ("vote", pa.int32()),
     ])
-    rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
     kind = rows.schema["page_id"].dataType.simpleString()
     return map_arrow(rows, run, (
         f"page_id {kind}, host string, domain string, suffix string, declared string, n_grams bigint, "
@@ -169,8 +202,8 @@ def fused(
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Per page ``host, declared, n_grams, text_lang`` (by text alone), ``lang`` and its ``posterior``."""
-    names, table = likelihoods(trigram_counts(documents))
-    evidence = cut_lineage(_evidence(pages, names, table))
+    names, tables = likelihoods(trigram_counts(documents))
+    evidence = cut_lineage(_evidence(pages, names, tables))
     size = len(names)
     rows = evidence
     for by in ("declared", "suffix", "domain", "host") if size else ():
