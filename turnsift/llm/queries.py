@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnsift.llm import chat as ch
 from turnsift.llm import decontaminate as dc
+from turnsift.llm import jaccard as jc
 from turnsift.llm import language_id as li
 from turnsift.llm import language_model as lm
 from turnsift.llm import licenses as lc
@@ -107,3 +108,8 @@ def op7_language_model(spark, sf_dir):
 @query("op9_language_id")
 def op9_language_id(spark, sf_dir):
     return li.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+@query("op13_jaccard_join", sql.JACCARD)
+def op13_jaccard_join(spark, sf_dir):
+    return jc.jaccard_components(read(spark, sf_dir, "documents"))

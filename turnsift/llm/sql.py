@@ -80,3 +80,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(24 + length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')}))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_LOWER_WORDS = r"regexp_extract_all(" + ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_WORDS} AS w FROM documents),
+sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END) AS s FROM w),
+sized AS (SELECT r, doc_id, len(s)::BIGINT AS n, hash(list_sort(s)) AS k, s FROM sets),
+classes AS (SELECT k, any_value(n) AS n, any_value(s) AS s FROM sized WHERE n > 0 GROUP BY k),
+grams AS (SELECT k, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.k AS a, b.k AS b, a.n AS m, b.n AS n, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k
+          AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 90 * (m + n - common)),
+reached(k, other) AS (SELECT k, k FROM classes UNION SELECT reached.k, b FROM reached JOIN links ON other = a),
+least_of AS (SELECT reached.k, min(doc_id) AS component_id FROM reached JOIN sized ON sized.k = other GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sized LEFT JOIN least_of ON sized.k = least_of.k AND n > 0
+"""
