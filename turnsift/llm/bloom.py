@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: 8 MB, whatever the number of keys; a fuller filter lets more through.
+BLOCKS = 1 << 20
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -40,3 +47,28 @@ def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which mixed ``keys`` may be in the filter; none that is in it is missed."""
     at, mask = _place(keys, len(bits))
     return bits[at] & mask == mask
+
+
+def gathered(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A filter of ``BLOCKS`` blocks over the ``keys_of`` all rows; the driver gets one row per block at most."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BLOCKS, np.uint64)
+        for batch in batches:
+            own |= build(keys_of(*[batch.column(c).to_numpy() for c in columns]), BLOCKS)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["block", "bits"])
+
+    parts = rows.select(*columns).mapInArrow(bits, "block bigint, bits bigint")
+    packed = parts.groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    whole = np.zeros(BLOCKS, np.uint64)
+    whole[packed["block"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
+    return whole
+
+
+def keys_of(*columns: np.ndarray) -> np.ndarray:
+    """Mixed keys of one or several columns of 64-bit values."""
+    keys = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        keys = mix(keys + column.astype(np.int64).view(np.uint64))
+    return keys

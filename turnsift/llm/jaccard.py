@@ -47,8 +47,6 @@ ORDERS = 4
 PARITY_BITS = 256
 SHORT_LIST = 32
 BLOCK = 2048
-#: Bits of the filter that picks the rows whose sets are counted; a fuller filter lets more rows through to the join.
-FILTER_BLOCKS = 1 << 20
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -289,24 +287,10 @@ def segments(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A Bloom filter of the rows, of a fixed size, is broadcast, so that texts are read where they lie; the join behind it is exact.
     """
-    spark = documents.sparkSession
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(FILTER_BLOCKS, np.uint64)
-        for batch in batches:
-            own |= bloom.build(bloom.mix(batch.column("row").to_numpy().view(np.uint64)), FILTER_BLOCKS)
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["block", "bits"])
-
-    # At most one row per block of the filter reaches the driver.
-    filled = wanted.select("row").mapInArrow(bits, "block bigint, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits"))
-    packed = filled.toArrow()
-    whole = np.zeros(FILTER_BLOCKS, np.uint64)
-    whole[packed["block"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(whole)
+    shared = documents.sparkSession.sparkContext.broadcast(bloom.gathered(wanted, "row"))
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        batch = batch.filter(pa.array(bloom.holds(shared.value, bloom.mix(batch.column("row").to_numpy().view(np.uint64)))))
+        batch = batch.filter(pa.array(bloom.holds(shared.value, bloom.keys_of(batch.column("row").to_numpy()))))
         rows, fragments, grams = [], [], []
         for row, text in zip(batch.column("row").to_pylist(), byte_texts(batch.column("text"))):
             own = shingles(text)

@@ -12,11 +12,13 @@ from turnsift.llm import language_id as li
 from turnsift.llm import language_model as lm
 from turnsift.llm import licenses as lc
 from turnsift.llm import pieces as sp
+from turnsift.llm import prefix_trie as pt
 from turnsift.llm import quality as ql
 from turnsift.llm import simhash as sh
 from turnsift.llm import sql
 from turnsift.llm import suffixes as sx
 from turnsift.llm import token_files as tf
+from turnsift.llm import variants as vr
 from turnsift.registry import query
 from turnsift.session import cut_lineage, fresh_folder
 
@@ -113,3 +115,13 @@ def op9_language_id(spark, sf_dir):
 @query("op13_jaccard_join", sql.JACCARD)
 def op13_jaccard_join(spark, sf_dir):
     return jc.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", sql.VARIANTS)
+def op11_spelling_variants(spark, sf_dir):
+    return vr.variant_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", sql.PREFIX_TRIE)
+def op12_prefix_trie(spark, sf_dir):
+    return pt.conversation_trie(read(spark, sf_dir, "conversations"))

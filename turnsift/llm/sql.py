@@ -97,3 +97,58 @@ least_of AS (SELECT reached.k, min(doc_id) AS component_id FROM reached JOIN siz
 SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM sized LEFT JOIN least_of ON sized.k = least_of.k AND n > 0
 """
+
+#: Unsigned crc32 of the text ``s`` of the rows ``id, s`` of a table, byte by byte, as CTEs that end with ``crc(id, h)``.
+_CRC = """
+crc_table AS (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) t(i)),
+crc_step(id, h, pos, state) AS (
+    SELECT id, hex(encode(s)), 0, 4294967295::BIGINT FROM {table}
+    UNION ALL SELECT id, h, pos + 1, xor(state >> 8, v) FROM crc_step
+    JOIN crc_table ON i = xor(state & 255, ('0x' || substr(h, 2 * pos + 1, 2))::BIGINT) WHERE 2 * pos < length(h)),
+crc AS (SELECT id, xor(state, 4294967295) AS h FROM crc_step WHERE 2 * pos = length(h))
+"""
+VARIANTS = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+          FROM documents),
+counted AS (SELECT row_number() OVER () AS id, run, c, coalesce(doc_id::VARCHAR, '') || ':' || run AS s
+            FROM (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL)), {_CRC.format(table='counted')},
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c
+          FROM counted JOIN crc USING (id)),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (SELECT DISTINCT word, n, left(word, p - 1) || substr(word, p + 1) AS cut
+         FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM words)),
+holes AS (SELECT word, n, p, left(word, p - 1) AS a, substr(word, p + 1) AS z
+          FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM words)),
+one_way AS (SELECT cuts.word, cuts.n, w.word AS near, w.n AS near_n FROM cuts JOIN words w ON cut = w.word),
+near AS (SELECT * FROM one_way UNION ALL SELECT near, near_n, word, n FROM one_way
+         UNION ALL SELECT x.word, x.n, y.word, y.n FROM holes x JOIN holes y USING (p, a, z) WHERE x.word <> y.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY 1),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * words.n THEN near END AS form,
+                  CASE WHEN near_n >= 5 * words.n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+followed(word, root, above) AS (SELECT word, word, form FROM formed
+    UNION ALL SELECT followed.word, formed.word, formed.form FROM followed JOIN formed ON followed.above = formed.word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM followed WHERE above IS NULL) USING (word)
+"""
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE t AS (SELECT conv_id, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(r), encode(x)) AS place
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT DISTINCT conv_id AS id, conv_id::VARCHAR AS s FROM t), {_CRC.format(table='ids')},
+heads AS (SELECT id AS c, h % 9 AS h, (SELECT count(*) FROM t WHERE conv_id = id - id % 5) AS base FROM crc),
+turns AS (SELECT c, place AS d, r, x FROM heads JOIN t ON conv_id = c - c % 5 AND place <= h
+          UNION ALL SELECT c, least(h, base) + place - h, r, x FROM heads JOIN t ON conv_id = c AND place > h),
+path AS (SELECT c, 0::BIGINT AS d, '' AS node, 0::BIGINT AS size FROM heads UNION ALL
+         SELECT c, d, array_to_string(list(sha256(r || chr(10) || x)) OVER (PARTITION BY c ORDER BY d), ','), strlen(x) FROM turns),
+ends AS (SELECT c, max(d) AS d FROM path GROUP BY 1),
+nodes AS (SELECT node, d, min(c) AS c, count(*) AS n, any_value(size) AS size,
+          sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends.d IS NOT NULL), '')) AS ends_sha256
+          FROM path LEFT JOIN ends USING (c, d) GROUP BY ALL),
+up AS (SELECT a.node, b.node AS above FROM nodes a JOIN path b ON b.c = a.c AND b.d = a.d - 1),
+children AS (SELECT above AS node, count(*) AS n_children FROM up GROUP BY 1),
+trees AS (SELECT p.node, sum((v.n - 1) * v.size) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves
+          FROM nodes v LEFT JOIN children k ON k.node = v.node JOIN path p ON p.c = v.c AND p.d <= v.d GROUP BY 1)
+SELECT nodes.c AS conv_id, nodes.d AS depth, parent.c AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN trees USING (node) LEFT JOIN children USING (node) LEFT JOIN up USING (node) LEFT JOIN nodes parent ON parent.node = up.above
+"""
