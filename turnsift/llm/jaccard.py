@@ -200,17 +200,17 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _list_pairs(table: pa.Table, goes_on: bool) -> pa.RecordBatch:
+def _list_pairs(table: pa.Table, goes_on: bool, short: int) -> pa.RecordBatch:
     """Pairs of the lists of ``table``, whose first row is the hub of a long list if that one ``goes_on``."""
     key, owner, n, parity = _members(table)
     new = np.append(True, key[1:] != key[:-1])
     group = np.cumsum(new) - 1
     sizes = np.bincount(group)
-    sizes[0] += SHORT_LIST if goes_on else 0
+    sizes[0] += short if goes_on else 0
     hub, at = np.flatnonzero(new)[group], np.flatnonzero(~new)
     a, b = [hub[at]], [at]
-    at = np.flatnonzero((sizes > 2)[group] & (sizes <= SHORT_LIST)[group] & ~new)
-    for step in range(1, SHORT_LIST - 1):
+    at = np.flatnonzero((sizes > 2)[group] & (sizes <= short)[group] & ~new)
+    for step in range(1, short - 1):
         at = at[at + step < len(key)]
         at = at[group[at] == group[at + step]]
         a.append(at)
@@ -220,7 +220,7 @@ def _list_pairs(table: pa.Table, goes_on: bool) -> pa.RecordBatch:
     return _pairs(owner[a[good]], owner[b[good]])
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
+def hub_pairs(members: DataFrame, short: int = SHORT_LIST) -> DataFrame:
     """Pairs ``a, b`` of short lists, and of each long list those with its hub, that pass the filters."""
     listed = members.repartition("key").sortWithinPartitions("key", F.col("weight").desc(), "set")
 
@@ -235,31 +235,31 @@ def hub_pairs(members: DataFrame) -> DataFrame:
             key = table["key"].to_numpy()
             start = int(np.flatnonzero(key == key[-1])[0])
             continued = goes_on and start == 0
-            if continued or len(key) - start > SHORT_LIST:
-                yield _list_pairs(table, goes_on)
+            if continued or len(key) - start > short:
+                yield _list_pairs(table, goes_on, short)
                 rest, goes_on = table.slice(start, 1), True
             else:
                 if start:
-                    yield _list_pairs(table.slice(0, start), goes_on)
+                    yield _list_pairs(table.slice(0, start), goes_on, short)
                 rest, goes_on = table.slice(start), False
         if rest is not None and not goes_on:
-            yield _list_pairs(rest, False)
+            yield _list_pairs(rest, False, short)
 
     return listed.select("key", "set", "n_shingles", "parity").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _open_lists(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_lists(members: DataFrame, roots: DataFrame, short: int) -> DataFrame:
     """Rows of the long lists whose members are not all in one component, with ``root`` and the list's ``size``."""
     named = roots.select(F.col("node").alias("set"), "root")
     placed = members.join(named, "set", "left").withColumn("root", F.coalesce("root", "set"))
     lists = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    lists = lists.where((F.col("size") > SHORT_LIST) & (F.col("lo") < F.col("hi"))).select("key", "size")
+    lists = lists.where((F.col("size") > short) & (F.col("lo") < F.col("hi"))).select("key", "size")
     return placed.join(lists, "key")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of different components in the lists of ``_open_lists`` that pass the filters, compared block by block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     # A block meets every block from its own on: rows are sent once to each such pair of blocks.
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), own.alias("mine")))
@@ -331,24 +331,24 @@ def _links(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFr
     return cut_lineage(verified(pairs, parts, classes.select("set", "n_shingles")))
 
 
-def class_links(documents: DataFrame, sets: DataFrame) -> DataFrame:
+def class_links(documents: DataFrame, sets: DataFrame, short: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` between classes that connect all classes with a Jaccard index of at least 0.9."""
     classes = cut_lineage(sets.where("set is not null").select("set", "row", "n_shingles", "keys", "parity").dropDuplicates(["set"]))
     shared = cut_lineage(shared_keys(classes))
     weights = shared.groupBy("set").agg(F.count(F.lit(1)).alias("weight"))
     facts = classes.select("set", "n_shingles", "parity").join(weights, "set")
     members = cut_lineage(shared.join(facts, "set"))
-    near = _links(documents, hub_pairs(members), classes)
-    left = cut_lineage(_open_lists(members, connected_components(near)))
+    near = _links(documents, hub_pairs(members, short), classes)
+    left = cut_lineage(_open_lists(members, connected_components(near), short))
     if left.isEmpty():
         return near
-    return near.unionByName(_links(documents, block_pairs(left), classes))
+    return near.unionByName(_links(documents, block_pairs(left, block), classes))
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
+def jaccard_components(documents: DataFrame, short: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest ``doc_id`` reachable by links, itself included."""
     sets = cut_lineage(gram_sets(documents))
-    links = class_links(documents, sets)
+    links = class_links(documents, sets, short, block)
     roots = connected_components(links).withColumnRenamed("node", "set")
     firsts = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     firsts = cut_lineage(firsts.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))

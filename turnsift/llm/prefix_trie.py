@@ -123,12 +123,12 @@ def dense_ids(m1: np.ndarray, m2: np.ndarray, level: np.ndarray) -> np.ndarray:
     return rank[name]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= CHUNK:
+        if rows >= size:
             yield pa.Table.from_batches(held).combine_chunks()
             held, rows = [], 0
     if rows:
@@ -157,7 +157,7 @@ def _nodes(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarr
         return through - (through - values)[starts][row] + before[row]
 
     place = {
-        "depth": band[row] * BAND + level + 1, "k1": prefix(m1, p1), "k2": prefix(m2, p2),
+        "depth": table["above"].to_numpy()[row] + level + 1, "k1": prefix(m1, p1), "k2": prefix(m2, p2),
         "before": prefix(size, table["start"].to_numpy()) - size, "size": size, "m1": m1, "m2": m2,
         "ends": (level == sizes[row] - 1) & table["last"].to_numpy(zero_copy_only=False)[row],
     }
@@ -174,8 +174,8 @@ def _sums(node: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _chunks(batches):
+def _members(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    for table in _chunks(batches, chunk):
         place, row, node = _nodes(table)
         _, first = np.unique(node, return_index=True)
         conv = table["conv_id"].to_numpy()[row]
@@ -191,8 +191,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, ends], [*batch.schema.names, "ends"])
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _chunks(batches):
+def _subtrees(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    for table in _chunks(batches, chunk):
         place, row, node = _nodes(table)
         _, first = np.unique(node, return_index=True)
         unowned, length, bytes_ = (table[c].to_numpy()[row] for c in ("unowned", "length", "unowned_bytes"))
@@ -260,10 +260,10 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.unionByName(own.select(*first.columns)), heads.select("conv_id")
 
 
-def banded(turns: DataFrame) -> DataFrame:
-    """Conversations in rows of 64 turns: ``conv_id, band, p1, p2, start, last, m1, m2, size``."""
+def banded(turns: DataFrame, width: int = BAND) -> DataFrame:
+    """Conversations in rows of ``width`` turns: ``conv_id, band, above`` (turns before), ``p1, p2, start, last, m1, m2, size, bytes``."""
     mixed = turns.select(
-        "conv_id", F.expr(f"(depth - 1) div {BAND}").alias("band"),
+        "conv_id", F.expr(f"(depth - 1) div {width}").alias("band"),
         F.struct("depth", F.xxhash64("depth", "t1", "t2").alias("m1"), F.xxhash64("t2", "t1", "depth").alias("m2"), "size").alias("turn"),
     )
     rows = mixed.groupBy("conv_id", "band").agg(
@@ -284,7 +284,7 @@ def banded(turns: DataFrame) -> DataFrame:
     prefixes = summed.select("conv_id", "band", _wrapped("p1").alias("p1"), _wrapped("p2").alias("p2"), "start", "last")
     zero = F.lit(0).cast("bigint")
     return rows.join(prefixes, ["conv_id", "band"], "left").select(
-        "conv_id", "band", *[F.coalesce(c, zero).alias(c) for c in ("p1", "p2", "start")], F.coalesce("last", F.lit(True)).alias("last"),
+        "conv_id", "band", (F.col("band") * width).alias("above"), *[F.coalesce(c, zero).alias(c) for c in ("p1", "p2", "start")], F.coalesce("last", F.lit(True)).alias("last"),
         "turns.m1", "turns.m2", "turns.size", "bytes",
     )
 
@@ -295,11 +295,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def prefix_nodes(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+def prefix_nodes(turns: DataFrame, conversations: DataFrame, width: int = BAND, chunk: int = CHUNK) -> DataFrame:
     """The nodes of sequences ``conv_id, depth, t1, t2, size``; ``conversations`` lists all, also those without turns."""
-    rows = cut_lineage(banded(turns))
+    rows = cut_lineage(banded(turns, width))
     found = cut_lineage(_dealt(rows.drop("bytes")).mapInArrow(
-        _members, "depth bigint, k1 bigint, k2 bigint, up1 bigint, up2 bigint, before bigint, n_convs bigint, conv_id bigint, ends array<bigint>"
+        lambda batches: _members(batches, chunk), "depth bigint, k1 bigint, k2 bigint, up1 bigint, up2 bigint, before bigint, n_convs bigint, conv_id bigint, ends array<bigint>"
     ))
     nodes = cut_lineage(found.groupBy(*KEY).agg(
         *[F.min(c).alias(c) for c in ("up1", "up2", "before", "conv_id")], F.sum("n_convs").alias("n_convs"),
@@ -308,13 +308,13 @@ def prefix_nodes(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     owned = nodes.groupBy("conv_id").agg(
         F.min(F.struct("depth", "before")).alias("first"), F.max(F.struct("depth", (F.col("n_ends") == F.col("n_convs")).alias("leaf"))).alias("end")
     )
-    whole = rows.where("last").select("conv_id", (F.col("band") * BAND + F.size("m1")).alias("length"), (F.col("start") + F.col("bytes")).alias("all_bytes"))
+    whole = rows.where("last").select("conv_id", (F.col("above") + F.size("m1")).alias("length"), (F.col("start") + F.col("bytes")).alias("all_bytes"))
     facts = cut_lineage(whole.join(owned, "conv_id", "left").select(
         "conv_id", "length", F.coalesce(F.col("first.depth") - 1, "length").alias("unowned"),
         F.coalesce("first.before", "all_bytes").alias("unowned_bytes"), F.coalesce("end.leaf", F.lit(False)).alias("leaf"),
     ))
     told = _dealt(rows.drop("bytes").join(facts, "conv_id")).mapInArrow(
-        _subtrees, "depth bigint, k1 bigint, k2 bigint, n_children bigint, n_leaves bigint, saved bigint"
+        lambda batches: _subtrees(batches, chunk), "depth bigint, k1 bigint, k2 bigint, n_children bigint, n_leaves bigint, saved bigint"
     )
     trees = told.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("n_children", "n_leaves", "saved")])
     return _joined(nodes, trees, found, facts, conversations)
@@ -346,10 +346,10 @@ def _joined(nodes: DataFrame, trees: DataFrame, found: DataFrame, facts: DataFra
     return told.join(hashes, KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY)))
 
 
-def conversation_trie(conversations: DataFrame) -> DataFrame:
+def conversation_trie(conversations: DataFrame, width: int = BAND, chunk: int = CHUNK) -> DataFrame:
     """``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256`` of every node of the rebuilt conversations."""
     turns, listed = rebuilt_turns(cut_lineage(ordered_turns(conversations)))
-    nodes = prefix_nodes(turns, listed)
+    nodes = prefix_nodes(turns, listed, width, chunk)
     return nodes.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.col("n_children").cast("bigint"), F.col("n_leaves").cast("bigint"),
         F.col("saved").cast("bigint").alias("saved_tokens"), "ends_sha256",
