@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from turnsift import registry
@@ -26,7 +27,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-            "spark.ui.showConsoleProgress": "false",
+            "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="turnsift-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

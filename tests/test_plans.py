@@ -140,3 +140,92 @@ def test_blocks_follow_the_input(spark, tmp_path):
         assert block_count(rows.join(rows.withColumnRenamed("u", "v"), "id")) in (2 * one, 2 * one - 1)
     finally:
         spark.conf.unset(BLOCK_BYTES)
+
+
+def remembers_all(state, row):
+    """Never forgets: how many different values of ``t`` came before, and whether this one did."""
+    seen = state.setdefault("seen", [])
+    new = row["t"] not in seen
+    if new:
+        seen.append(row["t"])
+    return {"new": new, "n": len(seen)}
+
+
+@pytest.mark.parametrize("blocks", [2, 8, 13])
+def test_relay_rounds_grow_with_the_logarithm(spark, monkeypatch, blocks):
+    """A state that outlives every block takes a round per doubling, not one per block."""
+    from turnsift.plans import relay as module
+
+    rounds = []
+    composed = module._composed
+    monkeypatch.setattr(module, "_composed", lambda *a: rounds.append(a[-1]) or composed(*a))
+    rows = [("hot", i * 7 % 50, i, None, False) for i in range(120)] + [("cold", 1, 900, None, False)]
+    spark.conf.set("spark.turnsift.blocks", str(blocks))
+    try:
+        df = relay(make(spark, rows), ["k"], ["seq"], remembers_all, {"new": "boolean", "n": "bigint"})
+    finally:
+        spark.conf.unset("spark.turnsift.blocks")
+    got = {r.seq: (r.new, r.n) for r in df.collect()}
+    want = {}
+    for group in by_key(rows).values():
+        state = {}
+        for row in sorted(group, key=lambda r: r[2]):
+            out = remembers_all(state, {"t": row[1]})
+            want[row[2]] = (out["new"], out["n"])
+    assert got == want
+    assert len(rounds) <= (blocks - 1).bit_length() + 2
+
+
+def test_relay_continues_given_states(spark, mode):
+    rows = [("a", t, t, None, False) for t in range(40)] + [("b", t, 100 + t, None, False) for t in range(3)]
+    start = spark.createDataFrame([("a", '{"seen": [0, 1, 2]}')], "k string, _state string")
+    df = relay(make(spark, rows), ["k"], ["ts", "seq"], remembers_all, {"new": "boolean", "n": "bigint"}, start, True)
+    got = df.collect()
+    assert {r.seq for r in got if not r.new} == {0, 1, 2}
+    assert max(r.n for r in got if r.k == "b") == 3 and sum(r._state is not None for r in got) >= 2
+
+
+def test_step_functions_compose(spark):
+    import numpy as np
+    import pandas as pd
+
+    from turnsift.plans import greedy
+
+    rng = random.Random(6)
+    for _ in range(200):
+        width, at = rng.randint(1, 30), 0
+        parts = []
+        for _ in range(3):
+            times = sorted(at + rng.randint(0, 25) for _ in range(rng.randint(1, 9)))
+            at = times[-1]
+            part = pd.DataFrame({"k": "a", "_block": 0, "_t": times, "_width": width, "_forced": [rng.random() < 0.1 for _ in times]})
+            head = greedy._step_function(part, ["k"]).iloc[0]
+            parts.append((part.sort_values(["_t", "_forced"], kind="stable"), (np.array(head["bounds"]), np.array(head["exits"]))))
+        both = greedy.composed(width, greedy.composed(width, parts[0][1], parts[1][1]), parts[2][1])
+        other = greedy.composed(width, parts[0][1], greedy.composed(width, parts[1][1], parts[2][1]))
+        for last in [greedy.NOTHING_KEPT, *range(-40, 10)]:
+            state = last
+            for part, _ in parts:
+                for t, forced in zip(part["_t"], part["_forced"]):
+                    state = t if forced or t - state > width else state
+            for function in (both, other):
+                assert int(greedy._applied(np.array([last]), width, *function)[0]) == state
+
+
+def test_a_long_window_on_one_key_in_many_blocks(spark):
+    """A day's window over a key of 32 blocks: no block decides anything, only the first row of each day is kept."""
+    rows = [("hot", i * 3600, i, None, False) for i in range(200)]
+    spark.conf.set("spark.turnsift.blocks", "32")
+    try:
+        df = keep_if_quiet(make(spark, rows), ["k"], "ts", ["seq"], F.lit(86_400))
+    finally:
+        spark.conf.unset("spark.turnsift.blocks")
+    assert {r.seq: r.kept for r in df.collect()} == greedy(rows, 86_400, False, False)
+
+
+def test_islands_are_folded_without_python(spark):
+    rows = [("a", i // 700, i, None, False) for i in range(2500)]
+    df = keep_if_quiet(make(spark, rows), ["k"], "ts", ["seq"], F.lit(1))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    assert {r.seq: r.kept for r in df.collect()} == greedy(rows, 1, False, False)

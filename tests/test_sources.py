@@ -75,3 +75,89 @@ def test_artifacts_are_whole(spark):
         (1, '[class*="artifact"]', "first inner deep last words", "py"),
         (1, ".code-block", 'print("hello, world")', "unknown"),
     ]
+
+
+def test_links_of_any_markup(spark):
+    from turnsift.sources import pages
+
+    page = """<a href='http://x.org/one'>1</a><a href=http://x.org/two>2</a><A HREF="http://x.org/?a=1&amp;b=2">3</A>
+    <a data-href="http://x.org/no">4</a><script>var u="http://x.org/script"</script><!-- <a href="http://x.org/comment"> -->
+    <base href="/sub/"><base href="/later/"><a href="rel?x">r</a><a href=" up/../here ">h</a><a name=x>n</a><a href="mailto:a@b">m</a>
+    see http://y.org/z. (http://y.org/q) <p style="display:none">http://y.org/gone <b>http://y.org/inside</b></p>http://y.org/<b>bold</b>"""
+    df = spark.createDataFrame([(1, "https://h.org/dir/page", page), (2, "u", None), (3, None, '<a href="http://z.org/">')], "page_id int, url string, html string")
+    got = pages.page_links(df).orderBy("page_id", "pos").collect()
+    assert [r.link for r in got if r.page_id == 1] == [
+        "http://x.org/one", "http://x.org/two", "http://x.org/?a=1&b=2", "https://h.org/sub/rel?x", "https://h.org/sub/here",
+        "http://y.org/z", "http://y.org/q", "http://y.org/bold",
+    ]
+    assert [r.link for r in got if r.page_id != 1] == ["http://z.org/"]
+
+
+def test_one_run_gives_all_parts(spark):
+    from turnsift.sources import pages
+
+    page = '<div class="artifact">some <b>long</b> artifact</div><a href="/x">Copy</a><p>text http://a.org/b</p>'
+    df = spark.createDataFrame([(1, "http://h.org/", page), (2, None, None), (3, "", "")], "page_id int, url string, html string")
+    one, two, three = pages.page_contents(df).orderBy("page_id").collect()
+    assert one.page_text == "some long artifacttext http://a.org/b" and one.links == ["http://h.org/x", "http://a.org/b"]
+    assert [(a.selector, a.content) for a in one.artifacts] == [('[class*="artifact"]', "some long artifact")]
+    assert (two.page_text, two.links, two.artifacts) == (None, [], []) and three.page_text == ""
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    from turnsift.sources import pages
+
+    selectors = pages.Selectors(pages.ARTIFACT_SELECTORS)
+    for part in ('<a b="c', "<div></span>", "<div ", "<div>", "<!-- x", "<script>", "</p>", "<a b=1 c='", "<", "<a =\"'", "< p><!x"):
+        began = time.process_time()
+        pages.Page(part * ((1 << 20) // len(part)), "http://h.org/", selectors, text=True, links=True).links
+        assert time.process_time() - began < 6, part
+
+
+def test_quarantine_names_the_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text('{"role": "user", "content": "x"}\n{broken\n\n   \n')
+    (tmp_path / "b.log").write_text('[1, 2]\n{"content": "y", "metadata": 7}\n"just text"\n{"content": "z"}')
+    (tmp_path / "c.log").write_text("")
+    good, bad = messages.read_quarantined(spark, str(tmp_path))
+    assert sorted((r.file.rsplit("/", 1)[1], r.content, r.block) for r in good.collect()) == [("a.log", "x", 0), ("b.log", "z", 0)]
+    assert sorted((r.file.rsplit("/", 1)[1], r.line, r.reason) for r in bad.collect()) == [
+        ("a.log", "{broken", "not a document"), ("b.log", '"just text"', "not a document"), ("b.log", "[1, 2]", "not a document"),
+        ("b.log", '{"content": "y", "metadata": 7}', "wrong type"),
+    ]
+
+
+def test_session_documents(spark, tmp_path):
+    from turnsift.sources import documents
+
+    kinds = ["transmission", "test_start", "conversation_event", "duplicate_detected", "test_end", "unheard"]
+    rows = [(f"s{i % 3}" if i % 7 else None, 1000 * (97 * i % 50), kinds[i % 6], 'a "quoted" text é') for i in range(60)]
+    events = spark.createDataFrame(rows, "conversation_id string, at long, type string, data string").select(
+        "conversation_id", F.timestamp_millis("at").alias("ts"), F.col("at").alias("session_time"), "type",
+        F.lit(None).cast("string").alias("test_phase"), F.lit("u").alias("url"), "data",
+    )
+    folder = str(tmp_path / "out")
+    documents.export_sessions(events, folder, 5)
+    docs = {d.conversationId: d for d in documents.read_sessions(spark, folder).collect()}
+    assert set(docs) == {"s0", "s1", "s2", None} and not (tmp_path / "out" / "_pending").exists()
+    for session, doc in docs.items():
+        mine = [r for r in rows if r[0] == session]
+        lists = [getattr(doc, name) for name in (*documents.LISTS, documents.OTHER)]
+        assert sorted((e.type, e.timestamp, e.data) for x in lists for e in x) == sorted((k, at, d) for _, at, k, d in mine)
+        assert all([e.timestamp for e in x] == sorted(e.timestamp for e in x) for x in lists)
+        assert doc.summary.totalTests == sum(r[2] == "test_start" for r in mine) and doc.exportTimestamp == 5
+        assert doc.summary.sessionDuration == max(r[1] for r in mine) - min(r[1] for r in mine)
+    documents.export_sessions(events.limit(0), str(tmp_path / "none"))
+    assert documents.read_sessions(spark, folder).where("size(otherEvents) > 0").count() > 0
+
+
+def test_days_of_history_unite(log):
+    from turnsift.operators import reports
+
+    rows = log([(86_400 * (i % 3) + i, "user" if i % 2 else "assistant", f"text {i % 40}") for i in range(200)])
+    days = reports.history_sketches(rows)
+    assert days.count() == 3
+    merged, exact = reports.merged_history(days, ["convo_id"]).first(), reports.history_stats(rows).first()
+    assert abs(merged.memory_entries - 40) <= 2 and exact.memory_entries == 40
+    assert (merged.last_user_ms, merged.session_ms) == (exact.last_user_ms, exact.session_ms)

@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from turnsift.functions import text as tx
 from turnsift.operators import dedup, replay
-from turnsift.streaming import jobs
+from turnsift.sources import sinks
+from turnsift.streaming import jobs, state
 
 ROWS = [(t, "user" if i % 3 else "assistant", f"text {i % 4}") for i, t in enumerate([0, 1, 3, 4, 6, 7, 9, 13, 14, 15, 18, 22, 23, 30, 31, 33])]
 
@@ -63,3 +64,79 @@ def test_overlapping_batches_within_the_delay(spark, log, tmp_path):
     assert {r.seq: r.kept for r in spark.read.parquet(f"{out}/data").collect()} == {0: True, 1: True, 2: True, 3: False, 4: True}
     assert {r.seq for r in spark.read.parquet(f"{out}/late").collect()} == {5}
     assert len(list((tmp_path / "out" / "state").iterdir())) == 2
+
+
+def arrivals(spark, rows, source, parts):
+    """A stream per part, each continuing from the checkpoint of the one before."""
+    for part in parts:
+        write(rows.where(F.col("seq").isin(part)), source)
+        yield spark.readStream.schema(rows.schema).parquet(str(source))
+
+
+def run(rows, out):
+    jobs.start_files(rows, out).awaitTermination()
+
+
+def end(rows):
+    """A last row that lets the watermark pass all others."""
+    return rows.limit(1).select(*[F.lit("end").alias(c) if c == "convo_id" else F.timestamp_seconds(F.lit(1_900_000_000)).alias(c) if c == "ts" else F.lit(999).cast("long").alias(c) if c == "seq" else c for c in rows.columns])
+
+
+def test_entries_expire_exactly(spark, log, tmp_path):
+    """Sights at 0, 30 and 31 s with a life of 30 s, out of order, over restarts; a row behind the watermark is dropped."""
+    state.use_keyed_state(spark)
+    rows = log([(0, "user", "a"), (31, "user", "a"), (30, "user", "a"), (40, "user", "b"), (61, "user", "a"), (100, "user", "z"), (3, "user", "a"), (62, "user", "a")])
+    rows = rows.withColumn("digest", tx.digest(F.col("content"))).select("convo_id", "seq", "ts", "digest")
+    rows = rows.unionByName(end(rows))
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    # The watermark stands 10 s behind the newest row of the batches before.
+    for stream in arrivals(spark, rows, source, ([0, 1], [2, 3], [4, 5], [6, 7], [999])):
+        run(state.remembered_stream(stream, ["convo_id", "digest"], 30, "40 seconds"), out)
+    got = {r.seq: r.fresh for r in spark.read.parquet(f"{out}/data").collect()}
+    assert got == {0: True, 2: False, 1: True, 3: True, 4: False, 7: True, 5: True}
+
+
+def test_keyed_states_equal_the_table_jobs(spark, log, tmp_path):
+    state.use_keyed_state(spark)
+    rows = log(ROWS).drop("historical", "t")
+    rows = rows.unionByName(end(rows))
+    parts = ([1, 0, 4], [2, 3, 5, 6, 7], list(range(8, 16)), [999])
+    out = str(tmp_path / "out")
+    for stream in arrivals(spark, rows, tmp_path / "in", parts):
+        run(state.replay_stream(stream, "30 seconds"), out)
+    got = replay.apply_removals(spark.read.parquet(f"{out}/data"))
+    want = replay.replay_dedup(rows.where("seq < 999"))
+    assert {r.seq: r.action for r in got.collect()} == {r.seq: r.action for r in want.collect()}
+    firsts = str(tmp_path / "first")
+    keyed = rows.withColumn("digest", tx.digest(F.col("content"))).select("convo_id", "seq", "ts", "digest")
+    for stream in arrivals(spark, keyed, tmp_path / "keyed", parts):
+        run(state.first_seen_stream(stream, ["convo_id", "digest"], 86_400, "30 seconds"), firsts)
+    assert {r.seq for r in spark.read.parquet(f"{firsts}/data").collect()} == {r[0] for r in keyed.where("seq < 999").groupBy("digest").agg(F.min("seq")).collect()}
+
+
+def test_exchanges_in_state(spark, log, tmp_path):
+    state.use_keyed_state(spark)
+    events = [(0, "send", "q"), (0.2, "user", "q"), (2, "assistant", "r"), (3, "assistant", "s"), (40, "send", "q2"), (41, "user", "q2"), (60, "assistant", "late"), (61, "send", "x"), (61.5, "send", "y"), (62, "user", "x"), (63, "assistant", "z")]
+    rows = log(events).select("convo_id", "seq", "ts", F.col("role").alias("event"), "content", F.lit(None).cast("timestamp").alias("marked_ts"))
+    want = {r.seq: r.genuine for r in dedup.genuine_response_strict(rows).collect()}
+    rows = rows.unionByName(end(rows))
+    out = str(tmp_path / "out")
+    for stream in arrivals(spark, rows, tmp_path / "in", ([0, 2], [1, 3, 4], [6, 5], [7, 8, 9, 10], [999])):
+        run(state.exchange_stream(stream, "30 seconds"), out)
+    assert {r.seq: r.genuine for r in spark.read.parquet(f"{out}/data").collect()} == want
+    assert True in want.values() and False in want.values()
+
+
+def test_retention_of_a_stream(spark, log, tmp_path):
+    rows = log([(i * 7 % 20, "user", str(i), {"platform": "claude" if i % 3 else "chatgpt"}) for i in range(20)]).select("convo_id", "seq", "ts", "platform")
+    newest = [F.desc("ts"), F.desc("seq")]
+    job = jobs.Retention(str(tmp_path / "out"), ["platform"], newest, {"claude": 4, "chatgpt": 2})
+    for stream in arrivals(spark, rows, tmp_path / "in", (list(range(0, 9)), [9], list(range(10, 20)))):
+        job.start(stream).awaitTermination()
+    want = sinks.rolling_retention(rows, ["platform"], newest, {"claude": 4, "chatgpt": 2})
+    kept = sorted((r.platform, r.age_rank, r.seq) for r in want.collect())
+    assert sorted((r.platform, r.age_rank, r.seq) for r in job.current(spark).collect()) == kept
+    # The last batch once more, as after a failure.
+    job(rows.where("seq >= 10"), 2)
+    assert sorted((r.platform, r.age_rank, r.seq) for r in job.current(spark).collect()) == kept
+    assert len(list((tmp_path / "out" / "state").iterdir())) == 2

@@ -157,6 +157,30 @@ def history_stats(messages: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+def history_sketches(messages: DataFrame, precision: int = 12) -> DataFrame:
+    """Per session and day: a mergeable sketch of its distinct texts, last user activity, first and last row.
+
+    A day is sketched once and never read again; ``merged_history`` unites any days.
+    """
+    text = tx.digest(tx.norm_text(F.col("content")))
+    return messages.groupBy("convo_id", F.to_date("ts").alias("day")).agg(
+        F.hll_sketch_agg(text, precision).alias("sketch"),
+        F.max(F.when(F.col("role") == "user", F.col("ts"))).alias("last_user"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+
+
+def merged_history(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``history_stats`` of the sessions or groups of sessions ``by``, from sketches of their days.
+
+    The number of texts is an estimate, with a standard error of 1.04 / sqrt(2 ** precision): 1.6 % at a precision of 12.
+    """
+    return sketches.groupBy(*by).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("memory_entries"),
+        F.unix_millis(F.max("last_user")).alias("last_user_ms"),
+        (F.unix_millis(F.max("last")) - F.unix_millis(F.min("first"))).alias("session_ms"),
+    )
+
+
 def pass_rate(results: DataFrame, by: list[str]) -> DataFrame:
     """Passed tests per group, their share and the grade."""
     rate = F.round(F.col("passed_tests") / F.col("tests") * 100, 1)

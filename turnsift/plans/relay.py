@@ -1,35 +1,37 @@
 """Sequential state machines over keyed logs, cut into blocks when a key is long.
 
-Some rules carry a state that no window expresses (a ring of the last kept rows, an open
-exchange).  Every block is run on its own; a block that continues a key starts from the
-state the previous block left.  That state is first taken as empty, then corrected: only
-blocks whose incoming state changed run again, until none does.  The result equals one
-sequential pass, and such states usually settle after two or three rounds because they
-forget old rows.  Where a state can outlive whole blocks, ``unchanged`` says when a block
-hands it on as it came, so that it reaches all those blocks in one round.
+Some rules carry a state that no window expresses (a ring of the last kept rows, an open exchange).  Every block is a
+function from the state it gets to the state it leaves.  All blocks of a long key are run once from the empty state; then
+functions are composed by doubling.  In round k stretches of 2^k blocks are composed: a stretch in which a block got another state
+than it ran with is run again from there, in order, and from the block where its state agrees with the state found before
+it is not run any further but takes over what was found.  After round k the first 2^(k+1) blocks of every key are right, so
+a key of n blocks takes at most log2(n) + 1 rounds, however long its state remembers; rules that forget settle in the
+first.  The result equals one sequential pass.  Stretches are streamed: a task holds one batch and one state.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnsift.plans.timeline import BLOCK, block_count, cut_into_blocks, spanning_keys
+from turnsift.plans.timeline import BLOCK, block_count, cut_into_blocks, same, spanning_keys
 from turnsift.session import cut_lineage
 
 Step = Callable[[dict, dict], dict]
-Unchanged = Callable[[dict, list | None], bool]
 ARROW = {
     "boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()),
     "array<bigint>": pa.list_(pa.int64()),
 }
 STATE = "_state"
+INCOMING, OUTGOING = "_incoming", "_outgoing"
+
+
+def _dumped(state: dict) -> str:
+    return json.dumps(state, sort_keys=True)
 
 
 def _run(rows: list[dict], keys: list[str], states: dict[tuple, str], step: Step) -> tuple[list[dict], list[str | None]]:
@@ -40,39 +42,118 @@ def _run(rows: list[dict], keys: list[str], states: dict[tuple, str], step: Step
         key = tuple(row[k] for k in keys)
         if key != current:
             if after:
-                after[-1] = json.dumps(memory, sort_keys=True)
+                after[-1] = _dumped(memory)
             memory = json.loads(states.get(key) or "{}")
             current = key
         results.append(step(memory, row))
         after.append(None)
     if after:
-        after[-1] = json.dumps(memory, sort_keys=True)
+        after[-1] = _dumped(memory)
     return results, after
 
 
 def _states(table: pa.Table, keys: list[str]) -> dict[tuple, str]:
-    return {tuple(r[k] for k in keys): r["_incoming"] for r in table.to_pylist()}
+    return {tuple(r[k] for k in keys): r[INCOMING] for r in table.to_pylist()}
 
 
-def _values(rows: pa.Table, column: str | None) -> str:
-    """The distinct values of a column as JSON."""
-    return json.dumps(pc.unique(rows[column]).to_pylist() if column else None)
+def _own_columns(df: DataFrame) -> DataFrame:
+    """``df`` under new column identities, so that it can be cogrouped with its origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _hand_on(pdf: pd.DataFrame, unchanged: Unchanged) -> pd.DataFrame:
-    """Incoming state of each block of one key, given what the blocks did last time they ran."""
-    pdf = pdf.sort_values(BLOCK)
-    current, handed = pdf["_incoming"].iloc[0], []
-    for incoming, outgoing, values in zip(pdf["_incoming"], pdf["_outgoing"], pdf["_values"]):
-        handed.append(current)
-        if not unchanged(json.loads(current or "{}"), json.loads(values)):
-            current = outgoing
-    return pdf.assign(_handed=handed)
+class _Stretch:
+    """Runs the blocks of one stretch in order: each starts with a header row, which has no values of ``order``."""
 
+    def __init__(self, keys: list[str], step: Step):
+        self.keys, self.step = keys, step
+        self.place, self.memory, self.given, self.left, self.asleep = None, None, None, None, False
+        self.out: list[dict] = []
 
-def _own_columns(df: DataFrame) -> DataFrame:
-    """``df`` under new column identities, so that it can be cogrouped with its origin."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
+    def header(self, row: dict) -> None:
+        self.finish()
+        place = (*[row[k] for k in self.keys], row["_stretch"])
+        if self.place is None or self.place[:-1] != place:
+            given = row["_handed"]
+        else:
+            given = self.left
+        self.place, self.given = (*place, row[BLOCK]), given
+        # A block that already ran with this state leaves what it left then.
+        self.asleep = bool(row["_ran"]) and given == row[INCOMING]
+        self.left = row[OUTGOING] if self.asleep else None
+        self.memory = None if self.asleep else json.loads(given or "{}")
+
+    def row(self, row: dict) -> None:
+        if not self.asleep:
+            self.step(self.memory, row)
+
+    def finish(self) -> None:
+        if self.place is None or self.asleep:
+            return
+        self.left = _dumped(self.memory)
+        *key, _, block = self.place
+        self.out.append(dict(zip(self.keys, key)) | {BLOCK: block, INCOMING: self.given, OUTGOING: self.left})
+
+
+def _composed(hot: DataFrame, states: DataFrame, keys: list[str], order: list[str], step: Step, reach: int) -> DataFrame:
+    """Blocks whose state changed in stretches of ``reach`` blocks: keys, block, state in and out.
+
+    ``states`` has a row per block: its number ``_at`` in the key, what it ran with (``_ran`` false: it never ran) and left.
+    """
+    before = states.select(*keys, (F.col("_at") + 1).alias("_at"), F.col(OUTGOING).alias("_left"))
+    told = states.alias("r").join(before.alias("b"), same("r", "b", [*keys, "_at"]), "left").select(
+        "r.*", F.when(F.col("r._at") == 0, F.col(f"r.{INCOMING}")).otherwise(F.col("b._left")).alias("_handed"),
+    ).withColumn("_stretch", F.expr(f"_at div {reach}"))
+    wrong = ~(F.col("_ran") & F.col("_handed").eqNullSafe(F.col(INCOMING)))
+    firsts = told.where(wrong).groupBy(*keys, "_stretch").agg(F.min("_at").alias("_from"))
+    todo = told.alias("r").join(firsts.alias("f"), same("r", "f", [*keys, "_stretch"])).where("r._at >= f._from").select("r.*")
+    headers = cut_lineage(todo.select(*keys, "_stretch", BLOCK, "_ran", INCOMING, OUTGOING, "_handed"))
+    places = headers.select(*keys, "_stretch", BLOCK).alias("h")
+    rows = hot.alias("r").join(places, same("r", "h", [*keys, BLOCK])).select("r.*", "h._stretch")
+    both = headers.withColumn("_header", F.lit(0)).unionByName(rows.withColumn("_header", F.lit(1)), allowMissingColumns=True)
+    along = [*keys, "_stretch", BLOCK, "_header", *order]
+    both = both.repartition(*keys, "_stretch").sortWithinPartitions(*along)
+    schema = ", ".join(f"`{k}` {hot.schema[k].dataType.simpleString()}" for k in keys) + f", {BLOCK} int, {INCOMING} string, {OUTGOING} string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, target = _Stretch(keys, step), None
+        for batch in batches:
+            if target is None:
+                target = pa.schema([batch.schema.field(c) for c in (*keys, BLOCK)] + [pa.field(c, pa.string()) for c in (INCOMING, OUTGOING)])
+            for row in batch.to_pylist():
+                (stretch.row if row["_header"] else stretch.header)(row)
+            if stretch.out:
+                yield pa.RecordBatch.from_pylist(stretch.out, target)
+                stretch.out = []
+        stretch.finish()
+        if stretch.out:
+            yield pa.RecordBatch.from_pylist(stretch.out, target)
+
+    return both.mapInArrow(run, schema)
+
+
+def _settled(hot: DataFrame, starts: DataFrame, keys: list[str], order: list[str], step: Step) -> DataFrame:
+    """The state each block of the long keys starts from; ``starts`` has it for the first block of a key."""
+    places = hot.select(*keys, BLOCK).distinct()
+    numbered = places.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(BLOCK)) - 1)
+    first = numbered.alias("r").join(starts.alias("s"), same("r", "s", [*keys, BLOCK]), "left")
+    none = F.lit(None).cast("string").alias(OUTGOING)
+    states = cut_lineage(first.select("r.*", F.col(f"s.{INCOMING}").alias(INCOMING), none, F.lit(False).alias("_ran")))
+    most = states.agg(F.max("_at")).first()[0] or 0
+    reach = 1
+    while True:
+        # Blocks that have not run yet start from the empty state; the first round runs every block for itself.
+        new = cut_lineage(_composed(hot, states, keys, order, step, reach))
+        if reach > 1 and new.isEmpty():
+            return states
+        kept = states.alias("r").join(new.alias("n"), same("r", "n", [*keys, BLOCK]), "left")
+        ran = F.col(f"n.{OUTGOING}").isNotNull()
+        states = cut_lineage(kept.select(
+            *[f"r.{c}" for c in (*keys, BLOCK, "_at")], *[F.when(ran, F.col(f"n.{c}")).otherwise(F.col(f"r.{c}")).alias(c) for c in (INCOMING, OUTGOING)],
+            (ran | F.col("r._ran")).alias("_ran"),
+        ))
+        if reach > most:
+            return states
+        reach *= 2
 
 
 def relay(
@@ -83,32 +164,19 @@ def relay(
     fields: dict[str, str],
     initial: DataFrame | None = None,
     keep_state: bool = False,
-    unchanged: Unchanged = lambda state, values: False,
-    values_of: str | None = None,
 ) -> DataFrame:
     """Add the columns ``fields`` (name to type) computed by ``step(state, row)`` in order.
 
     ``step`` changes ``state`` (a JSON-like dict, empty at the start of a key) in place
     and returns the values of ``fields`` for the row.  Keys must not be null.  ``initial``
     (keys and ``_state``) gives the state keys start from; with ``keep_state`` the result
-    has ``_state`` on the last row a key has in a block.  ``unchanged(state, values)`` may
-    say that a block would leave ``state`` as it is, given the distinct values of the
-    column ``values_of`` in it.
+    has ``_state`` on the last row a key has in a block.
     """
     keys, order = list(keys), list(order)
     count = block_count(df, share=8)
     blocks = cut_into_blocks(df, keys, [F.col(c) for c in order], count)
-    key_ddl = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
-    state_ddl = f"{BLOCK} int, _incoming string, _outgoing string, _values string"
     where = [*keys, BLOCK]
 
-    def final_state(rows: pa.Table, incoming: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in order])
-        _, after = _run(rows.to_pylist(), keys, _states(incoming, keys), step)
-        head = incoming.select([*where, "_incoming"])
-        head = head.append_column("_outgoing", pa.array([after[-1]], pa.string()))
-        return head.append_column("_values", pa.array([_values(rows, values_of)], pa.string()))
-
     def decide(rows: pa.Table, incoming: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in [*keys, *order]])
         results, after = _run(rows.to_pylist(), keys, _states(incoming, keys), step)
@@ -117,41 +185,24 @@ def relay(
             rows = rows.append_column(name, pa.array([r[name] for r in results], ARROW[kind]))
         return rows.append_column(STATE, pa.array(after, pa.string())) if keep_state else rows
 
-    def outgoing(rows: DataFrame, incoming: DataFrame) -> DataFrame:
-        # Only blocks with an entry in ``incoming`` run; the state travels once per block, not per row.
-        chosen = rows.join(incoming.select(*where), where, "left_semi")
-        return chosen.groupBy(*where).cogroup(_own_columns(incoming).groupBy(*where)).applyInArrow(
-            final_state, f"{key_ddl}, {state_ddl}"
-        )
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     schema += "".join(f", `{n}` {t}" for n, t in fields.items()) + (f", {STATE} string" if keep_state else "")
     if count == 1 and initial is None:
-        nothing = pa.table({"_incoming": pa.array([], pa.string())})
-        return blocks.groupBy(BLOCK).applyInArrow(lambda rows: decide(rows, nothing), schema)
+        # Whole keys are dealt to tasks; none continues anywhere.
+        nothing = pa.table({INCOMING: pa.array([], pa.string())})
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).repartition(parts, BLOCK)
+        return dealt.groupBy(BLOCK).applyInArrow(lambda rows: decide(rows, nothing), schema)
     starts = blocks.groupBy(*keys).agg(F.min(BLOCK).alias(BLOCK))
     if initial is None:
-        starts = starts.withColumn("_incoming", F.lit(None).cast("string"))
+        starts = starts.withColumn(INCOMING, F.lit(None).cast("string"))
     else:
-        starts = starts.join(initial.select(*keys, F.col(STATE).alias("_incoming")), keys, "left")
+        starts = starts.join(initial.select(*keys, F.col(STATE).alias(INCOMING)), keys, "left")
+    incoming = starts.select(*where, INCOMING)
     spans = spanning_keys(blocks, keys) if count > 1 else None
-    incoming = starts.select(*where, "_incoming")
     if spans is not None and not spans.isEmpty():
         hot = blocks.join(spans, keys, "left_semi")
-        hot_starts = starts.join(spans, keys, "left_semi")
-        states = cut_lineage(outgoing(hot, hot.select(*where).distinct().join(hot_starts, where, "left")))
-        while True:
-            # One row per block a hot key has, so a key's rows here are few.
-            handed = states.groupBy(*keys).applyInPandas(
-                lambda pdf: _hand_on(pdf, unchanged), f"{key_ddl}, {state_ddl}, _handed string"
-            )
-            changed = handed.where(~F.col("_handed").eqNullSafe(F.col("_incoming")))
-            changed = cut_lineage(changed.select(*where, F.col("_handed").alias("_incoming")))
-            if changed.isEmpty():
-                break
-            again = outgoing(hot, changed)
-            states = cut_lineage(states.join(changed, where, "left_anti").unionByName(again))
-        calm = incoming.join(spans, keys, "left_anti")
-        incoming = calm.unionByName(states.select(*where, "_incoming"))
-    incoming = incoming.where("_incoming is not null")
+        states = _settled(hot, starts.join(spans, keys, "left_semi"), keys, order, step)
+        incoming = incoming.join(spans, keys, "left_anti").unionByName(states.select(*where, INCOMING))
+    incoming = incoming.where(F.col(INCOMING).isNotNull())
     return blocks.groupBy(BLOCK).cogroup(_own_columns(incoming).groupBy(BLOCK)).applyInArrow(decide, schema)

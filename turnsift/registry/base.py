@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnsift.session import spread
+
 # Label texts put into the log, {c} stands for the conversation number.
 LABEL_TEXTS = [
     "All chats", "retry", "share", "Claude can make mistakes", "Research Sonnet 4",
@@ -57,7 +59,7 @@ def picked(texts: list[str], index: Column, number: Column) -> Column:
 
 
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations")
+    rows = spread(read(spark, sf_dir, "conversations"))
     c, t, role, x = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
     user, assistant = role == "user", role == "assistant"
 

@@ -235,17 +235,21 @@ def echo_filter_lab(spark, sf_dir):
 _GAPS = "gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY convo_id, content{role} ORDER BY ms, seq) AS gap FROM log{where})"
 
 
-@query(
-    "is_new_message_direct",
-    f"{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS n FROM log), "
-    "w AS (SELECT convo_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS user_ms, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, NULL::BOOLEAN AS is_new "
-    "FROM r WHERE n = 1 UNION ALL SELECT convo_id, n, seq, CASE WHEN new AND role = 'user' THEN ms ELSE user_ms END, "
-    "CASE WHEN NOT new THEN seen WHEN cardinality(added) > 100 THEN map_from_entries(list_filter(map_entries(added), lambda e: e.value >= ms - 600000)) "
-    "ELSE added END, new FROM (SELECT *, CASE WHEN gap < 30000 THEN true WHEN gap > 60000 THEN false "
-    "ELSE role <> 'assistant' OR user_ms IS NULL OR ms - user_ms <= 120000 END AS new, map_concat(seen, MAP([content], [ms])) AS added "
-    "FROM (SELECT r.convo_id, r.n, r.seq, r.role, r.ms, r.content, w.user_ms, w.seen, r.ms - w.seen[r.content] AS gap "
-    "FROM w JOIN r ON r.convo_id = w.convo_id AND r.n = w.n + 1))) SELECT convo_id, seq, is_new FROM w WHERE n > 0",
-)
+def direct_sql(source: str) -> str:
+    """Recursive CTE ``w``: one row at a time per conversation of ``source``, with the texts let through and when."""
+    return (
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY ms, seq) AS n FROM {source}), "
+        "w AS (SELECT convo_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS user_ms, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, NULL::BOOLEAN AS is_new "
+        "FROM r WHERE n = 1 UNION ALL SELECT convo_id, n, seq, CASE WHEN new AND role = 'user' THEN ms ELSE user_ms END, "
+        "CASE WHEN NOT new THEN seen WHEN cardinality(added) > 100 THEN map_from_entries(list_filter(map_entries(added), lambda e: e.value >= ms - 600000)) "
+        "ELSE added END, new FROM (SELECT *, CASE WHEN gap < 30000 THEN true WHEN gap > 60000 THEN false "
+        "ELSE role <> 'assistant' OR user_ms IS NULL OR ms - user_ms <= 120000 END AS new, map_concat(seen, MAP([content], [ms])) AS added "
+        "FROM (SELECT r.convo_id, r.n, r.seq, r.role, r.ms, r.content, w.user_ms, w.seen, r.ms - w.seen[r.content] AS gap "
+        "FROM w JOIN r ON r.convo_id = w.convo_id AND r.n = w.n + 1)))"
+    )
+
+
+@query("is_new_message_direct", f"{LOG}, {direct_sql('log')} SELECT convo_id, seq, is_new FROM w WHERE n > 0")
 def is_new_message_direct(spark, sf_dir):
     return ops.is_new_direct(plain(spark, sf_dir)).select(*ROW, "is_new")
 
@@ -325,9 +329,9 @@ def genuine_response_match(spark, sf_dir):
     return ops.genuine_response_fast(plain(spark, sf_dir)).select(*ROW, "user_seq", "latency_ms")
 
 
-def exchange_events(spark, sf_dir):
+def exchange_events(spark, sf_dir, log=None):
     """The log as send, user and assistant events: original user turns are sent 300 ms earlier."""
-    log = plain(spark, sf_dir).where(F.col("role") != "system")
+    log = (plain(spark, sf_dir) if log is None else log).where(~F.col("role").eqNullSafe("system"))
     marked = F.when((F.col("role") == "user") & (F.col("seq") % 3 == 0), F.timestamp_millis(F.unix_millis("ts") - 20000))
     rows = log.select(*ROW, "ts", F.col("role").alias("event"), "content", marked.alias("marked_ts"))
     sends = log.where((F.col("role") == "user") & (kind() == 0)).select(

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnsift.functions import text as tx
 from turnsift.operators import noise as noise_ops
 from turnsift.operators import reports as ops
 from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import LOG, message_log, read, sql_norm
+from turnsift.registry.base import LOG, conv_number, message_log, read, sql_norm
 from turnsift.registry.q_dedup import plain
 from turnsift.registry.q_enrich import RECENCY, TOOLS
 from turnsift.registry.q_noise import NOISE, _marked
 from turnsift.registry.q_sources import ANALYTICS, analytics_events
+from turnsift.session import cut_lineage
 
 ROW = ["convo_id", "seq"]
 
@@ -137,6 +139,22 @@ def history_stats(spark, sf_dir):
     return ops.history_stats(plain(spark, sf_dir))
 
 
+@query(
+    "history_sketches",
+    f"{LOG} SELECT platform, count(DISTINCT {sql_norm('content')}) AS texts, max(ms) FILTER (role = 'user') AS last_user_ms, "
+    "max(ms) - min(ms) AS session_ms, true AS within_error FROM log GROUP BY 1",
+)
+def history_sketches(spark, sf_dir):
+    """Distinct texts of a platform, united from the sketches of its sessions' days, within three standard errors of the exact count."""
+    log = plain(spark, sf_dir)
+    days = cut_lineage(ops.history_sketches(log))
+    platform = F.when(conv_number() % 2 == 1, "claude").otherwise("chatgpt")
+    merged = ops.merged_history(days.withColumn("platform", platform), ["platform"])
+    exact = log.groupBy("platform").agg(F.count_distinct(tx.norm_text(F.col("content"))).alias("texts"))
+    near = F.abs(F.col("memory_entries") - F.col("texts")) <= F.ceil(3 * 1.04 / 64 * F.col("texts"))
+    return merged.join(exact, "platform").select("platform", "texts", "last_user_ms", "session_ms", near.alias("within_error"))
+
+
 @query(
     "test_pass_rate",
     "WITH t AS (SELECT source, quality = 1 AS passed FROM labels JOIN documents USING (doc_id)), r AS (SELECT source, count(*) AS tests, "

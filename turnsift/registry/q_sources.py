@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from turnsift.operators import noise as noise_ops
 from turnsift.registry import query
-from turnsift.registry.base import LOG, kind, message_log, read, sql_norm, sql_strip
+from turnsift.registry.base import LOG, conv_number, kind, message_log, read, sql_norm, sql_strip
 from turnsift.registry.q_noise import DIAGNOSTIC, NOISE
-from turnsift.session import fresh_folder
+from turnsift.session import fresh_folder, spread
+from turnsift.sources import documents as dc
 from turnsift.sources import events as ev
 from turnsift.sources import messages as ms
 from turnsift.sources import pages as pg
@@ -49,6 +51,29 @@ def read_message_log_tolerant(spark, sf_dir):
     )
 
 
+@query(
+    "read_quarantined",
+    f"{LOG} SELECT 'log-' || (conv_id % 3) AS file, convo_id, seq, CASE WHEN seq % 5 <> 0 THEN 'good' WHEN seq % 2 = 0 THEN 'not a document' "
+    "ELSE 'wrong type' END AS found FROM log",
+)
+def read_quarantined(spark, sf_dir):
+    """Log files with cut lines and lines with a text for a number, and which file each bad line came from."""
+    name, of = F.concat(F.lit("log-"), (conv_number() % 3).cast("string")), F.concat_ws("/", "convo_id", "seq")
+    whole = F.to_json(F.struct("ts", F.lit("claude").alias("platform"), "role", of.alias("content")))
+    wrong = F.concat(F.lit('{"ts": "2024-01-01T00:00:00", "metadata": 5, "content": "'), of, F.lit('"}'))
+    cut = F.concat(F.lit('{"content": "'), of)
+    line = F.when(F.col("seq") % 5 != 0, whole).when(F.col("seq") % 2 == 0, cut).otherwise(wrong)
+    folder = fresh_folder(spark, "lines")
+    message_log(spark, sf_dir).select(name.alias("file"), line.alias("value")).write.partitionBy("file").text(folder)
+    good, bad = ms.read_quarantined(spark, f"{folder}/file=*")
+    rows = good.select("file", F.col("content").alias("of"), F.lit("good").alias("found"))
+    rows = rows.unionByName(bad.select("file", F.regexp_extract("line", r"(conv-\d+/-?\d+)", 1).alias("of"), F.col("reason").alias("found")))
+    return rows.select(
+        F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.split_part("of", F.lit("/"), F.lit(1)).alias("convo_id"),
+        F.split_part("of", F.lit("/"), F.lit(2)).cast("bigint").alias("seq"), "found",
+    )
+
+
 @query(
     "ingest_post",
     f"{LOG} SELECT convo_id, seq, CASE WHEN seq % 3 = 0 THEN 'unknown' ELSE platform END AS platform, "
@@ -252,6 +277,16 @@ def ingest_diagnostic(spark, sf_dir):
     )
 
 
+def _as_arrays(batches):
+    """The documents of a task as the lines of one JSON array."""
+    opened = False
+    for batch in batches:
+        lines = [f"{',' if opened or i else '['}{document}" for i, document in enumerate(batch.column(0).to_pylist())]
+        opened = opened or bool(lines)
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": pa.array(["]" if opened else "[]"], pa.string())})
+
+
 @query(
     "read_test_report",
     f"{LOG} SELECT convo_id, (seq // 64)::BIGINT AS turn, x.log AS log, ms AS ts_ms, role, content FROM log, "
@@ -259,12 +294,12 @@ def ingest_diagnostic(spark, sf_dir):
     "OR (x.log = 'recent' AND seq % 64 < 2)",
 )
 def read_test_report(spark, sf_dir):
-    """One report file per conversation: an array with one report per turn, at most forty lines each by construction."""
+    """A file is an array of many reports, one per turn, of at most forty lines each by construction."""
     line = F.to_json(F.struct("ts", "platform", "role", "content"))
     lines = message_log(spark, sf_dir).select("convo_id", F.floor(F.col("seq") / 64).alias("turn"), "role", kind().alias("kind"), line.alias("line"))
     reports = lines.groupBy("convo_id", "turn").agg(
         F.to_json(F.struct(
-            F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("timestamp"),
+            F.concat_ws("/", "convo_id", F.col("turn").cast("string")).alias("timestamp"),
             F.lit(True).alias("success"),
             F.struct(
                 F.collect_list(F.when(F.col("role") != "system", F.col("line"))).alias("chat"),
@@ -273,12 +308,10 @@ def read_test_report(spark, sf_dir):
             ).alias("logs"),
         )).alias("report")
     )
-    files = reports.groupBy("convo_id").agg(
-        F.concat(F.lit("[\n"), F.array_join(F.collect_list("report"), ",\n"), F.lit("\n]")).alias("value")
-    )
     folder = fresh_folder(spark, "reports")
-    files.write.partitionBy("convo_id").text(folder)
-    read_back = ms.read_test_report(spark, folder).withColumn("turn", F.substring("timestamp", 6, 20).cast("bigint"))
+    reports.select("report").mapInArrow(_as_arrays, "value string").write.text(folder)
+    of = F.split("timestamp", "/")
+    read_back = ms.read_test_report(spark, folder).withColumns({"convo_id": F.get(of, 0), "turn": F.get(of, 1).cast("bigint")})
     return ms.report_messages(read_back).select("convo_id", "turn", "log", ts_ms(), "role", "content")
 
 
@@ -299,6 +332,30 @@ def export_session_summary(spark, sf_dir):
     return docs.toDF("conversation_id", "duration_ms", "transmissions", "duplicates", "tests", "conversation_events")
 
 
+@query(
+    "export_sessions",
+    f"WITH {ANALYTICS} SELECT conversation_id, max(ts_ms) - min(ts_ms) AS duration_ms, "
+    "count(*) FILTER (type = 'transmission') AS transmissions, count(*) FILTER (type = 'duplicate_detected') AS duplicates, "
+    "count(*) FILTER (type = 'test_start') AS tests, count(*) FILTER (type = 'conversation_event') AS conversation_events, "
+    "count(*) AS events, count(*) FILTER (type IN ('test_start', 'test_end')) AS test_events, sum(ts_ms)::BIGINT AS times, true AS ordered "
+    "FROM analytics GROUP BY 1",
+)
+def export_sessions(spark, sf_dir):
+    """One nested document per session, read back: the counts of its summary and all its events."""
+    folder = fresh_folder(spark, "sessions")
+    dc.export_sessions(analytics_events(spark, sf_dir), folder)
+    lists = F.array(*[F.coalesce(name, F.array().cast(f"array<{dc.EVENT}>")) for name in (*dc.LISTS, dc.OTHER)])
+    times = F.transform(F.flatten(lists), lambda e: e["timestamp"])
+    ordered = F.forall(lists, lambda one: F.transform(one, lambda e: e["timestamp"]) == F.array_sort(F.transform(one, lambda e: e["timestamp"])))
+    return dc.read_sessions(spark, folder).select(
+        F.col("conversationId").alias("conversation_id"), F.col("summary.sessionDuration").alias("duration_ms"),
+        F.col("summary.totalTransmissions").alias("transmissions"), F.col("summary.totalDuplicates").alias("duplicates"),
+        F.col("summary.totalTests").alias("tests"), F.col("summary.conversationEvents").alias("conversation_events"),
+        F.size(times).cast("bigint").alias("events"), F.size("testResults").cast("bigint").alias("test_events"),
+        F.aggregate(times, F.lit(0).cast("bigint"), lambda a, t: a + t).alias("times"), ordered.alias("ordered"),
+    )
+
+
 @query(
     "messages_from_conversations",
     "WITH m AS (SELECT *, 1704067200000 + conv_id * 3600000 + turn * 20000 AS ts_ms, "
@@ -332,18 +389,36 @@ _SHOWN = f"array_to_string(list_filter({_NODES}, lambda n: NOT regexp_matches({s
 
 @query("page_text_extract", f"SELECT page_id, {sql_norm(_sql_entities(_SHOWN))} AS page_text FROM pages")
 def page_text_extract(spark, sf_dir):
-    return pg.page_text(read(spark, sf_dir, "pages")).select("page_id", "page_text")
+    return pg.page_text(spread(read(spark, sf_dir, "pages"))).select("page_id", "page_text")
 
 
-@query(
-    "page_link_extract",
-    r"""WITH hrefs AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS h FROM pages),
+_UNSEEN = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|title)[\s>].*?</(script|style|title)\s*>', ' ', 'g')"
+_LINKS = rf"""tags AS (SELECT page_id, url, unnest(string_split(html, '<')) AS tag FROM pages),
+    quoted AS (SELECT page_id, url, trim(regexp_extract(tag, '(?is)^a\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1)) AS q FROM tags
+        WHERE regexp_matches(tag, '(?i)^a\s')),
+    hrefs AS (SELECT page_id, url, {_sql_entities("CASE WHEN left(q, 1) IN (chr(34), chr(39)) THEN substr(q, 2, length(q) - 2) ELSE q END")} AS h FROM quoted WHERE q <> ''),
     links AS (SELECT DISTINCT page_id, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '/%' THEN regexp_extract(url, '^https?://[^/?#]+') || h END AS link FROM hrefs
-    UNION SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'https?://[^\s\x{00A0}]+')) FROM pages)
-    SELECT page_id, link FROM links WHERE link IS NOT NULL""",
-)
+    UNION SELECT page_id, rtrim(unnest(regexp_extract_all(regexp_replace({_UNSEEN}, '<[^>]*>', ' ', 'g'), 'https?://[^\s\x{{00A0}}]+')), '.,;!?)') FROM pages)"""
+
+
+@query("page_link_extract", f"WITH {_LINKS} SELECT page_id, link FROM links WHERE link IS NOT NULL")
 def page_link_extract(spark, sf_dir):
-    return pg.page_links(read(spark, sf_dir, "pages")).select("page_id", "link")
+    return pg.page_links(spread(read(spark, sf_dir, "pages"))).select("page_id", "link")
+
+
+@query(
+    "page_contents",
+    f"WITH {_LINKS}, counted AS (SELECT page_id, count(link) AS n_links FROM links GROUP BY 1), "
+    r"""hits AS (SELECT page_id, count(*) AS n_hits FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)(<div\s[^>]*class="ad"[^>]*>.*?)</div>', 1)) AS raw FROM pages)
+    WHERE length(trim(regexp_replace(raw, '<[^>]*>', '', 'g'))) > 10 GROUP BY 1)"""
+    f" SELECT page_id, {sql_norm(_sql_entities(_SHOWN))} AS page_text, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_hits, 0)::BIGINT AS n_artifacts "
+    "FROM pages LEFT JOIN counted USING (page_id) LEFT JOIN hits USING (page_id)",
+)
+def page_contents(spark, sf_dir):
+    """Text, links and artifacts of a page from one run over its markup."""
+    found = pg.page_contents(spread(read(spark, sf_dir, "pages")), selectors=[".ad"])
+    sizes = [F.size(c).cast("bigint").alias(f"n_{c}") for c in ("links", "artifacts")]
+    return found.select("page_id", "page_text", *sizes)
 
 
 @query(
@@ -353,5 +428,5 @@ def page_link_extract(spark, sf_dir):
     SELECT page_id, content, 'unknown' AS language, s.selector FROM texts, (VALUES ('.ad'), ('[class*="ad"]')) s(selector) WHERE length(content) > 10""",
 )
 def page_artifact_extract(spark, sf_dir):
-    rows = pg.page_artifacts(read(spark, sf_dir, "pages"), selectors=[".ad", '[class*="ad"]'])
+    rows = pg.page_artifacts(spread(read(spark, sf_dir, "pages")), selectors=[".ad", '[class*="ad"]'])
     return rows.select("page_id", "content", "language", "selector")

@@ -8,34 +8,45 @@ from turnsift.functions import text as tx
 from turnsift.operators import replay as rp
 from turnsift.registry import query
 from turnsift.registry.base import LOG, message_log, turn
-from turnsift.registry.q_dedup import _BURSTS, REPLAY, greedy_sql
+from turnsift.registry.q_dedup import _BURSTS, REPLAY, STRICT, exchange_events, greedy_sql
 from turnsift.registry.q_noise import NOISE
 from turnsift.registry.q_sources import ts_ms
 from turnsift.session import cut_lineage, fresh_folder
 from turnsift.sources import messages as ms
-from turnsift.streaming import jobs
+from turnsift.sources import sinks
+from turnsift.streaming import jobs, state
 
 ROW = ["convo_id", "seq"]
 
 
-FILES = 2
-
-
 def log_stream(spark, sf_dir, closing=False):
     """The message log as a stream of files that arrive in event order, as three micro-batches.
 
-    ``closing`` adds a last row a day later, which lets the watermark pass everything before it.
+    A third of the log's time is written in as many files as the log has, so a batch is as wide as the log.  ``closing`` adds a
+    last row a day later, which lets the watermark pass everything before it.
     """
     folder = fresh_folder(spark, "arriving")
     log = cut_lineage(message_log(spark, sf_dir))
+    files = max(1, len(log.inputFiles()))
     at = F.unix_millis("ts")
-    low, high = log.select(at.alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01)
-    for part in (at <= low, (at > low) & (at <= high), at > high):
-        log.where(part).repartition(FILES).write.mode("append").parquet(folder)
+    low, high = log.agg(F.min(at), F.max(at)).first()
+    third = F.expr(f"least(2, (unix_millis(ts) - {low or 0}) * 3 div {max(1, (high or 0) - (low or 0))})")
+    for number in range(3):
+        log.where(third == number).repartition(files).write.mode("append").parquet(folder)
     if closing:
         end = log.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).withColumn("convo_id", F.lit("end of input"))
         end.select(*[F.col(c) if c in end.columns else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns]).write.mode("append").parquet(folder)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def keyed(spark, rows, name):
+    """A stream with keyed state, run through its input; the closing row itself is left out."""
+    before = spark.conf.get(state.PROVIDER)
+    state.use_keyed_state(spark)
+    try:
+        return finish(spark, rows, name)
+    finally:
+        spark.conf.set(state.PROVIDER, before)
 
 
 def finish(spark, rows, name, partition_by=None):
@@ -84,9 +95,36 @@ def quiet_dedup_stream(spark, sf_dir):
 
 @query("first_seen_stream", f"{LOG} SELECT DISTINCT convo_id, role, content FROM log")
 def first_seen_stream(spark, sf_dir):
-    messages = log_stream(spark, sf_dir).withColumn("digest", tx.digest(F.col("content")))
-    rows = jobs.first_seen_stream(messages, ["convo_id", "role", "digest"], "24 hours")
-    return finish(spark, rows, "first").select("convo_id", "role", "content")
+    """No conversation of the log lasts a day, so a first sight is remembered to its end."""
+    messages = log_stream(spark, sf_dir, closing=True).select(*ROW, "ts", "role", "content", tx.digest(F.col("content")).alias("digest"))
+    rows = state.first_seen_stream(messages, ["convo_id", "role", "digest"], 86_400, "2 seconds")
+    return keyed(spark, rows, "first").select("convo_id", "role", "content")
+
+
+@query(
+    "history_ttl_stream",
+    f"{LOG}, " + greedy_sql("log", "(convo_id, content)", "30000") + " SELECT convo_id, seq, kept AS first_occurrence FROM greedy",
+)
+def history_ttl_stream(spark, sf_dir):
+    """Entries expire exactly thirty seconds after they were made, in the state of a conversation's text."""
+    messages = log_stream(spark, sf_dir, closing=True).select(*ROW, "ts", tx.digest(F.col("content")).alias("digest"))
+    rows = state.remembered_stream(messages, ["convo_id", "digest"], 30, "2 seconds")
+    return keyed(spark, rows, "remembered").select(*ROW, F.col("fresh").alias("first_occurrence"))
+
+
+@query("exchange_stream", f"{LOG}, {STRICT} SELECT * FROM strict")
+def exchange_stream(spark, sf_dir):
+    """The send / reply state machine of ``genuine_response_strict`` on arriving events."""
+    events = exchange_events(spark, sf_dir, log_stream(spark, sf_dir, closing=True))
+    rows = state.exchange_stream(events, "2 seconds")
+    return keyed(spark, rows, "exchanges").select(*ROW, "event", "genuine")
+
+
+@query("replay_state_stream", f"{LOG}, {REPLAY} SELECT * FROM replayed")
+def replay_state_stream(spark, sf_dir):
+    """Strict replay with the ring of a conversation in its state, instead of a table per micro-batch."""
+    rows = state.replay_stream(log_stream(spark, sf_dir, closing=True), "2 seconds")
+    return rp.apply_removals(keyed(spark, rows, "replayed")).select(*ROW, "action", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
@@ -119,3 +157,19 @@ def growth_stream(spark, sf_dir):
         F.sum(F.col("entries") - F.col("before")).alias("added"), F.max("entries").alias("entries"),
         F.count(F.lit(1)).alias("changes"),
     )
+
+
+@query(
+    "retention_stream",
+    f"{LOG}, sinks AS (SELECT * FROM (VALUES ('clean', 100), ('recent', 2)) s(sink, n)), ranked AS (SELECT sink, n, "
+    "platform, convo_id, seq, row_number() OVER (PARTITION BY sink, platform ORDER BY ms DESC, convo_id DESC, seq DESC) "
+    "AS age_rank FROM log, sinks) SELECT sink, platform, convo_id, seq, age_rank FROM ranked WHERE age_rank <= n",
+)
+def retention_stream(spark, sf_dir):
+    """The newest rows of each sink after three micro-batches."""
+    sink = F.explode(F.array(F.lit("clean"), F.lit("recent"))).alias("sink")
+    rows = log_stream(spark, sf_dir).select(*ROW, "ts", "platform", sink)
+    newest = [F.desc("ts"), F.desc("convo_id"), F.desc("seq")]
+    job = jobs.Retention(fresh_folder(spark, "retention"), ["sink", "platform"], newest, {n: sinks.RETENTION[n] for n in ("clean", "recent")})
+    job.start(rows).awaitTermination()
+    return job.current(spark).select("sink", "platform", *ROW, F.col("age_rank").cast("bigint").alias("age_rank"))

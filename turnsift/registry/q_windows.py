@@ -10,8 +10,8 @@ from turnsift.plans.greedy import keep_if_quiet
 from turnsift.plans.timeline import BLOCKS, Timeline
 from turnsift.registry import expected as ex
 from turnsift.registry import query
-from turnsift.registry.base import BASELINE, LOG, baseline, read, sql_any, sql_strip
-from turnsift.registry.q_dedup import GENUINE, LEADING, STRICT, exchange_events, greedy_sql, plain, with_model
+from turnsift.registry.base import BASELINE, LOG, baseline, conv_number, read, sql_any, sql_strip
+from turnsift.registry.q_dedup import GENUINE, LEADING, STRICT, direct_sql, exchange_events, greedy_sql, plain, with_model
 
 ROW = ["convo_id", "seq"]
 _W = "(PARTITION BY convo_id ORDER BY ms, seq)"
@@ -251,3 +251,13 @@ def hot_key_quiet(spark, sf_dir):
     rows = plain(spark, sf_dir).select(*ROW, "ts", "platform")
     kept = _in_blocks(spark, 5, lambda: keep_if_quiet(rows, ["platform"], "ts", ["convo_id", "seq"], F.lit(60)))
     return kept.select(*ROW, "kept")
+
+
+@query("hot_key_relay", f"{LOG}, hot AS (SELECT platform AS convo_id, conv_id * 1000000 + seq AS seq, ms, role, content FROM log), "
+       f"{direct_sql('hot')} SELECT convo_id, seq, is_new FROM w WHERE n > 0")
+def hot_key_relay(spark, sf_dir):
+    """Two platforms as one conversation each, over ten blocks; what was let through is remembered across all of them."""
+    rows = plain(spark, sf_dir).select(
+        F.col("platform").alias("convo_id"), (conv_number() * 1_000_000 + F.col("seq")).alias("seq"), "ts", "platform", "role", "content"
+    )
+    return _in_blocks(spark, 10, lambda: dd.is_new_direct(rows)).select(*ROW, "is_new")

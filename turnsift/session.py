@@ -56,6 +56,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes from fewer files than there are cores.
+
+    For work per row, such as patterns or parsing, that few large files would leave to few tasks.  The number of files is known
+    without a job; a table of many files is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, for clusters where it is not installed on them.
 

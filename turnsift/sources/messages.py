@@ -34,6 +34,24 @@ def tolerant_split(lines: DataFrame, line: str = "value", schema: str = schemas.
     return good, parsed.where(bad).drop("doc")
 
 
+def read_quarantined(spark: SparkSession, path: str, schema: str = schemas.STORED_MESSAGE):
+    """(good, quarantine) of the text files under ``path``, read by one scan.
+
+    Both carry where a line stands: ``file`` and ``block``, the byte at which the part of the file begins that the line was read with.
+    The quarantine has the ``line`` itself and ``reason``: ``not a document``, or ``wrong type`` for a document that the schema cannot hold.
+    Blank lines vanish; a line of any length is one row.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    good, bad = tolerant_split(lines, "value", schema)
+    kept = [c for c in good.columns if c not in ("value", "doc")]
+    # Only a document gives a map of its fields.
+    document = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+    reason = F.when(document.isNull() | ~F.ltrim("value").startswith("{"), "not a document").otherwise("wrong type")
+    return good.select(*kept, "doc.*"), bad.select("file", "block", F.col("value").alias("line"), reason.alias("reason"))
+
+
 def ingest_post(posts: DataFrame, arrival: Column | None = None) -> DataFrame:
     """Stored form of posted messages: defaults for missing fields, ``text`` becomes ``content``."""
     arrival = F.current_timestamp() if arrival is None else arrival

@@ -12,6 +12,7 @@ from turnsift.operators.replay import FIELDS, prepare, replay_step
 from turnsift.plans.greedy import keep_if_quiet
 from turnsift.plans.relay import STATE, relay
 from turnsift.session import cut_lineage
+from turnsift.sources.sinks import rolling_retention
 
 
 def start_files(rows: DataFrame, folder: str, partition_by: list[str] | None = None, continuous: str | None = None) -> StreamingQuery:
@@ -43,16 +44,6 @@ def debounce_stream(updates: DataFrame, key: list[str], quiet: str, delay: str)
     ).select(*key, "content", "updates", F.col("session_window.end").alias("emit_ts"))
 
 
-def first_seen_stream(messages: DataFrame, key: list[str], memory: str) -> DataFrame:
-    """First sight of each key, forgotten after ``memory``.
-
-    This drops by time since the first sight, not since the last kept row, so it is an
-    approximation of the keep-if-quiet rule with constant state per key.  Pass a digest for a text: the state
-    holds the key.
-    """
-    return messages.withWatermark("ts", memory).dropDuplicatesWithinWatermark(key)
-
-
 def velocity_stream(messages: DataFrame, threshold: int, delay: str, session: str = "convo_id") -> DataFrame:
     """One-second windows, sliding by 200 ms, with more rows of a session than the threshold."""
     window = F.window("ts", "1 second", "200 milliseconds")
@@ -166,6 +157,37 @@ class ReplayLog(BatchJob):
         self.write("state", last.where(self.recent(batch.sparkSession, epoch, "last_ts", self.idle)), epoch)
 
 
+class Retention(BatchJob):
+    """The newest rows of each sink, kept up with every micro-batch.
+
+    The memory is what is kept.  A batch is cut to its own newest rows first and merged with the memory, so the work follows the batch.
+    What is kept after a batch is written as a table of its own and becomes current as a whole when it is complete; a batch that
+    runs again merges with the memory before it and gives the same table.
+    """
+
+    admits_late = True
+
+    def __init__(self, folder: str, sink: list[str], newest: list[Column], limits: dict[str, int] | int):
+        super().__init__(folder, 0)
+        self.sink, self.newest, self.limits = sink, newest, limits
+
+    def decide(self, batch: DataFrame, before: DataFrame | None, epoch: int) -> None:
+        rows = rolling_retention(batch, self.sink, self.newest, self.limits).drop("age_rank")
+        if before is not None:
+            rows = rolling_retention(rows.unionByName(before), self.sink, self.newest, self.limits).drop("age_rank")
+        self.write("state", rows, epoch)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """What is kept now, with ``age_rank``."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+            spark._jvm.org.apache.hadoop.fs.Path(path, "epoch=*/_SUCCESS")
+        )
+        epochs = [int(str(f.getPath().getParent().getName()).removeprefix("epoch=")) for f in found]
+        rows = self.memory(spark, max(epochs))
+        return rolling_retention(rows, self.sink, self.newest, self.limits)
+
+
 class GrowthMonitor(BatchJob):
     """Rows per platform after every micro-batch that brought some: ``platform, before, entries``."""
 
