@@ -28,11 +28,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnsift.llm import bloom
 from turnsift.llm.words import byte_texts, map_arrow
 from turnsift.session import cut_lineage
 
@@ -97,8 +100,11 @@ def identified(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", text).withColumn("text_hash", F.xxhash64("doc_id", "text"))
 
 
-def _names(rows: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, key, name, n``: the names of each document with their counts."""
+def _names(rows: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """``doc_id, text_hash, key, name, n``: the names of each document with their counts.
+
+    With ``known``, a Bloom filter of (key, name), only names that may be in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,15 +117,29 @@ def _names(rows: DataFrame) -> DataFrame:
                 for (key, name), n in counts.items():
                     for column, value in zip(out, (doc, text_hash, key, name, n)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
+            found = pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out], ["doc_id", "text_hash", "key", "name", "n"]
             )
+            if known is not None:
+                keys = bloom.keys_of(found.column("key").to_numpy(), found.column("name").to_numpy())
+                found = found.filter(pa.array(bloom.holds(known.value, keys)))
+            yield found
 
     return rows.select("doc_id", "text_hash", "text").mapInArrow(
         run, "doc_id bigint, text_hash bigint, key bigint, name bigint, n bigint"
     )
 
 
+def _of_documents(rows: DataFrame, known: Broadcast, wanted: bool = True) -> DataFrame:
+    """Rows whose ``text_hash`` may be in the filter ``known``, or those that are not in it for sure."""
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bloom.holds(known.value, bloom.keys_of(hashes.to_numpy())))
+
+    return rows.where(held("text_hash") if wanted else ~held("text_hash"))
+
+
 def _counted(names: DataFrame, n: Column, who: Column) -> DataFrame:
     """Names that occur twice or share their key: ``key, name, n, chosen, variants``."""
     seen = names.groupBy("key", "name").agg(F.sum(n).alias("n"), F.min(who).alias("chosen"))
@@ -305,10 +325,14 @@ def repeated_windows(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """Intervals ``first`` to ``last`` of window starts, per ``doc_id`` and ``text_hash``, that occur elsewhere too."""
     rows = identified(documents.select("doc_id", "text")).withColumn("doc_id", _document())
     counted = _counted(_names(rows), F.col("n"), F.col("text_hash"))
-    named = _names(rows).drop("n").join(counted, ["key", "name"])
+    known = rows.sparkSession.sparkContext.broadcast(bloom.gathered(counted, "key", "name"))
+    named = _names(rows, known).drop("n").join(counted, ["key", "name"])
     open_ = F.when(F.col("text_hash") == F.col("chosen"), F.col("variants")).otherwise(F.lit(0)).alias("variants")
     needs = named.select("doc_id", "text_hash", "key", "name", (F.col("n") > 1).alias("whole"), open_)
-    placed = cut_lineage(_placed(rows, needs.where("whole or variants > 1")))
+    needs = cut_lineage(needs.where("whole or variants > 1"))
+    # Texts are shuffled only where something was found in them.
+    wanted = rows.sparkSession.sparkContext.broadcast(bloom.gathered(needs, "text_hash"))
+    placed = cut_lineage(_placed(_of_documents(rows, wanted), needs))
     parts = [placed.where("context is null").select("doc_id", "text_hash", "first", "last")]
     open_ = placed.where("context is not null")
     cells = 1
@@ -334,10 +358,14 @@ def repeated_windows(documents: DataFrame, group: int = GROUP) -> DataFrame:
 def with_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """``documents`` with ``windows``: intervals (first, last) of window starts that occur elsewhere too, in any order."""
     found = repeated_windows(documents, group)
-    found = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    found = cut_lineage(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("windows")))
     rows = identified(documents.drop("windows")).withColumn("_doc", _document())
     found = found.withColumnRenamed("doc_id", "_doc")
-    return rows.join(found, ["_doc", "text_hash"], "left").drop("_doc", "text_hash")
+    # Rows without a window stay where they are.
+    known = rows.sparkSession.sparkContext.broadcast(bloom.gathered(found, "text_hash"))
+    cut = _of_documents(rows, known).join(found, ["_doc", "text_hash"], "left").drop("_doc", "text_hash")
+    whole = _of_documents(rows, known, False).drop("_doc", "text_hash")
+    return cut.unionByName(whole.withColumn("windows", F.lit(None).cast(found.schema["windows"].dataType)))
 
 
 def removed_ranges(windows: list[dict] | None) -> list[tuple[int, int]]:
