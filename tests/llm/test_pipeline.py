@@ -30,12 +30,13 @@ def planted(spark):
     texts |= {120: f"{sentence(r, 60)} {item}", 121: f"{sentence(r, 700)} {item} end", 122: item.upper() + " x"}
     texts |= {130: "too short", 131: "", 132: " ".join(["loop around and around again once more now"] * 9), 133: None}
     texts |= {140 + k: sentence(r, 60).replace(" ", " # ") for k in range(3)}
+    texts |= {1000 + k: sentence(r, 30) for k in range(400)}
     rows = [(d, t, "en", "s", None if t is None else len(t), "extra", 1) for d, t in texts.items()]
     folder = fresh_folder(spark, "planted")
     kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, _row int"
     spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
-    # A labelled holdout large enough for certificates: labels may name a document more than once.
-    labels = [(k % 60, 1, 0) for k in range(3000)] + [(140 + k % 3, 0, 0) for k in range(60)]
+    # A labelled holdout large enough for certificates; labels may name a document more than once, which proves nothing.
+    labels = [(k % 60, 1, 0) for k in range(3000)] + [(140 + k % 3, 0, 0) for k in range(60)] + [(1000 + k, 1, 0) for k in range(400)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, texts, item

@@ -92,3 +92,41 @@ def test_rule_sets_keep_the_promise(spark):
     facts_ = facts_.withColumn("n_dup_lines", F.when(part, 4).otherwise(0))
     row = ql.certified_rule_sets(facts_, labels).first()
     assert sorted([row["_symbols"] or 0, row["_dup_lines"] or 0]) == [0, 30]
+
+
+def test_repeated_labels_prove_nothing(spark):
+    """Sixty documents labelled fifty times each are sixty documents; a document with both labels counts as good."""
+    facts_, labels = holdout(spark, [0] * 60, [40] * 50)
+    many = labels
+    for _ in range(6):
+        many = many.unionByName(many)
+    assert ql.certified_rule_sets(facts_, many).count() == 0 and ql.certified_cutoffs(facts_, many).count() == 0
+    facts_, labels = holdout(spark, [0] * 400, [40] * 50)
+    twice = labels.unionByName(labels.where("quality = 0").withColumn("quality", F.lit(1)))
+    assert ql.certified_rule_sets(facts_, labels).first()["_symbols"] == 30
+    assert ql.certified_rule_sets(facts_, twice).count() == 0
+    # Rows that repeat count once, too.
+    assert ql.certified_rule_sets(holdout(spark, [0] * 60, [40] * 9)[0].unionByName(holdout(spark, [0] * 60, [40] * 9)[0]), many).count() == 0
+
+
+def test_languages_with_few_labels_get_cutoffs(spark):
+    """On the larger sample every language has a certified set, and it rejects most labelled junk and hardly a good document."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    facts_ = ql.text_facts(ql.with_stratum(docs.join(labels.select("doc_id").distinct(), "doc_id").repartition(8))).select("doc_id", "stratum", *ql.FACTS).persist()
+    cutoffs = ql.certified_rule_sets(facts_, labels)
+    assert {"de", "en", "es", "fr"} <= {r.stratum for r in cutoffs.collect()}
+    judged = ql.judge(facts_, cutoffs).where("not base_failed").join(labels.dropDuplicates(["doc_id"]), "doc_id")
+    rates = {(r.stratum, r.quality): r.rate for r in judged.groupBy("stratum", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("rate")).collect()}
+    facts_.unpersist()
+    assert all(rates[s, 0] > 0.9 and rates[s, 1] <= 0.02 for s in ("de", "en", "es", "fr"))
+
+
+def test_clashing_names_and_no_documents(spark, documents):
+    facts_, labels = holdout(spark, [0] * 400, [40] * 50)
+    cutoffs = ql.certified_rule_sets(facts_, labels)
+    rows = documents([(1, "a # " * 40), (2, " ".join(f"w{k}" for k in range(30)))], clashing=True)
+    rows = rows.withColumns({c: F.lit(7) for c in ("n_words", "good", "quality", "base_failed", "_symbols", "_text", "p")})
+    judged = ql.judge(ql.text_facts(ql.with_stratum(rows)), cutoffs)
+    assert {r.doc_id: r.kept for r in judged.select("doc_id", "kept").collect()} == {1: False, 2: True}
+    assert ql.judge(ql.text_facts(ql.with_stratum(documents([]))), cutoffs).count() == 0

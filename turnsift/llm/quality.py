@@ -1,15 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule compares a share of a text with a cutoff in percent.  Which cutoff applies is decided per stratum (language)
-by a labelled holdout: a cutoff is certified if an exact binomial test shows that it rejects no more than
-``max_false_rejection / number of rules`` of the good documents.  All tests of all strata, rules and cutoffs share one
-error level through Holm's correction, so with probability ``1 - error`` every certified cutoff keeps its promise
-and a stratum loses at most ``max_false_rejection`` of its good documents to all rules together.  Of a rule's certified cutoffs the one is used whose share of rejected bad documents
-exceeds that of rejected good ones most (the mildest of equals); a rule without such a cutoff rejects nothing.
-
-Null texts and texts without words have zero counts; they fail the base rule.  A null language is a stratum
-of its own.  Rows that share a ``doc_id`` are judged one by one, a document labelled more than once counts once per
-label, and without labels only the base rule rejects.  Columns other than those named are ignored.
+Each rule compares a share of a text with a cutoff in percent.  Which cutoffs apply is decided per stratum (language) by a labelled
+holdout and exact binomial tests: with probability ``1 - error`` no stratum loses more than ``max_false_rejection`` of its good
+documents to all rules together.  There are two ways:
+
+* ``certified_rule_sets``, which the query and the pipeline use, tests sets of rules whole, in sequences from the mildest cutoffs
+  down.  Each test of a sequence is made only if the one before it passed, so a sequence has one price however long it is; the
+  sequences of all strata share the error evenly.  About 300 good labels are enough for four languages.
+* ``certified_cutoffs`` tests every cutoff of every rule at an even share of the false rejection, under Holm's correction for all
+  of them.  A stratum needs about 1,500 good labels.
+
+Null texts and texts without words have zero counts; they fail the base rule.  A null language is a stratum of its own.  Rows that share a
+``doc_id`` are judged one by one, but in the holdout a ``doc_id`` counts once, with its smallest row: as good if any label says
+so, as bad otherwise.  Repeated labels prove nothing.  Without labels only the base rule rejects.  Texts have any length.  Of cutoffs or
+sets that separate equally well the mildest is used.  An empty table gives no rows.  Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,6 @@ RULES = {
 CUTOFFS = (10, 20, 30, 50, 75)
 MAX_FALSE_REJECTION = 0.02
 ERROR = 0.05
-#: Strata with cutoffs that are sent to all executors; beyond this the cutoffs are joined.
-BROADCAST_STRATA = 10_000
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
@@ -130,13 +132,20 @@ def binomial_tail(n: Column, k: Column, p: float, terms: int = 4000) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
 
+def _holdout(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents that pass the base rule, each ``doc_id`` once, with ``good``."""
+    rated = labels.where("quality in (0, 1)").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    rows = facts.where(~base_failed()).join(rated, "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("stratum", *FACTS, "good")).alias("row"))
+    return one.select("row.*")
+
+
 def certified_cutoffs(
     facts: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR,
     cutoffs: tuple[int, ...] = CUTOFFS,
 ) -> DataFrame:
     """``stratum`` and one column per rule with the cutoff in use, null if there is none."""
-    rated = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
-    holdout = facts.where(~base_failed()).join(rated, "doc_id")
+    holdout = _holdout(facts, labels)
     good = F.col("good")
     tried = [(rule, c) for rule in RULES for c in cutoffs]
     failing = {(rule, c): _exceeds(rule, F.lit(c)) for rule, c in tried}
@@ -178,8 +187,7 @@ def certified_rule_sets(
     documents, take no part.  The set that separates bad from good best is used, with every rule at the mildest cutoff that
     rejects the same labelled documents: a milder set keeps the promise of the set it is part of.
     """
-    rated = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
-    holdout = facts.where(~base_failed()).join(rated, "doc_id")
+    holdout = _holdout(facts, labels)
     good = F.col("good")
     falling = sorted(cutoffs, reverse=True)
     alone = [{rule: c} for rule in RULES for c in falling]
@@ -231,8 +239,7 @@ def with_stratum(documents: DataFrame) -> DataFrame:
 
 def judge(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds ``base_failed`` and ``kept``."""
-    few = cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    rows = facts.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
+    rows = facts.join(cutoffs, "stratum", "left")
     fails = F.lit(False)
     for rule in RULES:
         fails = fails | F.coalesce(_exceeds(rule, F.col(f"_{rule}")), F.lit(False))

@@ -40,7 +40,7 @@ def op1_decontaminate(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     facts = ql.text_facts(ql.with_stratum(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
     facts = cut_lineage(facts.select("doc_id", "stratum", *ql.FACTS))
-    cutoffs = cut_lineage(ql.certified_cutoffs(facts, read(spark, sf_dir, "labels")))
+    cutoffs = cut_lineage(ql.certified_rule_sets(facts, read(spark, sf_dir, "labels")))
     return ql.judge(facts, cutoffs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

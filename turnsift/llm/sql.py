@@ -28,13 +28,29 @@ _SHARES = {
     "symbols": ("n_symbols", "n_words"), "capitals": ("n_capitals", "word_chars"),
     "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
 }
-_CUTOFFS = "[10, 20, 30, 50, 75]"
+_FALLING = [75, 50, 30, 20, 10]
+_SETS = [{r: c} for r in _SHARES for c in _FALLING] + [{r: 10} | {x: c for x in _SHARES if x != r} for r in _SHARES for c in _FALLING]
+
+
+def _rejects(rules: dict[str, int]) -> str:
+    return " OR ".join(f"100 * {_SHARES[r][0]} > {c} * {_SHARES[r][1]}" for r, c in rules.items())
+
+
+def _cutoffs(rules: dict[str, int]) -> str:
+    return ", ".join(f"{r}: {rules.get(r, 'NULL::INT')}" for r in _SHARES)
+
+
 _TESTS = " UNION ALL ".join(
-    f"SELECT stratum, '{rule}' AS rule, cutoff, count(*) FILTER (quality = 1) AS n, "
-    f"count(*) FILTER (quality = 0) AS n_bad, count(*) FILTER (quality = 1 AND 100 * {a} > cutoff * {b}) AS k, "
-    f"count(*) FILTER (quality = 0 AND 100 * {a} > cutoff * {b}) AS k_bad "
-    f"FROM rated, (SELECT unnest({_CUTOFFS}) AS cutoff) GROUP BY ALL"
-    for rule, (a, b) in _SHARES.items()
+    f"SELECT stratum, {i} AS place, {{{_cutoffs(rules)}}} AS c, "
+    f"count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS n_bad, "
+    f"count(*) FILTER (quality = 1 AND ({_rejects(rules)})) AS k, count(*) FILTER (quality = 0 AND ({_rejects(rules)})) AS k_bad "
+    "FROM rated GROUP BY stratum"
+    for i, rules in enumerate(_SETS)
+)
+_MILD = " UNION ALL ".join(
+    f"SELECT b.stratum, '{r}' AS rule, max(x.c.{r}) AS cutoff FROM best b JOIN tests own ON own.stratum = b.stratum AND own.place // 5 = {j} AND own.c.{r} = b.c.{r} "
+    f"JOIN tests x ON x.stratum = b.stratum AND x.place // 5 = {j} AND x.k = own.k AND x.k_bad = own.k_bad WHERE own.k + own.k_bad > 0 GROUP BY 1"
+    for j, r in enumerate(_SHARES)
 )
 _FAILS = " OR ".join(
     f"EXISTS (SELECT 1 FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{rule}' AND 100 * {a} > c.cutoff * {b})"
@@ -54,16 +70,17 @@ facts AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_str
     length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts),
-rated AS (SELECT judged.*, quality FROM judged JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
-tests AS ({_TESTS}),
-tails AS (SELECT *,
-    (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))
-     FROM (SELECT unnest(range(k + 1)) AS j)) AS p FROM tests),
-ranked AS (SELECT *, row_number() OVER (ORDER BY p, stratum, rule, cutoff) AS place, count(*) OVER () AS m FROM tails),
-certified AS (SELECT *, max((p > 0.05 / (m - place + 1))::INT) OVER (ORDER BY place) AS stopped FROM ranked),
-chosen AS (SELECT stratum, rule, arg_max(cutoff, (k_bad * n - k * n_bad, cutoff)) AS cutoff
-           FROM certified WHERE stopped = 0 AND k_bad * n > k * n_bad GROUP BY ALL)
+judged AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts),
+rated AS MATERIALIZED (SELECT judged.*, quality FROM judged JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY 1) USING (doc_id)
+          WHERE NOT base_failed
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals) = 1),
+tests AS MATERIALIZED ({_TESTS}),
+tried AS MATERIALIZED (SELECT *, (SELECT count(DISTINCT stratum) FROM tests WHERE n_bad > 0 AND n * ln(0.98) <= ln(0.05 / 4)) AS strata,
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))
+     FROM (SELECT unnest(range(k + 1)) AS j)) AS p FROM tests WHERE n_bad > 0 AND n * ln(0.98) <= ln(0.05 / 4)),
+best AS MATERIALIZED (SELECT stratum, arg_max(c, (k_bad * n - k * n_bad, -place)) AS c FROM tried
+         WHERE p <= 0.05 / (4 * strata) AND k_bad * n > k * n_bad GROUP BY 1),
+chosen AS ({_MILD})
 SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({_FAILS}) AS kept
 FROM judged f
