@@ -78,3 +78,72 @@ def test_more_languages_than_one_table(spark):
     pages = [(k, f"http://h{k}.example/", f"<html lang={names[k]}><p>{text[k]}</p>") for k in range(n)]
     got = li.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), docs).collect()
     assert sorted((r.page_id, r.text_lang, r.declared) for r in got) == [(k, names[k], names[k]) for k in range(n)]
+
+
+def brute(pages, docs):
+    """Trigram counts, votes and priors in plain Python."""
+    from collections import Counter
+    from math import exp, log
+
+    def grams(text):
+        data = " " + " ".join(text.encode().lower().decode().split()) + " "
+        data = data.encode()
+        return [((int.from_bytes(data[i : i + 3], "big") * 0x9E3779B1) % 2**32) >> 18 for i in range(len(data) - 2)]
+
+    learned = {}
+    for text, lang in docs:
+        if lang is not None:
+            learned.setdefault(lang, Counter()).update(grams(text or ""))
+    names = sorted(learned)
+    facts = []
+    for page_id, url, page in pages:
+        found = grams(li.visible_text(page or ""))
+        found = found if len(found) > 0 else []
+        text = [sum(log((learned[n][g] + 1) / (sum(learned[n].values()) + li.BUCKETS)) for g in found) / li.TEMPER for n in names]
+        host = li.host_of(url)
+        said = li.declared_language(page or "")
+        vote = max(range(len(names)), key=lambda k: (text[k], -k)) if found else None
+        facts.append((page_id, text, vote, said if said is None or said in names else "other", host.split(".")[-1], ".".join(host.split(".")[-2:]), host))
+    out = []
+    suffixes = len({f[4] for f in facts})
+    for page_id, text, vote, *where in facts:
+        def votes(k, at=None, value=None):
+            held = sum(f[2] == k and (at is None or f[3 + at] == value) for f in facts)
+            return held - (vote == k)
+
+        total = sum(votes(k) + 1 for k in range(len(names)))
+        logs = []
+        for k in range(len(names)):
+            share = (votes(k) + 1) / total
+            said = (votes(k, 0, where[0]) + 0.5) / (votes(k) + 0.5 * (len(names) + 2))
+            ending = (votes(k, 1, where[1]) + 0.5) / (votes(k) + 0.5 * suffixes)
+            prior = (votes(k, 2, where[2]) + li.STRENGTH * share) / (sum(votes(j, 2, where[2]) for j in range(len(names))) + li.STRENGTH)
+            prior = (votes(k, 3, where[3]) + li.STRENGTH * prior) / (sum(votes(j, 3, where[3]) for j in range(len(names))) + li.STRENGTH)
+            logs.append(text[k] + log(said) + log(ending) + log(prior))
+        odds = [exp(x - max(logs)) for x in logs]
+        best = max(range(len(names)), key=lambda k: (odds[k], -k))
+        out.append((page_id, where[3], names[best], odds[best] / sum(odds)))
+    return out
+
+
+def test_the_whole_against_plain_python(spark):
+    """Pages of shared and own hosts, without text, with equal evidence for two languages, and a very long one."""
+    docs = [("aaa bbb ccc ddd", "x"), ("eee fff ggg hhh", "y"), ("eee fff ggg hhh", "z"), (None, "x"), ("lost", None)]
+    pages = [(k, f"http://{'abc'[k % 3]}.site{k % 2}.{'de' if k % 4 else 'fr'}/", f"<html lang={'xyq'[k % 3]}><p>{docs[k % 3][0]}</p>") for k in range(12)]
+    pages += [(20, "http://a.site0.de/", ""), (21, None, None), (22, "http://a.site0.de/", "<p>" + "eee fff " * 40_000 + "</p>"), (22, "x", "<script>aaa")]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumns({c: F.lit(7) for c in ("host", "vote", "lang", "declared", "likelihoods", "n_grams")})
+    got = li.identify(rows, spark.createDataFrame(docs, "text string, lang string")).collect()
+    want = brute(pages, docs)
+    assert sorted((r.page_id, r.host, r.lang) for r in got) == sorted(w[:3] for w in want)
+    assert sorted(r.posterior for r in got) == pytest.approx(sorted(w[3] for w in want))
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<script ", "<!-- ", "<nav>", "<meta content-language ", "<html lang ", "<style></nav>"):
+        began = time.process_time()
+        page = part * (2_000_000 // len(part))
+        li.visible_text(page), li.declared_language(page)
+        assert time.process_time() - began < 5, part
+    assert li.visible_text("a<nav>b<script>c</nav>d<!-- e").split() == ["a", "d"]

@@ -88,3 +88,25 @@ def test_hundreds_are_written_by_hand():
     """Not counted: what phrase families make of the names."""
     identifiers = sum(len(names.split()) for _, names in SPDX)
     assert len(lc.BASE) + len(lc.STATEMENTS) + len(lc.NAMES) + len(SIGNATURES) + identifiers > 300
+
+
+def test_many_detections_in_one_long_text():
+    """Two megabytes of one phrase: time in proportion, nothing suppressed, words counted from the start."""
+    import time
+
+    text = b" ".join([b"under the mit license"] * 90_000)
+    began = time.process_time()
+    found = lc.detect(text)
+    assert time.process_time() - began < 10
+    assert sum(rule.base for rule, *_ in found) == 90_000
+
+
+def test_containment_in_any_earlier_detection():
+    """Against the definition, on text in which names stand inside phrases."""
+    text = b"licensed under the mit license or the apache license version 2 0 spdx license identifier mit or apache 2 0 the mit license"
+    kept = []
+    for rule in lc.rules():
+        if any(k in b" " + text for k in rule.keywords):
+            before = list(kept)
+            kept += [(rule, a, b) for a, b in lc._places(rule, text) if rule.base or not any(x <= a and b <= y for _, x, y in before)]
+    assert [(r.place, a, b) for r, a, b in lc.detect(text)] == [(r.place, a, b) for r, a, b in kept]

@@ -61,3 +61,11 @@ def test_round_trip(documents, odd_texts):
 def test_score_is_the_sum_of_the_pieces(model, documents):
     row = sp.encode_pieces(documents([(1, "hello there")]), PATH).first()
     assert row.score == sum(model.scores[row.ids])
+
+
+def test_long_words_are_not_kept():
+    model = sp.PieceModel.load(PATH)
+    texts = [" ".join([c * 4000, "word", c * 3000 + "x"]) for c in "abcdefgh"]
+    for text in texts:
+        assert model.decode(model.encode(text)) == text
+    assert max(map(len, (*model.kept, *model.spaced))) <= sp.LONGEST_KEPT and "word" in model.spaced

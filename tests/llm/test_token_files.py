@@ -37,6 +37,25 @@ def test_pieces_encode_like_the_whole_text(text):
     assert coded[1].tolist() == [*tf._tokenizer(PATH).encode("x " + text, add_special_tokens=False).ids, 7]
 
 
+def test_control_strings_are_what_the_library_takes_them_for():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "no <|end of|> it", "x  <|endoftext|>  y <|endoftext|>"]
+    coded = tf.PieceEncoder(PATH).encode(pa.array(texts), 7)
+    assert [c.tolist() for c in coded] == [[*plain.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert coded[0].tolist() == [31373, 220, 50256, 995, 7]
+
+
+def test_long_pieces_are_not_kept():
+    encoder = tf.PieceEncoder(PATH)
+    texts = [c * 2000 + "!" for c in "日本語文字列"] + ["word " + c * 3000 + ".,." for c in "abcde"] + ["short text here"]
+    coded = encoder.encode(pa.array(texts), 7)
+    assert [c.tolist() for c in coded] == [[*tf._tokenizer(PATH).encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert all(len(p) <= tf.LONG_PIECE for kept in (encoder.known, encoder.heads, encoder.tails) for p in kept)
+    assert "here" in encoder.known
+
+
 def test_round_trip(spark, documents, odd_texts, monkeypatch):
     rows = odd_texts
     folder = fresh_folder(spark, "tokens")

@@ -40,18 +40,43 @@ BUCKETS = 1 << 14
 LANGUAGES = 64
 TEMPER = 6.0
 STRENGTH = 4.0
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|noscript|template)\b.*?</\1\s*>")
+_HIDDEN = re.compile(r"(?i)<!--|<(script|style|nav|header|footer|aside|noscript|template)\b")
+_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in "script style nav header footer aside noscript template".split()} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^<>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?\s*([a-z]+)|<meta\b[^<>]*content-language[^<>]*content\s*=\s*["']?\s*([a-z]+)""")
+_HEADS = re.compile(r"(?i)<(html|meta)\b([^<>]*)")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?\s*([a-z]+)""")
+_CONTENT = re.compile(r"""(?i)content\s*=\s*["']?\s*([a-z]+)""")
+
+
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment and hidden element.  One pass: an end that is missing once is not looked for again."""
+    out, at, done, missing = [], 0, 0, set()
+    while found := _HIDDEN.search(page, at):
+        at, name = found.end(), (found[1] or "").lower()
+        end = None if name in missing else _ENDS[name].search(page, at)
+        if end is None:
+            missing.add(name)
+            continue
+        out.append(page[done : found.start()])
+        at = done = end.end()
+    return " ".join([*out, page[done:]])
 
 
 def visible_text(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return html.unescape(_TAG.sub(" ", without_hidden(page)))
 
 
 def declared_language(page: str) -> str | None:
-    found = _DECLARED.search(page)
-    return (found[1] or found[2]).lower() if found else None
+    """The language of the first ``html`` or ``meta`` element that names one."""
+    for kind, inside in _HEADS.findall(page):
+        if kind.lower() == "html":
+            named = _LANG.findall(inside)[:1]
+        else:
+            place = inside.lower().find("content-language")
+            named = _CONTENT.findall(inside, place + len("content-language"))[-1:] if place >= 0 else []
+        if named:
+            return named[0].lower()
+    return None
 
 
 def host_of(address: str | None) -> str:

@@ -13,10 +13,13 @@ detections.  Rows are judged one by one, so repeated ids stay; other columns are
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,9 +187,16 @@ def detect(text: bytes) -> list[tuple[Rule, int, int]]:
     kept: list[tuple[Rule, int, int]] = []
     padded = b" " + text
     tried = {rule.place: rule for keyword, gated in _gates().items() if keyword in padded for rule in gated}
+    # Starts of the detections of earlier rules in order, and how far those up to each of them reach.
+    starts: list[int] = []
+    reach: list[int] = []
     for _, rule in sorted(tried.items()):
+        if len(starts) < len(kept):
+            spans = sorted((a, b) for _, a, b in kept)
+            starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
         for start, end in _places(rule, text):
-            if rule.base or not any(a <= start and end <= b for other, a, b in kept if other.place < rule.place):
+            before = bisect_right(starts, start)
+            if rule.base or not before or reach[before - 1] < end:
                 kept.append((rule, start, end))
     return kept
 
@@ -199,12 +209,13 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
         for text in byte_texts(batch.column("text")):
             words = alnum_words(text)
             plain = b" ".join(words)
+            detected = detect(plain)
+            # Spaces before each end of a span.
+            spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32) if detected else None
+            first, last = (np.searchsorted(spaces, [x[k] for x in detected]).tolist() if detected else [] for k in (1, 2))
             found = [
-                {
-                    "label": rule.label, "first_word": plain.count(b" ", 0, start), "words": plain.count(b" ", start, end) + 1,
-                    "weight": rule.weight, "base": rule.base,
-                }
-                for rule, start, end in detect(plain)
+                {"label": rule.label, "first_word": a, "words": b - a + 1, "weight": rule.weight, "base": rule.base}
+                for (rule, *_), a, b in zip(detected, first, last)
             ]
             rows.append({"n_words": len(words), "detections": found})
         yield pa.RecordBatch.from_arrays(

@@ -120,9 +120,11 @@ class PieceModel:
             return [self._part(run) for run in _RUNS.findall(line)]
         first, *words = line.split(" ")
         spaced = self.spaced
+        long: dict[str, bytes] = {}
         for word in set(words).difference(spaced):
-            spaced[word] = self.path(" " + word)
-        return [self._part(first) if first else b"", *map(spaced.__getitem__, words)]
+            (spaced if len(word) <= LONGEST_KEPT else long)[word] = self.path(" " + word)
+        coded = [spaced[word] if word in spaced else long[word] for word in words] if long else map(spaced.__getitem__, words)
+        return [self._part(first) if first else b"", *coded]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -31,6 +31,8 @@ from turnsift.llm.words import map_arrow
 
 BLOCK_IDS = 1 << 18
 PIECES = 1_000_000
+#: Longer pieces are not kept; a million of the others takes at most some 300 MB.
+LONG_PIECE = 48
 STRETCH = 8 << 20
 #: A space next to other white space, for the pattern library of Arrow.
 UNSAFE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -95,9 +97,14 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # control strings inside texts are text
-    return made
+    return Tokenizer.from_file(path)
+
+
+def _forget_long(known: dict[str, bytes], new: Iterable[str]) -> None:
+    """Keep no piece that is long, so that the number of pieces bounds what they take."""
+    for piece in new:
+        if len(piece) > LONG_PIECE:
+            known.pop(piece, None)
 
 
 class PieceEncoder:
@@ -110,6 +117,8 @@ class PieceEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        # Texts with a control string go to the library whole: it takes the string for its token, wherever it stands.
+        self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
         self.unsafe = re.compile(r"\s | \s")
@@ -123,8 +132,11 @@ class PieceEncoder:
         codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(code.ids, "<u4").tobytes() for code in codes]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces without the space that stands before each; marks behind a letter are always tokens of their own."""
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Pieces without the space that stands before each; marks behind a letter are always tokens of their own.
+
+        Gives all names that are known now because of them.
+        """
         marked = {p: found.groups() for p in pieces if (found := self.tail.fullmatch(p)) and " " not in p}
         new = {*pieces.difference(marked), *(core for core, _ in marked.values())}.difference(self.known)
         whole = [p for p in new if not p or " " in p]
@@ -139,6 +151,7 @@ class PieceEncoder:
         self.tails.update(zip(marks, self._library(marks)))
         for piece, (core, mark) in marked.items():
             self.known[piece] = self.known[core] + self.tails[mark]
+        return new.union(marked)
 
     def _codes(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that stand behind a space."""
@@ -147,8 +160,9 @@ class PieceEncoder:
             self.tails.clear()
         found = list(map(self.known.get, pieces))
         if None in found:
-            self._learn({piece for piece, code in zip(pieces, found) if code is None})
+            learned = self._learn({piece for piece, code in zip(pieces, found) if code is None})
             found = list(map(self.known.__getitem__, pieces))
+            _forget_long(self.known, learned)
         return found
 
     def _head_codes(self, pieces: list[str]) -> list[bytes]:
@@ -157,9 +171,13 @@ class PieceEncoder:
             self.heads.clear()
         new = [piece for piece in pieces if piece not in self.heads]
         self.heads.update(zip(new, self._library(new)))
-        return list(map(self.heads.__getitem__, pieces))
+        found = list(map(self.heads.__getitem__, pieces))
+        _forget_long(self.heads, new)
+        return found
 
-    def _with_odd_spaces(self, text: str) -> bytes:
+    def _apart(self, text: str) -> bytes:
+        if any(control in text for control in self.controls):
+            return self._library([text])[0]
         first, *rest = self.cut.split(text)
         return b"".join([*self._library([first]), *self._codes(rest)])
 
@@ -185,11 +203,13 @@ class PieceEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
         """Ids of each text, followed by ``end_id``."""
         odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        for control in self.controls:
+            odd = odd | pc.match_substring(texts, control).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
         gathered = iter(self._gathered(plain, end_id) if len(plain) else ())
         rest = iter(texts.filter(pa.array(odd)).to_pylist())
         return [
-            np.append(np.frombuffer(self._with_odd_spaces(next(rest)), "<u4"), np.uint32(end_id)) if o else next(gathered)
+            np.append(np.frombuffer(self._apart(next(rest)), "<u4"), np.uint32(end_id)) if o else next(gathered)
             for o in odd.tolist()
         ]
 
