@@ -10,6 +10,7 @@ def parsed(log, text):
     return [(r.action, dict(r.params), [(s.url, s.start, s.end, s.media_type) for s in r.segments]) for r in rows]
 
 
+# Published examples of commands and what they mean.
 YT = "https://www.youtube.com/watch?v=QohH89Eu5iM"
 
 

@@ -142,13 +142,17 @@ def test_blocks_follow_the_input(spark, tmp_path):
         spark.conf.unset(BLOCK_BYTES)
 
 
-def remembers_all(state, row):
-    """Never forgets: how many different values of ``t`` came before, and whether this one did."""
-    seen = state.setdefault("seen", [])
-    new = row["t"] not in seen
-    if new:
-        seen.append(row["t"])
-    return {"new": new, "n": len(seen)}
+def remembering():
+    """A step that never forgets: how many different values of ``t`` came before, and whether this one did."""
+
+    def step(state, row):
+        seen = state.setdefault("seen", [])
+        new = row["t"] not in seen
+        if new:
+            seen.append(row["t"])
+        return {"new": new, "n": len(seen)}
+
+    return step
 
 
 @pytest.mark.parametrize("blocks", [2, 8, 13])
@@ -162,7 +166,7 @@ def test_relay_rounds_grow_with_the_logarithm(spark, monkeypatch, blocks):
     rows = [("hot", i * 7 % 50, i, None, False) for i in range(120)] + [("cold", 1, 900, None, False)]
     spark.conf.set("spark.turnsift.blocks", str(blocks))
     try:
-        df = relay(make(spark, rows), ["k"], ["seq"], remembers_all, {"new": "boolean", "n": "bigint"})
+        df = relay(make(spark, rows), ["k"], ["seq"], remembering(), {"new": "boolean", "n": "bigint"})
     finally:
         spark.conf.unset("spark.turnsift.blocks")
     got = {r.seq: (r.new, r.n) for r in df.collect()}
@@ -170,7 +174,7 @@ def test_relay_rounds_grow_with_the_logarithm(spark, monkeypatch, blocks):
     for group in by_key(rows).values():
         state = {}
         for row in sorted(group, key=lambda r: r[2]):
-            out = remembers_all(state, {"t": row[1]})
+            out = remembering()(state, {"t": row[1]})
             want[row[2]] = (out["new"], out["n"])
     assert got == want
     assert len(rounds) <= (blocks - 1).bit_length() + 2
@@ -179,7 +183,7 @@ def test_relay_rounds_grow_with_the_logarithm(spark, monkeypatch, blocks):
 def test_relay_continues_given_states(spark, mode):
     rows = [("a", t, t, None, False) for t in range(40)] + [("b", t, 100 + t, None, False) for t in range(3)]
     start = spark.createDataFrame([("a", '{"seen": [0, 1, 2]}')], "k string, _state string")
-    df = relay(make(spark, rows), ["k"], ["ts", "seq"], remembers_all, {"new": "boolean", "n": "bigint"}, start, True)
+    df = relay(make(spark, rows), ["k"], ["ts", "seq"], remembering(), {"new": "boolean", "n": "bigint"}, start, True)
     got = df.collect()
     assert {r.seq for r in got if not r.new} == {0, 1, 2}
     assert max(r.n for r in got if r.k == "b") == 3 and sum(r._state is not None for r in got) >= 2
@@ -203,7 +207,8 @@ def test_step_functions_compose(spark):
             parts.append((part.sort_values(["_t", "_forced"], kind="stable"), (np.array(head["bounds"]), np.array(head["exits"]))))
         both = greedy.composed(width, greedy.composed(width, parts[0][1], parts[1][1]), parts[2][1])
         other = greedy.composed(width, parts[0][1], greedy.composed(width, parts[1][1], parts[2][1]))
-        for last in [greedy.NOTHING_KEPT, *range(-40, 10)]:
+        # A row kept before is never later than the first row.
+        for last in [greedy.NOTHING_KEPT, *range(-40, int(parts[0][0]["_t"].iloc[0]) + 1)]:
             state = last
             for part, _ in parts:
                 for t, forced in zip(part["_t"], part["_forced"]):

@@ -29,6 +29,16 @@ VIDEO = [".mp4", ".webm", ".mkv", ".mov", ".m4v", ".avi"]
 AUDIO = [".mp3", ".wav", ".flac", ".m4a", ".ogg"]
 IMAGE = [".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif"]
 WHOLE_ENDINGS = [".jpg", ".png", ".gif", ".webp", ".mp4", ".webm"]
+# Words that make a long text a command, and texts of empty command templates.
+COMMAND_WORDS = ["PLAY:", "SEQUENCE:", "VOLUME:", "PAUSE", "STOP"]
+TEMPLATE_WORD, CAPTION_TEMPLATE, OVERLAY_TEMPLATE = "example", "your caption here", "your overlay here"
+# Addresses of one media site, and what signs of a working address are worth.
+YOUTUBE_ADDRESSES = ["youtube.com/watch", "youtu.be/"]
+POINTS = {
+    "scheme": 0.4, "http": 0.1, "dot": 0.3, "site": 0.2, "watch?v=": 0.3, "watchv": 0.1, "ending": 0.2, "long": 0.2, "repeated": 0.3,
+    "lost punctuation": 0.1, "parseable": 0.2, "valid": 0.3,
+}
+LONG_ADDRESS = 500
 # How the start of an address looks once its punctuation is lost.
 LOST_PREFIXES = [
     ("httpswwwyoutubecom", "https://www.youtube.com/"),
@@ -94,13 +104,13 @@ def command_action(command: Column) -> Column:
     """Action of an unwrapped command text, null if it is none."""
     upper, lower = F.upper(command), F.lower(command)
     sample = contains_any(lower, SAMPLE_PHRASES)
-    worded = contains_any(upper, ["PLAY:", "SEQUENCE:", "VOLUME:", "PAUSE", "STOP"])
+    worded = contains_any(upper, COMMAND_WORDS)
     wrapper = (F.length(command) > 50) & ~worded & contains_any(lower, WRAPPER_PHRASES)
     short = F.size(words(command)) <= 2
 
     def labelled(keyword: str, sample_text: str) -> Column:
         rest = strip(F.substr(lower, F.lit(len(keyword) + 1)))
-        return upper.startswith(keyword) & (rest != "") & ~contains_any(rest, ["example", sample_text])
+        return upper.startswith(keyword) & (rest != "") & ~contains_any(rest, [TEMPLATE_WORD, sample_text])
 
     return (
         F.when(sample | wrapper, F.lit(None).cast("string"))
@@ -109,8 +119,8 @@ def command_action(command: Column) -> Column:
         .when(upper.startswith("STOP ALL"), "STOP_ALL")
         .when(upper.startswith("STOP") & short, "STOP")
         .when(volume_value(command).isNotNull(), "VOLUME")
-        .when(labelled("CAPTION:", "your caption here"), "CAPTION")
-        .when(labelled("OVERLAY:", "your overlay here"), "OVERLAY")
+        .when(labelled("CAPTION:", CAPTION_TEMPLATE), "CAPTION")
+        .when(labelled("OVERLAY:", OVERLAY_TEMPLATE), "OVERLAY")
         .when(upper.startswith("SEQUENCE:"), "SEQUENCE")
     )
 
@@ -135,21 +145,21 @@ def url_confidence(url: Column) -> Column:
     occurrences = (F.length(url) - F.length(F.replace(url, F.lit("http"), F.lit("")))) / 4
     youtube = lower.contains("youtube")
     score = (
-        F.when(url.rlike("^https?://"), 0.4).when(url.startswith("http"), 0.1).otherwise(0.0)
-        + points(url.contains("."), 0.3)
-        + points(contains_any(lower, KNOWN_SITES), 0.2)
-        + F.when(youtube & url.contains("watch?v="), 0.3).when(youtube & url.contains("watchv"), 0.1).otherwise(0.0)
-        + points(contains_any(lower, MEDIA_ENDINGS), 0.2)
-        - points(F.length(url) > 500, 0.2)
-        - points(occurrences > 1, 0.3)
+        F.when(url.rlike("^https?://"), POINTS["scheme"]).when(url.startswith("http"), POINTS["http"]).otherwise(0.0)
+        + points(url.contains("."), POINTS["dot"])
+        + points(contains_any(lower, KNOWN_SITES), POINTS["site"])
+        + F.when(youtube & url.contains("watch?v="), POINTS["watch?v="]).when(youtube & url.contains("watchv"), POINTS["watchv"]).otherwise(0.0)
+        + points(contains_any(lower, MEDIA_ENDINGS), POINTS["ending"])
+        - points(F.length(url) > LONG_ADDRESS, POINTS["long"])
+        - points(occurrences > 1, POINTS["repeated"])
     )
-    score = F.when(lost_punctuation(url), F.greatest(F.lit(0.1), score)).otherwise(score)
-    score = F.round(F.least(F.lit(1.0), score + points(is_parseable(url), 0.2)), 2)
+    score = F.when(lost_punctuation(url), F.greatest(F.lit(POINTS["lost punctuation"]), score)).otherwise(score)
+    score = F.round(F.least(F.lit(1.0), score + points(is_parseable(url), POINTS["parseable"])), 2)
     return F.when(url == "", F.lit(0.0)).otherwise(score)
 
 
 def is_valid_url(url: Column) -> Column:
-    return (url != "") & (is_parseable(url) | (url_confidence(url) >= 0.3))
+    return (url != "") & (is_parseable(url) | (url_confidence(url) >= POINTS["valid"]))
 
 
 def lost_punctuation(url: Column) -> Column:
@@ -263,7 +273,7 @@ def media_type(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*", ""), "^[a-zA-Z]+://[^/]*", "")
     ending = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))
     return (
-        F.when(contains_any(url, ["youtube.com/watch", "youtu.be/"]), "youtube")
+        F.when(contains_any(url, YOUTUBE_ADDRESSES), "youtube")
         .when(ending.isin(VIDEO), "video")
         .when(ending.isin(AUDIO), "audio")
         .when(ending.isin(IMAGE), "image")

@@ -27,6 +27,7 @@ LABELS = [
 LABEL_PARTS = [
     "chats projects artifacts", "claude can make mistakes", "retry", "confirmation share", "message confirmation",
 ]
+# One-word labels, and parts of titles that the interface makes up.
 LABEL_WORDS = ["research", "sonnet", "writing", "method", "analysis", "review", "request"]
 TITLE_PARTS = ["research sonnet 4", "j james", "j test"]
 BUTTON_ENDINGS = [r"^.*\s+retry\z", r"^.*\s+share\z", r"^test\s+message\s+confirmation"]
@@ -51,10 +52,15 @@ CLAUDE_LABELS = [
     r"(?i)^(yes|no|retry|share)\z", r"(?i)^Thinking", r"(?i)^Gathering", r"(?i)^ArtifactsArtifacts\z",
     r"(?i)^Artifacts\z",
 ]
+# Texts of action buttons, phrases of a greeting that is kept, class names of content and of the interface.
 BUTTON_TOKEN = r"(?i)^(Write|Strategize|Create|Learn|From\s+Drive|Publish|Share|Copy|Edit|Delete)\z"
 SONNET_PHRASES = ["how can i help", "what would you like", "feel free to"]
 CONTENT_CLASSES = ["markdown", "prose", "text-token-text-primary"]
 CHROME_CLASSES = ["header", "nav", "sidebar", "toolbar"]
+CHROME_ELEMENTS = ["button", "nav", "header"]
+# Words that mark a text as conversation, and class names around conversation.
+TALK_WORDS = ["okay", "testmessage", "respond"]
+CHAT_CLASSES = ["chat", "message", "conversation"]
 
 
 def has_sonnet_url(urls: Column) -> Column:
@@ -138,13 +144,13 @@ def sonnet_preserve(text: Column) -> Column:
 def container_noise(tag: Column, classes: Column, platform: Column) -> Column:
     """Noise by the element a text came from; content containers win on the chatgpt side."""
     content = contains_any(classes, CONTENT_CLASSES) & (platform == "chatgpt")
-    chrome = F.lower(tag).isin("button", "nav", "header") | contains_any(classes, CHROME_CLASSES)
+    chrome = F.lower(tag).isin(CHROME_ELEMENTS) | contains_any(classes, CHROME_CLASSES)
     return F.coalesce(~content & chrome, F.lit(False))
 
 
 def is_conversation_element(text: Column, role: Column, classes: Column) -> Column:
     shown = strip(text)
-    marked = contains_any(shown, ["okay", "testmessage", "respond"]) | shown.rlike("^[A-Z]")
-    in_chat = contains_any(classes, ["chat", "message", "conversation"])
+    marked = contains_any(shown, TALK_WORDS) | shown.rlike("^[A-Z]")
+    in_chat = contains_any(classes, CHAT_CLASSES)
     talk = (F.length(shown) > 10) & marked & in_chat
     return (F.length(shown) >= 3) & (role.isNotNull() | F.coalesce(talk, F.lit(False)))

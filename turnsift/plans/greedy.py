@@ -188,7 +188,7 @@ def keep_if_quiet(
     within a key.  Pass narrow rows: an island of them is one array.
     """
     keys, ties = list(keys), list(ties)
-    width = F.round(window * 1_000_000).cast("bigint") - (1 if strict else 0)
+    width = F.round(window * F.lit(1_000_000).cast("bigint")).cast("bigint") - (1 if strict else 0)
     timed = df.withColumns({
         "_t": F.unix_micros(ts),
         "_width": width,
