@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from turnsift.functions import text as tx
@@ -66,6 +67,17 @@ def test_overlapping_batches_within_the_delay(spark, log, tmp_path):
     assert len(list((tmp_path / "out" / "state").iterdir())) == 2
 
 
+@pytest.fixture
+def keyed_state(spark):
+    """State of few partitions in the store that keyed state needs."""
+    before = {k: spark.conf.get(k) for k in (state.PROVIDER, "spark.sql.shuffle.partitions")}
+    state.use_keyed_state(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def arrivals(spark, rows, source, parts):
     """A stream per part, each continuing from the checkpoint of the one before."""
     for part in parts:
@@ -82,9 +94,8 @@ def end(rows):
     return rows.limit(1).select(*[F.lit("end").alias(c) if c == "convo_id" else F.timestamp_seconds(F.lit(1_900_000_000)).alias(c) if c == "ts" else F.lit(999).cast("long").alias(c) if c == "seq" else c for c in rows.columns])
 
 
-def test_entries_expire_exactly(spark, log, tmp_path):
+def test_entries_expire_exactly(spark, keyed_state, log, tmp_path):
     """Sights at 0, 30 and 31 s with a life of 30 s, out of order, over restarts; a row behind the watermark is dropped."""
-    state.use_keyed_state(spark)
     rows = log([(0, "user", "a"), (31, "user", "a"), (30, "user", "a"), (40, "user", "b"), (61, "user", "a"), (100, "user", "z"), (3, "user", "a"), (62, "user", "a")])
     rows = rows.withColumn("digest", tx.digest(F.col("content"))).select("convo_id", "seq", "ts", "digest")
     rows = rows.unionByName(end(rows))
@@ -96,8 +107,7 @@ def test_entries_expire_exactly(spark, log, tmp_path):
     assert got == {0: True, 2: False, 1: True, 3: True, 4: False, 7: True, 5: True}
 
 
-def test_keyed_states_equal_the_table_jobs(spark, log, tmp_path):
-    state.use_keyed_state(spark)
+def test_keyed_states_equal_the_table_jobs(spark, keyed_state, log, tmp_path):
     rows = log(ROWS).drop("historical", "t")
     rows = rows.unionByName(end(rows))
     parts = ([1, 0, 4], [2, 3, 5, 6, 7], list(range(8, 16)), [999])
@@ -111,11 +121,10 @@ def test_keyed_states_equal_the_table_jobs(spark, log, tmp_path):
     keyed = rows.withColumn("digest", tx.digest(F.col("content"))).select("convo_id", "seq", "ts", "digest")
     for stream in arrivals(spark, keyed, tmp_path / "keyed", parts):
         run(state.first_seen_stream(stream, ["convo_id", "digest"], 86_400, "30 seconds"), firsts)
-    assert {r.seq for r in spark.read.parquet(f"{firsts}/data").collect()} == {r[0] for r in keyed.where("seq < 999").groupBy("digest").agg(F.min("seq")).collect()}
+    assert {r.seq for r in spark.read.parquet(f"{firsts}/data").collect()} == {r[1] for r in keyed.where("seq < 999").groupBy("digest").agg(F.min("seq")).collect()}
 
 
-def test_exchanges_in_state(spark, log, tmp_path):
-    state.use_keyed_state(spark)
+def test_exchanges_in_state(spark, keyed_state, log, tmp_path):
     events = [(0, "send", "q"), (0.2, "user", "q"), (2, "assistant", "r"), (3, "assistant", "s"), (40, "send", "q2"), (41, "user", "q2"), (60, "assistant", "late"), (61, "send", "x"), (61.5, "send", "y"), (62, "user", "x"), (63, "assistant", "z")]
     rows = log(events).select("convo_id", "seq", "ts", F.col("role").alias("event"), "content", F.lit(None).cast("timestamp").alias("marked_ts"))
     want = {r.seq: r.genuine for r in dedup.genuine_response_strict(rows).collect()}
