@@ -59,6 +59,8 @@ def texts(seed, n=60):
                 at = r.randrange(len(word))
                 word[at : at + r.randrange(2)] = r.choice(["", "a", "é", "zz"[:1]])
             words += ["".join(word)] * r.choice([2, 5, 6, 30, 300])
+    # A form of a form.
+    words += ["chainaa"] * 6 + ["chainab"] * 40 + ["chainxb"] * 300
     r.shuffle(words)
     cuts = sorted(r.sample(range(len(words)), n))
     return [(i, " ".join(w.upper() if r.random() < 0.2 else w for w in words[a:b])) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(words)]))]

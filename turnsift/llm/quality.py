@@ -239,9 +239,10 @@ def with_stratum(documents: DataFrame) -> DataFrame:
 
 def judge(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds ``base_failed`` and ``kept``."""
-    rows = facts.join(cutoffs, "stratum", "left")
+    own, cut = facts.drop("base_failed", "kept").alias("f"), cutoffs.alias("c")
+    rows = own.join(cut, F.col("f.stratum") == F.col("c.stratum"), "left")
     fails = F.lit(False)
     for rule in RULES:
-        fails = fails | F.coalesce(_exceeds(rule, F.col(f"_{rule}")), F.lit(False))
-    rows = rows.withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", ~F.col("base_failed") & ~fails).drop(*[f"_{rule}" for rule in RULES])
+        fails = fails | F.coalesce(_exceeds(rule, F.col(f"c._{rule}")), F.lit(False))
+    failed = base_failed()
+    return rows.select("f.*", failed.alias("base_failed"), (~failed & ~fails).alias("kept"))
