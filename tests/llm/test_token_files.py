@@ -56,6 +56,33 @@ def test_long_pieces_are_not_kept():
     assert "here" in encoder.known
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab  ,.!|'é\n\t7")), max_size=40), min_size=1, max_size=6))
+def test_texts_encoded_together_are_those_encoded_alone(texts):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tf, "PIECES", 20)
+        patch.setattr(tf, "TOGETHER", 3)
+        encoder = tf.PieceEncoder(PATH)
+        for some in (texts, texts[::-1], [*texts, "a|b <|endoftext|> c"]):
+            want = [[*tf._tokenizer(PATH).encode(t, add_special_tokens=False).ids, 7] for t in some]
+            assert [c.tolist() for c in encoder.encode(pa.array(some), 7)] == want
+
+
+def test_frequent_pieces_go_to_the_library_once_and_new_ones_in_short_texts(monkeypatch):
+    monkeypatch.setattr(tf, "PIECES", 400)
+    encoder = tf.PieceEncoder(PATH)
+    sent, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: sent.extend(texts) or library(texts))
+    for k in range(20):
+        text = "A common, " + " ".join(f"word{k}x{n}" for n in range(150)) + " end.  Odd common! and common"
+        coded = encoder.encode(pa.array([text, "A common."]), 7)
+        assert coded[0].tolist() == [*tf._tokenizer(PATH).encode(text, add_special_tokens=False).ids, 7]
+        assert len(encoder.known) + len(encoder.older) < 2 * 400
+    words = [word for text in sent for word in text.split()]
+    assert words.count("common") == 1 and len(words) == len({*words}) == 20 * 150 + len("A . , ! end. Odd and".split()) + 1
+    assert max(len(text.split()) for text in sent) <= 200
+
+
 def test_round_trip(spark, documents, odd_texts, monkeypatch):
     rows = odd_texts
     folder = fresh_folder(spark, "tokens")

@@ -36,6 +36,10 @@ LONG_PIECE = 48
 STRETCH = 8 << 20
 #: A space next to other white space, for the pattern library of Arrow.
 UNSAFE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+#: Pieces in one call of the library; in longer texts each piece takes up to twice the time.
+TOGETHER = 100
+#: Behind a letter the library takes a run of these apart from it.
+MARKS = "!#$%&*,.:;?|"
 BLOCKS = (
     "shard int, block int, first bigint, bits int, min_doc bigint, max_doc bigint, n_ids bigint, payload binary, "
     "doc_ids array<bigint>, offsets array<bigint>"
@@ -100,19 +104,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _forget_long(known: dict[str, bytes], new: Iterable[str]) -> None:
-    """Keep no piece that is long, so that the number of pieces bounds what they take."""
-    for piece in new:
-        if len(piece) > LONG_PIECE:
-            known.pop(piece, None)
+def _short(pieces: Iterable[str], codes: Iterable[bytes]) -> Iterator[tuple[str, bytes]]:
+    """What is kept: no piece that is long, so that the number of pieces bounds what they take."""
+    return (pair for pair in zip(pieces, codes) if len(pair[0]) <= LONG_PIECE)
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class PieceEncoder:
     """Encodes texts through their pieces between single spaces.
 
     A byte-level BPE with word splitting never joins a space between two non-spaces to what stands before it, so a text
-    cut there is encoded piece by piece.  Known pieces are kept; new ones go to the library many at a time, as one
-    text, in which only the first token of a piece begins with a space.
+    cut there is encoded piece by piece.  Marks behind a letter are tokens of their own and are looked up apart.  Known
+    pieces are kept, in two halves of which the older one is dropped when the newer is full; new ones go to the library
+    ``TOGETHER`` at a time, as one text, in which only the first token of a piece begins with a space.
     """
 
     def __init__(self, path: str) -> None:
@@ -121,10 +128,9 @@ class PieceEncoder:
         self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
-        self.unsafe = re.compile(r"\s | \s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.tail = re.compile(r"(.*[a-zA-Z])([!#$%&*,.:;?|]+)", re.S)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
@@ -132,86 +138,90 @@ class PieceEncoder:
         codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(code.ids, "<u4").tobytes() for code in codes]
 
-    def _learn(self, pieces: set[str]) -> set[str]:
-        """Pieces without the space that stands before each; marks behind a letter are always tokens of their own.
-
-        Gives all names that are known now because of them.
-        """
-        marked = {p: found.groups() for p in pieces if (found := self.tail.fullmatch(p)) and " " not in p}
-        new = {*pieces.difference(marked), *(core for core, _ in marked.values())}.difference(self.known)
-        whole = [p for p in new if not p or " " in p]
-        self.known.update(zip(whole, self._library([" " + p for p in whole])))
-        single = [p for p in new if p and " " not in p]
-        for at in range(0, len(single), 2000):
-            some = single[at : at + 2000]
-            codes = self._library([" " + " ".join(some)])[0]
-            starts = (np.flatnonzero(self.spaced[np.frombuffer(codes, "<u4")]) * 4).tolist()
-            self.known.update(zip(some, (codes[a:b] for a, b in zip(starts, [*starts[1:], len(codes)]))))
-        marks = list({mark for _, mark in marked.values()}.difference(self.tails))
-        self.tails.update(zip(marks, self._library(marks)))
-        for piece, (core, mark) in marked.items():
-            self.known[piece] = self.known[core] + self.tails[mark]
-        return new.union(marked)
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces, without the space that stands before each."""
+        codes: dict[str, bytes] = {}
+        whole = [p for p in pieces if not p or " " in p]
+        codes.update(zip(whole, self._library([" " + p for p in whole])))
+        single = [p for p in pieces if p and " " not in p]
+        for at in range(0, len(single), TOGETHER):
+            some = single[at : at + TOGETHER]
+            ids = self._library([" " + " ".join(some)])[0]
+            starts = (np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")]) * 4).tolist()
+            codes.update(zip(some, (ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)]))))
+        self.known.update(_short(codes, codes.values()))
+        return list(map(codes.__getitem__, pieces))
 
     def _codes(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that stand behind a space."""
-        if len(self.known) + len(self.tails) > PIECES:
-            self.known.clear()
-            self.tails.clear()
+        if len(self.known) > PIECES // 2:
+            self.known, self.older = {}, self.known
         found = list(map(self.known.get, pieces))
-        if None in found:
-            learned = self._learn({piece for piece, code in zip(pieces, found) if code is None})
-            found = list(map(self.known.__getitem__, pieces))
-            _forget_long(self.known, learned)
+        missing = [at for at, code in enumerate(found) if code is None]
+        for at in missing:
+            code = self.older.get(pieces[at])
+            if code is not None:
+                found[at] = self.known[pieces[at]] = code
+        missing = [at for at in missing if found[at] is None]
+        for at, code in zip(missing, self._learn([pieces[at] for at in missing])):
+            found[at] = code
         return found
 
-    def _head_codes(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that begin a text."""
-        if len(self.heads) > PIECES // 10:
-            self.heads.clear()
-        new = [piece for piece in pieces if piece not in self.heads]
-        self.heads.update(zip(new, self._library(new)))
-        found = list(map(self.heads.__getitem__, pieces))
-        _forget_long(self.heads, new)
+    def _start_codes(self, kept: dict[str, bytes], pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without a space before them."""
+        if len(kept) > PIECES // 10:
+            kept.clear()
+        new = [piece for piece in pieces if piece not in kept]
+        codes = dict(zip(new, self._library(new)))
+        found = [codes[piece] if piece in codes else kept[piece] for piece in pieces]
+        kept.update(_short(codes, codes.values()))
         return found
 
-    def _apart(self, text: str) -> bytes:
-        if any(control in text for control in self.controls):
-            return self._library([text])[0]
-        first, *rest = self.cut.split(text)
-        return b"".join([*self._library([first]), *self._codes(rest)])
-
-    def _gathered(self, texts: pa.StringArray, end_id: int) -> list[np.ndarray]:
-        """Texts whose spaces all stand between non-spaces: distinct pieces are looked up once and copied by index."""
-        cut = pc.split_pattern(texts, " ")
-        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
-        coded = cut.flatten().dictionary_encode()
-        piece, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        heads, head = np.unique(piece[first], return_inverse=True)
-        codes = [*self._codes(names), *self._head_codes([names[k] for k in heads])]
-        flat = np.frombuffer(b"".join(codes), "<u4")
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        piece = piece.astype(np.int64)
-        piece[first] = len(names) + head
-        size, begin = sizes[piece], (np.cumsum(sizes) - sizes)[piece]
-        at = np.cumsum(size) - size
-        body = flat[np.arange(int(size.sum())) + np.repeat(begin - at, size)]
-        ends = np.append(at[first[1:]], len(body))
-        out = np.insert(body, ends, end_id)
-        return np.split(out, (ends + np.arange(1, len(ends) + 1))[:-1])
+    def _marked_codes(self, pieces: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct pieces that stand behind a space, those of marks behind a letter looked up apart."""
+        cores = pc.ascii_rtrim(pieces, characters=MARKS)
+        marked = pc.not_equal(pc.binary_length(cores), pc.binary_length(pieces))
+        marked = pc.and_(marked, pc.match_substring_regex(cores, r"[a-zA-Z]\z"))
+        cores = pc.if_else(marked, cores, pieces).dictionary_encode()
+        codes = pa.array(self._codes(_strings(cores.dictionary)), pa.large_binary()).take(cores.indices)
+        marks = pc.if_else(marked, pc.replace_substring_regex(pieces, r"(?s)\A.*[a-zA-Z]", ""), "").dictionary_encode()
+        tails = pa.array(self._start_codes(self.tails, _strings(marks.dictionary)), pa.large_binary())
+        return pc.binary_join_element_wise(codes, tails.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+
+    def _gathered(self, cut: pa.ListArray, end_id: int) -> list[np.ndarray]:
+        """Texts as lists of pieces, single spaces between them: distinct ones are looked up once and copied by index."""
+        if not len(cut):
+            return []
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        pieces = cut.flatten()
+        behind = np.ones(len(pieces), bool)
+        behind[bounds[:-1]] = False
+        rest = pieces.filter(pa.array(behind)).dictionary_encode()
+        heads = pieces.take(pa.array(bounds[:-1])).dictionary_encode()
+        starts = [*self._start_codes(self.heads, _strings(heads.dictionary)), np.uint32(end_id).astype("<u4").tobytes()]
+        codes = [self._marked_codes(rest.dictionary), pa.array(starts, pa.large_binary())]
+        piece = np.empty(len(pieces), np.int32)
+        piece[behind] = rest.indices.to_numpy()
+        piece[bounds[:-1]] = heads.indices.to_numpy() + len(codes[0])
+        piece = np.insert(piece, bounds[1:], len(codes[0]) + len(starts) - 1)
+        copied = pa.concat_arrays(codes).take(pa.array(piece))
+        begins, ids = (np.frombuffer(part, kind) for part, kind in zip(copied.buffers()[1:], ("<i8", "<u4")))
+        ends = begins[bounds[1:] + np.arange(1, len(bounds))] // 4
+        return np.split(ids[: ends[-1]], ends[:-1])
 
     def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
         """Ids of each text, followed by ``end_id``."""
-        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False).astype(int)
         for control in self.controls:
-            odd = odd | pc.match_substring(texts, control).to_numpy(zero_copy_only=False)
-        plain = texts.filter(pa.array(~odd))
-        gathered = iter(self._gathered(plain, end_id) if len(plain) else ())
-        rest = iter(texts.filter(pa.array(odd)).to_pylist())
-        return [
-            np.append(np.frombuffer(self._apart(next(rest)), "<u4"), np.uint32(end_id)) if o else next(gathered)
-            for o in odd.tolist()
-        ]
+            odd[pc.match_substring(texts, control).to_numpy(zero_copy_only=False)] = 2
+        plain, apart, whole = (texts.filter(pa.array(odd == kind)) for kind in range(3))
+        lists = pa.array([self.cut.split(text) for text in apart.to_pylist()], pa.list_(pa.string()))
+        coded = (
+            iter(self._gathered(pc.split_pattern(plain, " "), end_id)),
+            iter(self._gathered(lists, end_id)),
+            (np.append(np.frombuffer(c, "<u4"), np.uint32(end_id)) for c in self._library(whole.to_pylist())),
+        )
+        return [next(coded[kind]) for kind in odd.tolist()]
 
 
 @cache
